@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, sharding, simhash
+from . import decontam, language_id, line_dedup, packing, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +29,25 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "fingerprint", F.col("component").alias("component_id"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
+def pack_documents(docs: DataFrame) -> DataFrame:
+    """Packing under the public byte-level vocabulary."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    indexes = decontam.build_indexes(_table(spark, sf_dir, "benchmark"))
+    return decontam.find_leaks(_table(spark, sf_dir, "documents"), indexes).withColumnRenamed("key", "doc_id")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_simhash, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_simhash, op6_packing, op9_decontamination, op10_sharding)}
 ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op10_sharding": sharding.ORACLE}
