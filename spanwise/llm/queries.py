@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, html_extract, language_id, line_dedup, packing, sharding, simhash
+from . import ann, decontam, html_extract, language_id, line_dedup, packing, sharding, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "fingerprint", F.col("component").alias("component_id"))
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.where("vec_id % 100 = 0"))
@@ -58,5 +62,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_simhash, op5_ann, op6_packing, op8_html, op9_decontamination, op10_sharding)}
-ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op10_sharding": sharding.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_simhash, op4_substring, op5_ann, op6_packing, op8_html, op9_decontamination, op10_sharding)}
+ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op4_substring": substring_dedup.ORACLE, "op10_sharding": sharding.ORACLE}
