@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, html_extract, language_id, line_dedup, packing, sharding, simhash, substring_dedup
+from . import ann, decontam, html_extract, language_id, line_dedup, packing, sharding, simhash, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
@@ -62,5 +66,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_simhash, op4_substring, op5_ann, op6_packing, op8_html, op9_decontamination, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_simhash, op4_substring, op5_ann, op6_packing, op7_suffix, op8_html, op9_decontamination, op10_sharding)}
 ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op4_substring": substring_dedup.ORACLE, "op10_sharding": sharding.ORACLE}
