@@ -94,7 +94,7 @@ def _near_cells(segments: int, radius: int) -> list[tuple[int, ...]]:
 
 def choose_segments(n: int) -> int:
     """Parts that a fingerprint is counted in, for ``n`` distinct ones: cells stay near a tile's size."""
-    return 1 if n < 20_000 else 2 if n < 80_000 else 4 if n < 20_000_000 else 8 if n < 20_000_000_000 else 16
+    return 4 if n < 20_000_000 else 8 if n < 20_000_000_000 else 16
 
 
 def _forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[tuple[int, int]]:
