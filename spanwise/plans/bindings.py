@@ -372,3 +372,323 @@ def ring_masses(spark, d):
     o = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey")).join(table(spark, d, "customer").select("c_nationkey").distinct(), "c_nationkey")
     s = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.sum("s_acctbal").alias("m"))  # a row for each nation
     return rounded(flows.ring_masses(o, s, F.abs(F.col("c_nationkey") - F.col("s_nationkey")), "m", [2, 5, 10], "c_nationkey"), mass=2)
+
+
+# --- edges, paths, alternatives ----------------------------------------------------
+
+
+@query("SELECT l_partkey, l_suppkey, min(l_extendedprice) AS l_extendedprice FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY ALL")
+def edge_min_dedup(spark, d):
+    return graph.cheapest_edges(table(spark, d, "lineitem"), "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+@query("""SELECT DISTINCT least(a, b) AS low, greatest(a, b) AS high FROM (SELECT o_orderkey % 500 AS a, lead(o_orderkey % 500) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders) WHERE b IS NOT NULL AND a <> b""")
+def undirected_pairs(spark, d):
+    o = table(spark, d, "orders").withColumn("v", F.col("o_orderkey") % 500)
+    return relational.undirected(relational.consecutive_pairs(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "v"), "from", "to")
+
+
+_ALT = """WITH o AS (SELECT o_custkey, o_totalprice AS t, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS k FROM orders),
+g AS (SELECT o_custkey, max(t) FILTER (k = 0) AS chosen, min(t) FILTER (k > 0) AS fastest, CAST(arg_min(k, struct_pack(t := t, k := k)) FILTER (k > 0) AS INT) AS fastest_rank FROM o GROUP BY ALL HAVING count(*) > 1)"""
+
+
+def _alternatives(spark, d):
+    from pyspark.sql import Window
+
+    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) - 1
+    return relational.chosen_against_fastest(table(spark, d, "orders").withColumn("k", k), ["o_custkey"], "k", "o_totalprice")
+
+
+@query(_ALT + " SELECT * FROM g")
+def fastest_alternative(spark, d):
+    return _alternatives(spark, d)
+
+
+@query(_ALT + """ SELECT CASE WHEN chosen > fastest AND o_custkey % 3 = 0 THEN 'true_violation' WHEN chosen > fastest THEN 'timing_divergence' WHEN o_custkey % 3 = 0 THEN 'concordant_bad' ELSE 'concordant_ok' END AS class, count(*) AS n FROM g GROUP BY ALL""")
+def violation_table(spark, d):
+    c = relational.violation_class(F.col("chosen") > F.col("fastest"), F.col("o_custkey") % 3 == 0)
+    return _alternatives(spark, d).groupBy(c.alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_suppkey, round(sum(l_quantity) / sum(l_quantity / l_extendedprice), 4) AS speed FROM lineitem GROUP BY ALL")
+def harmonic_speed(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(r(weighted.harmonic_speed(F.col("l_quantity"), F.col("l_extendedprice")), 4).alias("speed"))
+
+
+@query("""SELECT l_suppkey, l_returnflag || '|' || l_linestatus AS bucket, sum(l_quantity) AS length, (SELECT sum(l_quantity) FROM lineitem x WHERE x.l_suppkey = lineitem.l_suppkey AND x.l_returnflag = 'R') AS unbucketed
+FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL""")
+def map_buckets(spark, d):
+    b = F.when(F.col("l_returnflag") != "R", F.concat_ws("|", "l_returnflag", "l_linestatus"))
+    m = relational.map_buckets(table(spark, d, "lineitem"), ["l_suppkey"], b, F.col("l_quantity"))
+    return m.select("l_suppkey", F.explode("by_bucket").alias("bucket", "length"), "unbucketed")
+
+
+@query("""SELECT l_returnflag || '|' || l_linestatus AS bucket, sum(l_quantity) AS length FROM lineitem GROUP BY ALL""")
+def bucket_coverage(spark, d):
+    return relational.bucket_coverage(relational.map_buckets(table(spark, d, "lineitem"), ["l_suppkey"], F.concat_ws("|", "l_returnflag", "l_linestatus"), F.col("l_quantity")))
+
+
+@query("""SELECT l_returnflag, l_linestatus, CAST(CASE WHEN l_linestatus IS NOT NULL THEN 0 WHEN l_returnflag IS NOT NULL THEN 1 ELSE 3 END AS INT) AS level, count(*) AS n, round(median(l_extendedprice / l_quantity), 6) AS median_ratio, round(avg(abs(ln(l_extendedprice / (2000e0 * l_quantity)))), 6) AS mean_abs_log
+FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())""")
+def leg_band_eval(spark, d):
+    ratio = F.col("l_extendedprice") / F.col("l_quantity")
+    got = relational.levels(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus", {"n": F.count("*"), "median_ratio": weighted.median(ratio), "mean_abs_log": F.avg(F.abs(F.log(F.col("l_extendedprice") / (F.lit(2000.0) * F.col("l_quantity")))))})
+    return rounded(got, median_ratio=6, mean_abs_log=6)
+
+
+@query("""SELECT side, node, v FROM (SELECT 'top' AS side, c_custkey AS node, c_acctbal AS v, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer
+UNION ALL SELECT 'bottom', c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal, c_custkey) FROM customer) WHERE k <= 5""")
+def sources_and_sinks(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.col("c_acctbal").alias("v"))
+    return relational.top_and_bottom(c, "v", 5, "node")
+
+
+# --- sampling ----------------------------------------------------------------------
+
+_HASH = "('0x' || substr(md5(CAST({} AS VARCHAR) || '|{}'), 1, 12))::BIGINT / 281474976710656e0"
+
+
+@query(f"""WITH r AS (SELECT o_orderkey, o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) - 1 AS k, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders),
+b AS (SELECT *, CASE WHEN k < n // 4 THEN 0 WHEN k < n // 2 THEN 1 WHEN k < 3 * n // 4 THEN 2 ELSE 3 END AS band, {_HASH.format('o_orderkey', 7)} AS h FROM r),
+q AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, band ORDER BY h, o_orderkey) AS i FROM b),
+s AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY CASE WHEN i > [6, 8, 12, 14][band + 1] THEN 1 ELSE 0 END, h, o_orderkey) AS m FROM q)
+SELECT o_orderkey, CAST(band AS INT) AS band FROM s WHERE m <= 40""")
+def quota_sample(spark, d):
+    return sampling.quota_sample(table(spark, d, "orders"), ["o_orderpriority"], "o_orderkey", "o_totalprice", 40, seed=7).select("o_orderkey", "band")
+
+
+_BOOT = f"""WITH c AS (SELECT DISTINCT c_nationkey AS k, c_nationkey % 5 AS s FROM customer), k AS (SELECT s, k, row_number() OVER (PARTITION BY s ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY s) AS n FROM c),
+w AS (SELECT s, i, n, unnest(range(20)) AS replicate FROM k),
+h AS (SELECT s, replicate, CAST(floor(n * {_HASH.format("s AS VARCHAR) || '|' || CAST(i AS VARCHAR) || '|' || CAST(replicate", 3)}) AS BIGINT) AS i, count(*) AS m FROM w GROUP BY ALL)"""
+
+
+@query(_BOOT + " SELECT replicate, CAST(sum(m) AS BIGINT) AS drawn, round(sum(m * t), 2) AS total FROM h JOIN k USING (s, i) JOIN (SELECT c_nationkey AS k, sum(c_acctbal) AS t FROM customer GROUP BY 1) USING (k) GROUP BY ALL")
+def cluster_bootstrap(spark, d):
+    c = table(spark, d, "customer").withColumn("s", F.col("c_nationkey") % 5)
+    m = sampling.bootstrap_multiplicities(c, ["s"], "c_nationkey", 20, seed=3)
+    t = c.groupBy("c_nationkey").agg(F.sum("c_acctbal").alias("t"))
+    return rounded(m.join(t, "c_nationkey").groupBy("replicate").agg(F.sum("multiplicity").alias("drawn"), F.sum(F.col("multiplicity") * F.col("t")).alias("total")), total=2)
+
+
+@query(f"""SELECT draw, min(c_custkey) AS c_custkey FROM (SELECT CAST(range AS BIGINT) AS draw, {_HASH.format('range', 11)} AS u FROM range(200)) JOIN (SELECT c_custkey, CAST(sum(w) OVER (ORDER BY c_custkey) AS DOUBLE) AS cum, CAST(sum(w) OVER () AS DOUBLE) AS total FROM (SELECT c_custkey, c_custkey % 10 AS w FROM customer)) ON cum > u * total GROUP BY draw""")
+def weighted_draws(spark, d):
+    c = table(spark, d, "customer").withColumn("w", (F.col("c_custkey") % 10).cast("double"))
+    return sampling.draw_weighted(c, "c_custkey", "w", 200, seed=11)
+
+
+@query("""SELECT * FROM (VALUES (0, 0), (0, 1), (0, 2), (0, 3), (1, 1), (1, 2), (1, 3), (2, 2), (2, 3)) g(i, j), LATERAL (SELECT round(sum([1e0, l_quantity, l_tax + 0e0][i + 1] * [1e0, l_quantity, l_tax + 0e0, l_discount + 0e0][j + 1] * l_linenumber), 3) AS value FROM lineitem)""")
+def normal_equations(spark, d):
+    li = table(spark, d, "lineitem").withColumn("one", F.lit(1.0))
+    return rounded(weighted.normal_equations(li, ["one", "l_quantity", "l_tax"], ["l_discount"], F.col("l_linenumber")), value=3)
+
+
+# --- semi-structured, text, space ---------------------------------------------------
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS INT)) AS BIGINT) AS total, CAST(max(CAST(json_extract_string(props, '$.k') AS INT)) AS INT) AS top FROM events GROUP BY ALL")
+def json_props(spark, d):
+    k = F.from_json("props", "k int")["k"]
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("total"), F.max(k).alias("top"))
+
+
+@query("""SELECT label, i // 8 AS a, i % 8 AS b, round(sum(v), 6) AS total FROM (SELECT label, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY ALL""")
+def array_decode(spark, d):
+    c = relational.jsonstat_cells(F.transform("embedding", lambda x: x.cast("double")), [8, 8])
+    e = table(spark, d, "embeddings").select("label", F.explode(c).alias("c"))
+    return rounded(e.groupBy("label", F.col("c.index")[0].cast("long").alias("a"), F.col("c.index")[1].cast("long").alias("b")).agg(F.sum("c.value").alias("total")), total=6)
+
+
+_POINTS = "p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
+
+
+def _points(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+
+
+@query(f"""WITH {_POINTS}, j AS (SELECT a.vec_id, b.vec_id AS near, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM p a JOIN p b ON a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0)
+SELECT q.vec_id, n.near, n.distance FROM (SELECT vec_id FROM p WHERE vec_id % 5 = 0) q LEFT JOIN (SELECT vec_id, arg_min(near, struct_pack(a := dist, b := near)) AS near, round(min(dist), 9) AS distance FROM j WHERE dist <= 0.05e0 GROUP BY ALL) n ON q.vec_id = n.vec_id""")
+def knn(spark, d):
+    p = _points(spark, d)
+    right = p.where("vec_id % 5 <> 0").withColumnRenamed("vec_id", "near")
+    return rounded(spatial.nearest(p.where("vec_id % 5 = 0"), right, "vec_id", "near", 0.05), distance=9)
+
+
+@query(f"WITH {_POINTS} SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 9) AS distance FROM p a JOIN p b ON a.vec_id < b.vec_id WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.01e0")
+def points_within(spark, d):
+    return rounded(spatial.pairs_within(_points(spark, d), "vec_id", 0.01), distance=9)
+
+
+@query(f"""WITH RECURSIVE {_POINTS}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM p a JOIN p b ON a.vec_id <> b.vec_id WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.004e0),
+w AS (SELECT vec_id AS s, vec_id AS n FROM p UNION SELECT w.s, e.b FROM w JOIN e ON w.n = e.a) SELECT s AS vec_id, min(n) AS cluster FROM w GROUP BY s""")
+def components(spark, d):
+    return matching.clusters(_points(spark, d), "vec_id", 0.004, cut=sinks.cut_lineage)
+
+
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS u, (n_nationkey + 1) % 25 AS v, 1e0 + n_nationkey % 4 AS c FROM nation UNION ALL SELECT n_nationkey, (n_nationkey + 7) % 25, 9e0 FROM nation),
+w AS (SELECT u AS source, u AS node, 0e0 AS dist, 0 AS k FROM (SELECT DISTINCT u FROM e WHERE u < 5) UNION ALL SELECT source, node, min(dist), k FROM (SELECT source, v AS node, dist + c AS dist, k + 1 AS k FROM w JOIN e ON node = u WHERE k < 6) GROUP BY source, node, k)
+SELECT source, node, min(dist) AS dist FROM w GROUP BY ALL""")
+def shortest_path(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("u"))
+    e = n.select("u", ((F.col("u") + 1) % 25).alias("v"), (F.lit(1.0) + F.col("u") % 4).alias("cost")).unionByName(n.select("u", ((F.col("u") + 7) % 25).alias("v"), F.lit(9.0).alias("cost")))
+    return graph.hops_within(e, n.where("u < 5").withColumnRenamed("u", "source"), 6)
+
+
+def routed_pairs(spark, d):
+    """Shortest paths with their links, between nations over a ring with chords."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("u"))
+    e = n.select("u", ((F.col("u") + 1) % 25).alias("v"), (F.lit(1.0) + F.col("u") % 4).alias("cost"), F.col("u").alias("link_id")).unionByName(n.select("u", ((F.col("u") + 7) % 25).alias("v"), F.lit(9.0).alias("cost"), (F.col("u") + 100).alias("link_id")))
+    return e, flows.admissible_pairs(n.select(F.col("u").alias("node"), F.lit(False).alias("external")))
+
+
+@query()
+def path_incidence(spark, d):
+    e, pairs = routed_pairs(spark, d)
+    return rounded(graph.random_path_incidence(e, pairs, passes=10), dist=6, weight=6)
+
+
+@query()
+def dijkstra_paths(spark, d):
+    return graph.shortest_paths(*routed_pairs(spark, d))
+
+
+@query("""SELECT CASE WHEN regexp_matches(p_name, 'ring|bolt') THEN 'hardware' WHEN regexp_matches(p_name, '^(red|blue)') THEN 'coloured' WHEN regexp_matches(p_name, 'gear') THEN 'gears' END AS kind, count(*) AS n FROM part GROUP BY ALL""")
+def regex_first_match(spark, d):
+    kind = domain.first_match(F.col("p_name"), [("hardware", "ring|bolt"), ("coloured", "^(red|blue)"), ("gears", "gear")])
+    return table(spark, d, "part").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH l AS (SELECT DISTINCT p_brand, p_name FROM part WHERE p_size < 10), q AS (SELECT DISTINCT p_brand, p_name AS name FROM part WHERE p_size >= 40),
+s AS (SELECT l.p_brand, p_name, name, len(list_intersect(string_split(p_name, ' '), string_split(name, ' '))) / CAST(len(list_distinct(list_concat(string_split(p_name, ' '), string_split(name, ' ')))) AS DOUBLE) AS score FROM l JOIN q ON l.p_brand = q.p_brand),
+b AS (SELECT p_brand, p_name, arg_max(name, struct_pack(a := score, b := name)) AS matched, max(score) AS score FROM s WHERE score >= 0.3e0 GROUP BY ALL)
+SELECT l.p_brand, l.p_name, matched, round(score, 6) AS score FROM l LEFT JOIN b ON l.p_brand = b.p_brand AND l.p_name = b.p_name""")
+def fuzzy_block(spark, d):
+    p = table(spark, d, "part")
+    left = p.where("p_size < 10").select("p_brand", "p_name").distinct()
+    return rounded(matching.fuzzy_join(left, p.where("p_size >= 40").select("p_brand", F.col("p_name").alias("name")), "p_brand", "p_name", "name", 0.3), score=6)
+
+
+@query()
+def fuzzy_similarity(spark, d):
+    p = table(spark, d, "part").select("p_brand", "p_name").distinct()
+    q = p.select("p_brand", F.col("p_name").alias("other"))
+    return p.join(q, "p_brand").where("p_name < other").select("p_brand", "p_name", "other", r(matching.similarity(F.col("p_name"), F.col("other"))).alias("similarity"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 3 THEN 'override' ELSE s_name END AS s_name, CASE WHEN s_suppkey % 10 = 3 AND s_suppkey % 20 = 3 THEN 0e0 ELSE s_acctbal END AS s_acctbal FROM supplier WHERE s_suppkey % 10 <> 4
+UNION ALL SELECT s_suppkey, 'patched', 1e0 FROM supplier WHERE s_suppkey % 10 = 4""")
+def upsert_override(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    manual = s.where("s_suppkey % 10 = 3").select("s_suppkey", F.lit("override").alias("s_name"), F.when(F.col("s_suppkey") % 20 == 3, F.lit(0.0)).alias("s_acctbal"))
+    patch = s.where("s_suppkey % 10 = 4").select("s_suppkey", F.lit("patched").alias("s_name"), F.lit(1.0).alias("s_acctbal"))
+    return relational.upsert(relational.override(s, manual, ["s_suppkey"], ["s_name", "s_acctbal"]), patch, ["s_suppkey"])
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 2e0 ELSE c_acctbal END AS v FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 4 = 0""")
+def merge_right_wins(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("v"))
+    return relational.merge_right_wins(c.where("c_custkey % 3 = 0"), c.where("c_custkey % 4 = 0").withColumn("v", F.lit(2.0)), "c_custkey", "v")
+
+
+@query("SELECT user_id, event_type, arg_max(value, struct_pack(a := ts, b := event_id)) AS last_value, arg_min(value, struct_pack(a := ts, b := event_id)) AS first_value FROM events GROUP BY ALL")
+def latest_per_key(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    order = [F.col("ts"), F.col("event_id")]
+    last = relational.last_per_key(e, ["user_id", "event_type"], order).select("user_id", "event_type", F.col("value").alias("last_value"))
+    return last.join(relational.first_per_key(e, ["user_id", "event_type"], order).select("user_id", "event_type", F.col("value").alias("first_value")), ["user_id", "event_type"])
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 0 AND (user_id, event_type) NOT IN (SELECT user_id, event_type FROM events WHERE event_id % 2 = 1 AND value > 50)")
+def pending_work(spark, d):
+    e = table(spark, d, "events")
+    return relational.pending(e.where("event_id % 2 = 0").select("user_id", "event_type").distinct(), e.where("event_id % 2 = 1 and value > 50"), ["user_id", "event_type"])
+
+
+@query("""SELECT event_id, (SELECT max(f.event_id) FROM events f WHERE f.user_id = e.user_id AND f.event_type = 'view' AND f.ts <= e.ts AND f.ts >= e.ts - INTERVAL 3600 SECOND) AS fix FROM events e WHERE event_type = 'purchase'""")
+def recent_fix(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
+    fixes = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("fix_ts"), F.col("event_id").alias("fix_id"))
+    got = observe.recent_fix(e.where("event_type = 'purchase'"), fixes, "user_id", "ts", "fix_ts", 3600.0)
+    return got.select("event_id", F.col("fix.fix_id").alias("fix"))
+
+
+@query("""SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS slot, CAST(greatest(CAST(isodow(ts) - 5 AS INT), 0) AS INT) AS day_type, CAST(hour(ts) AS INT) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def stream_hourly(spark, d):
+    static = table(spark, d, "events")
+    stream = streaming.read_events(spark, f"{d}/events.parquet*", static.schema).withColumn("ts", ts("ts"))
+    out = streaming.hourly(streaming.dedupe(stream, "ts", ["event_id"], "40 days"), "ts", ["event_type"], F.col("value"), None)
+    got = streaming.run_to_path(out, sinks.shared_folder(spark, "hourly"), sinks.shared_folder(spark, "progress"))
+    return rounded(got.withColumn("slot", F.date_format("slot", "yyyy-MM-dd HH:mm")), total=4)
+
+
+@query("""SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM
+(SELECT user_id, ts, event_id, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS b FROM events)) GROUP BY user_id, g""")
+def session_windows(spark, d):
+    s = streaming.sessions(table(spark, d, "events").withColumn("ts", ts("ts")), "ts", ["user_id"], "6 hours")
+    return s.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+_LL = "(SELECT c_custkey, 51e0 + c_custkey % 500 / 100e0 AS lat1, -10e0 + c_custkey % 300 / 100e0 AS lon1, 52e0 + c_custkey % 370 / 100e0 AS lat2, -9e0 + c_custkey % 410 / 100e0 AS lon2 FROM customer)"
+
+
+def _coords(spark, d):
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select("c_custkey", *((F.lit(a) + k % m / F.lit(100.0)).alias(n) for n, a, m in (("lat1", 51.0, 500), ("lon1", -10.0, 300), ("lat2", 52.0, 370), ("lon2", -9.0, 410))))
+
+
+@query(f"""SELECT c_custkey, round(2e0 * 6371000e0 * asin(least(1e0, sqrt(pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)))), 4) AS metres,
+round(((degrees(atan2(sin(radians(lon2 - lon1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1)))) + 360e0) % 360e0), 6) AS bearing FROM {_LL}""")
+def haversine_pairs(spark, d):
+    c = [F.col(x) for x in ("lat1", "lon1", "lat2", "lon2")]
+    return _coords(spark, d).select("c_custkey", r(scalar.haversine_m(*c), 4).alias("metres"), r(scalar.bearing_deg(*c)).alias("bearing"))
+
+
+@query()
+def irish_grid(spark, d):
+    g = spatial.to_itm(F.col("lat1"), F.col("lon1"))
+    return _coords(spark, d).select("c_custkey", "lat1", "lon1", r(g["x"], 3).alias("x"), r(g["y"], 3).alias("y"))
+
+
+@query("""SELECT c_custkey, CASE WHEN x + y < 1 THEN 'triangle' WHEN x >= 1 THEN 'square' END AS polygon FROM (SELECT c_custkey, 0.001e0 + c_custkey % 199 / 100e0 AS x, 0.0007e0 + c_custkey % 97 / 100e0 AS y FROM customer) WHERE x + y < 1 OR x >= 1""")
+def polygon_join(spark, d):
+    k = F.col("c_custkey")
+    p = table(spark, d, "customer").select("c_custkey", (F.lit(0.001) + k % 199 / F.lit(100.0)).alias("x"), (F.lit(0.0007) + k % 97 / F.lit(100.0)).alias("y"))
+    ring = lambda *pts: F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in pts))
+    polys = spark.range(1).select(F.explode(F.array(F.struct(F.lit("triangle").alias("polygon"), ring((0, 0), (1, 0), (0, 1)).alias("ring")), F.struct(F.lit("square").alias("polygon"), ring((1, 0), (2, 0), (2, 1), (1, 1)).alias("ring")))).alias("p")).select("p.*")
+    return spatial.points_in_polygons(p, polys, "c_custkey", "polygon", 0.5)
+
+
+@query("""SELECT p_partkey, round(CASE WHEN p_size % 7 = 0 THEN 0e0 WHEN p_size % 5 = 0 THEN CASE WHEN p_size > 25 THEN p_size * 10 ELSE p_retailprice * (p_size % 4 + CASE WHEN p_size % 4 = 0 THEN 1 ELSE 0 END) / 30e0 END
+WHEN p_size % 3 = 0 AND p_retailprice / p_size BETWEEN 8 AND 80 THEN CAST(p_size AS DOUBLE) WHEN p_size % 2 = 0 THEN p_retailprice / 13e0 ELSE p_retailprice / 30e0 END, 6) AS spaces FROM part""")
+def parking_spaces(spark, d):
+    s = F.col("p_size")
+    tags = F.create_map(
+        F.lit("access"), F.when(s % 7 == 0, "private").otherwise("yes"),
+        F.lit("parking"), F.when(s % 5 == 0, "multi-storey").when(s % 2 == 0, "lane").otherwise("surface"),
+        F.lit("capacity"), F.when((s % 5 == 0) & (s > 25), (s * 10).cast("string")).when((s % 5 != 0) & (s % 3 == 0), s.cast("string")),
+        F.lit("building:levels"), (s % 4).cast("string"),
+    )
+    return table(spark, d, "part").select("p_partkey", r(domain.parking_spaces(tags, F.col("p_retailprice"))).alias("spaces"))
+
+
+@query("""WITH n AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'St Mary Primary' WHEN 1 THEN 'Royal High School' WHEN 2 THEN 'Gaelscoil na Mara' WHEN 3 THEN 'Community College' ELSE 'The Rectory' END AS name, CASE WHEN p_size = 1 THEN 'special' END AS tag FROM part)
+SELECT p_partkey, CASE WHEN tag = 'special' THEN 'sen' WHEN p_partkey % 5 IN (0, 2) THEN 'primary' WHEN p_partkey % 5 IN (1, 3) THEN 'secondary' ELSE 'unknown' END AS class, CAST(CASE WHEN tag = 'special' THEN 80 WHEN p_partkey % 5 IN (1, 3) THEN 820 ELSE 210 END AS INT) AS pupils FROM n""")
+def school_classes(spark, d):
+    k = F.col("p_partkey") % 5
+    name = F.when(k == 0, "St Mary Primary").when(k == 1, "Royal High School").when(k == 2, "Gaelscoil na Mara").when(k == 3, "Community College").otherwise("The Rectory")
+    tag = F.when(F.col("p_size") == 1, "special")
+    return table(spark, d, "part").select("p_partkey", domain.school_class(tag, name).alias("class"), domain.school_enrolment(tag, name, F.lit("NI")).alias("pupils"))
+
+
+@query("""WITH b AS (SELECT p_partkey, p_size, p_size * 1.609344e0 / 1.609344e0 AS mph, p_size % 10 = 0 AS bare FROM part),
+c AS (SELECT *, CASE WHEN bare THEN 'untagged' WHEN abs(mph - 20) <= 3 THEN '20' WHEN abs(mph - 30) <= 3 THEN '30' WHEN abs(mph - 40) <= 3 THEN '40' WHEN abs(mph - 50) <= 3 THEN '50' ELSE 'other' END AS band FROM b)
+SELECT p_partkey, band, round(CASE WHEN band IN ('untagged', 'other') THEN 55e0 ELSE TRY_CAST(band AS DOUBLE) * 1.609344e0 * 0.8e0 END, 6) AS kmh FROM c""")
+def road_buckets(spark, d):
+    tags = F.create_map(F.lit("maxspeed"), F.when(F.col("p_size") % 10 != 0, F.concat(F.col("p_size").cast("string"), F.lit(" mph"))))
+    b = table(spark, d, "part").select("p_partkey", domain.band_of_tags(tags).alias("band"))
+    return b.select("p_partkey", "band", r(domain.base_kmh(F.lit("secondary"), F.col("band"))).alias("kmh"))
+
+
+@query("SELECT r_name, count(*) AS nations, sum(len(n_name)) FILTER (n_nationkey % 2 = 0)::BIGINT AS letters FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+def region_summary(spark, d):
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.groupBy("r_name").agg(F.count("*").alias("nations"), F.sum(F.when(F.col("n_nationkey") % 2 == 0, F.length("n_name"))).alias("letters"))
