@@ -64,7 +64,8 @@ def ring_centroid(ring: Column) -> Column:
     nxt = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
     parts = F.zip_with(ring, nxt, lambda p, q: F.struct((p["x"] * q["y"] - q["x"] * p["y"]).alias("c"), (p["x"] + q["x"]).alias("x"), (p["y"] + q["y"]).alias("y")))
     total = F.aggregate(parts, F.lit(0.0), lambda a, e: a + e["c"])
-    sx, sy = (F.aggregate(parts, F.lit(0.0), lambda a, e, k=k: a + e[k] * e["c"]) for k in "xy")
+    moment = lambda k: F.aggregate(parts, F.lit(0.0), lambda a, e: a + e[k] * e["c"])
+    sx, sy = moment("x"), moment("y")
     mean = lambda k: F.aggregate(ring, F.lit(0.0), lambda a, p: a + p[k]) / F.size(ring)
     return F.struct(F.when(total != 0, sx / (total * 3)).otherwise(mean("x")).alias("x"), F.when(total != 0, sy / (total * 3)).otherwise(mean("y")).alias("y"))
 
