@@ -4,9 +4,11 @@ The test items are indexed: a posting list for each word, in blocks with their l
 impact. An impact is the word's BM25 weight in the item divided by the item's own score
 (the score of a passage that holds all its words), so one threshold serves short and long
 items. Every document is cut into passages of twice the longest item's words that overlap
-by half, so any copy of an item lies whole in one passage. Each passage is a query: all
-items that reach the threshold are retrieved by block-max WAND, after the sum of its
-words' largest impacts has shown that any can. Then the item's question and its answer
+by half, so any copy of an item lies whole in one passage. Each passage is a query. Items
+also lie in blocks of their own, and for all passages of a document at once the sum of
+their words' largest impacts in each block is taken; where no block can reach the
+threshold, the query ends there. For the others block-max WAND retrieves all items that
+reach it. Then the item's question and its answer
 (its last line, if it has more than one) are looked for: each must have at least
 ``OVERLAP`` of its five-word shingles in the passage.
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import as_batches, bounded_batches, fresh
+from .runtime import as_batches, bounded_batches, fresh, utf8
 
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that a passage must reach.
@@ -38,17 +40,30 @@ THRESHOLD = 0.6
 SHINGLE = 5
 OVERLAP = 0.8
 BLOCK = 64
-#: Characters of test items in one index.
-INDEX_CHARS = 32_000_000
-
-_WORD = re.compile(r"\w+")
-
-
-def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
-
-
-def shingles(w: list[str]) -> set[tuple[str, ...]]:
+#: Characters of test items in one index, and blocks of its items, at most.
+INDEX_CHARS = 1_000_000
+ITEM_BLOCKS = 256
+ITEM_BLOCK = 4
+
+#: ASCII characters other than letters, digits and the underscore, as blanks.
+_BLANKS = bytes(c if c >= 128 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
+#: In UTF-8: Latin-1 signs, and general punctuation.
+_SIGNS = re.compile(rb"\xc2[\x80-\xbf]|\xe2[\x80\x81][\x80-\xbf]")
+
+
+def words(text: str | bytes | None) -> list[bytes]:
+    """Lower-cased words as UTF-8, without ASCII, Latin-1 and general punctuation."""
+    b = text.encode("utf-8", "replace") if isinstance(text, str) else text or b""
+    if b.isascii():
+        b = b.lower()
+    else:
+        b = b.decode("utf-8", "replace").lower().encode()
+        if b"\xc2" in b or b"\xe2" in b:
+            b = _SIGNS.sub(b" ", b)
+    return b.translate(_BLANKS).split()
+
+
+def shingles(w: list[bytes]) -> set[tuple[bytes, ...]]:
     return {tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)} if len(w) >= SHINGLE else {tuple(w)} if w else set()
 
 
@@ -81,6 +96,10 @@ class Index:
                 self.impacts[self.vocabulary[t]].append(x / own)
         self.block_max = [[max(x[i : i + block]) for i in range(0, len(x), block)] for x in self.impacts]
         self.bound = np.array([max(x) for x in self.impacts] or [0.0])
+        size = max(ITEM_BLOCK, math.ceil(len(kept) / ITEM_BLOCKS))
+        self.by_block = np.zeros((len(df), math.ceil(len(kept) / size)), np.float32)
+        for t, (items_, impacts) in enumerate(zip(self.items, self.impacts)):
+            np.maximum.at(self.by_block[t], np.array(items_) // size, np.array(impacts, np.float32))
 
     def retrieve(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """(position of the item, score) of all items whose score reaches ``threshold``, by block-max WAND."""
@@ -123,35 +142,47 @@ class Index:
             live = [x for x in live if x[0] < end]
         return found
 
-    def leaks(self, text: str | None, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> dict[int, tuple[float, float, float]]:
+    def leaks(self, text: str | bytes | None, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> dict[int, tuple[float, float, float]]:
         """For each item that the text holds: score, question overlap and answer overlap of its best passage."""
         out: dict[int, tuple[float, float, float]] = {}
         w = words(text)
         if not w or not self.ids:
             return out
-        ids = np.fromiter(map(self.vocabulary.get, w, repeat(-1)), np.int32, len(w))
+        ids = np.fromiter(map(self.vocabulary.get, w, repeat(-1)), np.int64, len(w))
         known = np.flatnonzero(ids >= 0)
         if not len(known):
             return out
         stride = max(self.longest, 32)
-        gain = np.concatenate(([0.0], np.cumsum(self.bound[ids[known]])))
-        for at in range(0, max(1, len(w) - stride), stride):
-            lo, hi = np.searchsorted(known, (at, at + 2 * stride))
-            if gain[hi] - gain[lo] < threshold - 1e-6:
-                continue
-            terms = np.unique(ids[known[lo:hi]])
-            if self.bound[terms].sum() < threshold - 1e-6:
-                continue
-            hits = self.retrieve(terms.tolist(), threshold)
+        count = max(1, math.ceil((len(w) - stride) / stride))
+        # A word lies in the passage that begins in its stride and in the one before.
+        second, n_terms = known // stride, len(self.vocabulary)
+        key = np.concatenate((second * n_terms, (second - 1) * n_terms)) + np.tile(ids[known], 2)
+        key = key[(key >= 0) & (key < count * n_terms)]
+        key.sort()
+        key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
+        passage = key // n_terms
+        terms = key - passage * n_terms
+        cuts = np.searchsorted(passage, np.arange(0, count, 1024))  # a long text's passages, some at a time
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(key))):
+            if lo < hi:
+                self._query(w, passage[lo:hi], terms[lo:hi], stride, threshold, overlap, out)
+        return out
+
+    def _query(self, w, passage, terms, stride, threshold, overlap, out) -> None:
+        starts = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
+        reach = np.add.reduceat(self.by_block[terms], starts, axis=0).max(axis=1)
+        ends = np.append(starts[1:], len(terms))
+        for k in np.flatnonzero(reach >= threshold - 1e-4):
+            hits = self.retrieve(terms[starts[k] : ends[k]].tolist(), threshold)
             if not hits:
                 continue
-            passage = w[at : at + 2 * stride]
-            held = shingles(passage)
+            at = int(passage[starts[k]]) * stride
+            own = w[at : at + 2 * stride]
+            held = shingles(own)
             for item, score in hits:
-                q, a = (self._overlap(part, n, held, passage) for part, n in zip(self.parts[item], self.short[item]))
+                q, a = (self._overlap(part, n, held, own) for part, n in zip(self.parts[item], self.short[item]))
                 if q >= overlap and a >= overlap and (score, q, a) > out.get(self.ids[item], (0.0, 0.0, 0.0)):
                     out[self.ids[item]] = (float(score), q, a)
-        return out
 
     @staticmethod
     def _overlap(part: set, n: int, held: set, passage: list[str]) -> float:
@@ -180,7 +211,7 @@ def find_leaks(docs: DataFrame, indexes: list[Index], key: str = "doc_id", text:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    src = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    src = docs.select(F.col(key).cast("long").alias("key"), utf8(text).alias("text"))
     schema = pa.schema([("key", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
     out = None
     for index in indexes:
@@ -219,5 +250,5 @@ def drop_contaminated(docs: DataFrame, indexes: list[Index], text: str = "text",
                 yield pa.RecordBatch.from_arrays(kept.columns[:n], names=b.schema.names[:n])
 
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields])
-        docs = docs.withColumn(t, F.col(text).cast("string")).mapInArrow(run, schema)
+        docs = docs.withColumn(t, utf8(text)).mapInArrow(run, schema)
     return docs

@@ -38,7 +38,7 @@ def test_leaks_against_brute_force(spark):
     docs = spark.read.parquet(f"{ROOT}/documents.parquet")
     bench = spark.read.parquet(f"{ROOT}/benchmark.parquet")
     got = {(r["key"], r["item_id"]) for r in decontam.find_leaks(docs, decontam.build_indexes(bench)).collect()}
-    flat = lambda t: f" {' '.join(decontam.words(t))} "
+    flat = lambda t: b" %s " % b" ".join(decontam.words(t))
     test = [(r["item_id"], flat(r["text"])) for r in bench.collect()]
     exact = {(r["doc_id"], i) for r in docs.collect() for i, t in test if t in flat(r["text"])}
     assert exact and got >= exact
