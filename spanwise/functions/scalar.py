@@ -186,3 +186,20 @@ def slot_hash(*keys: Column, seed: int = 0) -> Column:
 def content_signature(*columns: Column) -> Column:
     """SHA-1 of a row; null and empty differ."""
     return F.sha1(F.concat_ws("\x1f", *(F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns)))
+
+
+# --- curves ----------------------------------------------------------------------
+
+
+def interpolate_loglog(x: Column, xs: Sequence[float], ys: Sequence[float]) -> Column:
+    """Log-log interpolation between given points, constant beyond the ends."""
+    out = F.lit(float(ys[-1]))
+    for i in range(len(xs) - 2, -1, -1):
+        a, b, p, q = (F.log(F.lit(float(v))) for v in (xs[i], xs[i + 1], ys[i], ys[i + 1]))
+        out = F.when(x < float(xs[i + 1]), F.exp(p + (q - p) * (F.log(x) - a) / (b - a))).otherwise(out)
+    return F.when(x <= float(xs[0]), F.lit(float(ys[0]))).otherwise(out)
+
+
+def tilted(rate: Column, place: Column, theta: Column) -> Column:
+    """A rate tilted geometrically along a place; normalise afterwards to keep the total."""
+    return rate * F.exp(theta * place)

@@ -198,3 +198,72 @@ def articulation_points(edges: list[tuple[int, int]]) -> set[int]:
         if kids > 1:
             found.add(root)
     return found
+
+
+def edit(nodes: DataFrame, edges: DataFrame, drop: DataFrame | None = None, overrides: DataFrame | None = None, extra: DataFrame | None = None, node: str = "node", u: str = "u", v: str = "v") -> tuple[DataFrame, DataFrame]:
+    """A graph without the nodes to drop and their edges, with edge columns overridden by (u, v), and with extra edges."""
+    columns = edges.columns
+    if drop is not None:
+        nodes = nodes.join(drop.select(node), node, "left_anti")
+        for end in (u, v):
+            edges = edges.join(drop.select(F.col(node).alias(end)), end, "left_anti").select(*columns)
+    if overrides is not None:
+        from .relational import override
+
+        edges = override(edges, overrides, [u, v], [c for c in overrides.columns if c not in (u, v)])
+    if extra is not None:
+        edges = edges.unionByName(extra, allowMissingColumns=True)
+    return nodes, edges
+
+
+def dead_end_edges(edges: DataFrame, absorbed: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+    """Edges to an absorbed terminus, one with a single way in and out, from a node that stays."""
+    d = degrees(edges, u, v).where((F.col("out") <= 1) & (F.col("in") <= 1)).join(absorbed.select("node"), "node", "left_semi").select(F.col("node").alias(v))
+    return edges.join(d, v, "left_semi").join(absorbed.select(F.col("node").alias(u)), u, "left_anti")
+
+
+def regions_behind(edges: DataFrame, gates: DataFrame, protected: DataFrame, cut=None, u: str = "u", v: str = "v") -> DataFrame:
+    """(gate, root, node): for each gate, the components of the graph without it that hold no protected node."""
+    out = None
+    for g in [r["node"] for r in gates.select("node").distinct().orderBy("node").limit(10_000).collect()]:
+        comp = connected_components(edges.where((F.col(u) != g) & (F.col(v) != g)), u, v, cut=cut)
+        held = comp.join(protected.select("node"), "node", "left_semi").select("root").distinct()
+        one = comp.join(held, "root", "left_anti").select(F.lit(g).alias("gate"), "root", "node")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def maximal_regions(regions: DataFrame) -> DataFrame:
+    """Of nested regions (region, node): those inside no larger one; equal ones leave the smallest id."""
+    size = regions.groupBy("region").agg(F.count("*").alias("n"))
+    a = regions.select("node", F.col("region").alias("a"))
+    b = regions.select("node", F.col("region").alias("b"))
+    shared = a.join(b, "node").where("a != b").groupBy("a", "b").agg(F.count("*").alias("k"))
+    j = shared.join(size.select(F.col("region").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("region").alias("b"), F.col("n").alias("nb")), "b")
+    inner = j.where((F.col("k") == F.col("na")) & ((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a"))))).select(F.col("a").alias("region")).distinct()
+    return regions.join(inner, "region", "left_anti")
+
+
+def contract_chains(edges: DataFrame, keep: DataFrame, cut=None, u: str = "u", v: str = "v", length: str = "length") -> DataFrame:
+    """(u, v, length): chains of pass-through nodes (one way in, one out, not kept) as single edges."""
+    d = degrees(edges, u, v)
+    through = d.where((F.col("out") == 1) & (F.col("in") == 1)).join(keep.select("node"), "node", "left_anti").select("node")
+    cut = cut or (lambda df: df.cache())
+    cur, left = cut(edges.select(F.col(u).alias("u"), F.col(v).alias("v"), F.col(length).cast("double").alias("length"))), cut(through)
+    for _ in range(64):
+        # Every other pass-through node goes in a round: those whose hash is lower than their neighbours'.
+        h = lambda c: F.struct(F.xxhash64(c), c)
+        t = left.select("node", F.lit(True).alias("_t"))
+        nb = cur.join(t.select(F.col("node").alias("v")), "v", "left_semi").join(t.select(F.col("node").alias("u"), "_t"), "u", "left_semi")
+        blocked = nb.select(F.when(h(F.col("u")) < h(F.col("v")), F.col("v")).otherwise(F.col("u")).alias("node")).where("u != v").distinct()
+        loops = nb.where("u = v").select(F.col("u").alias("node"))
+        go = cut(left.join(blocked, "node", "left_anti").join(loops, "node", "left_anti"))
+        if go.isEmpty():
+            return cur
+        into = cur.join(go.select(F.col("node").alias("v")), "v", "left_semi").select(F.col("v").alias("m"), F.col("u").alias("a"), F.col("length").alias("l1"))
+        out = cur.join(go.select(F.col("node").alias("u")), "u", "left_semi").select(F.col("u").alias("m"), F.col("v").alias("b"), F.col("length").alias("l2"))
+        merged = into.join(out, "m").select(F.col("a").alias("u"), F.col("b").alias("v"), (F.col("l1") + F.col("l2")).alias("length"))
+        rest = cur.join(go.select(F.col("node").alias("v")), "v", "left_anti").join(go.select(F.col("node").alias("u")), "u", "left_anti")
+        cur = cut(rest.unionByName(merged))
+        left = cut(left.join(go, "node", "left_anti"))
+    return cur

@@ -107,3 +107,9 @@ def map_match(points: DataFrame, edges: DataFrame, session: str = "session_id",
     cost = points.join(edges).groupBy(session, "edge").agg(F.sum(d * d * q).alias("cost"), F.sum(q).alias("q"))
     best = cost.groupBy(session).agg(F.min_by(F.struct("edge", "cost", "q"), F.struct("cost", "edge")).alias("b"))
     return best.select(session, F.col("b.edge").alias("edge"), F.sqrt(F.col("b.cost") / F.col("b.q")).alias("rmse"))
+
+
+def site_readout(sites: DataFrame, link_flows: DataFrame, site: str = "site", links: str = "links") -> DataFrame:
+    """(site, flow): modelled flow summed over each site's list of (u, v) links, 0 for links without any."""
+    one = sites.select(site, F.explode(links).alias("l")).select(site, F.col("l.u").alias("u"), F.col("l.v").alias("v"))
+    return one.join(link_flows.select("u", "v", "flow"), ["u", "v"], "left").groupBy(site).agg(F.sum(F.coalesce("flow", F.lit(0.0))).alias("flow"))

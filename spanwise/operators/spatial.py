@@ -138,3 +138,64 @@ def boundary_edges(edges: DataFrame, inside: DataFrame, u: str = "u", v: str = "
     i = inside.select(F.col("node"), F.lit(True).alias("_in"))
     j = edges.join(i.withColumnsRenamed({"node": u, "_in": "_u"}), u, "left").join(i.withColumnsRenamed({"node": v, "_in": "_v"}), v, "left")
     return j.where(F.col("_u").isNull() != F.col("_v").isNull()).select(*edges.columns)
+
+
+def ring_distance(x: Column, y: Column, ring: Column) -> Column:
+    """Distance of a point to a ring; 0 inside."""
+    nxt = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+    edges = F.zip_with(ring, nxt, lambda p, q: segment_distance(x, y, p["x"], p["y"], q["x"], q["y"]))
+    return F.when(in_ring(x, y, ring), F.lit(0.0)).otherwise(F.array_min(edges))
+
+
+def circle_meets(x: Column, y: Column, radius: Column, ring: Column) -> Column:
+    return ring_distance(x, y, ring) <= radius
+
+
+def sample_in_rings(areas: DataFrame, key: str, n: int, seed: int = 0, ring: str = "ring", tries: int = 12) -> DataFrame:
+    """(key, draw, x, y): up to ``n`` uniform points in each ring, by rejection from its box; draws depend on key and seed alone.
+
+    ``tries`` times as many candidates are drawn as points are wanted; a ring that fills less
+    than that part of its box gets fewer.
+    """
+    from ..functions.scalar import slot_hash
+
+    xs, ys = F.transform(F.col(ring), lambda p: p["x"]), F.transform(F.col(ring), lambda p: p["y"])
+    c = areas.select(key, ring, F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"), F.explode(F.sequence(F.lit(0), F.lit(n * tries - 1))).alias("draw"))
+    u, v = slot_hash(F.col(key), F.col("draw"), F.lit("x"), seed=seed), slot_hash(F.col(key), F.col("draw"), F.lit("y"), seed=seed)
+    p = c.withColumn("x", F.col("x0") + u * (F.col("x1") - F.col("x0"))).withColumn("y", F.col("y0") + v * (F.col("y1") - F.col("y0"))).where(in_ring(F.col("x"), F.col("y"), F.col(ring)))
+    hit = p.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("draw", "x", "y"))), 1, n).alias("s"))
+    return hit.select(key, F.posexplode("s").alias("i", "p")).select(key, F.col("i").alias("draw"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+
+
+def repaired_place(x: Column, y: Column, box: tuple[float, float, float, float] = (-11.0, 51.0, -5.0, 56.0)) -> Column:
+    """(lon, lat) of a pair of columns that may hold degrees, degrees in the wrong order, or grid metres; null if none fits."""
+    west, south, east, north = box
+    ok = lambda a, b: a.between(west, east) & b.between(south, north)
+    place = lambda a, b: F.struct(a.cast("double").alias("lon"), b.cast("double").alias("lat"))
+    grid = x.between(400_000, 800_000) & y.between(400_000, 1_000_000)
+    back = from_itm(x.cast("double"), y.cast("double"))
+    return F.when(ok(x, y), place(x, y)).when(ok(y, x), place(y, x)).when(grid, place(back["lon"], back["lat"]))
+
+
+def from_itm(x: Column, y: Column) -> Column:
+    """(lon, lat) of Irish Transverse Mercator metres: the inverse third-order series."""
+    n = FLATTENING / (2 - FLATTENING)
+    radius, _ = _meridian_coefficients()
+    beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480]
+    delta = [2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15]
+    _, alpha = _meridian_coefficients()
+    k = 2 * math.sqrt(n) / (1 + n)
+    s0 = math.sin(math.radians(ITM["lat0"]))
+    xi0 = math.atan(math.sinh(math.atanh(s0) - k * math.atanh(k * s0)))
+    m0 = xi0 + sum(a * math.sin(2 * j * xi0) for j, a in enumerate(alpha, 1))
+    scale = ITM["scale"] * radius
+    xi, eta = (y - F.lit(ITM["north0"])) / F.lit(scale) + F.lit(m0), (x - F.lit(ITM["east0"])) / F.lit(scale)
+    u, v = xi, eta
+    for j, b in enumerate(beta, 1):
+        u = u - F.lit(b) * F.sin(F.lit(2.0 * j) * xi) * F.cosh(F.lit(2.0 * j) * eta)
+        v = v - F.lit(b) * F.cos(F.lit(2.0 * j) * xi) * F.sinh(F.lit(2.0 * j) * eta)
+    chi = F.asin(F.sin(u) / F.cosh(v))
+    lat = chi
+    for j, d in enumerate(delta, 1):
+        lat = lat + F.lit(d) * F.sin(F.lit(2.0 * j) * chi)
+    return F.struct((F.lit(ITM["lon0"]) + F.degrees(F.atan2(F.sinh(v), F.cos(u)))).alias("lon"), F.degrees(lat).alias("lat"))

@@ -208,3 +208,27 @@ def normal_equations(df: DataFrame, xs: Sequence[str], ys: Sequence[str], w: Col
     cells = [(i, j) for i in range(len(xs)) for j in range(i, len(names))]
     sums = df.agg(*(F.sum(w * F.col(names[i]) * F.col(names[j])).alias(f"c{k}") for k, (i, j) in enumerate(cells)))
     return sums.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{k}").alias("value")) for k, (i, j) in enumerate(cells)))).alias("x")).select("x.*")
+
+
+def trapezoid_normalise(df: DataFrame, x: str, y: str, by: Sequence[str], out: str = "density") -> DataFrame:
+    """A curve scaled to unit area by the trapezoid rule, with ``cdf``, the area up to each point."""
+    w = Window.partitionBy(*by).orderBy(x)
+    step = F.coalesce((F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / F.lit(2.0), F.lit(0.0))
+    areas = df.withColumn("_s", step).withColumn("cdf", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = areas.groupBy(*by).agg(F.sum("_s").alias("_a"))
+    return areas.join(whole, list(by)).withColumn(out, safe_ratio(F.col(y), F.col("_a"))).withColumn("cdf", safe_ratio(F.col("cdf"), F.col("_a"))).drop("_s", "_a")
+
+
+def curve_quantile(df: DataFrame, x: str, by: Sequence[str], p: float) -> DataFrame:
+    """The place at which ``cdf`` reaches ``p``, by linear interpolation."""
+    w = Window.partitionBy(*by).orderBy(x)
+    seg = df.withColumn("_x", F.lag(x).over(w)).withColumn("_c", F.lag("cdf").over(w)).where((F.col("cdf") >= p) & (F.col("_c") < p))
+    return seg.groupBy(*by).agg(F.min(F.col("_x") + (F.col(x) - F.col("_x")) * (F.lit(float(p)) - F.col("_c")) / (F.col("cdf") - F.col("_c"))).alias("quantile"))
+
+
+def weighted_histogram(df: DataFrame, by: Sequence[str], value: Column, weight: Column, edges: Sequence[float]) -> DataFrame:
+    """(by, bin, mass, share) of values in bins whose last one is closed; groups without mass have no rows."""
+    from ..functions.scalar import bin_last_closed
+
+    h = df.select(*by, bin_last_closed(value, edges).alias("bin"), weight.cast("double").alias("w")).where("bin is not null").groupBy(*by, "bin").agg(F.sum("w").alias("mass"))
+    return normalise(h, "mass", by)
