@@ -462,7 +462,7 @@ w AS (SELECT s, i, n, unnest(range(20)) AS replicate FROM k),
 h AS (SELECT s, replicate, CAST(floor(n * {_HASH.format("s AS VARCHAR) || '|' || CAST(i AS VARCHAR) || '|' || CAST(replicate", 3)}) AS BIGINT) AS i, count(*) AS m FROM w GROUP BY ALL)"""
 
 
-@query(_BOOT + " SELECT replicate, CAST(sum(m) AS BIGINT) AS drawn, round(sum(m * t), 2) AS total FROM h JOIN k USING (s, i) JOIN (SELECT c_nationkey AS k, sum(c_acctbal) AS t FROM customer GROUP BY 1) USING (k) GROUP BY ALL")
+@query(_BOOT + " SELECT CAST(replicate AS INT) AS replicate, CAST(sum(m) AS BIGINT) AS drawn, round(sum(m * t), 2) AS total FROM h JOIN k USING (s, i) JOIN (SELECT c_nationkey AS k, sum(c_acctbal) AS t FROM customer GROUP BY 1) USING (k) GROUP BY ALL")
 def cluster_bootstrap(spark, d):
     c = table(spark, d, "customer").withColumn("s", F.col("c_nationkey") % 5)
     m = sampling.bootstrap_multiplicities(c, ["s"], "c_nationkey", 20, seed=3)
