@@ -79,7 +79,7 @@ def test_run_is_the_stages(spark, steps):
 
 
 def test_odd_rows(spark):
-    rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (3, "the house and the garden of the town", None, None, 5), (3, "the house and the garden of the town", None, None, 5), (None, "the man and the sea", "en", "s", 3), (4, "12 34", "en", "s", 5)]
+    rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (3, "the house and the garden of the town", None, None, 5), (3, "the house and the garden of the town", None, None, 5), (None, "the man and the sea", "en", "s", 3), (4, "12 34", "en", "s", 5), (3, "quite another text that shares nothing", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     train = spark.read.parquet(f"{ROOT}/documents.parquet").unionByName(docs)
     kept = stages.by_language(spark, train, ROOT).where("doc_id is null or doc_id in (1, 2, 3, 4)")
@@ -87,7 +87,7 @@ def test_odd_rows(spark):
     for f in (stages.without_boilerplate, stages.without_near_copies, stages.without_benchmark):
         assert f(spark, docs, ROOT).columns == docs.columns and f(spark, docs.limit(0), ROOT).count() == 0
     near = [r["doc_id"] for r in stages.without_near_copies(spark, docs, ROOT).collect()]
-    assert near.count(3) == 1 and near.count(None) == 1 and near.count(1) == 1 and 2 not in near
+    assert near.count(3) == 2 and near.count(None) == 1 and near.count(1) == 1 and 2 not in near
     assert queries.pack_documents(docs).count() == len(rows)
 
 
