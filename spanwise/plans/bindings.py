@@ -692,3 +692,118 @@ def road_buckets(spark, d):
 def region_summary(spark, d):
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return n.groupBy("r_name").agg(F.count("*").alias("nations"), F.sum(F.when(F.col("n_nationkey") % 2 == 0, F.length("n_name"))).alias("letters"))
+
+
+# --- closed forms, curves, networks --------------------------------------------------
+
+_T = "(SELECT p_partkey, CAST(60 + p_partkey % 97 * 60 AS DOUBLE) AS t, p_size FROM part)"
+
+
+@query(f"""SELECT p_partkey, round(exp(-5.6726e0 + 0.9591e0 * ln(t) + 0.02319e0 * ln(t) * ln(t)), 6) AS miles, round(1.04e-3 * pow(t, 1.2955e0), 6) AS miles_power,
+round(exp(-5.6726e0 + 0.9591e0 * ln(t) + 0.02319e0 * ln(t) * ln(t)) * (0.9591e0 + 0.04638e0 * ln(t)) / t, 9) AS slope,
+round(0.6940e0 * (1e0 - exp(-pow(exp(-5.6726e0 + 0.9591e0 * ln(t) + 0.02319e0 * ln(t) * ln(t)) / 1.2867e0, 0.9888e0))), 9) AS commute,
+round(0.3199e0 * (1e0 - exp(-pow(exp(-5.6726e0 + 0.9591e0 * ln(t) + 0.02319e0 * ln(t) * ln(t)) / 1.6968e0, 1.9983e0))), 9) AS tertiary FROM {_T}""")
+def kernel_values(spark, d):
+    t = (F.lit(60) + F.col("p_partkey") % 97 * 60).cast("double")
+    m = kernels.equivalent_miles(t)
+    return table(spark, d, "part").select("p_partkey", r(m).alias("miles"), r(kernels.equivalent_miles_power(t)).alias("miles_power"), r(kernels.equivalent_miles_slope(t), 9).alias("slope"), r(kernels.drive_share(m, "commute"), 9).alias("commute"), r(kernels.drive_share(m, "school_tertiary"), 9).alias("tertiary"))
+
+
+@query(f"""SELECT p_partkey, round(CASE WHEN p_size % 4 = 0 THEN 0e0 ELSE 7.5e0 / (1e0 + exp(-(CASE WHEN a >= 0 THEN 13e0 * 1.075e0 * a / 180e0 - 6.5e0 / 1.075e0 ELSE 13e0 / 1.075e0 * -a / 180e0 - 6.5e0 * 1.075e0 END))) END, 6) AS seconds
+FROM (SELECT p_partkey, p_size, CAST(p_partkey % 361 - 180 AS DOUBLE) AS a FROM part)""")
+def turn_penalties(spark, d):
+    a = (F.col("p_partkey") % 361 - 180).cast("double")
+    return table(spark, d, "part").select("p_partkey", r(kernels.turn_penalty(a, F.when(F.col("p_size") % 4 == 0, 2).otherwise(3), F.lit(False))).alias("seconds"))
+
+
+@query(f"""SELECT p_partkey, round(CASE WHEN t <= 100 THEN 2e0 WHEN t < 1000 THEN exp(ln(2e0) + (ln(20e0) - ln(2e0)) * (ln(t) - ln(100e0)) / (ln(1000e0) - ln(100e0))) WHEN t < 4000 THEN exp(ln(20e0) + (ln(5e0) - ln(20e0)) * (ln(t) - ln(1000e0)) / (ln(4000e0) - ln(1000e0))) ELSE 5e0 END, 6) AS y FROM {_T}""")
+def interpolated(spark, d):
+    t = (F.lit(60) + F.col("p_partkey") % 97 * 60).cast("double")
+    return table(spark, d, "part").select("p_partkey", r(scalar.interpolate_loglog(t, [100, 1000, 4000], [2, 20, 5])).alias("y"))
+
+
+_CURVE = """c AS (SELECT p_type, p_size, count(*) AS y FROM part GROUP BY ALL), s AS (SELECT *, coalesce((p_size - lag(p_size) OVER w) * (y + lag(y) OVER w) / 2e0, 0e0) AS s FROM c WINDOW w AS (PARTITION BY p_type ORDER BY p_size)),
+a AS (SELECT *, sum(s) OVER (PARTITION BY p_type ORDER BY p_size) / sum(s) OVER (PARTITION BY p_type) AS cdf, y / sum(s) OVER (PARTITION BY p_type) AS density FROM s)"""
+
+
+def _curve(spark, d):
+    return weighted.trapezoid_normalise(table(spark, d, "part").groupBy("p_type", "p_size").agg(F.count("*").cast("double").alias("y")), "p_size", "y", ["p_type"])
+
+
+@query(f"WITH {_CURVE} SELECT p_type, p_size, round(density, 9) AS density, round(cdf, 9) AS cdf FROM a")
+def density_curves(spark, d):
+    return rounded(_curve(spark, d).select("p_type", "p_size", "density", "cdf"), density=9, cdf=9)
+
+
+@query(f"WITH {_CURVE}, q AS (SELECT *, lag(p_size) OVER w AS x0, lag(cdf) OVER w AS c0 FROM a WINDOW w AS (PARTITION BY p_type ORDER BY p_size)) SELECT p_type, round(min(x0 + (p_size - x0) * (0.9e0 - c0) / (cdf - c0)), 6) AS quantile FROM q WHERE cdf >= 0.9e0 AND c0 < 0.9e0 GROUP BY ALL")
+def curve_p90(spark, d):
+    return rounded(weighted.curve_quantile(_curve(spark, d), "p_size", ["p_type"], 0.9), quantile=6)
+
+
+@query("""SELECT p_type, bin, round(m, 2) AS mass, round(m / sum(m) OVER (PARTITION BY p_type), 9) AS share
+FROM (SELECT p_type, CAST(CASE WHEN p_size < 10 THEN 0 WHEN p_size < 30 THEN 1 ELSE 2 END AS INT) AS bin, sum(p_retailprice) AS m FROM part GROUP BY ALL)""")
+def time_histogram(spark, d):
+    return rounded(weighted.weighted_histogram(table(spark, d, "part"), ["p_type"], F.col("p_size"), F.col("p_retailprice"), [0, 10, 30, 50]), mass=2, share=9)
+
+
+@query("""SELECT n_name AS site, round(sum(coalesce(f, 0)), 2) AS flow FROM nation JOIN LATERAL (SELECT unnest([n_nationkey, n_nationkey + 20]) AS u) l ON true
+LEFT JOIN (SELECT c_nationkey AS cu, sum(c_acctbal) AS f FROM customer GROUP BY 1) ON cu = u GROUP BY ALL""")
+def site_readout(spark, d):
+    k = F.col("n_nationkey").cast("long")
+    sites = table(spark, d, "nation").select(F.col("n_name").alias("site"), F.array(*(F.struct((k + i).alias("u"), F.lit(0).cast("long").alias("v")) for i in (0, 20))).alias("links"))
+    f = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("u")).agg(F.sum("c_acctbal").alias("flow")).withColumn("v", F.lit(0).cast("long"))
+    return rounded(observe.site_readout(sites, f), flow=2)
+
+
+@query("SELECT l_suppkey AS u, l_partkey AS v FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) WHERE (l_suppkey % 7 = 0) <> (l_partkey % 7 = 0)")
+def boundary_edges(spark, d):
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("u"), F.col("l_partkey").alias("v")).distinct()
+    nodes = e.select(F.col("u").alias("node")).unionByName(e.select(F.col("v").alias("node"))).distinct()
+    return spatial.boundary_edges(e, nodes.where("node % 7 = 0"))
+
+
+@query("""SELECT CAST(CASE WHEN c_nationkey % 5 = 0 THEN 0 ELSE c_nationkey END AS BIGINT) AS node, round(sum(c_acctbal), 2) AS mass, round(sum(c_custkey * w) / sum(w), 6) AS level FROM (SELECT *, CAST(1 + c_custkey % 3 AS DOUBLE) AS w FROM customer) GROUP BY 1""")
+def collapsed_nodes(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("node"), F.col("c_acctbal").alias("mass"), F.col("c_custkey").cast("double").alias("level"), (F.lit(1) + F.col("c_custkey") % 3).cast("double").alias("w"))
+    m = table(spark, d, "nation").where("n_nationkey % 5 = 0").select(F.col("n_nationkey").cast("long").alias("node"), F.lit(0).cast("long").alias("into"))
+    return rounded(graph.collapse(c, m, ["mass"], ["level"], "w"), mass=2, level=6)
+
+
+@query("SELECT node, CAST(sum(o) AS BIGINT) AS \"out\", CAST(sum(i) AS BIGINT) AS \"in\" FROM (SELECT l_suppkey AS node, 1 AS o, 0 AS i FROM lineitem UNION ALL SELECT l_partkey, 0, 1 FROM lineitem) GROUP BY ALL")
+def node_degrees(spark, d):
+    return graph.degrees(table(spark, d, "lineitem"), "l_suppkey", "l_partkey")
+
+
+@query("""SELECT s_suppkey, round(sqrt((sum(x * x * w) - sum(x * w) * sum(x * w) / sum(w)) / sum(w)), 4) AS sd, round(sum(x * w) / sum(w), 6) AS mean, round(sqrt((sum(x * x * w) - sum(x * w) * sum(x * w) / sum(w)) / sum(w)) / (sum(x * w) / sum(w)), 6) AS cv
+FROM (SELECT l_suppkey AS s_suppkey, l_quantity AS x, CAST(l_linenumber AS DOUBLE) AS w FROM lineitem) GROUP BY ALL""")
+def weighted_spread(spark, d):
+    li = table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "s_suppkey")
+    return rounded(weighted.weighted_spread(li, F.col("l_quantity"), F.col("l_linenumber"), ["s_suppkey"]), mean=6, sd=4, cv=6)
+
+
+@query("""SELECT event_type, round(1.4826e0 * median(abs(value - m)), 6) AS sigma FROM events JOIN (SELECT event_type AS e, median(value) AS m FROM events GROUP BY 1) ON event_type = e GROUP BY ALL""")
+def mad_sigma(spark, d):
+    return rounded(weighted.mad_sigma(table(spark, d, "events"), "value", ["event_type"]), sigma=6)
+
+
+@query("""SELECT user_id, CASE greatest(CAST(isodow(ts) - 5 AS INT), 0) WHEN 0 THEN 'Week' WHEN 1 THEN 'Sat' ELSE 'Sun' END || ' ' || lpad(CAST(hour(ts) AS VARCHAR), 2, '0') || '00' AS slot, count(*) AS n FROM events GROUP BY ALL""")
+def slot_labels(spark, d):
+    s = scalar.slot_label(scalar.day_type(F.col("ts")), F.hour("ts"))
+    return table(spark, d, "events").groupBy("user_id", s.alias("slot")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey, CAST(idx AS BIGINT) AS bucket, cls, band FROM (SELECT p_partkey, CAST(p_partkey % 128 AS BIGINT) AS idx,
+['motorway','motorway_link','trunk','trunk_link','primary','primary_link','secondary','secondary_link','tertiary','tertiary_link','unclassified','residential','living_street','service','road','other'][p_partkey % 128 // 8 + 1] AS cls,
+['untagged','20','30','40','50','60','70','other'][p_partkey % 8 + 1] AS band FROM part)""")
+def bucket_codes(spark, d):
+    b = table(spark, d, "part").select("p_partkey", domain.bucket_of_index(F.col("p_partkey") % 128).alias("b")).select("p_partkey", "b.cls", "b.band")
+    return b.select("p_partkey", domain.bucket_index(F.col("cls"), F.col("band")).cast("long").alias("bucket"), "cls", "band")
+
+
+@query("""SELECT c_custkey, x_lon AS lon, y_lat AS lat FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 2 THEN NULL ELSE -10e0 + c_custkey % 300 / 100e0 END AS x_lon, CASE WHEN c_custkey % 3 = 2 THEN NULL ELSE 52e0 + c_custkey % 200 / 100e0 END AS y_lat FROM customer)""")
+def repaired_places(spark, d):
+    k = F.col("c_custkey")
+    lon, lat = F.lit(-10.0) + k % 300 / F.lit(100.0), F.lit(52.0) + k % 200 / F.lit(100.0)
+    x = F.when(k % 3 == 0, lon).when(k % 3 == 1, lat).otherwise(F.lit(7.0))
+    y = F.when(k % 3 == 0, lat).when(k % 3 == 1, lon).otherwise(F.lit(9.0))
+    return table(spark, d, "customer").select("c_custkey", spatial.repaired_place(x, y).alias("p")).select("c_custkey", "p.lon", "p.lat")
