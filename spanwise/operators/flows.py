@@ -31,8 +31,8 @@ def doubly_constrained(od: DataFrame, f: Column, src: str = "src", dst: str = "d
     """``od`` with flows balanced at both ends by ``sweeps`` rounds of scaling, the origins' totals exact.
 
     Attractions are scaled to the productions of origins that reach any. A round is two
-    aggregates. ``cut`` is called on the factors after each round to cut the lineage, for
-    example ``DataFrame.checkpoint``; with it, ``tolerance`` ends the rounds when no factor
+    aggregates. ``cut`` is called on the table of pairs and on the factors after each round to
+    cut the lineage, for example ``DataFrame.checkpoint``; with it, ``tolerance`` ends the rounds when no factor
     changes by more than that part.
     """
     o = od.groupBy(src).agg(F.max(produced).cast("double").alias("O"))
@@ -40,6 +40,9 @@ def doubly_constrained(od: DataFrame, f: Column, src: str = "src", dst: str = "d
     totals = o.agg(F.sum("O").alias("_so")).crossJoin(d.agg(F.sum("A").alias("_sa")))
     d = d.crossJoin(F.broadcast(totals)).select(dst, safe_ratio(F.col("A") * F.col("_so"), F.col("_sa")).alias("D"))
     cells = od.select(src, dst, f.alias("f")).join(o, src).join(d, dst)
+    if cut is not None:
+        cells = cut(cells)
+        d = cells.groupBy(dst).agg(F.first("D").alias("D"))
     b = d.select(dst, F.lit(1.0).alias("b"))
 
     def rows(b: DataFrame) -> DataFrame:

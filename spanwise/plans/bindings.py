@@ -304,7 +304,7 @@ def _furness_sql(k: int) -> str:
 @query(f"WITH {_OD}, {_furness_sql(3)}")
 def gravity_furness3(spark, d):
     od, f = _od(spark, d)
-    return rounded(flows.doubly_constrained(od, f, sweeps=3), flow=6)
+    return rounded(flows.doubly_constrained(od, f, sweeps=3, cut=sinks.cut_lineage), flow=6)
 
 
 
