@@ -94,17 +94,22 @@ def recent_fix(events: DataFrame, fixes: DataFrame, session: str, ts: str, fix_t
     return j.groupBy("_id").agg(F.max_by("_fix", F.col("_t")).alias("fix")).select("_id.*", "fix")
 
 
-def map_match(points: DataFrame, edges: DataFrame, session: str = "session_id", accuracy: str = "accuracy") -> DataFrame:
+def map_match(points: DataFrame, edges: DataFrame, session: str = "session_id", accuracy: str = "accuracy", reach: float = 200.0) -> DataFrame:
     """(session, edge, rmse): of each track, the edge with the least accuracy-weighted squared distance.
 
-    ``points`` has x and y in metres, ``edges`` edge, x1, y1, x2 and y2 near the tracks and
-    is left to the planner to broadcast by its size.
+    ``points`` has x and y in metres, ``edges`` edge, x1, y1, x2 and y2. Edges within
+    ``reach`` of any point of a track, found by grid cells, are compared on all its points;
+    a track without such an edge has no row.
     """
     from .spatial import segment_distance
 
+    cell = lambda c: F.floor(c / F.lit(float(reach))).cast("long")
+    span = lambda a, b: F.sequence(cell(F.least(a, b)) - 1, cell(F.greatest(a, b)) + 1)
+    spread = edges.select("edge", F.explode(span("x1", "x2")).alias("cx"), "y1", "y2").select("edge", "cx", F.explode(span("y1", "y2")).alias("cy"))
+    near = points.select(session, cell(F.col("x")).alias("cx"), cell(F.col("y")).alias("cy")).distinct().join(spread, ["cx", "cy"]).select(session, "edge").distinct()
     q = F.lit(1.0) / (F.col(accuracy) * F.col(accuracy))
     d = segment_distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    cost = points.join(edges).groupBy(session, "edge").agg(F.sum(d * d * q).alias("cost"), F.sum(q).alias("q"))
+    cost = points.join(near.join(edges, "edge"), session).groupBy(session, "edge").agg(F.sum(d * d * q).alias("cost"), F.sum(q).alias("q"))
     best = cost.groupBy(session).agg(F.min_by(F.struct("edge", "cost", "q"), F.struct("cost", "edge")).alias("b"))
     return best.select(session, F.col("b.edge").alias("edge"), F.sqrt(F.col("b.cost") / F.col("b.q")).alias("rmse"))
 

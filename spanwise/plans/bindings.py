@@ -807,3 +807,13 @@ def repaired_places(spark, d):
     x = F.when(k % 3 == 0, lon).when(k % 3 == 1, lat).otherwise(F.lit(7.0))
     y = F.when(k % 3 == 0, lat).when(k % 3 == 1, lon).otherwise(F.lit(9.0))
     return table(spark, d, "customer").select("c_custkey", spatial.repaired_place(x, y).alias("p")).select("c_custkey", "p.lon", "p.lat")
+
+
+@query("""WITH p AS (SELECT user_id, CAST(event_id % 40 AS DOUBLE) AS x, CAST(user_id % 10 AS DOUBLE) AS y, 1e0 + event_id % 3 AS acc FROM events), e AS (SELECT n_nationkey AS edge, n_nationkey * 0.37e0 AS h FROM nation),
+c AS (SELECT user_id, edge, sum((y - h) * (y - h) / (acc * acc)) AS cost, sum(1e0 / (acc * acc)) AS q FROM p, e GROUP BY ALL)
+SELECT user_id, arg_min(edge, struct_pack(a := round(cost, 9), b := edge)) AS edge, round(sqrt(min(cost) / any_value(q)), 6) AS rmse FROM c GROUP BY user_id""")
+def map_match(spark, d):
+    p = table(spark, d, "events").select("user_id", (F.col("event_id") % 40).cast("double").alias("x"), (F.col("user_id") % 10).cast("double").alias("y"), (F.lit(1.0) + F.col("event_id") % 3).alias("accuracy"))
+    h = F.col("n_nationkey") * F.lit(0.37)
+    e = table(spark, d, "nation").select(F.col("n_nationkey").alias("edge"), F.lit(0.0).alias("x1"), h.alias("y1"), F.lit(39.0).alias("x2"), h.alias("y2"))
+    return rounded(observe.map_match(p, e, "user_id", "accuracy", 50.0), rmse=6)
