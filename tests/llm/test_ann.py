@@ -31,7 +31,7 @@ def test_blocks_and_batches_agree(spark):
     v = spark.read.parquet(f"{ROOT}/embeddings.parquet")
     q = v.where("vec_id % 25 = 0")
     a = ann.search(v, q, confidence=0.9999).collect()
-    b = ann.search(v, q, confidence=0.9999, block=50, query_batch=3).collect()
+    b = ann.search(v, q, confidence=0.9999, block=50).collect()
     assert sorted(map(str, a)) == sorted(map(str, b))
 
 
@@ -69,3 +69,18 @@ def test_tree_gives_all_points_in_order():
         left = np.setdiff1d(np.arange(800), seen)
         assert not len(left) or ((pts[left] - q) ** 2).sum(axis=1).min() >= rest - 1e-9
     assert sorted(seen) == list(range(800))
+
+
+def test_regions_leave_out_what_is_far(spark):
+    """Clustered vectors: a query visits few regions and still finds its neighbours."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 16)) * 20
+    x = (centres[np.arange(4000) % 40] + rng.standard_normal((4000, 16)) * 0.3).astype(float)
+    r = ann.Regions(x[:1000], np.arange(1000), 64, 8, 0.9)
+    assert len(r.low) > 32 and max(len(r.reach(i, x[i], 10)[0]) for i in range(100)) < 20
+    assert all(r.of(x[i : i + 1])[0] in r.reach(i, x[i], 10)[0] for i in range(100))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, df.where("vec_id % 100 = 0"), block=100).collect()
+    truth = brute(list(enumerate(x)), [(i, x[i]) for i in range(0, 4000, 100)], 10)
+    hit = sum((r["vec_id"] in [i for _, i in truth[r["query_id"]]]) for r in got)
+    assert len(got) == 400 and hit >= 0.9 * 400

@@ -1,5 +1,6 @@
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -13,10 +14,15 @@ JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.pat
 ODD = ["", "a²b 1½ ª", "I'm you'll  \n\n x  ", "日本語 テスト \x1c\x85   a", "<|endoftext|>  \t\t a_b __ 12,3.4 ’s “q”…", "Ǆ İ ſ ŉ", "  ", "\n", "a\r\nb \r\n  c", " x ", "é é", "'S 'd'll'", "x" * 5000, " ".join(map(str, range(3000)))]
 
 
-def ids(text):
+@lru_cache
+def tokenizer():
     t = Tokenizer.from_file(JSON)
     t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    return t
+
+
+def ids(text):
+    return tokenizer().encode(text, add_special_tokens=False).ids
 
 
 def test_cached_words_give_the_tokenizers_ids(spark):
