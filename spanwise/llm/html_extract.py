@@ -44,10 +44,12 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 JUNK_TAGS = frozenset("aside button canvas datalist dialog footer form head header iframe input label map math menu nav noscript object option script search select style svg template textarea title".split())
 #: Words of class, id and role that mark the same.
 JUNK_WORDS = frozenset(
-    "ad ads adbox adsense adslot adunit advert advertisement advertising adverts alert banner breadcrumb breadcrumbs byline comment commentary commentlist comments consent contentinfo cookie cookies copyright discussion disqus dropdown footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup promo promoted promotion recommended register related replies reply respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar topbar tracking widget widgets".split()
+    "ad ads adbox adsense adslot adunit advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment commentary commentlist comments consent contentinfo cookie cookies copyright discussion disqus dropdown footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup promo promoted promotion recommended register related replies reply respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar topbar tracking widget widgets".split()
 )
 #: Words before a junk word that make it a statement about the layout.
-LAYOUT_WORDS = frozenset(("has", "no", "with", "without"))
+LAYOUT_WORDS = frozenset(("free", "has", "long", "no", "with", "without"))
+#: Of the junk words, those of a heading area, whose headings belong to an article that it lies in.
+HEADER_WORDS = frozenset(("header", "masthead"))
 MAIN_WORDS = frozenset("article articlebody body content entry main post story text".split())
 
 _TOKEN = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*(?:\"|$)|'[^']*(?:'|$))[^>\"']*)*)(?:>|$))", re.S)
@@ -57,17 +59,20 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _DIGITS = re.compile(r"\d+")
 
 
-def _is_junk(tag: str, attrs: dict[str, str]) -> bool:
+def _is_junk(tag: str, attrs: dict[str, str]) -> int:
+    """1 if an element's text is no part of an article, 2 if that is as it is a heading area, else 0."""
     if tag in JUNK_TAGS:
-        return True
+        return 2 if tag == "header" else 1
     if not attrs or tag in ("html", "body", "main", "article"):
-        return False
+        return 0
+    found = set()
     for name in ("class", "id", "role"):
         for value in attrs.get(name, "").split():
             words = [w.lower() for w in _WORD.findall(value)]
-            if value.lower() in JUNK_WORDS or any(w in JUNK_WORDS and not (i and words[i - 1] in LAYOUT_WORDS) for i, w in enumerate(words)):
-                return True
-    return False
+            found.update(w for i, w in enumerate(words) if w in JUNK_WORDS and not (i and words[i - 1] in LAYOUT_WORDS))
+            if value.lower() in JUNK_WORDS:
+                found.add(value.lower())
+    return 0 if not found else 2 if found <= HEADER_WORDS else 1
 
 
 class Page:
@@ -76,7 +81,7 @@ class Page:
     def __init__(self, html: str | None):
         self.parent: list[int] = [-1]
         self.path: list[int] = [0]
-        self.junk: list[bool] = [False]
+        self.junk: list[int] = [0]
         self.bonus: list[bool] = [False]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self._read(html or "")
@@ -156,7 +161,7 @@ class Page:
                 if tag == "br":
                     text(" ")
                 elif tag not in VOID and not m[3].rstrip().endswith("/"):
-                    j = _is_junk(tag, attrs)
+                    j = bool(_is_junk(tag, attrs))
                     inline.append((tag, j))
                     sub += j
                 continue
@@ -181,9 +186,12 @@ class Page:
             up = stack[-1]
             self.parent.append(up)
             self.path.append(xxhash.xxh64_intdigest(f"{self.path[up]:x}>{tag}.{'.'.join(names)}") >> 1)
-            self.junk.append(self.junk[up] and not (tag in HEADINGS and "header" in tags and ("article" in tags or "main" in tags)) or _is_junk(tag, attrs))
+            junk = _is_junk(tag, attrs)
+            if self.junk[up] == 2 and junk != 1:  # in a heading area
+                junk = 0 if tag in HEADINGS and any(self.bonus[e] for e in stack) else 2
+            self.junk.append(1 if self.junk[up] == 1 else junk)
             words = {w.lower() for k in ("class", "id", "role", "itemprop") for w in _WORD.findall(attrs.get(k, ""))} if attrs else set()
-            self.bonus.append(tag in ("article", "main") or bool(words & MAIN_WORDS))
+            self.bonus.append(tag in ("article", "main") or tag not in ("html", "body") and bool(words & MAIN_WORDS))
             stack.append(len(self.parent) - 1)
             tags.append(tag)
             opened[tag] += 1

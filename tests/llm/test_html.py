@@ -37,6 +37,13 @@ def test_odd_pages(page, expected):
     assert text_of(page) == expected
 
 
+def test_heading_areas():
+    """Headings of an article's own heading area stay; a site's do not. A byline elsewhere is text."""
+    page = """<body class="single-post"><div class="site-header"><h1>Site</h1></div><div class="post"><div class="post-header"><h2>Title</h2><p>meta</p><nav><h2>m</h2></nav></div>
+    <p class="byline">By B</p><div class="long-form"><p>Text one two three</p></div></div></body>"""
+    assert text_of(page) == "Title\nBy B\nText one two three"
+
+
 def test_deep_and_long_pages():
     assert text_of("<div>" * 5000 + "deep") == "deep"
     assert len(text_of("<article>" + "<p>word</p>" * 20_000 + "</article>")) == 20_000 * 5 - 1
