@@ -8,9 +8,13 @@ verified by their exact distance, until the chi-square test holds: a vector as n
 k-th best so far would have been projected nearer than the next one with probability
 ``CONFIDENCE``. So work follows the data, and no number of candidates is fixed.
 
-Rows are dealt out by id to blocks of about ``BLOCK`` vectors, each indexed whole by one
-task; queries are dealt out to every block in batches of ``QUERY_BATCH``. A block and a
-batch bound a task's memory. The k best of each block are merged with a partial top-k.
+Rows are dealt out to blocks of about ``BLOCK`` vectors, each indexed whole by one task.
+Blocks are regions of the projected space, cut by the upper levels of a kd-tree over a
+bounded sample of vectors; a region with more rows, such as one that holds very many equal
+vectors, is split by id. The sample also gives each query an upper bound of its k-th
+distance, and by the same chi-square test the query goes to the regions that can hold one
+as near, and to no others. A block and a stream of queries bound a task's memory. The k best
+of each block are merged.
 """
 
 from __future__ import annotations
@@ -30,7 +34,9 @@ DIMENSIONS = 8
 CONFIDENCE = 0.95
 LEAF = 128
 BLOCK = 8192
-QUERY_BATCH = 2048
+#: Vectors in the sample that cuts the regions, and regions at most.
+SAMPLE = 4096
+REGIONS = 512
 K = 10
 SEED = 20240229
 
@@ -120,8 +126,11 @@ class Block:
         self.tree = KdTree(vectors @ self.matrix)
         self.limit = chi_square_quantile(confidence, dimensions)
 
-    def nearest(self, query_id: int, query: np.ndarray, k: int = K) -> list[tuple[float, int]]:
-        """(distance, id) of the ``k`` nearest found, those of equal distance by id; rows of the query's own id are left out."""
+    def nearest(self, query_id: int, query: np.ndarray, k: int = K, bound: float = math.inf) -> list[tuple[float, int]]:
+        """(distance, id) of the ``k`` nearest found, those of equal distance by id; rows of the query's own id are left out.
+
+        ``bound`` is an upper bound of the k-th distance that is known already.
+        """
         best_d, best_i = np.empty(0), np.empty(0, np.int64)
         for at, rest in self.tree.incremental(query @ self.matrix):
             d = self.vectors[at] - query
@@ -133,13 +142,80 @@ class Block:
                 keep = np.lexsort((best_i, best_d))[:k]
                 best_d, best_i = best_d[keep], best_i[keep]
             # Equal distances count, so ties at distance zero are all seen.
-            if len(best_d) == k and rest > self.limit * float(best_d.max()) ** 2:
+            worst = min(bound, float(best_d.max()) if len(best_d) == k else math.inf)
+            if rest > self.limit * worst**2:
                 break
         order = np.lexsort((best_i, best_d))
         return [(float(best_d[j]), int(best_i[j])) for j in order]
 
 
-def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, dimensions: int = DIMENSIONS, confidence: float = CONFIDENCE, block: int = BLOCK, query_batch: int = QUERY_BATCH) -> DataFrame:
+class Regions:
+    """Half-open boxes that cut the projected space, from a sample of it."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, n: int, dimensions: int, confidence: float):
+        self.matrix = projection(vectors.shape[1], dimensions)
+        self.vectors, self.ids = vectors, ids
+        self.limit = chi_square_quantile(confidence, dimensions)
+        self.nodes: list[tuple[int, float, int, int]] = []  # axis, cut and children; a leaf has axis -1 and its number
+        self.low: list[np.ndarray] = []
+        self.high: list[np.ndarray] = []
+        self._cut(vectors @ self.matrix, n, np.full(dimensions, -np.inf), np.full(dimensions, np.inf))
+
+    def _cut(self, points: np.ndarray, n: int, low: np.ndarray, high: np.ndarray) -> int:
+        at = len(self.nodes)
+        self.nodes.append((-1, 0.0, 0, 0))
+        spread = points.max(axis=0) - points.min(axis=0) if len(points) else np.zeros(len(low))
+        axis = int(spread.argmax())
+        cut = float(np.median(points[:, axis])) if len(points) else 0.0
+        below = points[:, axis] < cut
+        if n < 2 or spread[axis] <= 0 or not below.any():
+            self.nodes[at] = (-1, 0.0, len(self.low), 0)
+            self.low.append(low)
+            self.high.append(high)
+            return at
+        left, right = high.copy(), low.copy()
+        left[axis] = right[axis] = cut
+        a = self._cut(points[below], n // 2, low, left)
+        b = self._cut(points[~below], n - n // 2, right, high)
+        self.nodes[at] = (axis, cut, a, b)
+        return at
+
+    def of(self, vectors: np.ndarray) -> np.ndarray:
+        """The region of each vector."""
+        points = vectors @ self.matrix
+        out = np.empty(len(points), np.int32)
+        stack = [(0, np.arange(len(points)))]
+        while stack:
+            at, rows = stack.pop()
+            axis, cut, a, b = self.nodes[at]
+            if axis < 0:
+                out[rows] = a
+            elif len(rows):
+                below = points[rows, axis] < cut
+                stack += [(a, rows[below]), (b, rows[~below])]
+        return out
+
+    def reach(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, float]:
+        """Regions that may hold one of the ``k`` nearest, and an upper bound of the k-th distance."""
+        d = np.sqrt(((self.vectors - query) ** 2).sum(axis=1))[self.ids != query_id]
+        bound = float(np.partition(d, k - 1)[k - 1]) if len(d) >= k else math.inf
+        q = query @ self.matrix
+        gap = np.maximum(np.array(self.low) - q, 0) + np.maximum(q - np.array(self.high), 0)
+        return np.flatnonzero((gap * gap).sum(axis=1) <= self.limit * bound**2), bound
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def _by_size(batch: pa.RecordBatch, dims: np.ndarray) -> Iterator[tuple[int, np.ndarray, pa.RecordBatch]]:
+    """Rows of a batch by the size of their vectors."""
+    for dim in np.unique(dims):
+        rows = np.flatnonzero(dims == dim)
+        yield int(dim), rows, batch.take(pa.array(rows))
+
+
+def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, dimensions: int = DIMENSIONS, confidence: float = CONFIDENCE, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, key, score): each query's ``k`` nearest vectors but its own id, by Euclidean distance.
 
     Null, empty and zero vectors and those with a null or non-finite component take no part
@@ -156,44 +232,72 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
         v = F.col(vector).cast("array<double>")
         odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
         ok = F.col(key).isNotNull() & v.isNotNull() & ~F.exists(v, odd) & F.exists(v, lambda x: x != 0)
-        return df.where(ok).select(F.col(key).cast("long").alias("id"), v.alias("v")).withColumn("dim", F.size("v"))
-
-    held = clean(vectors)
-    asked = materialise(clean(queries).dropDuplicates(["id", "v"]), "queries")
-    n_blocks = max(1, math.ceil(held.count() / block))
-    n_batches = max(1, math.ceil(asked.count() / query_batch))
-    # Blocks are the data; each batch of queries goes to each block.
-    data = held.select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("block"), "dim", F.lit(-1).alias("batch"), "id", "v")
-    spread = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "dim", F.pmod(F.xxhash64("id"), F.lit(n_batches)).cast("int").alias("batch"), "id", "v")
-    dealt = data.unionByName(spread).repartition(n_blocks, "block").sortWithinPartitions("block", "dim", "batch", "id")
+        return df.where(ok).select(F.col(key).cast("long").alias("id"), v.alias("v"))
+
+    held, asked = clean(vectors), clean(queries).dropDuplicates(["id", "v"])
+    total = held.count()
+    sample: dict[int, dict[int, list[float]]] = {}
+    for r in held.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect():
+        sample.setdefault(len(r["v"]), {}).setdefault(r["id"], r["v"])
+    size = sum(map(len, sample.values()))
+    regions = {d: Regions(np.array(list(x.values())), np.array(list(x), np.int64), min(REGIONS, math.ceil(total / block * len(x) / size)), dimensions, confidence) for d, x in sample.items()}
+    shared = spark.sparkContext.broadcast(regions)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for dim, rows, part in _by_size(b, np.diff(b.column(1).offsets.to_numpy())):
+                own = shared.value.get(dim)
+                at = own.of(_matrix(part.column(1), dim)) if own else np.zeros(len(rows), np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(rows), dim, np.int32)), pa.array(at)], names=["id", "v", "dim", "region"])
+
+    def aim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for dim, rows, part in _by_size(b, np.diff(b.column(1).offsets.to_numpy())):
+                own = shared.value.get(dim)
+                for at in range(0, len(rows), 256):
+                    some = part.slice(at, 256)
+                    goals = [own.reach(i, q, k) if own else (np.zeros(1, np.int64), math.inf) for i, q in zip(some.column(0).to_pylist(), _matrix(some.column(1), dim))]
+                    out = some.take(pa.array(np.repeat(np.arange(len(goals)), [len(g) for g, _ in goals])))
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.full(out.num_rows, dim, np.int32)), pa.array(np.concatenate([g for g, _ in goals]).astype(np.int32)), pa.array(np.repeat([x for _, x in goals], [len(g) for g, _ in goals]))], names=["id", "v", "dim", "region", "bound"])
+
+    data = materialise(held.mapInArrow(place, "id long, v array<double>, dim int, region int"), "vectors")
+    # At most REGIONS rows for each size of vector.
+    parts = data.groupBy("dim", "region").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    aimed = asked.mapInArrow(aim, "id long, v array<double>, dim int, region int, bound double").join(parts, ["dim", "region"])
+    rows_ = data.join(parts, ["dim", "region"]).select("dim", "region", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(None).cast("double").alias("bound"), "id", "v")
+    spread = aimed.select("dim", "region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "bound", "id", "v")
+    n_tasks = max(1, math.ceil(total / block))
+    dealt = rows_.unionByName(spread).repartition(n_tasks, "dim", "region", "part").sortWithinPartitions("dim", "region", "part", F.col("bound").isNotNull(), "id")
     schema = pa.schema([("query_id", pa.int64()), ("vec", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            now, ids, parts, index = None, [], [], None
+            now, ids, blocks, index = None, [], [], None
             for b in batches:
-                blk, dim, bat, ident = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-                lists = b.column(4)
-                flat = lists.flatten().to_numpy(zero_copy_only=False)
-                at = np.concatenate(([0], np.cumsum(dim)))
-                cuts = np.flatnonzero((np.diff(blk) != 0) | (np.diff(dim) != 0) | (np.diff(bat < 0))) + 1
-                for lo, hi in zip([0, *cuts], [*cuts, len(blk)]):
+                dim, region, part = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                bound, ident, lists = b.column(3).to_pylist(), b.column(4).to_numpy(zero_copy_only=False), b.column(5)
+                is_query = np.array([x is not None for x in bound])
+                cuts = np.flatnonzero((np.diff(dim) != 0) | (np.diff(region) != 0) | (np.diff(part) != 0) | np.diff(is_query)) + 1
+                for lo, hi in zip([0, *cuts], [*cuts, len(dim)]):
                     if hi == lo:
                         continue
-                    if (blk[lo], dim[lo]) != now:
-                        now, ids, parts, index = (blk[lo], dim[lo]), [], [], None
-                    x = flat[at[lo] : at[hi]].reshape(hi - lo, dim[lo])
-                    if bat[lo] < 0:
+                    if (dim[lo], region[lo], part[lo]) != now:
+                        now, ids, blocks, index = (dim[lo], region[lo], part[lo]), [], [], None
+                    x = _matrix(lists.slice(lo, hi - lo), int(dim[lo]))
+                    if not is_query[lo]:
                         ids.append(ident[lo:hi])
-                        parts.append(x)
+                        blocks.append(x)
                         continue
                     if index is None and ids:
-                        all_ids, all_rows = np.concatenate(ids), np.concatenate(parts)
-                        _, first = np.unique(np.column_stack((all_ids.astype(np.float64), all_rows)), axis=0, return_index=True) if len(np.unique(all_ids)) < len(all_ids) else (None, np.arange(len(all_ids)))
+                        all_ids, all_rows = np.concatenate(ids), np.concatenate(blocks)
+                        first = np.arange(len(all_ids))
+                        if len(np.unique(all_ids)) < len(all_ids):
+                            bytes_ = np.column_stack((all_ids.view(np.uint8).reshape(len(all_ids), 8), np.ascontiguousarray(all_rows).view(np.uint8).reshape(len(all_ids), -1)))
+                            _, first = np.unique(bytes_, axis=0, return_index=True)
                         index = Block(all_ids[first], all_rows[first], dimensions, confidence)
                     if index is not None:
-                        for q, v in zip(ident[lo:hi].tolist(), x):
-                            for d, i in index.nearest(q, v, k):
+                        for q, v, most in zip(ident[lo:hi].tolist(), x, bound[lo:hi]):
+                            for d, i in index.nearest(q, v, k, most):
                                 yield q, i, d
 
         return as_batches(schema, rows())
