@@ -103,20 +103,26 @@ class LanguageModel:
                 yield (self.languages[k], float(min(1.0, max(0.0, scores[i, k])))) if own[i] and self.languages else (UNDETERMINED, 0.0)
 
 
+def _bits(packed: np.ndarray) -> np.ndarray:
+    return np.unpackbits(packed, axis=1, count=N_BITS).astype(np.float32)
+
+
 def fit(samples: dict[str, np.ndarray], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
-    """``samples``: of each language, a row of presence bits for each text."""
+    """``samples``: of each language, a row of packed presence bits for each text; they are unpacked a few at a time."""
     languages = sorted(k for k, v in samples.items() if len(v))
     if not languages:
         return LanguageModel([], np.zeros((N_BITS, 0), np.float32))
-    x = np.concatenate([samples[k] for k in languages]).astype(np.float32)
+    x = np.concatenate([samples[k] for k in languages])
     y = np.concatenate([np.full(len(samples[k]), i) for i, k in enumerate(languages)])
     at = np.cumsum([0, *(len(samples[k]) for k in languages)])
     marks = np.concatenate([np.arange(a, min(b, a + landmarks)) for a, b in zip(at, at[1:])])
-    land = x[marks] / np.sqrt(x[marks].sum(axis=1))[:, None]
+    land = _bits(x[marks])
+    land /= np.sqrt(land.sum(axis=1))[:, None]
     values, vectors = np.linalg.eigh((land @ land.T).astype(np.float64))
     live = values > 1e-6 * values[-1]
     root = vectors[:, live] / np.sqrt(values[live])
-    phi = (x @ land.T / np.sqrt(x.sum(axis=1))[:, None]).astype(np.float64) @ root
+    near = [b @ land.T / np.sqrt(b.sum(axis=1))[:, None] for b in (_bits(x[i : i + 32]) for i in range(0, len(x), 32))]
+    phi = np.concatenate(near).astype(np.float64) @ root
     weight = (1.0 / np.bincount(y))[y]  # each language counts alike
     target = np.eye(len(languages))[y]
     gram = (phi * weight[:, None]).T @ phi
@@ -158,7 +164,7 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
             own.append(bytes(r["bits"]))
         if len(packed) > MAX_LANGUAGES:
             raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    samples = {k: np.stack([np.unpackbits(np.frombuffer(b, np.uint8), count=N_BITS) for b in sorted(v)]) for k, v in packed.items()}
+    samples = {k: np.frombuffer(b"".join(sorted(v)), np.uint8).reshape(len(v), -1) for k, v in packed.items()}
     rng = np.random.default_rng(7)
     return fit({k: v[rng.permutation(len(v))] for k, v in samples.items()})
 
