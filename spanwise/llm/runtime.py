@@ -33,9 +33,19 @@ def shared_root(spark: SparkSession) -> str:
             base = tempfile.mkdtemp(prefix="spanwise-")
             atexit.register(__import__("shutil").rmtree, base, True)
         _roots[app] = f"{base.rstrip('/')}/spanwise-{uuid.uuid4().hex[:12]}"
+        atexit.register(_remove, spark, _roots[app])
     return _roots[app]
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete this application's folder when the driver's process ends; a session that is gone already leaves it."""
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the gateway may have closed
+        pass
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
