@@ -18,7 +18,7 @@ only suffixes that begin at equal anchors need comparing, with what stands befor
    Two strings are equal if the anchors' suffixes and prefixes agree far enough, which the
    longest common prefixes in both orders tell for every offset at once.
 3. A gram with more contexts than ``CHUNK`` is sorted in chunks; the strings that a chunk
-   leaves open are compared by hash across chunks.
+   leaves open are compared by hash across chunks, and with one of each that repeats in a chunk.
 
 Rows are numbered and written once, so repeated and null ids are rows of their own.
 """
@@ -43,6 +43,8 @@ GRAM = 32
 SHALLOW = 48
 CHUNK = 100_000
 FLUSH = 500_000
+#: Contexts from which a worker sorts what it holds.
+HELD = 30_000
 BUCKET_BYTES = 96_000_000
 #: Bytes of a document that are searched for anchors at once.
 _PART = 1 << 20
@@ -222,11 +224,12 @@ def _runs(group: np.ndarray, live: np.ndarray) -> Iterator[tuple[int, int]]:
             yield int(live[a]), int(live[b - 1]) + 1
 
 
-def repeated_offsets(before: list[bytes], after: list[bytes], length: int = LENGTH) -> np.ndarray:
+def repeated_offsets(before: list[bytes], after: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """For contexts (reversed text before the anchor, text from it on): rows x offsets, where a string that
-    begins that many bytes before its anchor equals one at the same offset of another row."""
+    begins that many bytes before its anchor equals one at the same offset of another row; and the first of each such."""
     n = len(before)
     out = np.zeros((n, length - GRAM + 1), bool)
+    one = np.zeros_like(out)
     (lo, ll), (ro, rl) = deep_shallow_sort(before), deep_shallow_sort(after)
     left, right = np.fromiter(map(len, before), np.int64, n), np.fromiter(map(len, after), np.int64, n)
     lc, rc = np.empty(n, np.int64), np.empty(n, np.int64)
@@ -244,7 +247,8 @@ def repeated_offsets(before: list[bytes], after: list[bytes], length: int = LENG
         hit[1:] |= same
         hit[:-1] |= same
         out[ok[order[hit]], t] = True
-    return out
+        one[ok[order[:-1][same & ~np.concatenate(([False], same[:-1]))]], t] = True
+    return out, one
 
 
 _DEALT = pa.schema([("bucket", pa.int32()), ("done", pa.bool_()), ("data", pa.binary())])
@@ -354,12 +358,13 @@ def _marks(src: DataFrame, length: int, buckets: int) -> DataFrame:
 
 
 def _compare(contexts: DataFrame, length: int) -> DataFrame:
-    """(rid, at, low, high, string): offsets of strings that occur again; with ``string`` one that a chunk left open, by its hash."""
+    """(rid, at, low, high, string): offsets of strings that occur again; with ``string`` one that a chunk left open, by its hash,
+    or where ``rid`` is null one that occurs again in a chunk."""
     schema = pa.schema([("rid", pa.int64()), ("at", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("string", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(rows):
-            hits = repeated_offsets([r[6][: r[5]][::-1] for r in rows], [r[6][r[5] :] for r in rows], length)
+            hits, one = repeated_offsets([r[6][: r[5]][::-1] for r in rows], [r[6][r[5] :] for r in rows], length)
             edges = np.diff(np.pad(hits, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             i, lo = np.nonzero(edges == 1)
             _, hi = np.nonzero(edges == -1)
@@ -368,17 +373,17 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
             for k, r in enumerate(rows):
                 if r[2] > 1:
                     ctx = r[6]
-                    for t in np.flatnonzero(~hits[k, : r[5] + 1]).tolist():
+                    for t in np.flatnonzero(~hits[k, : r[5] + 1] | one[k, : r[5] + 1]).tolist():
                         s = ctx[r[5] - t : r[5] - t + length]
                         if len(s) == length:
                             h = xxhash.xxh3_64_intdigest(s, t)
-                            yield r[3], r[4], t, t, h - (1 << 64) if h >> 63 else h
+                            yield *((None,) * 4 if hits[k, t] else (r[3], r[4], t, t)), h - (1 << 64) if h >> 63 else h
 
         def rows():
             held = []
             for b in batches:
                 for r in zip(*(c.to_pylist() for c in b.columns)):
-                    if len(held) >= 30_000 and r[:2] != held[-1][:2]:  # only whole groups are sorted together
+                    if len(held) >= HELD and r[:2] != held[-1][:2]:  # only whole groups are sorted together
                         yield from work(held)
                         held = []
                     held.append(r)
@@ -425,8 +430,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     contexts = placed.join(shown, F.col("rid") == F.col("of")).select("rid", "body", "wanted").mapInArrow(show, "gram long, chunk int, chunks int, rid long, at long, before int, context binary")
     found = materialise(_compare(contexts, length), "offsets")
     open_ = found.where("string is not null")
-    again = open_.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    hits = found.where("string is null").unionByName(open_.join(again, "string", "left_semi").select(*found.columns)).select("rid", "at", "low", "high")
+    # A string that occurs again in a chunk is settled there; its row without a place settles the lone ones of other chunks.
+    again = open_.groupBy("string").agg(F.count("*").alias("n"), F.count("rid").alias("lone")).where("n > 1 and lone > 0").select("string")
+    hits = found.where("string is null").unionByName(open_.where("rid is not null").join(again, "string", "left_semi").select(*found.columns)).select("rid", "at", "low", "high")
     whole = marks.where(F.col("state") != _OPEN).select("rid", "at", F.lit(0).alias("low"), F.lit(length - GRAM).alias("high"))
     lists = whole.unionByName(hits).groupBy(F.col("rid").alias("of")).agg(F.collect_list(F.struct("at", "low", "high")).alias("gone"))
     joined = src.repartition(parts, "rid").join(lists, F.col("rid") == F.col("of"), "left").select("key", "body", "gone")

@@ -124,6 +124,19 @@ def test_bytes_against_brute_force(spark, monkeypatch, seed, length, chunk, flus
     assert sorted((str(r["key"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == slow_bytes(rows, length)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_bytes_in_chunks_of_their_own(spark, monkeypatch, seed):
+    """Chunks are sorted one at a time; a string is in two or more contexts of a chunk, or lone, or both in turn."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 3)
+    monkeypatch.setattr(suffix_dedup, "HELD", 1)
+    rng = random.Random(seed)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, near = word(60), [word(30) for _ in range(5)]
+    rows = [(i, word(40) + rng.choice(near) + passage + rng.choice(near) + word(40)) for i in range(14)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=64).collect()
+    assert sorted((str(r["key"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == slow_bytes(rows, 64)
+
+
 def test_bytes_kept_and_empty_table(spark):
     df = spark.createDataFrame([(1, "x" + "abcdefghij" * 10), (2, "abcdefghij" * 10 + "y")], "doc_id long, text string")
     got = {r["key"]: bytes(r["kept"]) for r in suffix_dedup.remove_repeats(df, length=90, keep_bytes=True).collect()}
