@@ -102,13 +102,19 @@ def pairs_within(points: DataFrame, key: str, radius: float, x: str = "x", y: st
     return p.join(q, ["cx", "cy"]).where(F.col("a") < F.col("b")).withColumn("distance", d).where(F.col("distance") <= radius).select("a", "b", "distance")
 
 
-def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, radius: float, x: str = "x", y: str = "y") -> DataFrame:
-    """(left_key, right_key, distance): nearest right point within ``radius``, ties to the smaller key; null if none."""
+def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, radius: float, x: str = "x", y: str = "y", others: bool = False) -> DataFrame:
+    """(left_key, right_key, distance): nearest right point within ``radius``, ties to the smaller key; null if none.
+
+    With ``others`` a point is not near to that of its own key.
+    """
     l = left.select(F.col(left_key), F.col(x).alias("lx"), F.col(y).alias("ly"), _cell(F.col(x), radius).alias("cx"), _cell(F.col(y), radius).alias("cy"))
     steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     r = right.select(F.col(right_key), F.col(x).alias("rx"), F.col(y).alias("ry"), F.explode(steps).alias("s")).withColumn("cx", _cell(F.col("rx"), radius) + F.col("s.i")).withColumn("cy", _cell(F.col("ry"), radius) + F.col("s.j"))
     d = F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry"))
-    best = l.join(r, ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= radius).groupBy(left_key).agg(F.min(F.struct("d", right_key)).alias("b"))
+    met = l.join(r, ["cx", "cy"])
+    if others:
+        met = met.where(F.col(left_key) != F.col(right_key))
+    best = met.withColumn("d", d).where(F.col("d") <= radius).groupBy(left_key).agg(F.min(F.struct("d", right_key)).alias("b"))
     return left.select(left_key).join(best, left_key, "left").select(left_key, F.col(f"b.{right_key}").alias(right_key), F.col("b.d").alias("distance"))
 
 

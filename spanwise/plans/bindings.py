@@ -513,6 +513,13 @@ def knn(spark, d):
     return rounded(spatial.nearest(p.where("vec_id % 5 = 0"), right, "vec_id", "near", 0.05), distance=9)
 
 
+@query(f"""WITH {_POINTS}, j AS (SELECT a.vec_id, b.vec_id AS near, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM p a JOIN p b ON a.vec_id <> b.vec_id)
+SELECT q.vec_id, n.near, n.distance FROM p q LEFT JOIN (SELECT vec_id, arg_min(near, struct_pack(a := dist, b := near)) AS near, round(min(dist), 9) AS distance FROM j WHERE dist <= 0.05e0 GROUP BY ALL) n ON q.vec_id = n.vec_id""")
+def knn_all(spark, d):
+    p = _points(spark, d)
+    return rounded(spatial.nearest(p, p.withColumnRenamed("vec_id", "near"), "vec_id", "near", 0.05, others=True), distance=9)
+
+
 @query(f"WITH {_POINTS} SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 9) AS distance FROM p a JOIN p b ON a.vec_id < b.vec_id WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.01e0")
 def points_within(spark, d):
     return rounded(spatial.pairs_within(_points(spark, d), "vec_id", 0.01), distance=9)
@@ -533,6 +540,15 @@ def shortest_path(spark, d):
     return graph.hops_within(e, n.where("u < 5").withColumnRenamed("u", "source"), 6)
 
 
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS u, (n_nationkey + 1) % 25 AS v, 1e0 + n_nationkey % 4 AS c FROM nation UNION ALL SELECT n_nationkey, (n_nationkey + 7) % 25, 9e0 FROM nation),
+w AS (SELECT u AS source, u AS node, 0e0 AS dist, 0 AS k FROM (SELECT DISTINCT u FROM e) UNION ALL SELECT source, node, min(dist), k FROM (SELECT source, v AS node, dist + c AS dist, k + 1 AS k FROM w JOIN e ON node = u WHERE k < 6) GROUP BY source, node, k)
+SELECT source, node, min(dist) AS dist FROM w GROUP BY ALL""")
+def shortest_path_all(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("u"))
+    e = n.select("u", ((F.col("u") + 1) % 25).alias("v"), (F.lit(1.0) + F.col("u") % 4).alias("cost")).unionByName(n.select("u", ((F.col("u") + 7) % 25).alias("v"), F.lit(9.0).alias("cost")))
+    return graph.hops_within(e, n.withColumnRenamed("u", "source"), 6)
+
+
 def routed_pairs(spark, d):
     """Shortest paths with their links, between nations over a ring with chords."""
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("u"))
@@ -567,6 +583,15 @@ def fuzzy_block(spark, d):
     return rounded(matching.fuzzy_join(left, p.where("p_size >= 40").select("p_brand", F.col("p_name").alias("name")), "p_brand", "p_name", "name", 0.3), score=6)
 
 
+@query("""WITH p AS (SELECT DISTINCT p_brand, p_name FROM part),
+s AS (SELECT l.p_brand, l.p_name, q.p_name AS name, len(list_intersect(string_split(l.p_name, ' '), string_split(q.p_name, ' '))) / CAST(len(list_distinct(list_concat(string_split(l.p_name, ' '), string_split(q.p_name, ' ')))) AS DOUBLE) AS score FROM p l JOIN p q ON l.p_brand = q.p_brand AND l.p_name <> q.p_name),
+b AS (SELECT p_brand, p_name, arg_max(name, struct_pack(a := score, b := name)) AS matched, max(score) AS score FROM s WHERE score >= 0.3e0 GROUP BY ALL)
+SELECT p.p_brand, p.p_name, matched, round(score, 6) AS score FROM p LEFT JOIN b ON p.p_brand = b.p_brand AND p.p_name = b.p_name""")
+def fuzzy_block_all(spark, d):
+    p = table(spark, d, "part").select("p_brand", "p_name").distinct()
+    return rounded(matching.fuzzy_join(p, p.withColumnRenamed("p_name", "name"), "p_brand", "p_name", "name", 0.3, F.col("p_name") != F.col("_name")), score=6)
+
+
 @query()
 def fuzzy_similarity(spark, d):
     p = table(spark, d, "part").select("p_brand", "p_name").distinct()
@@ -589,6 +614,12 @@ def merge_right_wins(spark, d):
     return relational.merge_right_wins(c.where("c_custkey % 3 = 0"), c.where("c_custkey % 4 = 0").withColumn("v", F.lit(2.0)), "c_custkey", "v")
 
 
+@query("SELECT coalesce(s_suppkey, c_custkey) AS key, coalesce(s_acctbal, c_acctbal) AS v FROM customer FULL JOIN supplier ON c_custkey = s_suppkey")
+def merge_right_wins_all(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("v"))
+    return relational.merge_right_wins(c, table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("v")), "key", "v")
+
+
 @query("SELECT user_id, event_type, arg_max(value, struct_pack(a := ts, b := event_id)) AS last_value, arg_min(value, struct_pack(a := ts, b := event_id)) AS first_value FROM events GROUP BY ALL")
 def latest_per_key(spark, d):
     e = table(spark, d, "events").select("user_id", "event_type", "ts", "event_id", "value")

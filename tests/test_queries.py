@@ -48,6 +48,20 @@ def test_runs(spark, name):
     assert bindings.QUERIES[name](spark, ROOT).count() > 0
 
 
+def test_whole_tables(spark):
+    def ids(name, column):
+        return {r[0] for r in bindings.QUERIES[name](spark, ROOT).select(column).collect()}
+
+    def rows_of(name, column):
+        return {r[0] for r in spark.read.parquet(f"{ROOT}/{name}.parquet").select(column).collect()}
+
+    assert ids("knn_all", "vec_id") == rows_of("embeddings", "vec_id")
+    assert any(r["near"] % 5 == 0 for r in bindings.knn_all(spark, ROOT).where("near is not null").collect())
+    assert ids("fuzzy_block_all", "p_name") == rows_of("part", "p_name")
+    assert ids("shortest_path_all", "source") == rows_of("nation", "n_nationkey")
+    assert ids("merge_right_wins_all", "key") == rows_of("customer", "c_custkey") | rows_of("supplier", "s_suppkey")
+
+
 def test_flows_conserve(spark):
     got = bindings.gravity_flows(spark, ROOT).groupBy("src").sum("flow").toPandas()
     made = spark.read.parquet(f"{ROOT}/customer.parquet").groupBy("c_nationkey").count().toPandas().set_index("c_nationkey")["count"]
