@@ -92,6 +92,7 @@ class Page:
         linked, in_link = 0, False
         sub = 0  # open inline junk, such as a span of class "ad"
         inline: list[tuple[str, bool]] = []
+        within: Counter[str] = Counter()  # open inline elements by tag
 
         def flush():
             nonlocal held, linked
@@ -134,7 +135,7 @@ class Page:
             if m[1]:
                 if tag in BLOCKS:
                     flush()
-                    inline, sub, in_link = [], 0, False
+                    inline, within, sub, in_link = [], Counter(), 0, False
                     if opened[tag] > 0:
                         i = len(tags) - 1
                         while tags[i] != tag:
@@ -144,11 +145,13 @@ class Page:
                     in_link = False
                 elif tag == "br":
                     text(" ")
-                for i in range(len(inline) - 1, max(-1, len(inline) - 32), -1):
-                    if inline[i][0] == tag:
-                        sub -= sum(j for _, j in inline[i:])
-                        del inline[i:]
-                        break
+                if within[tag] > 0:
+                    while True:
+                        t, j = inline.pop()
+                        within[t] -= 1
+                        sub -= j
+                        if t == tag:
+                            break
                 continue
             if tag in _RAW_END:
                 end = _RAW_END[tag].search(s, at)
@@ -163,10 +166,11 @@ class Page:
                 elif tag not in VOID and not m[3].rstrip().endswith("/"):
                     j = bool(_is_junk(tag, attrs))
                     inline.append((tag, j))
+                    within[tag] += 1
                     sub += j
                 continue
             flush()
-            inline, sub, in_link = [], 0, False
+            inline, within, sub, in_link = [], Counter(), 0, False
             if opened["p"] > 0:
                 i = len(tags) - 1
                 while tags[i] != "p":

@@ -37,6 +37,10 @@ def test_odd_pages(page, expected):
     assert text_of(page) == expected
 
 
+def test_junk_ends_behind_many_open_inline_elements():
+    assert text_of("<article><p>Before <span class=ad>buy " + "<b>" * 40 + "now</span> and after</p></article>") == "Before and after"
+
+
 def test_heading_areas():
     """Headings of an article's own heading area stay; a site's do not. A byline elsewhere is text."""
     page = """<body class="single-post"><div class="site-header"><h1>Site</h1></div><div class="post"><div class="post-header"><h2>Title</h2><p>meta</p><nav><h2>m</h2></nav></div>
