@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Edges of a graph that is sent to every worker for path searches.
 MAX_EDGES = 5_000_000
-#: Links of a path, at most.
-HOP_CAP = 10_000
+#: Gates that regions are looked for behind, one plan for each.
+MAX_GATES = 10_000
 
 
 def cheapest_edges(edges: DataFrame, u: str, v: str, cost: str) -> DataFrame:
@@ -89,7 +89,7 @@ class _Graph:
 
     def path(self, target: int, by: dict, prev: dict) -> list[int]:
         out = []
-        while target in by and len(out) < HOP_CAP:
+        while target in by:
             out.append(by[target])
             target = prev[target]
         return out[::-1]
@@ -225,7 +225,10 @@ def dead_end_edges(edges: DataFrame, absorbed: DataFrame, u: str = "u", v: str =
 def regions_behind(edges: DataFrame, gates: DataFrame, protected: DataFrame, cut=None, u: str = "u", v: str = "v") -> DataFrame:
     """(gate, root, node): for each gate, the components of the graph without it that hold no protected node."""
     out = None
-    for g in [r["node"] for r in gates.select("node").distinct().orderBy("node").limit(10_000).collect()]:
+    found = gates.select("node").distinct().orderBy("node").limit(MAX_GATES + 1).collect()
+    if len(found) > MAX_GATES:
+        raise ValueError(f"more than {MAX_GATES} gates")
+    for g in [r["node"] for r in found]:
         comp = connected_components(edges.where((F.col(u) != g) & (F.col(v) != g)), u, v, cut=cut)
         held = comp.join(protected.select("node"), "node", "left_semi").select("root").distinct()
         one = comp.join(held, "root", "left_anti").select(F.lit(g).alias("gate"), "root", "node")

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +64,16 @@ def test_sites(spark):
     s = spark.createDataFrame([("x", [(1, 2), (2, 1)]), ("y", [(9, 9)])], "site string, links array<struct<u:long,v:long>>")
     got = observe.site_readout(s, spark.createDataFrame([(1, 2, 5.0), (2, 1, 2.0)], "u long, v long, flow double"))
     assert {r["site"]: r["flow"] for r in got.collect()} == {"x": 7.0, "y": 0.0}
+
+
+def test_long_paths_are_whole():
+    n = 10_050
+    g = graph._Graph(np.arange(n), np.arange(n) + 1, np.ones(n), np.arange(n))
+    dist, by, prev = g.search(0, g.cost)
+    assert dist[n] == n and len(g.path(n, by, prev)) == n
+
+
+def test_too_many_gates(spark):
+    edges = spark.createDataFrame([(1, 2)], "u long, v long")
+    with pytest.raises(ValueError):
+        graph.regions_behind(edges, spark.range(3, 10_004).withColumnRenamed("id", "node"), edges.select(F.col("u").alias("node")))
