@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import as_batches, bounded_batches, materialise
+from .runtime import as_batches, materialise
 
 SEQUENCE_TOKENS = 2048
 #: Neither binds: a piece has one token at least, and squares of parts sum to no more than the whole's.
@@ -56,13 +56,14 @@ def encoder(path: str, ranks: str | None = None) -> Callable[[str], bytes]:
     The ids are those of the ``tokenizers`` file at ``path``. If ``ranks`` names the same
     vocabulary as byte ranks, words of plain texts are looked up in a cache and merged by
     it on a miss, which gives the same ids several times faster; texts with any other
-    character always go to the tokenizer itself.
+    character, or with an added token of the file, always go to the tokenizer itself.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
+    # Strings of the file's added tokens are one id each; only the tokenizer itself looks for them.
+    added = re.compile("|".join(re.escape(t.content) for t in whole.get_added_tokens_decoder().values() if t.content) or r"(?!)")
 
     def slow(text: str) -> bytes:
         return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -85,7 +86,7 @@ def encoder(path: str, ranks: str | None = None) -> Callable[[str], bytes]:
     known = Words()
 
     def fast(text: str) -> bytes:
-        if _OTHER.search(text):
+        if _OTHER.search(text) or added.search(text):
             return slow(text)
         return b"".join(map(known.__getitem__, _PIECES.findall(text)))
 
@@ -149,11 +150,11 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, key: str = "
     """(key, piece, start, length, ids_crc32, sequence_id, offset): a row for each piece of each document.
 
     A document's ids are its text's and then SEPARATOR; null and empty texts have that
-    alone. Repeated rows are packed each; null keys stay; an empty table gives an empty
-    result. ``tokenizer`` and ``ranks`` are paths of vocabulary files on every machine.
+    alone; very long texts are tokenised whole and cut into many pieces. Repeated rows are
+    packed each; null keys stay; an empty table gives an empty result; other columns do not
+    matter, whatever their names. ``tokenizer`` and ``ranks`` are paths of vocabulary files on every machine.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     src = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     cut = pa.schema([("key", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
     end = np.array([SEPARATOR], "<u4").tobytes()

@@ -11,14 +11,12 @@ from spanwise.llm import packing, queries
 
 ROOT = "/root/testdata/sf0.001"
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
-ODD = ["", "a²b 1½ ª", "I'm you'll  \n\n x  ", "日本語 テスト \x1c\x85   a", "<|endoftext|>  \t\t a_b __ 12,3.4 ’s “q”…", "Ǆ İ ſ ŉ", "  ", "\n", "a\r\nb \r\n  c", " x ", "é é", "'S 'd'll'", "x" * 5000, " ".join(map(str, range(3000)))]
+ODD = ["", "hello <|endoftext|> world", "<|endoftext|><|endoftext|>x", "a²b 1½ ª", "I'm you'll  \n\n x  ", "日本語 テスト \x1c\x85   a", "<|endoftext|>  \t\t a_b __ 12,3.4 ’s “q”…", "Ǆ İ ſ ŉ", "  ", "\n", "a\r\nb \r\n  c", " x ", "é é", "'S 'd'll'", "x" * 5000, " ".join(map(str, range(3000)))]
 
 
 @lru_cache
 def tokenizer():
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(JSON)
 
 
 def ids(text):
@@ -32,6 +30,11 @@ def test_cached_words_give_the_tokenizers_ids(spark):
         assert np.frombuffer(fast(t), "<u4").tolist() == ids(t)
 
 
+def test_added_tokens_are_one_id():
+    for encode in (packing.encoder(JSON, RANKS), packing.encoder(JSON)):
+        assert np.frombuffer(encode("hello <|endoftext|> world"), "<u4").tolist() == [31373, 220, 50256, 995]
+
+
 def check_packing(rows, texts, tokens=2048):
     """Pieces cover each document in order, and sequences are gapless and no longer than allowed."""
     seqs, pieces = defaultdict(list), defaultdict(list)
