@@ -49,10 +49,11 @@ def boilerplate_lines(pages: DataFrame, host: str = "source", text: str = "text"
 def drop_boilerplate_lines(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES, counts: tuple[str, str] | None = None) -> DataFrame:
     """``pages`` with the boilerplate lines taken out of ``text``; every row stays.
 
-    ``counts`` names two more columns: lines before, and lines removed.
+    ``counts`` names two more columns, lines before and lines removed, which replace columns of those names.
     Null text stays null (0 lines) and counts as a page of its host; a null host is a
     host of its own; an empty text is one blank line; repeated rows are separate pages;
-    a page whose lines all go has the empty text. Other columns pass through unchanged.
+    a page whose lines all go has the empty text. Other columns pass through unchanged;
+    very long texts are split whole, in the JVM.
     """
     bad = materialise(boilerplate_lines(pages, host, text, max_ratio, min_pages).select("host", "line_hash"), "boilerplate")
     b_host, b_list, hit = fresh(pages, "bp_host", "bp_lines", "bp_hits")
@@ -66,7 +67,8 @@ def drop_boilerplate_lines(pages: DataFrame, host: str = "source", text: str = "
     lines = _lines(body)
     any_hit = F.coalesce(F.size(hit) > 0, F.lit(False))
     kept = F.when(any_hit, F.filter(lines, lambda x: ~F.array_contains(F.col(hit), _key(x)))).otherwise(lines)
-    out = [F.col(f"`{c}`") if c != text else F.when(any_hit, F.concat_ws("\n", kept)).otherwise(body).alias(text) for c in pages.columns]
+    replaced = {c.lower() for c in counts or ()}
+    out = [F.col(f"`{c}`") if c != text else F.when(any_hit, F.concat_ws("\n", kept)).otherwise(body).alias(text) for c in pages.columns if c.lower() not in replaced]
     if counts:
         out += [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(counts[0]), F.coalesce(F.size(lines) - F.size(kept), F.lit(0)).cast("long").alias(counts[1])]
     return joined.select(*out)

@@ -66,15 +66,15 @@ def assign_shards(df: DataFrame, keys: list[str], shards: list[str] | None = Non
     Equal keys share a shard. If one key may hold a large part of the rows, name columns
     in ``spread``: their hash splits each key over up to ``spread_ways`` shards.
     Null keys are placed together; repeated rows get the same shard; an empty table stays
-    empty; columns of ``df`` named like the results are replaced.
+    empty; columns of ``df`` named like the results are replaced, all others stay, whatever their names;
+    very long keys are hashed whole.
     """
     shards = shards or [f"shard-{i}" for i in range(N_SHARDS)]
     parts = [F.col(k) for k in keys]
     if spread:
         parts.append(F.pmod(F.xxhash64(*(F.col(c) for c in spread)), F.lit(spread_ways)))
-    s, t = fresh(df, "place_slot", "place_shard")
+    s, t, here = fresh(df, "place_slot", "place_shard", "place_slot_of")
     table = table_frame(df.sparkSession, shards, size).toDF(s, t)
-    here = f"{s}_of"
     out = df.withColumn(here, slot_of(*parts, size=size)).join(F.broadcast(table), F.col(here) == F.col(s))
     return out.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in (slot.lower(), shard.lower())), F.col(s).alias(slot), F.col(t).alias(shard))
 

@@ -36,6 +36,12 @@ def test_lines_keep_other_columns_and_empty_tables(spark):
     assert line_dedup.drop_boilerplate_lines(df.limit(0)).count() == 0
 
 
+def test_line_counts_replace_columns_of_their_names(spark):
+    df = spark.createDataFrame([(1, "a", "x\ny", "old")], "doc_id long, source string, text string, N_lines string")
+    got = line_dedup.drop_boilerplate_lines(df, counts=("n_lines", "n_removed"))
+    assert got.columns == ["doc_id", "source", "text", "n_lines", "n_removed"] and got.first()[3:] == (2, 0)
+
+
 def test_a_hot_line_on_a_hot_host(spark):
     df = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', concat('s', id % 50)) as source", "concat('common\nline ', id) as text")
     got = line_dedup.drop_boilerplate_lines(df)
@@ -70,6 +76,11 @@ def test_placement(spark):
     assert sharding.assign_shards(df.limit(0), ["doc_id"]).count() == 0
 
 
+def test_placement_keeps_columns_named_like_its_helpers(spark):
+    df = spark.createDataFrame([(1, 7, 8, 9)], "doc_id long, place_slot_of int, place_slot int, _place_slot int")
+    assert sharding.assign_shards(df, ["doc_id"]).first()[1:4] == (7, 8, 9)
+
+
 def test_spread_splits_a_hot_key(spark):
     df = spark.range(2000).selectExpr("'hot' as source", "id as doc_id")
     one = sharding.assign_shards(df, ["source"]).select("shard").distinct().count()
