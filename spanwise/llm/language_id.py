@@ -11,7 +11,8 @@ presence matrix with it. That matrix is the only broadcast; its size depends on
 of bits and languages alone.
 
 The training sample is bounded: ``PER_LANGUAGE`` rows of each language, those whose ids
-hash lowest. Their features, not their texts, reach the driver.
+hash lowest. As hashes are uniform, a first cut by each language's row count leaves few
+rows to rank. Their features, not their texts, reach the driver.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import as_batches, bounded_batches, fresh
+from .runtime import as_batches, fresh
 
 #: log2 of the number of bits of the 1-, 2- and 3-grams.
 GRAM_BITS = (10, 13, 15)
@@ -33,8 +34,9 @@ GRAM_BITS = (10, 13, 15)
 PER_LANGUAGE = 256
 LANDMARKS = 48
 RIDGE = 1e-2
-#: Labels beyond this many are refused.
-MAX_LANGUAGES = 500
+#: Labels beyond this many are refused, and landmarks of all languages together: with the sample they bound the driver's memory.
+MAX_LANGUAGES = 200
+MAX_LANDMARKS = 1536
 UNDETERMINED = "und"
 
 _STARTS = np.cumsum([0, *(1 << b for b in GRAM_BITS)])
@@ -112,6 +114,7 @@ def fit(samples: dict[str, np.ndarray], landmarks: int = LANDMARKS, ridge: float
     languages = sorted(k for k, v in samples.items() if len(v))
     if not languages:
         return LanguageModel([], np.zeros((N_BITS, 0), np.float32))
+    landmarks = max(1, min(landmarks, MAX_LANDMARKS // len(languages)))
     x = np.concatenate([samples[k] for k in languages])
     y = np.concatenate([np.full(len(samples[k]), i) for i, k in enumerate(languages)])
     at = np.cumsum([0, *(len(samples[k]) for k in languages)])
@@ -121,12 +124,15 @@ def fit(samples: dict[str, np.ndarray], landmarks: int = LANDMARKS, ridge: float
     values, vectors = np.linalg.eigh((land @ land.T).astype(np.float64))
     live = values > 1e-6 * values[-1]
     root = vectors[:, live] / np.sqrt(values[live])
-    near = [b @ land.T / np.sqrt(b.sum(axis=1))[:, None] for b in (_bits(x[i : i + 32]) for i in range(0, len(x), 32))]
-    phi = np.concatenate(near).astype(np.float64) @ root
     weight = (1.0 / np.bincount(y))[y]  # each language counts alike
-    target = np.eye(len(languages))[y]
-    gram = (phi * weight[:, None]).T @ phi
-    solved = np.linalg.solve(gram + ridge * np.trace(gram) / len(gram) * np.eye(len(gram)), (phi * weight[:, None]).T @ target)
+    gram, goal = np.zeros((root.shape[1],) * 2), np.zeros((root.shape[1], len(languages)))
+    for i in range(0, len(x), 256):
+        bits = np.concatenate([_bits(x[j : min(j + 32, i + 256)]) @ land.T / np.sqrt(np.bitwise_count(x[j : min(j + 32, i + 256)]).sum(axis=1, dtype=np.int64))[:, None] for j in range(i, min(i + 256, len(x)), 32)])
+        phi = bits.astype(np.float64) @ root
+        own = phi * weight[i : i + 256, None]
+        gram += own.T @ phi
+        goal += own.T @ np.eye(len(languages))[y[i : i + 256]]
+    solved = np.linalg.solve(gram + ridge * np.trace(gram) / len(gram) * np.eye(len(gram)), goal)
     return LanguageModel(languages, np.ascontiguousarray(land.T @ (root @ solved), dtype=np.float32))
 
 
@@ -146,37 +152,44 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Learn from the rows where ``learn`` holds and ``lang`` is not null: ``per_language`` of each language.
 
-    The sample is the rows whose keys hash lowest, chosen from (key, language) alone in
-    two rounds, so that one language with most rows is cut down in many tasks first.
-    Raises ValueError at more than MAX_LANGUAGES labels.
+    The sample is the rows whose keys hash lowest, then by the texts' hashes. One aggregate
+    counts the keys of each language; hashes below a share of the range that leaves over
+    twice as many as wanted are ranked, a few hundred rows of each language, from (key,
+    language) alone; only the texts of those are read. Rows of one key that differ are rows
+    of their own, equal ones count once; texts without a letter teach nothing; very long
+    ones are read whole. Raises ValueError at more than MAX_LANGUAGES labels.
     """
     rows = docs.where(F.coalesce(learn, F.lit(False)) & F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    ids = rows.select("k", "lang", F.xxhash64(F.col("k").cast("string")).alias("h")).distinct()
-    for part in (["lang", F.pmod("h", F.lit(32))], ["lang"]):
-        ids = ids.withColumn("n", F.row_number().over(Window.partitionBy(*part).orderBy("h", "k"))).where(F.col("n") <= per_language).drop("n")
-    chosen = ids.select(F.col("k").alias("k2"), F.col("lang").alias("l2")).limit(MAX_LANGUAGES * per_language)
-    picked = rows.join(F.broadcast(chosen), F.col("k").eqNullSafe(F.col("k2")) & (F.col("lang") == F.col("l2"))).select("lang", "text")
-    bounded_batches(docs.sparkSession)
+    keyed = rows.select("k", "lang", F.xxhash64(F.coalesce(F.col("k").cast("string"), F.lit(""))).alias("h"))
+    counts = {r["lang"]: r["n"] for r in keyed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not counts:
+        return fit({})
+    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, float(min(1.0, (2.5 * per_language + 64) / max(1, n))))))
+    low = F.col("h") / F.lit(2.0**64) + F.lit(0.5) <= share[F.col("lang")]
+    order = Window.partitionBy("lang").orderBy("h", "k")
+    chosen = keyed.where(low).distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select(F.col("k").alias("k2"), F.col("lang").alias("l2"), "h")
+    picked = rows.join(F.broadcast(chosen), F.col("k").eqNullSafe(F.col("k2")) & (F.col("lang") == F.col("l2")))
+    # Repeated keys may bring more rows: of each language the first stay, by the same order and then by text.
+    picked = picked.withColumn("t", F.xxhash64("text")).groupBy("lang", "h", "k", "t").agg(F.min("text").alias("text"))
+    picked = picked.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "k", "t"))).where(F.col("n") <= per_language).select("lang", "text")
     packed: dict[str, list[bytes]] = {}
     for r in picked.mapInArrow(_features, "lang string, bits binary").toLocalIterator():
-        own = packed.setdefault(r["lang"], [])
-        if len(own) < 2 * per_language:  # repeated ids may bring more rows
-            own.append(bytes(r["bits"]))
-        if len(packed) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
+        packed.setdefault(r["lang"], []).append(bytes(r["bits"]))
     samples = {k: np.frombuffer(b"".join(sorted(v)), np.uint8).reshape(len(v), -1) for k, v in packed.items()}
     rng = np.random.default_rng(7)
-    return fit({k: v[rng.permutation(len(v))] for k, v in samples.items()})
+    return fit({k: v[rng.permutation(len(v))] for k, v in sorted(samples.items())})
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its score; every row stays, in one pass and without a shuffle.
 
     ``und`` with score 0 if the text is null, empty or without a letter, or nothing was learned.
-    Ties go to the language first by name. Columns named like the results are replaced.
+    Ties go to the language first by name; very long texts are scored whole; repeated rows
+    get the same; an empty table stays empty. Columns named like the results are replaced.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     shared = spark.sparkContext.broadcast((model.languages, model.weights))
     keep = [c for c in docs.columns if c.lower() not in (pred.lower(), score.lower())]
     (t,) = fresh(docs, "lid_text")
