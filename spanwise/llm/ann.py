@@ -34,9 +34,11 @@ DIMENSIONS = 8
 CONFIDENCE = 0.95
 LEAF = 128
 BLOCK = 8192
-#: Vectors in the sample that cuts the regions, and regions at most.
-SAMPLE = 4096
-REGIONS = 512
+#: Vectors in the sample that cuts the regions, at least and at most, and regions at most. Beyond
+#: REGIONS * BLOCK vectors a block grows, up to MAX_BLOCK, before regions are split by id.
+SAMPLE, MAX_SAMPLE = 4096, 16384
+REGIONS = 4096
+MAX_BLOCK = 65536
 K = 10
 SEED = 20240229
 
@@ -221,8 +223,10 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     Null, empty and zero vectors and those with a null or non-finite component take no part
     on either side, nor do null ids. A query meets vectors of its own size only. With fewer
     than ``k`` candidates all are returned; equal distances go by the smaller id; repeated
-    rows of a candidate count as one, as do repeated rows of a query. ``dimensions`` must
-    be even. An empty table on either side gives an empty result.
+    rows of a candidate count as one, as do repeated rows of a query. Queries of one id and
+    different vectors are ranked each by itself; candidates of one id and different vectors
+    may take a rank each. ``dimensions`` must be even. Other columns do not matter. An empty
+    table on either side gives an empty result.
     """
     if dimensions % 2 or dimensions < 2:
         raise ValueError("dimensions must be even")
@@ -236,8 +240,10 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
 
     held, asked = clean(vectors), clean(queries).dropDuplicates(["id", "v"])
     total = held.count()
+    block = min(max(block, math.ceil(total / REGIONS)), max(block, MAX_BLOCK))
+    n_sample = min(MAX_SAMPLE, max(SAMPLE, 8 * math.ceil(total / block)))
     sample: dict[int, dict[int, list[float]]] = {}
-    for r in held.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect():
+    for r in held.orderBy(F.xxhash64("id"), "id").limit(n_sample).collect():
         sample.setdefault(len(r["v"]), {}).setdefault(r["id"], r["v"])
     size = sum(map(len, sample.values()))
     regions = {d: Regions(np.array(list(x.values())), np.array(list(x), np.int64), min(REGIONS, math.ceil(total / block * len(x) / size)), dimensions, confidence) for d, x in sample.items()}
@@ -258,24 +264,25 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
                     some = part.slice(at, 256)
                     goals = [own.reach(i, q, k) if own else (np.zeros(1, np.int64), math.inf) for i, q in zip(some.column(0).to_pylist(), _matrix(some.column(1), dim))]
                     out = some.take(pa.array(np.repeat(np.arange(len(goals)), [len(g) for g, _ in goals])))
-                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.full(out.num_rows, dim, np.int32)), pa.array(np.concatenate([g for g, _ in goals]).astype(np.int32)), pa.array(np.repeat([x for _, x in goals], [len(g) for g, _ in goals]))], names=["id", "v", "dim", "region", "bound"])
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.full(out.num_rows, dim, np.int32)), pa.array(np.concatenate([g for g, _ in goals]).astype(np.int32)), pa.array(np.repeat([x for _, x in goals], [len(g) for g, _ in goals]))], names=["id", "v", "which", "dim", "region", "bound"])
 
+    asked = asked.withColumn("which", F.xxhash64("v"))  # tells queries of one id apart
     data = materialise(held.mapInArrow(place, "id long, v array<double>, dim int, region int"), "vectors")
     # At most REGIONS rows for each size of vector.
     parts = data.groupBy("dim", "region").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    aimed = asked.mapInArrow(aim, "id long, v array<double>, dim int, region int, bound double").join(parts, ["dim", "region"])
-    rows_ = data.join(parts, ["dim", "region"]).select("dim", "region", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(None).cast("double").alias("bound"), "id", "v")
-    spread = aimed.select("dim", "region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "bound", "id", "v")
+    aimed = asked.mapInArrow(aim, "id long, v array<double>, which long, dim int, region int, bound double").join(parts, ["dim", "region"])
+    rows_ = data.join(parts, ["dim", "region"]).select("dim", "region", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(None).cast("double").alias("bound"), "id", "v", F.lit(0).cast("long").alias("which"))
+    spread = aimed.select("dim", "region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "bound", "id", "v", "which")
     n_tasks = max(1, math.ceil(total / block))
     dealt = rows_.unionByName(spread).repartition(n_tasks, "dim", "region", "part").sortWithinPartitions("dim", "region", "part", F.col("bound").isNotNull(), "id")
-    schema = pa.schema([("query_id", pa.int64()), ("vec", pa.int64()), ("score", pa.float64())])
+    schema = pa.schema([("query_id", pa.int64()), ("which", pa.int64()), ("vec", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             now, ids, blocks, index = None, [], [], None
             for b in batches:
                 dim, region, part = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-                bound, ident, lists = b.column(3).to_pylist(), b.column(4).to_numpy(zero_copy_only=False), b.column(5)
+                bound, ident, lists, which = b.column(3).to_pylist(), b.column(4).to_numpy(zero_copy_only=False), b.column(5), b.column(6).to_pylist()
                 is_query = np.array([x is not None for x in bound])
                 cuts = np.flatnonzero((np.diff(dim) != 0) | (np.diff(region) != 0) | (np.diff(part) != 0) | np.diff(is_query)) + 1
                 for lo, hi in zip([0, *cuts], [*cuts, len(dim)]):
@@ -296,14 +303,14 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
                             _, first = np.unique(bytes_, axis=0, return_index=True)
                         index = Block(all_ids[first], all_rows[first], dimensions, confidence)
                     if index is not None:
-                        for q, v, most in zip(ident[lo:hi].tolist(), x, bound[lo:hi]):
+                        for q, v, most, w in zip(ident[lo:hi].tolist(), x, bound[lo:hi], which[lo:hi]):
                             for d, i in index.nearest(q, v, k, most):
-                                yield q, i, d
+                                yield q, w, i, d
 
         return as_batches(schema, rows())
 
-    found = dealt.mapInArrow(run, "query_id long, vec long, score double")
+    found = dealt.mapInArrow(run, "query_id long, which long, vec long, score double")
     # A row for each query, block and neighbour: k for each block, merged by a sorted list of the k best.
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct("score", "vec"))), 1, k).alias("best"))
+    best = found.groupBy("query_id", "which").agg(F.slice(F.array_sort(F.collect_set(F.struct("score", "vec"))), 1, k).alias("best"))
     ranked = best.select("query_id", F.posexplode("best").alias("pos", "x"))
     return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec").alias(key), F.col("x.score").alias("score"))

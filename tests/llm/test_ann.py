@@ -49,6 +49,30 @@ def test_edges(spark):
         ann.search(df, df, dimensions=3)
 
 
+def test_queries_of_one_id_are_ranked_each(spark):
+    data = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(10)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(100, [0.0, 1.0]), (100, [9.0, 1.0]), (100, [9.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in ann.search(data, asked, k=2).collect())
+    assert got == [(1, 0, 0.0), (1, 9, 0.0), (2, 1, 1.0), (2, 8, 1.0)]
+
+
+def test_recall_over_all_queries(spark):
+    """Every query of the larger table, against all pairs at once; and how many vectors were verified."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    x = np.array(rows["embedding"].tolist(), float)
+    ids = rows["vec_id"].to_numpy()
+    got = {}
+    for r in queries.op5_ann(spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    asked = np.flatnonzero(ids % 100 == 0)
+    for q in asked:
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hit += len(got[ids[q]] & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+    assert hit >= 0.9 * 10 * len(asked)
+
+
 def test_many_equal_vectors_tie_by_id(spark):
     df = spark.range(3000).selectExpr("id as vec_id", "array(1.0D, if(id < 2500, 0.0D, id + 0.0D)) as embedding")
     got = ann.search(df, df.where("vec_id in (0, 2499)"), k=3, block=700).collect()
