@@ -5,7 +5,7 @@ the smallest of them, until the edges are stars around each component's smallest
 The number of rounds grows with the logarithm of the edges. A round is two minima by node
 (with map-side partial minima) and joins with them, so no node's neighbours are gathered;
 joins on a hub are left to adaptive skew splitting. Each round is written to the shared
-folder, which cuts the lineage.
+folder, which cuts the lineage, and the round before is deleted.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise
+from .runtime import discard, materialise
 
 MAX_ROUNDS = 60
 
@@ -36,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = materialise(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a != b").distinct(), "edges")
     before = None
     for _ in range(MAX_ROUNDS):
-        e = materialise(_star(_star(e, True), False), "edges")
+        last, e = e, materialise(_star(_star(e, True), False), "edges")
+        discard(last)
         # A sum of hashes tells whether the edges changed, in one aggregate without sorting.
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import as_batches, bounded_batches, fresh, utf8
+from .runtime import as_batches, fresh, utf8
 
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that a passage must reach.
@@ -210,7 +210,6 @@ def find_leaks(docs: DataFrame, indexes: list[Index], key: str = "doc_id", text:
     give repeated results; an empty table on either side gives an empty result.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     src = docs.select(F.col(key).cast("long").alias("key"), utf8(text).alias("text"))
     schema = pa.schema([("key", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
     out = None
@@ -236,7 +235,6 @@ def find_leaks(docs: DataFrame, indexes: list[Index], key: str = "doc_id", text:
 def drop_contaminated(docs: DataFrame, indexes: list[Index], text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """``docs`` without the rows whose text holds a test item; in one pass, all columns as they are."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     n = len(docs.columns)
     (t,) = fresh(docs, "dc_text")
     for index in indexes:

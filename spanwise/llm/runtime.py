@@ -38,7 +38,7 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    """Delete this application's folder when the driver's process ends; a session that is gone already leaves it."""
+    """Delete a folder; at the end of the driver, a session that is gone already leaves it."""
     try:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -49,19 +49,31 @@ def _remove(spark: SparkSession, path: str) -> None:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs a re-read, not a re-computation.
+    This cuts the lineage: a lost executor costs a re-read, not a re-computation. While it
+    is written, Arrow batches hold ``TEXT_BATCH_ROWS`` rows at most; Spark bounds their bytes
+    in any case (64 MB unless set otherwise). The session's own setting is put back.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    rows = int(own)
+    try:
+        if not 0 < rows <= TEXT_BATCH_ROWS:
+            spark.conf.set(key, str(TEXT_BATCH_ROWS))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, own)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of texts small enough for a worker of a few hundred MB."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > TEXT_BATCH_ROWS:
-        spark.conf.set(key, str(TEXT_BATCH_ROWS))
+def discard(df: DataFrame) -> None:
+    """Delete a materialised table that no later plan reads."""
+    spark = df.sparkSession
+    root = shared_root(spark)
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if root in path:
+            _remove(spark, path)
 
 
 def utf8(column: str):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .runtime import as_batches, bounded_batches, fresh, materialise, utf8
+from .runtime import as_batches, fresh, materialise, utf8
 
 SHINGLE = 3
 SEED = 42
@@ -62,7 +62,6 @@ def _signed(x: int) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint", shingle: int = SHINGLE) -> DataFrame:
     """``docs`` without ``text`` and with the fingerprint as a signed long. Null and wordless texts get 0."""
-    bounded_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in (text, out)]
     (t,) = fresh(docs, "sh_text")
     src = docs.select(*(F.col(f"`{c}`") for c in keep), utf8(text).alias(t))

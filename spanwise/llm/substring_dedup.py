@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import as_batches, bounded_batches, materialise, utf8
+from .runtime import as_batches, materialise, utf8
 
 WINDOW = 13
 HASH_BITS = 48
@@ -314,7 +314,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     words nor take any away; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     src = docs.select(F.col(key).cast("long").alias("key"), utf8(text).alias("body"))
     total = src.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     buckets = 1 << max(0, math.ceil(math.log2(max(1, total / bucket_bytes))))

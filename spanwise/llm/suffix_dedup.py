@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import as_batches, bounded_batches, materialise, utf8
+from .runtime import as_batches, materialise, utf8
 from .substring_dedup import _join, _pack_ids, _split, _squeeze, _unsqueeze
 
 LENGTH = 200
@@ -405,7 +405,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     spark = docs.sparkSession
-    bounded_batches(spark)
     src = materialise(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("key"), utf8(text).alias("body")), "rows")
     total = src.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     buckets = 1 << max(0, math.ceil(math.log2(max(1, total / bucket_bytes))))
