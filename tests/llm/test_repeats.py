@@ -67,6 +67,18 @@ def test_colliding_hashes_remove_nothing(spark, monkeypatch):
     assert all(r["n_removed"] <= truth[str(r["key"])][2] or str(r["key"]) == str(rows[0][0]) for r in got)
 
 
+@pytest.mark.parametrize(("bits", "parts", "fan", "bucket_bytes"), [(1, 1, 1024, 12_000_000), (1, 2, 1024, 12_000_000), (3, 4, 2, 60), (64, 4, 2, 60)])
+def test_equal_hashes_lose_no_repeat(spark, monkeypatch, bits, parts, fan, bucket_bytes):
+    """Hashes of a few bits collide all the time; the result is still that of brute force, however rows are dealt out."""
+    for name, value in (("HASH_BITS", bits), ("FAN", fan), ("FLUSH", 50), ("AGAIN", 3)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    own = {k: t for k, t in word_docs(7, 20) if k is not None}
+    rows = [*own.items(), *list(own.items())[:2], (None, "a b c d e f"), (-99, "q r s t"), (99_998, "u v w x"), (99_999, "u v w x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = substring_dedup.remove_repeats(df, window=4, bucket_bytes=bucket_bytes).collect()
+    assert sorted((str(r["key"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == slow_words(rows, 4)
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_matching_statistics(seed):
     rng = random.Random(seed)
