@@ -4,7 +4,7 @@ First pass: each page is parsed and its containers are scored by the text they h
 is no link and lies in no menu, form, advert or the like; the page votes for the
 generalised tag-class path of the smallest container that holds nearly all of it. Votes
 are counted by (host, path) in Spark, with map-side sums, so a hot host is no large group;
-each host keeps its ``PATHS`` best paths. Second pass: each page takes the text of the
+each host keeps the paths with at least a ``LEAST_SHARE`` of its votes. Second pass: each page takes the text of the
 first of its host's winning paths that it has, or of its own best container if it has
 none. A path is a 64-bit chain hash of tags and classes without digits.
 
@@ -21,13 +21,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import as_batches, materialise
 
-#: Paths that a host keeps.
-PATHS = 4
+#: Share of a host's votes that a path needs: a hundred paths can have it.
+LEAST_SHARE = 0.01
 #: Share of the page's main text that a container must hold to be preferred over one around it.
 ENOUGH = 0.9
 #: Most (host, path) rows that are broadcast.
@@ -47,10 +47,16 @@ JUNK_WORDS = frozenset(
     "ad ads adbox adsense adslot adunit advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment commentary commentlist comments consent contentinfo cookie cookies copyright discussion disqus dropdown footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup promo promoted promotion recommended register related replies reply respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar topbar tracking widget widgets".split()
 )
 #: Words before a junk word that make it a statement about the layout.
-LAYOUT_WORDS = frozenset(("free", "has", "long", "no", "with", "without"))
+LAYOUT_WORDS = frozenset(("category", "free", "has", "long", "no", "tag", "with", "without"))
 #: Of the junk words, those of a heading area, whose headings belong to an article that it lies in.
 HEADER_WORDS = frozenset(("header", "masthead"))
 MAIN_WORDS = frozenset("article articlebody body content entry main post story text".split())
+#: Of the junk words, those of readers' comments.
+COMMENT_WORDS = frozenset("comment commentary commentlist comments discussion disqus replies reply respond".split())
+#: Inline elements that hold whatever stands in them, blocks too, even within a paragraph.
+HOLDERS = frozenset("button canvas map math noscript object select svg template".split())
+#: A form that holds this share of a page's text is the page, and not a form in it.
+PAGE_FORM = 0.5
 
 _TOKEN = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*(?:\"|$)|'[^']*(?:'|$))[^>\"']*)*)(?:>|$))", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
@@ -59,12 +65,16 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _DIGITS = re.compile(r"\d+")
 
 
+#: No junk, junk, a heading area, junk by its words or as a form, and readers' comments.
+_NONE, _JUNK, _HEADER, _SOFT, _COMMENTS = range(5)
+
+
 def _is_junk(tag: str, attrs: dict[str, str]) -> int:
-    """1 if an element's text is no part of an article, 2 if that is as it is a heading area, else 0."""
+    """Whether an element's text is no part of an article, and why."""
     if tag in JUNK_TAGS:
-        return 2 if tag == "header" else 1
+        return _HEADER if tag == "header" else _SOFT if tag == "form" else _JUNK
     if not attrs or tag in ("html", "body", "main", "article"):
-        return 0
+        return _NONE
     found = set()
     for name in ("class", "id", "role"):
         for value in attrs.get(name, "").split():
@@ -72,7 +82,7 @@ def _is_junk(tag: str, attrs: dict[str, str]) -> int:
             found.update(w for i, w in enumerate(words) if w in JUNK_WORDS and not (i and words[i - 1] in LAYOUT_WORDS))
             if value.lower() in JUNK_WORDS:
                 found.add(value.lower())
-    return 0 if not found else 2 if found <= HEADER_WORDS else 1
+    return _NONE if not found else _HEADER if found <= HEADER_WORDS else _COMMENTS if found & COMMENT_WORDS else _SOFT
 
 
 class Page:
@@ -81,17 +91,68 @@ class Page:
     def __init__(self, html: str | None):
         self.parent: list[int] = [-1]
         self.path: list[int] = [0]
-        self.junk: list[int] = [0]
+        self.tag: list[str] = ["#"]
+        self.kind: list[int] = [_NONE]
         self.bonus: list[bool] = [False]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self._read(html or "")
+        self.junk = self._judge()
+        if kept := self._rescued():
+            for e in kept:
+                self.kind[e] = _NONE
+            self.junk = self._judge()
+
+    def _judge(self) -> list[int]:
+        """Of each element 0 if its text counts, 1 if it is junk, 2 if it lies in a heading area."""
+        junk, main = [0] * len(self.kind), [False] * len(self.kind)
+        for e in range(1, len(self.kind)):
+            up, kind = self.parent[e], self.kind[e]
+            own = 2 if kind == _HEADER else 1 if kind else 0
+            if junk[up] == 2 and own != 1:  # of a heading area, an article's own headings
+                own = 0 if self.tag[e] in HEADINGS and main[up] else 2
+            junk[e] = 1 if junk[up] == 1 else own
+            main[e] = main[up] or self.bonus[e]
+        return junk
+
+    def _mass(self, counts) -> list[float]:
+        """Characters outside links below each element, of the blocks whose element counts."""
+        mass = [0.0] * len(self.parent)
+        for e, t, linked in self.blocks:
+            if counts(e):
+                mass[e] += max(0.0, len(t) - 2.0 * linked)
+        for e in range(len(mass) - 1, 0, -1):
+            mass[self.parent[e]] += mass[e]
+        return mass
+
+    def _rescued(self) -> list[int]:
+        """Forms and elements of a junk word that hold the page's article and are no junk therefore."""
+        soft = [e for e, k in enumerate(self.kind) if k == _SOFT]
+        if not soft:
+            return []
+        hard = [False] * len(self.kind)  # within junk of any other kind
+        for e in range(1, len(hard)):
+            hard[e] = hard[self.parent[e]] or self.kind[e] in (_JUNK, _COMMENTS) or self.kind[e] == _HEADER and self.tag[e] == "header"
+        left, whole = self._mass(lambda e: not self.junk[e]), self._mass(lambda e: not hard[e])
+        if any(self.tag[e] in ("article", "main") and not self.junk[e] for e in range(len(hard))):
+            return []
+        held = [e for e in range(len(hard)) if not hard[e] and 4 * left[0] < whole[e]]  # far more than all that is no junk
+        inner = [e for e in held if self.tag[e] in ("article", "main")]
+        goals = [max(inner, key=lambda e: (whole[e], -e))] if inner else []
+        goals += [e for e in held if self.tag[e] == "form" and whole[e] >= PAGE_FORM * whole[0]]
+        out = set()
+        for e in goals:
+            while e > 0:
+                if self.kind[e] == _SOFT:
+                    out.add(e)
+                e = self.parent[e]
+        return sorted(out)
 
     def _read(self, s: str) -> None:
         stack, tags, opened = [0], ["#"], Counter({"#": 1})
         held: list[str] = []
         linked, in_link = 0, False
         sub = 0  # open inline junk, such as a span of class "ad"
-        inline: list[tuple[str, bool]] = []
+        inline: list[tuple[str, int]] = []
         within: Counter[str] = Counter()  # open inline elements by tag
 
         def flush():
@@ -115,6 +176,23 @@ class Page:
                 stack.pop()
                 opened[tags.pop()] -= 1
 
+        def pop(tag: str):
+            """Close the innermost open element of that tag and all in it."""
+            i = len(tags) - 1
+            while tags[i] != tag:
+                i -= 1
+            pop_to(i)
+
+        def push(tag: str, path: int, kind: int, bonus: bool):
+            self.parent.append(stack[-1])
+            self.path.append(path)
+            self.tag.append(tag)
+            self.kind.append(kind)
+            self.bonus.append(bonus)
+            stack.append(len(self.parent) - 1)
+            tags.append(tag)
+            opened[tag] += 1
+
         at = 0
         while True:
             lt = s.find("<", at)
@@ -135,12 +213,14 @@ class Page:
             if m[1]:
                 if tag in BLOCKS:
                     flush()
-                    inline, within, sub, in_link = [], Counter(), 0, False
                     if opened[tag] > 0:
-                        i = len(tags) - 1
-                        while tags[i] != tag:
-                            i -= 1
-                        pop_to(i)
+                        inline, within, sub, in_link = [], Counter(), 0, False
+                        pop(tag)
+                elif opened[tag] > 0 and not within[tag]:  # inline junk that blocks lie in
+                    flush()
+                    inline, within, sub, in_link = [], Counter(), 0, False
+                    pop(tag)
+                    continue
                 elif tag == "a":
                     in_link = False
                 elif tag == "br":
@@ -149,7 +229,7 @@ class Page:
                     while True:
                         t, j = inline.pop()
                         within[t] -= 1
-                        sub -= j
+                        sub -= j > 0
                         if t == tag:
                             break
                 continue
@@ -164,18 +244,24 @@ class Page:
                 if tag == "br":
                     text(" ")
                 elif tag not in VOID and not m[3].rstrip().endswith("/"):
-                    j = bool(_is_junk(tag, attrs))
+                    j = _is_junk(tag, attrs)
                     inline.append((tag, j))
                     within[tag] += 1
-                    sub += j
+                    sub += j > 0
                 continue
             flush()
+            around = [x for x in inline if x[1]] if sub else []
             inline, within, sub, in_link = [], Counter(), 0, False
-            if opened["p"] > 0:
+            if opened["p"] > 0 and not any(t in HOLDERS for t, _ in around):
+                # A paragraph ends where a block begins, and all that is open in it, unless something between holds the block.
                 i = len(tags) - 1
-                while tags[i] != "p":
+                while tags[i] != "p" and tags[i] not in HOLDERS:
                     i -= 1
-                pop_to(i)
+                if tags[i] == "p":
+                    pop_to(i)
+                    around = []
+            for t, kind in around:
+                push(t, xxhash.xxh64_intdigest(f"{self.path[stack[-1]]:x}>{t}") >> 1, kind, False)
             closes = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}.get(tag)
             if closes and any(opened[t] > 0 for t in closes[0]):
                 for i in range(len(tags) - 1, 0, -1):
@@ -187,28 +273,14 @@ class Page:
             if tag == "hr":
                 continue
             names = sorted({_DIGITS.sub("#", c.lower()) for c in attrs.get("class", "").split()})
-            up = stack[-1]
-            self.parent.append(up)
-            self.path.append(xxhash.xxh64_intdigest(f"{self.path[up]:x}>{tag}.{'.'.join(names)}") >> 1)
-            junk = _is_junk(tag, attrs)
-            if self.junk[up] == 2 and junk != 1:  # in a heading area
-                junk = 0 if tag in HEADINGS and any(self.bonus[e] for e in stack) else 2
-            self.junk.append(1 if self.junk[up] == 1 else junk)
             words = {w.lower() for k in ("class", "id", "role", "itemprop") for w in _WORD.findall(attrs.get(k, ""))} if attrs else set()
-            self.bonus.append(tag in ("article", "main") or tag not in ("html", "body") and bool(words & MAIN_WORDS))
-            stack.append(len(self.parent) - 1)
-            tags.append(tag)
-            opened[tag] += 1
+            bonus = tag in ("article", "main") or tag not in ("html", "body") and bool(words & MAIN_WORDS)
+            push(tag, xxhash.xxh64_intdigest(f"{self.path[stack[-1]]:x}>{tag}.{'.'.join(names)}") >> 1, _is_junk(tag, attrs), bonus)
         flush()
 
     def best(self) -> tuple[int, float] | None:
         """(element, score) of the container that holds the main text, or None if there is none."""
-        mass = [0.0] * len(self.parent)
-        for e, t, linked in self.blocks:
-            if not self.junk[e]:
-                mass[e] += max(0.0, len(t) - 2.0 * linked)
-        for e in range(len(mass) - 1, 0, -1):
-            mass[self.parent[e]] += mass[e]
+        mass = self._mass(lambda e: not self.junk[e])
         if mass[0] <= 0:
             return None
         at = 0
@@ -252,12 +324,13 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return as_batches(pa.schema([("host", pa.string()), ("path", pa.int64()), ("score", pa.float64())]), rows())
 
 
-def vote(pages: DataFrame, url: str = "url", html: str = "html", paths: int = PATHS) -> DataFrame:
+def vote(pages: DataFrame, url: str = "url", html: str = "html", least_share: float = LEAST_SHARE) -> DataFrame:
     """(host, paths): each host's winning paths, most votes first, then most text, then the smaller hash."""
     src = pages.select(host_of(F.col(url)).alias("host"), F.col(html).cast("string").alias("html"))
-    counted = src.mapInArrow(_votes, "host string, path long, score double").groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("score"), "path"))).where(F.col("rank") <= paths)
-    return ranked.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
+    counted = materialise(src.mapInArrow(_votes, "host string, path long, score double").groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score")), "votes")
+    total = counted.groupBy(F.col("host").alias("of")).agg(F.sum("votes").alias("total"))
+    won = counted.join(total, F.col("host") == F.col("of")).where(F.col("votes") >= F.col("total") * least_share)
+    return won.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("votes"), -F.col("score"), "path"))), lambda x: x["path"]).alias("paths"))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", broadcast_paths: int = BROADCAST_PATHS) -> DataFrame:

@@ -1,5 +1,7 @@
 import html
+import random
 import re
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -41,6 +43,50 @@ def test_junk_ends_behind_many_open_inline_elements():
     assert text_of("<article><p>Before <span class=ad>buy " + "<b>" * 40 + "now</span> and after</p></article>") == "Before and after"
 
 
+@pytest.mark.parametrize("junk", [
+    "<noscript><p>J</p></noscript>", "<template><div>J</div></template>", "<button><div>J</div></button>", "<label><p>J</p></label>", "<object><p>J</p></object>", "<select><option>J<option>J</select>",
+    "<svg><text>J</text></svg>", '<span class="ad"><div>J</div></span>', '<a class="advert"><div>J</div></a>', '<span class="ad"><div>J</div>J<div>J</div></span>', '<p><button><div>J</div></button></p>',
+])
+def test_junk_around_blocks_goes(junk):
+    assert text_of(f"<article><p>Main text.</p>{junk}<p>More of it.</p></article>") == "Main text.\nMore of it."
+
+
+@pytest.mark.parametrize("page", [
+    "<form><article><p>Main text.</p></article></form>", '<form id="aspnetForm"><div><input><label>L</label><p>Main text.</p></div></form>', '<div class="post category-social"><p>Main text.</p></div>',
+    '<div class="notice"><article><p>Main text.</p></article></div>', '<article><p>Main text.</p><form>Search this site</form></article><div class="comments"><article><p>A reader has much more to say</p></article></div>',
+])
+def test_forms_and_class_words_do_not_empty_a_page(page):
+    assert text_of(f"<body><nav>menu</nav>{page}</body>") == "Main text."
+
+
+def test_junk_that_never_ends_is_closed_by_its_container():
+    assert text_of("<article><div><p>a</p><span class=ad><p>J</div><p>b</p></article>") == "a\nb"
+    assert text_of("<article><p>a <span class=ad>J<p>b</article>") == "a\nb"
+
+
+def test_votes_against_brute_force(spark):
+    """Pages without an article: six layouts a host, some pages with two of them; each page takes the most voted that it has."""
+    rng = random.Random(4)
+    words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    rows = []
+    for i in range(120):
+        layouts = rng.sample(["zero", "one", "two", "three", "four", "five"], rng.choice([1, 1, 2]))
+        rows.append((i, f"https://h{i % 3}.example/{i}", "".join(f"<div class='{c}'><p>{words(rng.randrange(3, 60))}</p></div>" for c in layouts) + "<p>tail</p>" * (i % 2)))
+    pages = [(i, u.split("/")[2], Page(h)) for i, u, h in rows]
+    votes, mass = defaultdict(Counter), defaultdict(Counter)
+    for _, host, p in pages:
+        e, score = p.best()
+        votes[host][p.path[e]] += 1
+        mass[host][p.path[e]] += score
+    slow = {}
+    for i, host, p in pages:
+        order = sorted((x for x, n in votes[host].items() if n >= 0.01 * sum(votes[host].values())), key=lambda x: (-votes[host][x], -mass[host][x], x))
+        slow[i] = next(t for x in order if (t := p.text_of(path=x)) is not None)
+    assert max(map(len, votes.values())) > 4
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == slow
+
+
 def test_heading_areas():
     """Headings of an article's own heading area stay; a site's do not. A byline elsewhere is text."""
     page = """<body class="single-post"><div class="site-header"><h1>Site</h1></div><div class="post"><div class="post-header"><h2>Title</h2><p>meta</p><nav><h2>m</h2></nav></div>
