@@ -3,8 +3,10 @@
 The test items are indexed: a posting list for each word, in blocks with their largest
 impact. An impact is the word's BM25 weight in the item divided by the item's own score
 (the score of a passage that holds all its words), so one threshold serves short and long
-items. Every document is cut into passages of twice the longest item's words that overlap
-by half, so any copy of an item lies whole in one passage. Each passage is a query. Items
+items. Items of like length (within a factor of two) share an index. For each of these a
+document is cut into passages of twice its longest item's words that overlap by half, so
+any copy of an item lies whole in one passage, and one long item makes no passages of the
+others longer. Each passage is a query. Items
 also lie in blocks of their own, and for all passages of a document at once the sum of
 their words' largest impacts in each block is taken; where no block can reach the
 threshold, the query ends there. For the others block-max WAND retrieves all items that
@@ -73,23 +75,36 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return ("\n".join(lines[:-1]), lines[-1]) if len(lines) > 1 else (text, "")
 
 
+Item = tuple[int, str, list[bytes]]
+
+
+def usable(items: list[tuple[int, str]]) -> list[Item]:
+    """Items with their words, in order. Those without a word are left out; equal rows count once."""
+    return [(i, t, w) for i, t in sorted({x for x in items if x[0] is not None and x[1] is not None}) if (w := words(t))]
+
+
+def counts(kept: list[Item]) -> tuple[int, float, Counter]:
+    """Number of items, their mean length, and the number of items that hold each word."""
+    return len(kept), sum(len(w) for _, _, w in kept) / max(1, len(kept)), Counter(t for _, _, w in kept for t in set(w))
+
+
 class Index:
-    """Postings of (item_id, text) rows. Items without a word are left out; equal rows count once."""
+    """Postings of (item_id, text) rows; ``corpus`` has the counts that words are weighted by, if not these rows'."""
 
-    def __init__(self, items: list[tuple[int, str]], block: int = BLOCK):
-        kept = [(i, t, w) for i, t in sorted({x for x in items if x[0] is not None and x[1] is not None}) if (w := words(t))]
+    def __init__(self, items: list[tuple[int, str]], block: int = BLOCK, corpus: tuple[int, float, Counter] | None = None):
+        kept = usable(items)
+        n_items, mean, df = corpus or counts(kept)
         self.block = block
         self.ids = [i for i, _, _ in kept]
         self.parts = [tuple(shingles(words(x)) for x in question_and_answer(t)) for _, t, _ in kept]
         self.short = [tuple(len(words(x)) for x in question_and_answer(t)) for _, t, _ in kept]
         self.longest = max((len(w) for _, _, w in kept), default=0)
-        mean = sum(len(w) for _, _, w in kept) / max(1, len(kept))
-        df = Counter(t for _, _, w in kept for t in set(w))
-        self.vocabulary = {t: n for n, t in enumerate(sorted(df))}
-        self.items: list[list[int]] = [[] for _ in df]
-        self.impacts: list[list[float]] = [[] for _ in df]
+        own_words = sorted({t for _, _, w in kept for t in w})
+        self.vocabulary = {t: n for n, t in enumerate(own_words)}
+        self.items: list[list[int]] = [[] for _ in own_words]
+        self.impacts: list[list[float]] = [[] for _ in own_words]
         for at, (_, _, w) in enumerate(kept):
-            weight = {t: math.log(1 + (len(kept) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(w) / mean)) for t, n in Counter(w).items()}
+            weight = {t: math.log(1 + (n_items - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(w) / mean)) for t, n in Counter(w).items()}
             own = sum(weight.values())
             for t, x in weight.items():
                 self.items[self.vocabulary[t]].append(at)
@@ -97,7 +112,7 @@ class Index:
         self.block_max = [[max(x[i : i + block]) for i in range(0, len(x), block)] for x in self.impacts]
         self.bound = np.array([max(x) for x in self.impacts] or [0.0])
         size = max(ITEM_BLOCK, math.ceil(len(kept) / ITEM_BLOCKS))
-        self.by_block = np.zeros((len(df), math.ceil(len(kept) / size)), np.float32)
+        self.by_block = np.zeros((len(own_words), math.ceil(len(kept) / size)), np.float32)
         for t, (items_, impacts) in enumerate(zip(self.items, self.impacts)):
             np.maximum.at(self.by_block[t], np.array(items_) // size, np.array(impacts, np.float32))
 
@@ -146,12 +161,14 @@ class Index:
         """For each item that the text holds: score, question overlap and answer overlap of its best passage."""
         out: dict[int, tuple[float, float, float]] = {}
         w = words(text)
-        if not w or not self.ids:
-            return out
-        ids = np.fromiter(map(self.vocabulary.get, w, repeat(-1)), np.int64, len(w))
+        self.search(w, np.fromiter(map(self.vocabulary.get, w, repeat(-1)), np.int64, len(w)), threshold, overlap, out)
+        return out
+
+    def search(self, w: list[bytes], ids: np.ndarray, threshold: float, overlap: float, out: dict[int, tuple[float, float, float]]) -> None:
+        """``leaks`` of words whose numbers in the vocabulary are known, -1 for others, put into ``out``."""
         known = np.flatnonzero(ids >= 0)
         if not len(known):
-            return out
+            return
         stride = max(self.longest, 32)
         count = max(1, math.ceil((len(w) - stride) / stride))
         # A word lies in the passage that begins in its stride and in the one before.
@@ -166,7 +183,6 @@ class Index:
         for lo, hi in zip(cuts, np.append(cuts[1:], len(key))):
             if lo < hi:
                 self._query(w, passage[lo:hi], terms[lo:hi], stride, threshold, overlap, out)
-        return out
 
     def _query(self, w, passage, terms, stride, threshold, overlap, out) -> None:
         starts = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
@@ -195,19 +211,46 @@ class Index:
         return len(part & held) / len(part)
 
 
-def build_indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", index_chars: int = INDEX_CHARS) -> list[Index]:
-    """One index, or as many as hold ``index_chars`` characters of items each."""
+class Indexes:
+    """Of items, an index for each class of like lengths; words are weighted by the counts of all."""
+
+    def __init__(self, items: list[tuple[int, str]], block: int = BLOCK):
+        kept = usable(items)
+        corpus = counts(kept)
+        self.vocabulary = {t: n for n, t in enumerate(sorted(corpus[2]))}
+        classes: dict[int, list[tuple[int, str]]] = {}
+        for i, t, w in kept:
+            classes.setdefault((max(len(w), 32) - 1).bit_length(), []).append((i, t))
+        self.parts = [(Index(own, block, corpus)) for _, own in sorted(classes.items())]
+        self.numbers = [np.full(len(self.vocabulary) + 1, -1, np.int64) for _ in self.parts]  # the last is that of unknown words
+        for part, numbers in zip(self.parts, self.numbers):
+            numbers[[self.vocabulary[t] for t in part.vocabulary]] = np.arange(len(part.vocabulary))
+
+    def leaks(self, text: str | bytes | None, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> dict[int, tuple[float, float, float]]:
+        """For each item that the text holds: score, question overlap and answer overlap of its best passage."""
+        out: dict[int, tuple[float, float, float]] = {}
+        w = words(text)
+        ids = np.fromiter(map(self.vocabulary.get, w, repeat(-1)), np.int64, len(w))
+        if (ids >= 0).any():
+            for part, numbers in zip(self.parts, self.numbers):
+                part.search(w, numbers[ids], threshold, overlap, out)
+        return out
+
+
+def build_indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", index_chars: int = INDEX_CHARS) -> list[Indexes]:
+    """One set of indexes, or as many as hold ``index_chars`` characters of items each."""
     src = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")).where("i is not null and t is not null")
     chars = src.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, math.ceil(chars / index_chars))
-    return [Index([(r["i"], r["t"]) for r in src.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()]) for k in range(n)]
+    return [Indexes([(r["i"], r["t"]) for r in src.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()]) for k in range(n)]
 
 
-def find_leaks(docs: DataFrame, indexes: list[Index], key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+def find_leaks(docs: DataFrame, indexes: list[Indexes], key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """(key, item_id, score, question_overlap, answer_overlap) of each document and item that it holds.
 
     Null, empty and wordless texts hold none, as do null or wordless items; repeated rows
-    give repeated results; an empty table on either side gives an empty result.
+    give repeated results; very long texts are queried whole, a thousand passages at a time;
+    an empty table on either side gives an empty result; other columns do not matter.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(key).cast("long").alias("key"), utf8(text).alias("text"))
@@ -232,8 +275,8 @@ def find_leaks(docs: DataFrame, indexes: list[Index], key: str = "doc_id", text:
     return out
 
 
-def drop_contaminated(docs: DataFrame, indexes: list[Index], text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """``docs`` without the rows whose text holds a test item; in one pass, all columns as they are."""
+def drop_contaminated(docs: DataFrame, indexes: list[Indexes], text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """``docs`` without the rows whose text holds a test item; in one pass, all columns as they are, whatever their names."""
     spark = docs.sparkSession
     n = len(docs.columns)
     (t,) = fresh(docs, "dc_text")

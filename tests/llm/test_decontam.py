@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -49,6 +50,57 @@ def test_leaks_against_brute_force(spark):
         assert len(q & decontam.shingles(decontam.words(texts[k]))) >= 0.7 * len(q)
 
 
+def slow_leaks(text, items_, threshold=decontam.THRESHOLD, overlap=decontam.OVERLAP):
+    """Every item of a length class against every passage of a document, scored word by word."""
+    kept = [(i, t, decontam.words(t)) for i, t in sorted(set(items_))]
+    mean = sum(len(w) for _, _, w in kept) / len(kept)
+    df = {t: sum(t in w for _, _, w in kept) for _, _, x in kept for t in x}
+    weight = lambda t, w: math.log(1 + (len(kept) - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * (decontam.K1 + 1) / (w.count(t) + decontam.K1 * (1 - decontam.B + decontam.B * len(w) / mean))
+    longest = {}
+    for _, _, w in kept:
+        c = math.ceil(math.log2(max(len(w), 32)))
+        longest[c] = max(longest.get(c, 32), len(w))
+    found, own = set(), decontam.words(text)
+    for i, t, w in kept:
+        stride = longest[math.ceil(math.log2(max(len(w), 32)))]
+        parts = decontam.question_and_answer(t)
+        for at in range(0, max(1, len(own) - stride), stride):
+            passage = own[at : at + 2 * stride]
+            score = sum(weight(x, w) for x in set(w) & set(passage)) / sum(weight(x, w) for x in set(w))
+            held = decontam.shingles(passage)
+            whole = lambda p: not p or (len(p & held) / len(p) >= overlap if len(next(iter(p))) == decontam.SHINGLE else b" %s " % b" ".join(next(iter(p))) in b" %s " % b" ".join(passage))
+            if score >= threshold - 1e-9 and all(whole(decontam.shingles(decontam.words(x))) for x in parts):
+                found.add(i)
+    return found
+
+
+def test_equal_to_a_scan_of_every_item(spark):
+    rng = random.Random(11)
+    word = lambda: f"w{int(rng.paretovariate(0.6)) % 400}"
+    test = [(i, " ".join(word() for _ in range(rng.choice([2, 4, 12, 30, 40, 90, 200]))) + ("\nthe " + word() + " " + word() if i % 3 == 0 else "")) for i in range(70)]
+    docs = []
+    for d in range(60):
+        own = []
+        for _ in range(rng.randrange(5)):
+            own += [word() for _ in range(rng.randrange(60))]
+            w = rng.choice(test)[1].split()
+            for _ in range(rng.choice([0, 0, 1, 4])):
+                w[rng.randrange(len(w))] = "changed"
+            own += w[: rng.choice([len(w), len(w), len(w) - 2])]
+        docs.append((d, " ".join(own)))
+    got = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), decontam.build_indexes(spark.createDataFrame(test, "item_id long, text string"))).collect()
+    slow = {(d, i) for d, t in docs for i in slow_leaks(t, test)}
+    assert {(r["key"], r["item_id"]) for r in got} == slow and len(got) == len(slow) > 20
+
+
+def test_one_long_item_does_not_lengthen_the_passages_of_others():
+    rng = random.Random(5)
+    index = decontam.Indexes([*items(rng, 30), (999, " ".join(f"long{i}" for i in range(3000)))])
+    assert [p.longest for p in index.parts][-1] == 3000 and max(p.longest for p in index.parts[:-1]) <= 64
+    text = " ".join(f"long{i}" for i in range(3000))
+    assert set(index.leaks(f"{NOISE} {text} {NOISE}")) == {999}
+
+
 QA = [(1, "What is the name of the small river that runs behind the old mill near the town\nit is called the winding brook by all"), (2, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (3, "short one")]
 NOISE = " ".join(f"noise{i}" for i in range(500))
 
