@@ -18,7 +18,12 @@ only suffixes that begin at equal anchors need comparing, with what stands befor
    Two strings are equal if the anchors' suffixes and prefixes agree far enough, which the
    longest common prefixes in both orders tell for every offset at once.
 3. A gram with more contexts than ``CHUNK`` is sorted in chunks; the strings that a chunk
-   leaves open are compared by hash across chunks, and with one of each that repeats in a chunk.
+   leaves open are compared by a 128-bit hash across chunks, and with one of each that repeats
+   in a chunk.
+
+Contexts that occur again as a whole are told by 112 bits of hashes, of gram and context. A
+bucket of grams that holds more than ``CROWD`` anchors, since one gram has very many contexts,
+is not gathered in a task: plain aggregates by (gram, context) and by gram settle it.
 
 Rows are numbered and written once, so repeated and null ids are rows of their own.
 """
@@ -41,10 +46,12 @@ from .substring_dedup import _join, _pack_ids, _split, _squeeze, _unsqueeze
 LENGTH = 200
 GRAM = 32
 SHALLOW = 48
-CHUNK = 100_000
+CHUNK = 8192
 FLUSH = 500_000
 #: Contexts from which a worker sorts what it holds.
 HELD = 30_000
+#: Anchors in a bucket that a task settles; an even bucket has about a million.
+CROWD = 8_000_000
 BUCKET_BYTES = 96_000_000
 #: Bytes of a document that are searched for anchors at once.
 _PART = 1 << 20
@@ -251,7 +258,7 @@ def repeated_offsets(before: list[bytes], after: list[bytes], length: int = LENG
     return out, one
 
 
-_DEALT = pa.schema([("bucket", pa.int32()), ("done", pa.bool_()), ("data", pa.binary())])
+_DEALT = pa.schema([("bucket", pa.int32()), ("done", pa.bool_()), ("data", pa.binary()), ("n", pa.int64())])
 _MARKS = pa.schema([("rid", pa.int64()), ("at", pa.int64()), ("state", pa.int8()), ("gram", pa.int64()), ("chunk", pa.int32()), ("chunks", pa.int32())])
 _MARKS_DDL = "rid long, at long, state byte, gram long, chunk int, chunks int"
 #: State of an anchor: all its strings occur again; its context is to be compared; both.
@@ -275,7 +282,7 @@ def _marks(src: DataFrame, length: int, buckets: int) -> DataFrame:
             many[:-1] |= ~first[1:]
             ids, i = _pack_ids(rid[many & ~first]) if (many & ~first).any() else (None, None)
             if ids is not None:  # settled here; they pass through the next step as they are
-                yield 0, True, _join(_squeeze(ids), _squeeze(i, at[many & ~first]))
+                yield 0, True, _join(_squeeze(ids), _squeeze(i, at[many & ~first])), 0
             rid, at, gram, ctx, many = rid[first], at[first], gram[first], ctx[first], many[first]
             to = (gram % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
@@ -284,7 +291,7 @@ def _marks(src: DataFrame, length: int, buckets: int) -> DataFrame:
                 own = order[cuts[b] : cuts[b + 1]]
                 if len(own):
                     ids, i = _pack_ids(rid[own])
-                    yield b, False, _join(_squeeze(ids), _squeeze(np.diff(gram[own].astype(np.int64), prepend=np.int64(0)), ctx[own].astype(np.int64), i, at[own], many[own].astype(np.int64)))
+                    yield b, False, _join(_squeeze(ids), _squeeze(np.diff(gram[own].astype(np.int64), prepend=np.int64(0)), ctx[own].astype(np.int64), i, at[own], many[own].astype(np.int64))), len(own)
 
         def rows():
             nonlocal held, n
@@ -353,14 +360,43 @@ def _marks(src: DataFrame, length: int, buckets: int) -> DataFrame:
         if parts:
             yield from resolve(parts)
 
-    dealt = src.mapInArrow(sample, "bucket int, done boolean, data binary").withColumn("bucket", F.when(F.col("done"), F.pmod(F.xxhash64("data"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket")))
-    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, _MARKS_DDL)
+    dealt = src.mapInArrow(sample, "bucket int, done boolean, data binary, n long").withColumn("bucket", F.when(F.col("done"), F.pmod(F.xxhash64("data"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket")))
+    dealt = materialise(dealt, "dealt")
+    # One row for each crowded bucket: fewer than anchors / CROWD.
+    crowded = F.broadcast(dealt.where("n > 0").groupBy(F.col("bucket").alias("full")).agg(F.sum("n").alias("anchors")).where(F.col("anchors") > CROWD).select("full"))
+    usual = dealt.join(crowded, (F.col("bucket") == F.col("full")) & ~F.col("done"), "left_anti").select("bucket", "done", "data")
+    out = usual.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, _MARKS_DDL)
+    if crowded.limit(1).count():
+        out = out.unionByName(_settle_crowds(dealt.join(crowded, (F.col("bucket") == F.col("full")) & ~F.col("done"), "left_semi").select("data")))
+    return out
+
+
+def _settle_crowds(blobs: DataFrame) -> DataFrame:
+    """The marks of ``_marks`` for any number of anchors of one gram, by aggregates whose partial results are made where rows are read."""
+    schema = pa.schema([("gram", pa.int64()), ("ctx", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("many", pa.int64())])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0):
+                ids, body = _split(data.as_py())
+                steps, ctx, i, at, many = _unsqueeze(body, 5)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.cumsum(steps), ctx, np.cumsum(_unsqueeze(ids, 1)[0])[i], at, many)], schema=schema)
+
+    anchors_ = blobs.mapInArrow(unpack, "gram long, ctx long, rid long, at long, many long")
+    contexts = materialise(anchors_.groupBy("gram", "ctx").agg(((F.count("*") > 1) | (F.max("many") > 0)).alias("several"), F.min(F.struct("rid", "at")).alias("first")), "contexts")
+    grams = contexts.groupBy(F.col("gram").alias("of")).agg(F.count("*").alias("contexts"), F.count(F.when(~F.col("several"), 1)).alias("lone"))
+    compared = contexts.join(grams.where("contexts > 1 and lone > 0"), F.col("gram") == F.col("of"))
+    chunks = F.ceil(F.col("contexts") / CHUNK).cast("int")
+    shown = compared.select("first.rid", "first.at", F.when(F.col("several"), _SHOW).otherwise(_OPEN).cast("byte").alias("state"), "gram", F.pmod(F.xxhash64("ctx"), chunks).cast("int").alias("chunk"), chunks.alias("chunks"))
+    repeated = contexts.where("several").select(F.col("gram").alias("g"), F.col("ctx").alias("c"))
+    whole = anchors_.join(repeated, (F.col("gram") == F.col("g")) & (F.col("ctx") == F.col("c")), "left_semi").select("rid", "at", F.lit(_ALL).cast("byte").alias("state"), F.lit(0).cast("long").alias("gram"), F.lit(0).alias("chunk"), F.lit(0).alias("chunks"))
+    return shown.unionByName(whole)
 
 
 def _compare(contexts: DataFrame, length: int) -> DataFrame:
     """(rid, at, low, high, string): offsets of strings that occur again; with ``string`` one that a chunk left open, by its hash,
     or where ``rid`` is null one that occurs again in a chunk."""
-    schema = pa.schema([("rid", pa.int64()), ("at", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("string", pa.int64())])
+    schema = pa.schema([("rid", pa.int64()), ("at", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("string", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(rows):
@@ -376,8 +412,7 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
                     for t in np.flatnonzero(~hits[k, : r[5] + 1] | one[k, : r[5] + 1]).tolist():
                         s = ctx[r[5] - t : r[5] - t + length]
                         if len(s) == length:
-                            h = xxhash.xxh3_64_intdigest(s, t)
-                            yield *((None,) * 4 if hits[k, t] else (r[3], r[4], t, t)), h - (1 << 64) if h >> 63 else h
+                            yield *((None,) * 4 if hits[k, t] else (r[3], r[4], t, t)), xxhash.xxh3_128_digest(s, t)
 
         def rows():
             held = []
@@ -392,15 +427,16 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
 
         return as_batches(schema, rows())
 
-    return contexts.repartition("gram", "chunk").sortWithinPartitions("gram", "chunk").mapInArrow(run, "rid long, at long, low int, high int, string long")
+    return contexts.repartition("gram", "chunk").sortWithinPartitions("gram", "chunk").mapInArrow(run, "rid long, at long, low int, high int, string binary")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep_bytes: bool = False, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256), with ``keep_bytes`` also the bytes that stay.
 
     A row for each input row. Null texts are empty; texts shorter than ``length`` lose
-    nothing; repeated rows are each other's repeats, whatever their ids, and null ids are
-    ids like any other; an empty table gives an empty result. ``length`` is at least twice GRAM.
+    nothing, very long ones are searched a megabyte at a time; repeated rows are each other's
+    repeats, whatever their ids, and null ids are ids like any other; an empty table gives an
+    empty result; other columns do not matter. ``length`` is at least twice GRAM.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")

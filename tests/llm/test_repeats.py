@@ -149,6 +149,19 @@ def test_bytes_in_chunks_of_their_own(spark, monkeypatch, seed):
     assert sorted((str(r["key"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == slow_bytes(rows, 64)
 
 
+@pytest.mark.parametrize("chunk", [3, 8192])
+def test_crowded_buckets_by_aggregates(spark, monkeypatch, chunk):
+    """Buckets of more anchors than a task settles; some of whose grams have many contexts."""
+    for name, value in (("CROWD", 10), ("CHUNK", chunk), ("HELD", 1), ("FLUSH", 25)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rng = random.Random(chunk)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, near = word(60), [word(30) for _ in range(4)]
+    rows = [*byte_docs(6, 64), *((200 + i, word(40) + rng.choice(near) + passage + rng.choice(near) + word(40)) for i in range(30))]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), length=64, bucket_bytes=3000).collect()
+    assert sorted((str(r["key"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == slow_bytes(rows, 64)
+
+
 def test_bytes_kept_and_empty_table(spark):
     df = spark.createDataFrame([(1, "x" + "abcdefghij" * 10), (2, "abcdefghij" * 10 + "y")], "doc_id long, text string")
     got = {r["key"]: bytes(r["kept"]) for r in suffix_dedup.remove_repeats(df, length=90, keep_bytes=True).collect()}
