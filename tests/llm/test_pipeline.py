@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from spanwise.llm import decontam, line_dedup, packing, queries, simhash, stages
+from spanwise.llm import decontam, line_dedup, packing, queries, stages
 
 ROOT = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -41,21 +41,37 @@ def test_lines(steps):
         assert after[doc_id]["text"] == text and after[doc_id]["n_chars"] == len(text)
 
 
-def test_near_copies(steps):
-    rows = [(r["doc_id"], simhash.fingerprint(r["text"].encode())) for r in steps[2].collect()]
-    kept = {r["doc_id"] for r in steps[3].collect()}
-    label = {k: k for k, _ in rows}
+def groups(n, links):
+    label = list(range(n))
 
     def find(x):
         while label[x] != x:
             x = label[x]
         return x
 
-    for i, (a, x) in enumerate(rows):
-        for b, y in rows[:i]:
-            if (x ^ y).bit_count() <= 2:
-                label[max(find(a), find(b))] = min(find(a), find(b))
-    assert kept == {k for k, _ in rows if find(k) == k}
+    for i, j in links:
+        label[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(n)]
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def five_word_shingles(text):
+    w = text.encode().lower().split()
+    return frozenset(b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+
+def test_near_copies(steps):
+    """Groups by the exact Jaccard index of five-word shingles, against those of the stage: it keeps one row of each
+    group at 0.9, and drops no row but those of a group at 0.7, so its own threshold lies where 0.8 is estimated."""
+    rows = sorted((r["doc_id"], five_word_shingles(r["text"])) for r in steps[2].collect())
+    kept = {r["doc_id"] for r in steps[3].collect()}
+    pairs = [(i, j, x) for i in range(len(rows)) for j in range(i) if (x := jaccard(rows[i][1], rows[j][1])) >= 0.7]
+    close, wide = (groups(len(rows), [(i, j) for i, j, x in pairs if x >= least]) for least in (0.9, 0.7))
+    assert {k for g, (k, _) in zip(wide, rows) if rows[g][0] == k} <= kept <= {k for g, (k, _) in zip(close, rows) if rows[g][0] == k}
+    assert len(kept) < len(rows)
 
 
 def test_test_items(spark, steps):
@@ -91,6 +107,14 @@ def test_odd_rows(spark):
     assert queries.pack_documents(docs).count() == len(rows)
 
 
+def test_columns_named_like_helpers_stay(spark):
+    rows = [(i, "the house and the garden of the town " + chr(97 + i) * 3, "en", "s", 1, "p", 0.5, i, True) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, lid_pred string, lid_score double, nc_key long, key boolean")
+    for f in (stages.by_language, stages.without_boilerplate, stages.without_near_copies, stages.without_benchmark):
+        out = f(spark, docs, ROOT)
+        assert out.columns == docs.columns and {(r["lid_pred"], r["lid_score"], r["key"]) for r in out.collect()} == {("p", 0.5, True)}
+
+
 def test_the_rest_works_without_this(monkeypatch):
     for name in [m for m in sys.modules if m.startswith("spanwise.llm") or m in ("corpus_pipeline", "__spark_entry__")]:
         monkeypatch.delitem(sys.modules, name)
