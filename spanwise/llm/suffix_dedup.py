@@ -17,9 +17,11 @@ only suffixes that begin at equal anchors need comparing, with what stands befor
    characters to ``SHALLOW`` bytes, then a blind trie for each group that is still equal.
    Two strings are equal if the anchors' suffixes and prefixes agree far enough, which the
    longest common prefixes in both orders tell for every offset at once.
-3. A gram with more contexts than ``CHUNK`` is sorted in chunks; the strings that a chunk
-   leaves open are compared by a 128-bit hash across chunks, and with one of each that repeats
-   in a chunk.
+3. A gram with more contexts than ``CHUNK`` is not sorted in one task. Its contexts are
+   halved by offsets: of a range of offsets, all strings occur again if the text they cover
+   together does, and none does if the text they have in common does not. Both are counted
+   by a 128-bit hash, and only what neither settles is halved again, so a context leaves a
+   few rows around the ends of passages and a very common text is one partial sum in each task.
 
 Contexts that occur again as a whole are told by 112 bits of hashes, of gram and context. A
 bucket of grams that holds more than ``CROWD`` anchors, since one gram has very many contexts,
@@ -40,13 +42,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import as_batches, materialise, utf8
+from .runtime import as_batches, discard, materialise, utf8
 from .substring_dedup import _join, _pack_ids, _split, _squeeze, _unsqueeze
 
 LENGTH = 200
 GRAM = 32
 SHALLOW = 48
-CHUNK = 8192
+CHUNK = 4096
 FLUSH = 500_000
 #: Contexts from which a worker sorts what it holds.
 HELD = 30_000
@@ -231,12 +233,11 @@ def _runs(group: np.ndarray, live: np.ndarray) -> Iterator[tuple[int, int]]:
             yield int(live[a]), int(live[b - 1]) + 1
 
 
-def repeated_offsets(before: list[bytes], after: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def repeated_offsets(before: list[bytes], after: list[bytes], length: int = LENGTH) -> np.ndarray:
     """For contexts (reversed text before the anchor, text from it on): rows x offsets, where a string that
-    begins that many bytes before its anchor equals one at the same offset of another row; and the first of each such."""
+    begins that many bytes before its anchor equals one at the same offset of another row."""
     n = len(before)
     out = np.zeros((n, length - GRAM + 1), bool)
-    one = np.zeros_like(out)
     (lo, ll), (ro, rl) = deep_shallow_sort(before), deep_shallow_sort(after)
     left, right = np.fromiter(map(len, before), np.int64, n), np.fromiter(map(len, after), np.int64, n)
     lc, rc = np.empty(n, np.int64), np.empty(n, np.int64)
@@ -254,8 +255,7 @@ def repeated_offsets(before: list[bytes], after: list[bytes], length: int = LENG
         hit[1:] |= same
         hit[:-1] |= same
         out[ok[order[hit]], t] = True
-        one[ok[order[:-1][same & ~np.concatenate(([False], same[:-1]))]], t] = True
-    return out, one
+    return out
 
 
 _DEALT = pa.schema([("bucket", pa.int32()), ("done", pa.bool_()), ("data", pa.binary()), ("n", pa.int64())])
@@ -393,41 +393,68 @@ def _settle_crowds(blobs: DataFrame) -> DataFrame:
     return shown.unionByName(whole)
 
 
+_FOUND = pa.schema([("rid", pa.int64()), ("at", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("gram", pa.int64()), ("context", pa.binary())])
+
+
 def _compare(contexts: DataFrame, length: int) -> DataFrame:
-    """(rid, at, low, high, string): offsets of strings that occur again; with ``string`` one that a chunk left open, by its hash,
-    or where ``rid`` is null one that occurs again in a chunk."""
-    schema = pa.schema([("rid", pa.int64()), ("at", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("string", pa.binary())])
+    """(rid, at, low, high, gram, context): offsets of strings that occur again; where ``low`` is null a context of a
+    gram that has more than a task sorts, with the bytes before its anchor as ``high``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(rows):
-            hits, one = repeated_offsets([r[6][: r[5]][::-1] for r in rows], [r[6][r[5] :] for r in rows], length)
+            hits = repeated_offsets([r[6][: r[5]][::-1] for r in rows], [r[6][r[5] :] for r in rows], length)
             edges = np.diff(np.pad(hits, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             i, lo = np.nonzero(edges == 1)
             _, hi = np.nonzero(edges == -1)
             for k, a, b in zip(i.tolist(), lo.tolist(), hi.tolist()):
-                yield rows[k][3], rows[k][4], a, b - 1, None
-            for k, r in enumerate(rows):
-                if r[2] > 1:
-                    ctx = r[6]
-                    for t in np.flatnonzero(~hits[k, : r[5] + 1] | one[k, : r[5] + 1]).tolist():
-                        s = ctx[r[5] - t : r[5] - t + length]
-                        if len(s) == length:
-                            yield *((None,) * 4 if hits[k, t] else (r[3], r[4], t, t)), xxhash.xxh3_128_digest(s, t)
+                yield rows[k][3], rows[k][4], a, b - 1, None, None
 
         def rows():
             held = []
             for b in batches:
                 for r in zip(*(c.to_pylist() for c in b.columns)):
-                    if len(held) >= HELD and r[:2] != held[-1][:2]:  # only whole groups are sorted together
+                    if r[2] > 1:
+                        yield r[3], r[4], None, r[5], r[0], r[6]
+                        continue
+                    if len(held) >= HELD and r[0] != held[-1][0]:  # only whole groups are sorted together
                         yield from work(held)
                         held = []
                     held.append(r)
             if held:
                 yield from work(held)
 
-        return as_batches(schema, rows())
+        return as_batches(_FOUND, rows())
 
-    return contexts.repartition("gram", "chunk").sortWithinPartitions("gram", "chunk").mapInArrow(run, "rid long, at long, low int, high int, string binary")
+    return contexts.repartition("gram", "chunk").sortWithinPartitions("gram", "chunk").mapInArrow(run, "rid long, at long, low int, high int, gram long, context binary")
+
+
+def _halve(hot: DataFrame, length: int) -> DataFrame | None:
+    """(rid, at, low, high): ranges of offsets at which all strings occur again, of (rid, at, gram, before, context); None if there are no rows.
+
+    Of contexts that a range settles together one goes on, for others that hold only some of its strings.
+    """
+    left = hot.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(length - GRAM)).withColumn("open", F.lit(True))
+    out = None
+    while left.limit(1).count():
+        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        halves = F.filter(F.array(F.struct(F.col("lo").alias("lo"), mid.alias("hi")), F.struct((mid + 1).alias("lo"), F.col("hi").alias("hi"))), lambda x: x["lo"] <= x["hi"])
+        cut = left.withColumn("half", F.explode(halves)).select("rid", "at", "gram", "before", "context", F.col("half.lo").alias("lo"), F.col("half.hi").alias("hi"), "open")
+        after = F.length("context") - F.col("before")
+        # The range holds a string of this context, and it holds all of them.
+        some = F.greatest(F.col("lo"), F.lit(length) - after) <= F.least(F.col("hi"), F.col("before"))
+        all_ = (F.col("before") >= F.col("hi")) & (after >= F.lit(length) - F.col("lo"))
+        cut = cut.where(some).withColumn("common", F.md5(F.substring(F.col("context"), F.col("before") - F.col("lo") + 1, F.lit(length) - F.col("hi") + F.col("lo"))))
+        cut = materialise(cut.withColumn("whole", F.when(all_, F.md5(F.substring(F.col("context"), F.col("before") - F.col("hi") + 1, F.lit(length) + F.col("hi") - F.col("lo"))))), "halves")
+        wholes = cut.where("whole is not null").groupBy(F.col("gram").alias("g"), F.col("lo").alias("l"), F.col("whole").alias("w")).agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("first")).where("n > 1")
+        told = cut.join(wholes, (F.col("gram") == F.col("g")) & (F.col("lo") == F.col("l")) & (F.col("whole") == F.col("w")), "left")
+        told = materialise(told.select(*cut.columns, F.col("n").isNotNull().alias("settled"), (F.struct("rid", "at") == F.col("first")).alias("one")), "told")
+        settled = told.where("settled and open").select("rid", "at", F.col("lo").alias("low"), F.col("hi").alias("high"))
+        out = settled if out is None else out.unionByName(settled)
+        on = told.where("lo < hi and (not settled or one)").withColumn("open", F.col("open") & ~F.col("settled"))
+        commons = on.groupBy(F.col("gram").alias("g"), F.col("lo").alias("l"), F.col("common").alias("c")).agg(F.count("*").alias("n"), F.max("open").alias("some")).where("n > 1 and some").select("g", "l", "c")
+        left = materialise(on.join(commons, (F.col("gram") == F.col("g")) & (F.col("lo") == F.col("l")) & (F.col("common") == F.col("c")), "left_semi").select("rid", "at", "gram", "before", "context", "lo", "hi", "open"), "open")
+        discard(cut)
+    return out
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep_bytes: bool = False, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -464,10 +491,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     contexts = placed.join(shown, F.col("rid") == F.col("of")).select("rid", "body", "wanted").mapInArrow(show, "gram long, chunk int, chunks int, rid long, at long, before int, context binary")
     found = materialise(_compare(contexts, length), "offsets")
-    open_ = found.where("string is not null")
-    # A string that occurs again in a chunk is settled there; its row without a place settles the lone ones of other chunks.
-    again = open_.groupBy("string").agg(F.count("*").alias("n"), F.count("rid").alias("lone")).where("n > 1 and lone > 0").select("string")
-    hits = found.where("string is null").unionByName(open_.where("rid is not null").join(again, "string", "left_semi").select(*found.columns)).select("rid", "at", "low", "high")
+    hits = found.where("low is not null").select("rid", "at", "low", "high")
+    late = _halve(found.where("low is null").select("rid", "at", "gram", F.col("high").alias("before"), "context"), length)
+    hits = hits if late is None else hits.unionByName(late)
     whole = marks.where(F.col("state") != _OPEN).select("rid", "at", F.lit(0).alias("low"), F.lit(length - GRAM).alias("high"))
     lists = whole.unionByName(hits).groupBy(F.col("rid").alias("of")).agg(F.collect_list(F.struct("at", "low", "high")).alias("gone"))
     joined = src.repartition(parts, "rid").join(lists, F.col("rid") == F.col("of"), "left").select("key", "body", "gone")

@@ -138,7 +138,7 @@ def test_bytes_against_brute_force(spark, monkeypatch, seed, length, chunk, flus
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_bytes_in_chunks_of_their_own(spark, monkeypatch, seed):
-    """Chunks are sorted one at a time; a string is in two or more contexts of a chunk, or lone, or both in turn."""
+    """A gram with more contexts than are sorted at once: their offsets are halved."""
     monkeypatch.setattr(suffix_dedup, "CHUNK", 3)
     monkeypatch.setattr(suffix_dedup, "HELD", 1)
     rng = random.Random(seed)
