@@ -140,3 +140,31 @@ def bucket_of_index(index: Column) -> Column:
 def edge_seconds(factor: Column, length_m: Column, kmh: Column) -> Column:
     """Travel time of an edge; an absent factor is 1."""
     return F.coalesce(factor, F.lit(1.0)) * length_m * F.lit(3.6) / kmh
+
+
+#: Trip weights of amenities and shops, of any office, of anything else named, and amenities that are none.
+POI_WEIGHTS = {"hospital": 5.0, "cinema": 3.0, "theatre": 3.0, "fuel": 2.0, "fast_food": 1.5, "place_of_worship": 0.5, "atm": 0.5, "toilets": 0.25, "supermarket": 1.5}
+POI_OFFICE, POI_OTHER = 2.0, 1.0
+POI_NONE = ("parking", "parking_space", "parking_entrance", "vending_machine", "post_box", "waste_basket", "bench", "bicycle_parking", "recycling", "shelter", "telephone", "grit_bin")
+
+
+def poi_weight(tags: Column) -> Column:
+    """The weight of a place by its amenity, else its shop, else its office; null if it is none or excluded."""
+    table = F.create_map(*(F.lit(x) for k, v in POI_WEIGHTS.items() for x in (k, v)))
+    named = [F.when(tag(tags, k) != "", tag(tags, k)) for k in ("amenity", "shop", "office")]
+    amenity, shop, office = (F.when(n.isNotNull(), F.coalesce(F.try_element_at(table, n), F.lit(other))) for n, other in zip(named, (POI_OTHER, POI_OTHER, POI_OFFICE)))
+    return F.when(F.coalesce(named[0].isin(*POI_NONE), F.lit(False)), F.lit(None).cast("double")).otherwise(F.coalesce(amenity, shop, office))
+
+
+def geocode_queries(name: Column, jurisdiction: Column, town: Column, line: Column, postcode: Column, county: Column, eircode: Column) -> Column:
+    """(queries, centroid): search texts from precise to coarse, and the place from 0 of the one by postcode alone, -2 if there is none."""
+    given = lambda c: F.when(c != "", c)
+    t, a, p, c, e = map(given, (town, line, postcode, county, eircode))
+    north = F.array(F.concat_ws(", ", name, t, F.lit("Northern Ireland")), F.concat_ws(", ", a, t, F.coalesce(p, F.lit("")), F.lit("Northern Ireland")), p)
+    north_ok = F.array(t.isNotNull(), t.isNotNull() & a.isNotNull(), p.isNotNull())
+    south = F.array(F.concat_ws(", ", name, c, F.lit("Ireland")), F.concat_ws(", ", a, c, F.lit("Ireland")), F.concat_ws(", ", e, F.lit("Ireland")))
+    south_ok = F.array(c.isNotNull(), c.isNotNull() & a.isNotNull(), e.isNotNull())
+    is_north = F.coalesce(jurisdiction == "NI", F.lit(False))
+    both = F.zip_with(F.when(is_north, north).otherwise(south), F.when(is_north, north_ok).otherwise(south_ok), lambda q, ok: F.when(ok, q))
+    kept = F.filter(both, lambda q: q.isNotNull())
+    return F.struct(kept.alias("queries"), F.when(F.when(is_north, p).otherwise(e).isNotNull(), F.size(kept) - 1).otherwise(F.lit(-2)).alias("centroid"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -159,12 +160,45 @@ def bare_name(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
 
 
+def _latin() -> tuple[str, str, dict[str, str]]:
+    """By Unicode's compatibility decomposition: characters with one ASCII character, that character, and those with several."""
+    one, several = {}, {}
+    for code in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2000, 0x2070), *range(0xFB00, 0xFB07)):
+        plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        if len(plain) == 1:
+            one[chr(code)] = plain
+        elif plain:
+            several[chr(code)] = plain
+    return "".join(one), "".join(one.values()), several
+
+
+def plain_text(c: Column) -> Column:
+    """A text without accents: Latin characters as their ASCII ones; characters that have none are left out."""
+    one, to, several = _latin()
+    out = F.translate(c, one, to)
+    spread = out
+    for x, y in several.items():
+        spread = F.replace(spread, F.lit(x), F.lit(y))
+    out = F.when(out.rlike("[" + "".join(several) + "]"), spread).otherwise(out)
+    return F.regexp_replace(out, "[^\\x00-\\x7F]", "")
+
+
+def name_words(name: Column, generic: Sequence[str] = ()) -> Column:
+    """Words of a name up to its first comma, in order, without accents, apostrophes and generic words; ``&`` is ``and``, ``saint`` is ``st``."""
+    first = F.lower(F.element_at(F.split(plain_text(name), ","), 1))
+    spaced = F.regexp_replace(F.replace(F.replace(first, F.lit("&"), F.lit(" and ")), F.lit("'"), F.lit("")), "[^a-z0-9]", " ")
+    kept = F.filter(F.split(spaced, " +"), lambda w: ~w.isin("", *generic))
+    return F.transform(kept, lambda w: F.when(w == "saint", F.lit("st")).otherwise(w))
+
+
+def normal_name(name: Column, generic: Sequence[str] = ()) -> Column:
+    """``name_words`` joined by blanks."""
+    return F.array_join(name_words(name, generic), " ")
+
+
 def name_tokens(name: Column, generic: Sequence[str] = ()) -> Column:
-    """Distinct words of a name up to its first comma, without accents and generic words; ``&`` is ``and``, ``saint`` is ``st``."""
-    plain = F.translate(F.lower(F.element_at(F.split(name, ","), 1)), "áàâäãéèêëíìîïóòôöõúùûüçñ", "aaaaaeeeeiiiiooooouuuucn")
-    words = F.split(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "&", " and "), "[^a-z0-9]+", " "), r"\bsaint\b", "st")), " +")
-    drop = F.array(*(F.lit(x) for x in ("", *generic)))
-    return F.array_except(F.array_distinct(words), drop)
+    """Distinct words of a name."""
+    return F.array_distinct(name_words(name, generic))
 
 
 def jaccard(a: Column, b: Column) -> Column:

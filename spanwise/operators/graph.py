@@ -236,6 +236,66 @@ def regions_behind(edges: DataFrame, gates: DataFrame, protected: DataFrame, cut
     return out
 
 
+def unprotected(components: DataFrame, protected: DataFrame) -> DataFrame:
+    """Rows (node, root) of the components that hold no protected node."""
+    held = components.join(protected.select("node"), "node", "left_semi").select("root").distinct()
+    return components.join(held, "root", "left_anti").select(*components.columns)
+
+
+def virtual_pairs(pairs: DataFrame, extra: DataFrame, distance: float) -> DataFrame:
+    """Routed pairs, and pairs that count in denominators only, at one distance, with a ``routed`` flag."""
+    more = extra.join(pairs.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst").withColumn("dist", F.lit(float(distance)))
+    return pairs.select("src", "dst", "dist").withColumn("routed", F.lit(True)).unionByName(more.withColumn("routed", F.lit(False)))
+
+
+def touched(links: DataFrame, gone: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+    """Links with an end in ``gone`` (node), and which: u_gone, v_gone."""
+    ends = lambda c, flag: gone.select(F.col("node").alias(c)).distinct().withColumn(flag, F.lit(True))
+    j = links.join(ends(u, "u_gone"), u, "left").join(ends(v, "v_gone"), v, "left")
+    return j.select(*links.columns, *(F.coalesce(f, F.lit(False)).alias(f) for f in ("u_gone", "v_gone"))).where("u_gone or v_gone")
+
+
+#: Nodes of a region at least, and its demand and seconds below which it may be merged into its entrance.
+LEAST_REGION, MOST_DEMAND, MOST_SECONDS = 2, 100.0, 60.0
+
+
+def feasible_regions(regions: DataFrame, edges: DataFrame, nodes: DataFrame, demand: str, people: str, u: str = "u", v: str = "v", cost: str = "cost", least: int = LEAST_REGION, most_demand: float = MOST_DEMAND, most_s: float = MOST_SECONDS) -> DataFrame:
+    """(gate, root, n, people, demand, to_s, from_s, most_s) of the regions (gate, root, node) that may be merged into their gate.
+
+    A region needs ``least`` nodes, less demand than ``most_demand``, a way from the gate to every
+    node and back within it, and no node ``most_s`` or farther from the gate. The times are means
+    over its people, or over its nodes where nobody lives. Sizes and sums are tested before a
+    region's edges are gathered, one region to a group; its distances are searched there.
+    """
+    layers = nodes.select("node", F.col(demand).alias("_d"), F.col(people).alias("_p"))
+    sized = regions.join(layers, "node", "left").groupBy("gate", "root").agg(F.count("*").alias("n"), F.sum(F.coalesce("_p", F.lit(0.0))).alias("people"), F.sum(F.coalesce("_d", F.lit(0.0))).alias("demand"))
+    small = sized.where((F.col("n") >= least) & (F.col("demand") < most_demand))
+    held = regions.join(small.select("gate", "root"), ["gate", "root"], "left_semi")
+    inside = held.select("gate", "root", "node").unionByName(held.select("gate", "root", F.col("gate").alias("node")).distinct())
+    e = cheapest_edges(edges, u, v, cost).select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v"), F.col(cost).cast("double").alias("cost"))
+    own = e.join(inside.select("gate", "root", F.col("node").alias("u")), "u").join(inside.select("gate", "root", F.col("node").alias("v")), ["gate", "root", "v"])
+
+    def distances(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        gate, root = key
+        out = []
+        for back in (False, True):
+            a, b = (rows["v"], rows["u"]) if back else (rows["u"], rows["v"])
+            g = _Graph(a.to_numpy(np.int64), b.to_numpy(np.int64), rows["cost"].to_numpy(float), np.zeros(len(rows), np.int64))
+            i = g.index(gate)
+            dist = {} if i is None else g.search(i, g.cost)[0]
+            out += [(gate, root, int(g.nodes[n]), back, d) for n, d in dist.items()]
+        return pd.DataFrame(out, columns=["gate", "root", "node", "back", "dist"])
+
+    found = own.groupBy("gate", "root").applyInPandas(distances, "gate long, root long, node long, back boolean, dist double")
+    both = held.join(found, ["gate", "root", "node"]).groupBy("gate", "root", "node").agg(F.min(F.when(~F.col("back"), F.col("dist"))).alias("to"), F.min(F.when(F.col("back"), F.col("dist"))).alias("back"))
+    w = F.coalesce("_p", F.lit(0.0))
+    t = both.where("to is not null and back is not null").join(layers, "node", "left").groupBy("gate", "root").agg(
+        F.count("*").alias("_k"), F.max("to").alias("most_s"), F.sum(w).alias("_w"), F.sum(w * F.col("to")).alias("_wt"), F.sum(w * F.col("back")).alias("_wb"), F.avg("to").alias("_t"), F.avg("back").alias("_b"))
+    ok = small.join(t, ["gate", "root"]).where((F.col("_k") == F.col("n")) & (F.col("most_s") < most_s))
+    mean = lambda s, plain: F.when(F.col("_w") > 0, F.col(s) / F.col("_w")).otherwise(F.col(plain))
+    return ok.select("gate", "root", "n", "people", "demand", mean("_wt", "_t").alias("to_s"), mean("_wb", "_b").alias("from_s"), "most_s")
+
+
 def maximal_regions(regions: DataFrame) -> DataFrame:
     """Of nested regions (region, node): those inside no larger one; equal ones leave the smallest id."""
     size = regions.groupBy("region").agg(F.count("*").alias("n"))
@@ -269,4 +329,4 @@ def contract_chains(edges: DataFrame, keep: DataFrame, cut=None, u: str = "u", v
         rest = cur.join(go.select(F.col("node").alias("v")), "v", "left_anti").join(go.select(F.col("node").alias("u")), "u", "left_anti")
         cur = cut(rest.unionByName(merged))
         left = cut(left.join(go, "node", "left_anti"))
-    return cur
+    raise RuntimeError("chains did not settle")

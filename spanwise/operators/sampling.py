@@ -46,13 +46,21 @@ def quota_sample(df: DataFrame, by: Sequence[str], key: str, length: str, quota:
 
 
 def draw_weighted(df: DataFrame, key: str, weight: str, n: int, seed: int = 0) -> DataFrame:
-    """``n`` draws with replacement in proportion to weight: (draw, key)."""
+    """``n`` draws with replacement in proportion to weight: (draw, key).
+
+    The running sum is cut into as many equal steps as there are draws, a million at most. A key
+    lies in the steps that its weight spans, so draws meet keys by an equi-join on the step.
+    """
     from .weighted import running_weight
 
-    run = running_weight(df, key, weight).where("w > 0").select(key, "cum", "total", "w")
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), slot_hash(F.col("id"), seed=seed).alias("u"))
+    steps = float(max(1, min(n, 1_000_000)))
+    run = running_weight(df, key, weight).where("w > 0").select(key, (F.col("cum") - F.col("w")).alias("_low"), F.col("cum").alias("_high"), "total")
+    step = lambda x: F.greatest(F.least(F.floor(x * F.lit(steps)), F.lit(int(steps) - 1)), F.lit(0)).cast("long")
+    slack = F.lit(1e-12)  # against rounding at the ends of steps
+    spans = run.withColumn("_step", F.explode(F.sequence(step(F.col("_low") / F.col("total") - slack), step(F.col("_high") / F.col("total") + slack))))
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), slot_hash(F.col("id"), seed=seed).alias("u")).withColumn("_step", step(F.col("u")))
     u = F.col("u") * F.col("total")
-    return draws.join(run, (u >= F.col("cum") - F.col("w")) & (u < F.col("cum"))).select("draw", key)
+    return draws.join(spans, "_step").where((u >= F.col("_low")) & (u < F.col("_high"))).select("draw", key)
 
 
 def bootstrap_multiplicities(clusters: DataFrame, strata: Sequence[str], cluster: str, replicates: int, seed: int = 0) -> DataFrame:

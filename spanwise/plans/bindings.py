@@ -505,17 +505,9 @@ def _points(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
 
 
-@query(f"""WITH {_POINTS}, j AS (SELECT a.vec_id, b.vec_id AS near, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM p a JOIN p b ON a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0)
-SELECT q.vec_id, n.near, n.distance FROM (SELECT vec_id FROM p WHERE vec_id % 5 = 0) q LEFT JOIN (SELECT vec_id, arg_min(near, struct_pack(a := dist, b := near)) AS near, round(min(dist), 9) AS distance FROM j WHERE dist <= 0.05e0 GROUP BY ALL) n ON q.vec_id = n.vec_id""")
-def knn(spark, d):
-    p = _points(spark, d)
-    right = p.where("vec_id % 5 <> 0").withColumnRenamed("vec_id", "near")
-    return rounded(spatial.nearest(p.where("vec_id % 5 = 0"), right, "vec_id", "near", 0.05), distance=9)
-
-
 @query(f"""WITH {_POINTS}, j AS (SELECT a.vec_id, b.vec_id AS near, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM p a JOIN p b ON a.vec_id <> b.vec_id)
 SELECT q.vec_id, n.near, n.distance FROM p q LEFT JOIN (SELECT vec_id, arg_min(near, struct_pack(a := dist, b := near)) AS near, round(min(dist), 9) AS distance FROM j WHERE dist <= 0.05e0 GROUP BY ALL) n ON q.vec_id = n.vec_id""")
-def knn_all(spark, d):
+def knn(spark, d):
     p = _points(spark, d)
     return rounded(spatial.nearest(p, p.withColumnRenamed("vec_id", "near"), "vec_id", "near", 0.05, others=True), distance=9)
 
@@ -531,19 +523,10 @@ def components(spark, d):
     return matching.clusters(_points(spark, d), "vec_id", 0.004, cut=sinks.cut_lineage)
 
 
-@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS u, (n_nationkey + 1) % 25 AS v, 1e0 + n_nationkey % 4 AS c FROM nation UNION ALL SELECT n_nationkey, (n_nationkey + 7) % 25, 9e0 FROM nation),
-w AS (SELECT u AS source, u AS node, 0e0 AS dist, 0 AS k FROM (SELECT DISTINCT u FROM e WHERE u < 5) UNION ALL SELECT source, node, min(dist), k FROM (SELECT source, v AS node, dist + c AS dist, k + 1 AS k FROM w JOIN e ON node = u WHERE k < 6) GROUP BY source, node, k)
-SELECT source, node, min(dist) AS dist FROM w GROUP BY ALL""")
-def shortest_path(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("u"))
-    e = n.select("u", ((F.col("u") + 1) % 25).alias("v"), (F.lit(1.0) + F.col("u") % 4).alias("cost")).unionByName(n.select("u", ((F.col("u") + 7) % 25).alias("v"), F.lit(9.0).alias("cost")))
-    return graph.hops_within(e, n.where("u < 5").withColumnRenamed("u", "source"), 6)
-
-
 @query("""WITH RECURSIVE e AS (SELECT n_nationkey AS u, (n_nationkey + 1) % 25 AS v, 1e0 + n_nationkey % 4 AS c FROM nation UNION ALL SELECT n_nationkey, (n_nationkey + 7) % 25, 9e0 FROM nation),
 w AS (SELECT u AS source, u AS node, 0e0 AS dist, 0 AS k FROM (SELECT DISTINCT u FROM e) UNION ALL SELECT source, node, min(dist), k FROM (SELECT source, v AS node, dist + c AS dist, k + 1 AS k FROM w JOIN e ON node = u WHERE k < 6) GROUP BY source, node, k)
 SELECT source, node, min(dist) AS dist FROM w GROUP BY ALL""")
-def shortest_path_all(spark, d):
+def shortest_path(spark, d):
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("u"))
     e = n.select("u", ((F.col("u") + 1) % 25).alias("v"), (F.lit(1.0) + F.col("u") % 4).alias("cost")).unionByName(n.select("u", ((F.col("u") + 7) % 25).alias("v"), F.lit(9.0).alias("cost")))
     return graph.hops_within(e, n.withColumnRenamed("u", "source"), 6)
@@ -573,30 +556,20 @@ def regex_first_match(spark, d):
     return table(spark, d, "part").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH l AS (SELECT DISTINCT p_brand, p_name FROM part WHERE p_size < 10), q AS (SELECT DISTINCT p_brand, p_name AS name FROM part WHERE p_size >= 40),
-s AS (SELECT l.p_brand, p_name, name, len(list_intersect(string_split(p_name, ' '), string_split(name, ' '))) / CAST(len(list_distinct(list_concat(string_split(p_name, ' '), string_split(name, ' ')))) AS DOUBLE) AS score FROM l JOIN q ON l.p_brand = q.p_brand),
-b AS (SELECT p_brand, p_name, arg_max(name, struct_pack(a := score, b := name)) AS matched, max(score) AS score FROM s WHERE score >= 0.3e0 GROUP BY ALL)
-SELECT l.p_brand, l.p_name, matched, round(score, 6) AS score FROM l LEFT JOIN b ON l.p_brand = b.p_brand AND l.p_name = b.p_name""")
-def fuzzy_block(spark, d):
-    p = table(spark, d, "part")
-    left = p.where("p_size < 10").select("p_brand", "p_name").distinct()
-    return rounded(matching.fuzzy_join(left, p.where("p_size >= 40").select("p_brand", F.col("p_name").alias("name")), "p_brand", "p_name", "name", 0.3), score=6)
-
-
 @query("""WITH p AS (SELECT DISTINCT p_brand, p_name FROM part),
 s AS (SELECT l.p_brand, l.p_name, q.p_name AS name, len(list_intersect(string_split(l.p_name, ' '), string_split(q.p_name, ' '))) / CAST(len(list_distinct(list_concat(string_split(l.p_name, ' '), string_split(q.p_name, ' ')))) AS DOUBLE) AS score FROM p l JOIN p q ON l.p_brand = q.p_brand AND l.p_name <> q.p_name),
 b AS (SELECT p_brand, p_name, arg_max(name, struct_pack(a := score, b := name)) AS matched, max(score) AS score FROM s WHERE score >= 0.3e0 GROUP BY ALL)
 SELECT p.p_brand, p.p_name, matched, round(score, 6) AS score FROM p LEFT JOIN b ON p.p_brand = b.p_brand AND p.p_name = b.p_name""")
-def fuzzy_block_all(spark, d):
+def fuzzy_block(spark, d):
     p = table(spark, d, "part").select("p_brand", "p_name").distinct()
-    return rounded(matching.fuzzy_join(p, p.withColumnRenamed("p_name", "name"), "p_brand", "p_name", "name", 0.3, F.col("p_name") != F.col("_name")), score=6)
+    return rounded(matching.fuzzy_join(p, p.withColumnRenamed("p_name", "name"), "p_brand", "p_name", "name", 0.3, others=True), score=6)
 
 
 @query()
 def fuzzy_similarity(spark, d):
+    """Of each name the most similar other one of its brand, by words and by matching blocks."""
     p = table(spark, d, "part").select("p_brand", "p_name").distinct()
-    q = p.select("p_brand", F.col("p_name").alias("other"))
-    return p.join(q, "p_brand").where("p_name < other").select("p_brand", "p_name", "other", r(matching.similarity(F.col("p_name"), F.col("other"))).alias("similarity"))
+    return rounded(matching.fuzzy_join(p, p.withColumnRenamed("p_name", "name"), "p_brand", "p_name", "name", 0.5, score=matching.similarity, others=True), score=6)
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 3 THEN 'override' ELSE s_name END AS s_name, CASE WHEN s_suppkey % 10 = 3 AND s_suppkey % 20 = 3 THEN 0e0 ELSE s_acctbal END AS s_acctbal FROM supplier WHERE s_suppkey % 10 <> 4
@@ -608,14 +581,8 @@ def upsert_override(spark, d):
     return relational.upsert(relational.override(s, manual, ["s_suppkey"], ["s_name", "s_acctbal"]), patch, ["s_suppkey"])
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 2e0 ELSE c_acctbal END AS v FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 4 = 0""")
-def merge_right_wins(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("v"))
-    return relational.merge_right_wins(c.where("c_custkey % 3 = 0"), c.where("c_custkey % 4 = 0").withColumn("v", F.lit(2.0)), "c_custkey", "v")
-
-
 @query("SELECT coalesce(s_suppkey, c_custkey) AS key, coalesce(s_acctbal, c_acctbal) AS v FROM customer FULL JOIN supplier ON c_custkey = s_suppkey")
-def merge_right_wins_all(spark, d):
+def merge_right_wins(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("v"))
     return relational.merge_right_wins(c, table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("v")), "key", "v")
 

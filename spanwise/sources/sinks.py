@@ -39,6 +39,37 @@ def geojson(df: DataFrame, ring: str, properties: Sequence[str]) -> DataFrame:
     return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(line).alias("coordinates")).alias("geometry"), F.struct(*properties).alias("properties"))).alias("value"))
 
 
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A graph as two tables, nodes and edges."""
+    write_table(nodes, f"{path}/nodes")
+    write_table(edges, f"{path}/edges")
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+
+
+def graphml(nodes: DataFrame, edges: DataFrame, node: str = "node", u: str = "u", v: str = "v") -> DataFrame:
+    """(part, line): the lines of a GraphML file, to be written in order of the parts; attributes are all other columns."""
+    def safe(c):
+        out = F.col(c).cast("string")
+        for x, y in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            out = F.replace(out, F.lit(x), F.lit(y))
+        return out
+
+    def data(df, ends, kind):
+        cells = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f'<data key="{kind}_{c}">'), safe(c), F.lit("</data>"))) for c in df.columns if c not in ends]
+        return F.concat_ws("", *cells) if cells else F.lit("")
+
+    keys = [f'<key id="{kind}_{c}" for="{name}" attr.name="{c}" attr.type="string"/>' for kind, name, df, ends in (("n", "node", nodes, (node,)), ("e", "edge", edges, (u, v))) for c in df.columns if c not in ends]
+    spark = nodes.sparkSession
+    fixed = lambda part, lines: spark.range(1).select(F.lit(part).alias("part"), F.explode(F.array(*map(F.lit, lines))).alias("line"))
+    head = fixed(0, ['<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n' + "\n".join([*keys, '<graph edgedefault="directed">'])])
+    body = nodes.select(F.lit(1).alias("part"), F.concat(F.lit('<node id="'), safe(node), F.lit('">'), data(nodes, (node,), "n"), F.lit("</node>")).alias("line"))
+    links = edges.select(F.lit(2).alias("part"), F.concat(F.lit('<edge source="'), safe(u), F.lit('" target="'), safe(v), F.lit('">'), data(edges, (u, v), "e"), F.lit("</edge>")).alias("line"))
+    return head.unionByName(body).unionByName(links).unionByName(fixed(3, ["</graph>\n</graphml>"]))
+
+
 def write_cache(df: DataFrame, path: str, inputs: DataFrame) -> None:
     """A Parquet table beside the signature of what it was made from."""
     write_table(df, f"{path}/data")

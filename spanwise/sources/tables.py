@@ -144,6 +144,27 @@ def dissolve(areas: DataFrame, parent: str, sums: Sequence[str], ring: str = "ri
     return areas.groupBy(parent).agg(*(F.sum(c).alias(c) for c in sums), F.collect_list(ring).alias("rings"))
 
 
+def graphml_edges(spark: SparkSession, path: str, attribute: str) -> DataFrame:
+    """(u, v, value) of a GraphML file's edges, with the attribute that its header names, null where an edge has none."""
+    keys = xml_elements(spark, path, "key", "_id string, `_attr.name` string, _for string").where((F.col("`_attr.name`") == attribute) & (F.coalesce("_for", F.lit("edge")) == "edge")).select(F.col("_id").alias("id"))
+    edges = xml_elements(spark, path, "edge", "_source string, _target string, data array<struct<_key:string,_VALUE:string>>")
+    held = edges.crossJoin(F.broadcast(keys.limit(1)))
+    return held.select(F.col("_source").alias("u"), F.col("_target").alias("v"), F.try_element_at(F.filter(F.coalesce("data", F.array().cast("array<struct<_key:string,_VALUE:string>>")), lambda x: x["_key"] == F.col("id")), F.lit(1))["_VALUE"].alias("value"))
+
+
+def history_entry(history: DataFrame, prefix: str | None = None, key: str = "id", order: str = "line") -> DataFrame:
+    """(entry, previous): the last entry of a run history, or the last whose id begins with ``prefix``, and the one before it.
+
+    Reading the result raises an error if none matches.
+    """
+    row = F.struct(*history.columns)
+    chosen = history.where(F.lit(True) if prefix is None else F.col(key).startswith(prefix)).agg(F.max(order).alias("_at"))
+    upto = history.join(F.broadcast(chosen), F.col(order) <= F.col("_at"))
+    # The two greatest of the order, without ranking the whole history.
+    two = upto.agg(F.max_by(row, order).alias("entry"), F.max_by(F.when(F.col(order) < F.col("_at"), row), F.when(F.col(order) < F.col("_at"), F.col(order))).alias("previous"))
+    return two.select(F.when(F.col("entry").isNull(), F.raise_error(F.lit("no entry matches"))).otherwise(F.col("entry")).alias("entry"), "previous")
+
+
 def jsonstat(spark: SparkSession, path: str, sizes: Sequence[int]) -> DataFrame:
     """(index, value) of a JSON-stat file's cells."""
     from ..operators.relational import jsonstat_cells

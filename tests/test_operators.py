@@ -203,7 +203,11 @@ def test_matching(spark):
     assert {r["id"]: r["cluster"] for r in cl.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
     kept = matching.one_of_each_name(pts.join(cl, "id"), "cluster", "name", "id")
     assert sorted(r["id"] for r in kept.collect()) == [1, 4]
-    assert one(spark, matching.same_place_name(F.lit("Holy Cross Boys"), F.lit("Holy Cross Girls"), ["boys", "girls"])) is False
+    for a, b, same in [
+        ("St Matthew's Primary School", "St Malachy's Primary School", False), ("St. Patrick's P.S.", "Saint Patricks Primary School, Armagh", True), ("St Patrick's Primary School", "Saint Patricks PS, Armagh", True),
+        ("St Patrick's", "St Patrick's (Glen)", False), ("Royal School Prep", "Royal School", False), ("Scoil Naomh Bríd", "SCOIL BRID", True), ("The Primary School", "Primary School", False), ("Ballyclare High", "Ballyclair High", True), (None, "x", None),
+    ]:
+        assert one(spark, matching.same_establishment(F.lit(a).cast("string"), F.lit(b))) is same, (a, b)
     assert [r["value"] for r in matching.share_total(spark.createDataFrame([("i", 9.0), ("i", 9.0), ("j", 4.0)], "g string, t double"), "g", "t").orderBy("g").collect()] == [4.5, 4.5, 4.0]
 
 
