@@ -85,3 +85,30 @@ def lookup_unpadded(df: DataFrame, dim: DataFrame, key: str, dim_key: str, value
     two = one.select(F.col("_k").alias("_k2"), F.col("_v").alias("_v2"))
     joined = df.join(one, F.col(key) == F.col("_k"), "left").join(two, F.regexp_replace(key, "^0+", "") == F.col("_k2"), "left")
     return joined.withColumn(value, F.coalesce("_v", "_v2")).drop("_k", "_v", "_k2", "_v2")
+
+
+def area_rows(df: DataFrame, code: str, prefixes: Sequence[str], year: str | None = None, of_year=None) -> DataFrame:
+    """Rows of single areas: codes with one of the prefixes, of one year if given; totals have other codes."""
+    own = F.lit(False)
+    for p in prefixes:
+        own = own | F.col(code).cast("string").startswith(p)
+    return df.where(own if year is None else own & (F.col(year) == F.lit(of_year)))
+
+
+def without_totals(df: DataFrame, value: str, most: float) -> DataFrame:
+    """Rows whose value is no more than ``most``: a table's total row is larger than any area."""
+    return df.where(F.col(value) <= F.lit(most))
+
+
+def consolidated(raw: DataFrame, merged: DataFrame, key: str, node: str = "node", originals: str = "originals") -> DataFrame:
+    """``raw`` with the merged node that each raw id went into, by (node, originals array); an id in none stays itself."""
+    one = merged.select(F.col(node).alias("_into"), F.explode(originals).alias("_raw")).groupBy("_raw").agg(F.min("_into").alias("_into"))
+    return raw.join(one, F.col(key) == F.col("_raw"), "left").withColumn(node, F.coalesce("_into", key)).drop("_raw", "_into")
+
+
+def lookup_pair(df: DataFrame, table: DataFrame, u: str, v: str, value: str) -> DataFrame:
+    """``df`` with the value of the pair (u, v) of a table that has it in either direction; its own direction goes first."""
+    t = table.select(F.col(u).alias("_u"), F.col(v).alias("_v"), F.col(value).alias("_x"))
+    both = t.withColumn("_back", F.lit(0)).unionByName(t.select(F.col("_v").alias("_u"), F.col("_u").alias("_v"), "_x", F.lit(1).alias("_back")))
+    one = both.groupBy("_u", "_v").agg(F.min_by("_x", F.struct("_back", "_x")).alias(value))
+    return df.join(one, (F.col(u) == F.col("_u")) & (F.col(v) == F.col("_v")), "left").drop("_u", "_v")

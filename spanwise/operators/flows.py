@@ -106,9 +106,23 @@ def admissible_pairs(nodes: DataFrame, node: str = "node", external: str = "exte
     return inner.select("src", "dst")
 
 
-def ring_masses(origins: DataFrame, places: DataFrame, distance: Column, mass: str, edges: list[float], origin: str = "origin") -> DataFrame:
-    """(origin, ring, mass): attracted mass by ring of distance; the last ring holds all beyond."""
+#: Places that are broadcast; more of them are met one part of the origins at a time.
+MAX_PLACES = 1_000_000
+
+
+def ring_masses(origins: DataFrame, places: DataFrame, distance: Column, mass: str, edges: list[float], origin: str = "origin", most: int = MAX_PLACES) -> DataFrame:
+    """(origin, ring, mass): attracted mass by ring of distance; the last ring holds all beyond.
+
+    Every origin meets every place, as the masses ask for; sums are made where the pairs are. Up to
+    ``most`` places (counted) are broadcast; beyond that they are dealt out in blocks of as many.
+    """
     ring = F.lit(len(edges))
     for i in range(len(edges) - 1, -1, -1):
         ring = F.when(distance < float(edges[i]), F.lit(i)).otherwise(ring)
-    return origins.crossJoin(F.broadcast(places)).groupBy(origin, ring.alias("ring")).agg(F.sum(mass).alias("mass"))
+    blocks = -(-places.count() // most) if most else 1
+    if blocks <= 1:
+        pairs = origins.crossJoin(F.broadcast(places))
+    else:
+        dealt = places.withColumn("_block", F.pmod(F.xxhash64(*places.columns), F.lit(blocks)).cast("int"))
+        pairs = origins.withColumn("_o_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, F.col("_o_block") == F.col("_block"))
+    return pairs.groupBy(origin, ring.alias("ring")).agg(F.sum(mass).alias("mass"))

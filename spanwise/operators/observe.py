@@ -87,11 +87,16 @@ def recent_fix(events: DataFrame, fixes: DataFrame, session: str, ts: str, fix_t
     def cell(c):
         return F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(within_s * 1e6)).cast("long")
 
-    e = events.withColumn("_id", F.struct(*events.columns)).withColumn("_cell", F.explode(F.array(cell(ts), cell(ts) - 1)))
+    # Equal event rows are counted and put back at the end: each stays, and none needs a number.
+    once = events.select(F.struct(*events.columns).alias("_id")).groupBy("_id").agg(F.count("*").alias("_n"))
+    e = once.select("_id", "_n", F.col(f"_id.{session}").alias("_key"), F.col(f"_id.{ts}").alias("_at"))
+    e = e.withColumn("_cell", F.explode(F.array(cell("_at"), cell("_at") - 1)))
     f = fixes.select(F.col(session).alias("_s"), F.col(fix_ts).alias("_t"), F.struct(*fixes.columns).alias("_fix"), cell(fix_ts).alias("_c"))
-    gap = seconds_between(F.col("_t"), F.col(ts))
-    j = e.join(f, (F.col(session) == F.col("_s")) & (F.col("_cell") == F.col("_c")) & (gap >= 0) & (gap <= within_s), "left")
-    return j.groupBy("_id").agg(F.max_by("_fix", F.col("_t")).alias("fix")).select("_id.*", "fix")
+    gap = seconds_between(F.col("_t"), F.col("_at"))
+    j = e.join(f, (F.col("_key") == F.col("_s")) & (F.col("_cell") == F.col("_c")) & (gap >= 0) & (gap <= within_s), "left")
+    # Of fixes at one time the greatest as a text.
+    best = j.groupBy("_id").agg(F.max("_n").alias("_n"), F.max_by("_fix", F.struct("_t", F.to_json("_fix"))).alias("fix"))
+    return best.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_n").cast("int")))).select("_id.*", "fix")
 
 
 def map_match(points: DataFrame, edges: DataFrame, session: str = "session_id", accuracy: str = "accuracy", reach: float = 200.0) -> DataFrame:

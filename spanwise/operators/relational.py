@@ -135,3 +135,29 @@ def jsonstat_cells(values: Column, sizes: Sequence[int]) -> Column:
         return F.struct(F.array(*reversed(out)).alias("index"), x.alias("value"))
 
     return F.filter(F.transform(values, cell), lambda c: c["value"].isNotNull())
+
+
+def without_links(df: DataFrame, excluded: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+    """Rows but those of excluded directed links."""
+    return df.join(excluded.select(u, v), [u, v], "left_anti")
+
+
+def with_previous(df: DataFrame, by: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
+    """Each row with the values of the one before it in its group and the change since: ``previous_x``, ``change_x``."""
+    w = Window.partitionBy(*by).orderBy(order)
+    for c in columns:
+        df = df.withColumn(f"previous_{c}", F.lag(c).over(w)).withColumn(f"change_{c}", F.col(c) - F.col(f"previous_{c}"))
+    return df
+
+
+def usable_routes(coverage: Column, confidence: Column, low: float, high: float, least: float) -> Column:
+    """Whether a matched route's coverage lies in a band and its confidence is enough; null counts as not."""
+    return F.coalesce((coverage >= low) & (coverage <= high) & (confidence >= least), F.lit(False))
+
+
+def fit_domain(df: DataFrame, by: Sequence[str], value: str, n: str, plateau: float, least_n: float) -> DataFrame:
+    """Rows that a curve is fitted to: finite, above 0, at least a share of their group's largest value, from ``least_n`` counts."""
+    x = F.col(value).cast("double")
+    ok = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")) & (x > 0) & (F.col(n) >= least_n))
+    top = ok.groupBy(*by).agg(F.max(value).alias("_top"))
+    return ok.join(top, list(by)).where(F.col(value) >= F.lit(plateau) * F.col("_top")).select(*df.columns)

@@ -131,11 +131,25 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, polygon
     return hit if how == "inner" else points.select(key).join(hit, key, "left")
 
 
-def points_in_polygons_or_nearest(points: DataFrame, polygons: DataFrame, key: str, polygon: str, cell: float, radius: float) -> DataFrame:
-    """(key, polygon): the polygon that holds the point, else the one with the nearest centroid within ``radius``."""
+def nearest_any(left: DataFrame, right: DataFrame, left_key: str, right_key: str, radius: float, rounds: int = 60, cut=None) -> DataFrame:
+    """``nearest`` without a limit: points that find none within ``radius`` search twice as far, and so on."""
+    cut = cut or (lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist())
+    rest, out = left, None
+    for k in range(rounds):
+        found = cut(nearest(rest, right, left_key, right_key, radius * 2.0**k).where(F.col(right_key).isNotNull()))
+        out = found if out is None else out.unionByName(found)
+        rest = cut(rest.join(found.select(left_key), left_key, "left_anti"))
+        if rest.isEmpty() or right.isEmpty():
+            break
+    return left.select(left_key).join(out, left_key, "left")
+
+
+def points_in_polygons_or_nearest(points: DataFrame, polygons: DataFrame, key: str, polygon: str, cell: float, radius: float | None = None) -> DataFrame:
+    """(key, polygon): the polygon that holds the point, else the one with the nearest centroid, within ``radius`` if one is given."""
     inside = points_in_polygons(points, polygons, key, polygon, cell, "left")
     centres = polygons.select(polygon, ring_centroid(F.col("ring")).alias("c")).select(F.col(polygon).alias("_near"), F.col("c.x").alias("x"), F.col("c.y").alias("y"))
-    near = nearest(points, centres, key, "_near", radius).select(key, "_near")
+    outside = points.join(inside.where(F.col(polygon).isNull()).select(key), key, "left_semi")
+    near = (nearest_any(outside, centres, key, "_near", cell) if radius is None else nearest(outside, centres, key, "_near", radius)).select(key, "_near")
     return inside.join(near, key, "left").select(key, F.coalesce(polygon, "_near").alias(polygon))
 
 

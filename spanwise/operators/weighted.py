@@ -96,27 +96,49 @@ def inverse_variance_mean(df: DataFrame, by: Sequence[str], x: Column, sigma: Co
 
 
 def running_weight(df: DataFrame, x: str, w: str, by: Sequence[str] = ()) -> DataFrame:
-    """``df`` folded to distinct values of ``x`` with ``cum``, the weight up to and with it, and ``total``.
+    """``df`` folded to distinct values of ``x`` in each group with ``cum``, the weight up to and with it, and ``total``.
 
-    Without ``by`` the running sum would put all values into one task; they are dealt out
-    by range first, each range is summed, and the sums before it are added.
+    A running sum would put all values of a group into one task. So they are dealt out by range:
+    a group is cut into ranges at quantiles, each range is summed, and the sums before it are
+    added. The quantiles are approximate, as only the ranges' sizes depend on them.
     """
+    by = list(by)
     folded = df.groupBy(*by, x).agg(F.sum(w).alias("w"))
-    if by:
-        own = Window.partitionBy(*by)
-        return folded.withColumn("cum", F.sum("w").over(own.orderBy(x).rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("w").over(own))
-    # Ranges of about equal size by approximate quantiles: a fixed number of numbers, whatever the input.
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = folded.agg(F.percentile_approx(F.col(x).cast("double"), F.array(*(F.lit(i / n) for i in range(1, n))), F.lit(1000)).alias("cuts")) if n > 1 else None
     value = F.col(x).cast("double")
-    ranged = folded.crossJoin(F.broadcast(cuts)).withColumn("_p", F.size(F.filter("cuts", lambda c: c < value))).drop("cuts") if n > 1 else folded.withColumn("_p", F.lit(0))
-    sums = ranged.groupBy("_p").agg(F.sum("w").alias("_s"))
-    before = sums.agg(F.collect_list(F.struct("_p", "_s")).alias("_all"))  # one number for each range
-    out = ranged.withColumn("cum", F.sum("w").over(Window.partitionBy("_p").orderBy(x).rowsBetween(Window.unboundedPreceding, 0))).crossJoin(F.broadcast(before))
-    add = lambda own: F.aggregate("_all", F.lit(0.0), lambda acc, r: acc + F.when(own(r["_p"]), r["_s"]).otherwise(0.0))
+    # A fixed number of cuts for each group, whatever the input.
+    cuts = folded.groupBy(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(by))).agg(F.percentile_approx(value, F.array(*(F.lit(i / n) for i in range(1, n))) if n > 1 else F.array(F.lit(1.0)), F.lit(1000)).alias("cuts"))
+
+    ranged = _with_group(folded, cuts, by).withColumn("_p", F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: c < value))).drop("cuts")
+    sums = ranged.groupBy(*by, "_p").agg(F.sum("w").alias("_s"))
+    before = sums.groupBy(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(by))).agg(F.collect_list(F.struct("_p", "_s")).alias("_all"))  # one number for each range
+    own = ranged.withColumn("cum", F.sum("w").over(Window.partitionBy(*by, "_p").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)))
+    add = lambda which: F.aggregate("_all", F.lit(0.0), lambda acc, r: acc + F.when(which(r["_p"]), r["_s"]).otherwise(0.0))
+    out = _with_group(own, before, by)
     return out.withColumn("cum", F.col("cum") + add(lambda p: p < F.col("_p"))).withColumn("total", add(lambda p: F.lit(True))).drop("_p", "_all")
 
 
+def _with_group(df: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``df`` with its group's columns of a table of groups whose keys are _g0, _g1 and so on."""
+    if not by:
+        return df.crossJoin(F.broadcast(groups))  # one row
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return df.join(groups, same).drop(*(f"_g{i}" for i in range(len(by))))
+
+
+def ranked_values(df: DataFrame, x: str, by: Sequence[str], places: dict[str, Column]) -> DataFrame:
+    """(by, names): the values at places of each group's sorted ones, counted from 0; a place is a Column of the group's size ``n``.
+
+    Values are counted first and the counts summed by range, so no group is gathered; nulls are left out.
+    """
+    run = running_weight(df.where(F.col(x).isNotNull()).withColumn("_one", F.lit(1.0)), x, "_one", by)
+    n = F.col("total").cast("long")
+    at = lambda place: F.min(F.when(F.col("cum") > place.cast("long"), F.col(x)))
+    return run.withColumn("n", n).groupBy(*by).agg(*(at(p).alias(k) for k, p in places.items()))
+
+
 def weighted_quantile(df: DataFrame, x: str, w: str, p: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
     """The first value at which the running weight reaches ``p`` of the whole."""
     run = running_weight(df, x, w, by)
@@ -139,10 +161,17 @@ def upper_median(x: Column) -> Column:
     return nearest_rank(x, 0.5)
 
 
+def medians(df: DataFrame, x: str, by: Sequence[str], out: str = "median") -> DataFrame:
+    """(by, median): the mean of the middle two of each group, without gathering it."""
+    n = F.col("n")
+    two = ranked_values(df, x, by, {"_a": F.floor((n - 1) / 2), "_b": F.floor(n / 2)})
+    return two.select(*by, ((F.col("_a") + F.col("_b")) / 2).alias(out))
+
+
 def mad_sigma(df: DataFrame, x: str, by: Sequence[str]) -> DataFrame:
     """1.4826 times the median absolute deviation from each group's median."""
-    mid = df.groupBy(*by).agg(median(F.col(x)).alias("_m"))
-    return df.join(mid, list(by)).groupBy(*by).agg((F.lit(1.4826) * median(F.abs(F.col(x) - F.col("_m")))).alias("sigma"))
+    off = df.join(medians(df, x, by, "_m"), list(by)).withColumn("_off", F.abs(F.col(x) - F.col("_m")))
+    return medians(off, "_off", by, "_mad").select(*by, (F.lit(1.4826) * F.col("_mad")).alias("sigma"))
 
 
 def normalise(df: DataFrame, value: str, by: Sequence[str] = (), total: float = 1.0, out: str = "share") -> DataFrame:

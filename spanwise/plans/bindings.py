@@ -127,8 +127,9 @@ def weighted_quantile(spark, d):
 
 @query("""SELECT l_returnflag, median(l_quantity) AS med, list_sort(list(l_quantity))[count(*) // 2 + 1] AS upper, list_sort(list(l_quantity))[CAST(least(floor(0.9e0 * count(*)), count(*) - 1) AS BIGINT) + 1] AS p90 FROM lineitem GROUP BY ALL""")
 def percentile_trio(spark, d):
-    q = F.col("l_quantity")
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(weighted.median(q).alias("med"), weighted.upper_median(q).alias("upper"), weighted.nearest_rank(q, 0.9).alias("p90"))
+    n = F.col("n")
+    got = weighted.ranked_values(table(spark, d, "lineitem"), "l_quantity", ["l_returnflag"], {"a": F.floor((n - 1) / 2), "upper": F.floor(n / 2), "p90": F.least(F.floor(F.lit(0.9) * n), n - 1)})
+    return got.select("l_returnflag", ((F.col("a") + F.col("upper")) / 2).alias("med"), "upper", "p90")
 
 
 @query("""WITH t AS (SELECT s_nationkey, CAST(count(*) * 100 AS DOUBLE) AS total FROM supplier GROUP BY 1), c AS (SELECT c_custkey, c_nationkey, total, CASE WHEN c_nationkey % 5 = 0 THEN 0e0 ELSE greatest(c_acctbal, 0e0) END AS w FROM customer JOIN t ON c_nationkey = s_nationkey)
@@ -431,9 +432,16 @@ def bucket_coverage(spark, d):
 @query("""SELECT l_returnflag, l_linestatus, CAST(CASE WHEN l_linestatus IS NOT NULL THEN 0 WHEN l_returnflag IS NOT NULL THEN 1 ELSE 3 END AS INT) AS level, count(*) AS n, round(median(l_extendedprice / l_quantity), 6) AS median_ratio, round(avg(abs(ln(l_extendedprice / (2000e0 * l_quantity)))), 6) AS mean_abs_log
 FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())""")
 def leg_band_eval(spark, d):
-    ratio = F.col("l_extendedprice") / F.col("l_quantity")
-    got = relational.levels(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus", {"n": F.count("*"), "median_ratio": weighted.median(ratio), "mean_abs_log": F.avg(F.abs(F.log(F.col("l_extendedprice") / (F.lit(2000.0) * F.col("l_quantity")))))})
-    return rounded(got, median_ratio=6, mean_abs_log=6)
+    li = table(spark, d, "lineitem").withColumn("ratio", F.col("l_extendedprice") / F.col("l_quantity"))
+    got = relational.levels(li, "l_returnflag", "l_linestatus", {"n": F.count("*"), "mean_abs_log": F.avg(F.abs(F.log(F.col("l_extendedprice") / (F.lit(2000.0) * F.col("l_quantity")))))})
+    # Medians do not add up over levels, so each level has its own, by ranges of values.
+    none = F.lit(None).cast("string")
+    m = weighted.medians(li, "ratio", ["l_returnflag", "l_linestatus"], "median_ratio").withColumn("_l", F.lit(0))
+    m = m.unionByName(weighted.medians(li, "ratio", ["l_returnflag"], "median_ratio").withColumn("l_linestatus", none).withColumn("_l", F.lit(1)))
+    m = m.unionByName(weighted.medians(li, "ratio", [], "median_ratio").withColumn("l_returnflag", none).withColumn("l_linestatus", none).withColumn("_l", F.lit(3)))
+    m = m.toDF(*(f"_{c}" for c in m.columns))
+    both = got.join(m, (F.col("level") == F.col("__l")) & F.col("l_returnflag").eqNullSafe(F.col("_l_returnflag")) & F.col("l_linestatus").eqNullSafe(F.col("_l_linestatus")))
+    return rounded(both.select("l_returnflag", "l_linestatus", "level", "n", F.col("_median_ratio").alias("median_ratio"), "mean_abs_log"), median_ratio=6, mean_abs_log=6)
 
 
 @query("""SELECT side, node, v FROM (SELECT 'top' AS side, c_custkey AS node, c_acctbal AS v, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer
@@ -545,6 +553,32 @@ def path_incidence(spark, d):
     return rounded(graph.random_path_incidence(e, pairs, passes=10), dist=6, weight=6)
 
 
+_RING = """WITH RECURSIVE e AS (SELECT CAST(n_nationkey AS BIGINT) AS u, CAST((n_nationkey + 1) % 25 AS BIGINT) AS v, 1e0 + n_nationkey % 4 AS c FROM nation UNION ALL SELECT n_nationkey, (n_nationkey + 7) % 25, 9e0 FROM nation),
+w AS (SELECT u AS src, u AS node, 0e0 AS cost FROM e UNION SELECT w.src, e.v, w.cost + e.c FROM w JOIN e ON e.u = w.node WHERE w.cost + e.c <= 70)"""
+
+
+@query(_RING + " SELECT src, node AS dst, min(cost) AS dist FROM w WHERE src <> node GROUP BY ALL")
+def path_distances(spark, d):
+    """Distances of all pairs by searches from each source."""
+    return graph.shortest_paths(*routed_pairs(spark, d)).select("src", "dst", "dist")
+
+
+@query(_RING + " SELECT src, node AS dst, min(cost) AS dist, min(cost) AS along FROM w WHERE src <> node GROUP BY ALL")
+def path_sums(spark, d):
+    """Each path's links, added up, give its distance."""
+    e, pairs = routed_pairs(spark, d)
+    p = graph.shortest_paths(e, pairs).select("src", "dst", "dist", F.explode("links").alias("link_id"))
+    return p.join(e, "link_id").groupBy("src", "dst", "dist").agg(F.sum("cost").alias("along"))
+
+
+@query(_RING + " SELECT src, node AS dst, min(cost) AS dist, 1e0 AS least FROM w WHERE src <> node GROUP BY ALL")
+def unperturbed_incidence(spark, d):
+    """Without variation every pass takes a shortest path, so each link of it has weight 1."""
+    e, pairs = routed_pairs(spark, d)
+    i = graph.random_path_incidence(e, pairs, passes=3, variation=0.0)
+    return i.groupBy("src", "dst").agg(F.max("dist").alias("dist"), F.min("weight").alias("least"))
+
+
 @query()
 def dijkstra_paths(spark, d):
     return graph.shortest_paths(*routed_pairs(spark, d))
@@ -621,7 +655,10 @@ def stream_hourly(spark, d):
 @query("""SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM
 (SELECT user_id, ts, event_id, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS b FROM events)) GROUP BY user_id, g""")
 def session_windows(spark, d):
-    s = streaming.sessions(table(spark, d, "events").withColumn("ts", ts("ts")), "ts", ["user_id"], "6 hours")
+    static = table(spark, d, "events")
+    stream = streaming.read_events(spark, f"{d}/events.parquet*", static.schema).withColumn("ts", ts("ts"))
+    out = streaming.sessions(stream, "ts", ["user_id"], "6 hours", None)
+    s = streaming.run_to_path(out, sinks.shared_folder(spark, "sessions"), sinks.shared_folder(spark, "progress"))
     return s.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
@@ -640,7 +677,15 @@ def haversine_pairs(spark, d):
     return _coords(spark, d).select("c_custkey", r(scalar.haversine_m(*c), 4).alias("metres"), r(scalar.bearing_deg(*c)).alias("bearing"))
 
 
-@query()
+_GRID = f"""WITH c AS (SELECT (1 / 298.257222101e0) / (2 - 1 / 298.257222101e0) AS n), a AS (SELECT n, 2 * sqrt(n) / (1 + n) AS k, 6378137e0 / (1 + n) * (1 + n * n / 4 + pow(n, 4) / 64) AS radius,
+n / 2 - 2 * n * n / 3 + 5 * pow(n, 3) / 16 AS a1, 13 * n * n / 48 - 3 * pow(n, 3) / 5 AS a2, 61 * pow(n, 3) / 240 AS a3 FROM c),
+p AS (SELECT c_custkey, lat1, lon1, sin(radians(lat1)) AS s, radians(lon1 + 8e0) AS d, a.* FROM {_LL}, a UNION ALL SELECT -1, 53.5e0, -8e0, sin(radians(53.5e0)), 0e0, a.* FROM a),
+q AS (SELECT *, sinh(ln((1 + s) / (1 - s)) / 2 - k * ln((1 + k * s) / (1 - k * s)) / 2) AS t FROM p), e AS (SELECT *, atan2(t, cos(d)) AS xi, asinh(sin(d) / sqrt(t * t + cos(d) * cos(d))) AS eta FROM q),
+g AS (SELECT *, radius * 0.99982e0 * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)) AS east, radius * 0.99982e0 * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)) AS north FROM e)
+SELECT c_custkey, lat1, lon1, round(600000e0 + east, 3) AS x, round(750000e0 + north - (SELECT north FROM g WHERE c_custkey = -1), 3) AS y FROM g WHERE c_custkey >= 0"""
+
+
+@query(_GRID)
 def irish_grid(spark, d):
     g = spatial.to_itm(F.col("lat1"), F.col("lon1"))
     return _coords(spark, d).select("c_custkey", "lat1", "lon1", r(g["x"], 3).alias("x"), r(g["y"], 3).alias("y"))
@@ -815,3 +860,6 @@ def map_match(spark, d):
     h = F.col("n_nationkey") * F.lit(0.37)
     e = table(spark, d, "nation").select(F.col("n_nationkey").alias("edge"), F.lit(0.0).alias("x1"), h.alias("y1"), F.lit(39.0).alias("x2"), h.alias("y2"))
     return rounded(observe.map_match(p, e, "user_id", "accuracy", 50.0), rmse=6)
+
+
+from . import more  # noqa: E402, F401  registers its queries here

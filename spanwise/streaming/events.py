@@ -47,32 +47,67 @@ def thin(stream: DataFrame, ts: str, by: Sequence[str], every: str = "20 seconds
 
 
 def recent_fix(events: DataFrame, fixes: DataFrame, key: str, ts: str, fix_ts: str, within: str = "60 seconds", delay: str = "10 minutes") -> DataFrame:
-    """Each event with the fixes of its key within the time before it: a join of two streams with bounded state."""
-    f = fixes.withColumnRenamed(key, "_fix_key")
+    """Each event with the latest fix of its key within the time before it, null if there is none.
+
+    On streams a join with bounded state, then the latest of each event's fixes, in append mode: an
+    event comes out when the watermark has passed it. Equal event rows count as one.
+    """
+    f = fixes.select(F.col(key).alias("_fix_key"), F.col(fix_ts).alias("_fix_ts"), F.struct(*fixes.columns).alias("_fix"))
     if events.isStreaming:
-        events, f = events.withWatermark(ts, delay), f.withWatermark(fix_ts, delay)
-    return events.join(f, F.expr(f"{key} = _fix_key and {fix_ts} <= {ts} and {fix_ts} >= {ts} - interval {within}"), "leftOuter")
+        events, f = events.withWatermark(ts, delay), f.withWatermark("_fix_ts", delay)
+    joined = events.join(f, F.expr(f"`{key}` = _fix_key and _fix_ts <= `{ts}` and _fix_ts >= `{ts}` - interval {within}"), "leftOuter")
+    return joined.groupBy(*events.columns).agg(F.max_by("_fix", F.struct("_fix_ts", F.to_json("_fix"))).alias("fix"))
 
 
 def run_to_path(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Drain what is there now, each batch overwriting the table at ``path``, and return that table."""
+    """Drain what is there now into the table at ``path``, and return that table.
+
+    In complete mode each batch is the whole result and replaces it; in append mode each adds
+    its rows, under its number, so a repeated batch replaces itself. ValueError for other modes.
+    """
+    if mode not in ("complete", "append"):
+        raise ValueError("mode must be complete or append")
+
     def one(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={n}")
 
     q = stream.writeStream.outputMode(mode).foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
+
+
+#: Buckets that a keyed table is cut into; a batch writes those that it touches.
+BUCKETS = 64
 
 
-def upsert_sink(stream: DataFrame, path: str, keys: Sequence[str], version: str, checkpoint: str):
-    """Write each batch as the next version of a keyed table: new rows win, others stay. A repeated batch gives the same version."""
+def upsert_sink(stream: DataFrame, path: str, keys: Sequence[str], version: str, checkpoint: str, buckets: int = BUCKETS):
+    """Write each batch into a keyed table: new rows win, others stay. A repeated batch gives the same table.
+
+    The table is cut into buckets by the keys' hash. A batch writes a new version of the buckets
+    that it touches, and of no others; ``read_upserted`` takes the last version of each.
+    """
     from ..operators.relational import upsert
 
     def one(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        new = batch.withColumn(version, F.lit(n))
+        new = batch.withColumn(version, F.lit(n)).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
         if n:
-            new = upsert(spark.read.parquet(f"{path}/{n - 1}"), new, keys)
-        new.write.mode("overwrite").parquet(f"{path}/{n}")
+            touched = new.select(F.col("_bucket").alias("_b")).distinct()
+            old = _last_versions(batch.sparkSession, path, n).join(F.broadcast(touched), F.col("_bucket") == F.col("_b"), "left_semi").drop("_version")
+            new = upsert(old, new, keys)
+        new.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/_version={n}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _last_versions(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    rows = spark.read.option("basePath", path).parquet(f"{path}/_version=*")
+    if before is not None:
+        rows = rows.where(F.col("_version") < before)
+    # Folder names alone: a row for each bucket.
+    last = rows.groupBy(F.col("_bucket").alias("_lb")).agg(F.max("_version").alias("_lv"))
+    return rows.join(F.broadcast(last), (F.col("_bucket") == F.col("_lb")) & (F.col("_version") == F.col("_lv")), "left_semi")
+
+
+def read_upserted(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``upsert_sink`` keeps at ``path``."""
+    return _last_versions(spark, path).drop("_version", "_bucket")

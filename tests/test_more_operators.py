@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanwise.functions import scalar
-from spanwise.operators import graph, observe, spatial, weighted
+from spanwise.operators import flows, graph, observe, spatial, weighted
 from spanwise.sources import sinks
 
 
@@ -77,3 +77,32 @@ def test_too_many_gates(spark):
     edges = spark.createDataFrame([(1, 2)], "u long, v long")
     with pytest.raises(ValueError):
         graph.regions_behind(edges, spark.range(3, 10_004).withColumnRenamed("id", "node"), edges.select(F.col("u").alias("node")))
+
+
+def test_recent_fix_keeps_equal_events(spark):
+    e = spark.createDataFrame([("a", 100, "x"), ("a", 100, "x"), ("a", 500, "y")], "s string, t int, v string").select("s", F.timestamp_seconds("t").alias("ts"), "v")
+    f = spark.createDataFrame([("a", 90, 1), ("a", 99, 2), ("a", 99, 3), ("b", 100, 4)], "s string, t int, n int").select("s", F.timestamp_seconds("t").alias("at"), "n")
+    got = sorted((r["v"], r["fix"]["n"] if r["fix"] else None) for r in observe.recent_fix(e, f, "s", "ts", "at").collect())
+    assert got == [("x", 3), ("x", 3), ("y", None)]
+
+
+def test_running_weights_and_medians_by_group(spark):
+    rows = [(g, float((i * 7919) % 100), float(i % 3)) for g in ("a", "b", None) for i in range(500 if g == "a" else 7)]
+    df = spark.createDataFrame(rows, "g string, x double, w double")
+    got = {(r["g"], r["x"]): (r["cum"], r["total"]) for r in weighted.running_weight(df, "x", "w", ["g"]).collect()}
+    for g in ("a", "b", None):
+        own = [(x, w) for k, x, w in rows if k == g]
+        for x in {x for x, _ in own}:
+            assert got[(g, x)] == (sum(w for y, w in own if y <= x), sum(w for _, w in own))
+    m = {r["g"]: r["median"] for r in weighted.medians(df, "x", ["g"]).collect()}
+    import statistics
+
+    assert m == {g: statistics.median(x for k, x, _ in rows if k == g) for g in ("a", "b", None)}
+
+
+def test_ring_masses_in_blocks(spark):
+    o = spark.createDataFrame([(i, float(i)) for i in range(6)], "origin int, x double")
+    p = spark.createDataFrame([(float(i), 1.0 + i) for i in range(25)], "y double, m double")
+    d = F.abs(F.col("x") - F.col("y"))
+    a, b = (sorted(map(tuple, flows.ring_masses(o, p, d, "m", [2.0, 9.0], most=n).collect())) for n in (100, 4))
+    assert a == b and len(a) == 18

@@ -55,11 +55,11 @@ def test_whole_tables(spark):
     def rows_of(name, column):
         return {r[0] for r in spark.read.parquet(f"{ROOT}/{name}.parquet").select(column).collect()}
 
-    assert ids("knn_all", "vec_id") == rows_of("embeddings", "vec_id")
-    assert any(r["near"] % 5 == 0 for r in bindings.knn_all(spark, ROOT).where("near is not null").collect())
-    assert ids("fuzzy_block_all", "p_name") == rows_of("part", "p_name")
-    assert ids("shortest_path_all", "source") == rows_of("nation", "n_nationkey")
-    assert ids("merge_right_wins_all", "key") == rows_of("customer", "c_custkey") | rows_of("supplier", "s_suppkey")
+    assert ids("knn", "vec_id") == rows_of("embeddings", "vec_id")
+    assert any(r["near"] % 5 == 0 for r in bindings.knn(spark, ROOT).where("near is not null").collect())
+    assert ids("fuzzy_block", "p_name") == rows_of("part", "p_name")
+    assert ids("shortest_path", "source") == rows_of("nation", "n_nationkey")
+    assert ids("merge_right_wins", "key") == rows_of("customer", "c_custkey") | rows_of("supplier", "s_suppkey")
 
 
 def test_flows_conserve(spark):
