@@ -862,4 +862,4 @@ def map_match(spark, d):
     return rounded(observe.map_match(p, e, "user_id", "accuracy", 50.0), rmse=6)
 
 
-from . import more  # noqa: E402, F401  registers its queries here
+from . import further, more  # noqa: E402, F401  they register their queries here
