@@ -110,6 +110,15 @@ def levels(df: DataFrame, a: str, b: str, measures: dict[str, Column]) -> DataFr
     return df.groupingSets([[F.col(a), F.col(b)], [F.col(a)], []], F.col(a), F.col(b)).agg(F.grouping_id().cast("int").alias("level"), *aggs)
 
 
+def thin_capped(points: Column, step: float, most: int) -> Column:
+    """``thin_by_distance``, but of more than ``most`` points, before or after, every so many and the end."""
+    n, kept = F.size(points), thin_by_distance(points, step)
+    stride = F.greatest(F.ceil(n / F.lit(most - 1)).cast("int"), F.lit(1))
+    every = F.filter(points, lambda p, i: i % stride == 0)
+    strided_ = F.when(F.element_at(every, -1) == F.element_at(points, -1), every).otherwise(F.concat(every, F.array(F.element_at(points, -1))))
+    return F.when((n <= most) & (F.size(kept) <= most), kept).otherwise(strided_)
+
+
 def thin_by_distance(points: Column, step: float) -> Column:
     """Of an array of (x, y): the first, each one at least ``step`` along the line after the last kept, and the end."""
     n = F.size(points)
@@ -161,3 +170,21 @@ def fit_domain(df: DataFrame, by: Sequence[str], value: str, n: str, plateau: fl
     ok = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")) & (x > 0) & (F.col(n) >= least_n))
     top = ok.groupBy(*by).agg(F.max(value).alias("_top"))
     return ok.join(top, list(by)).where(F.col(value) >= F.lit(plateau) * F.col("_top")).select(*df.columns)
+
+
+def reset_parameters(params: DataFrame, reference: DataFrame, ones: Sequence[str] = (), stale: Sequence[str] = ()) -> DataFrame:
+    """(key, value): parameters with those of a reference in their place, scales set to 1 and stale ones left out."""
+    scales = params.sparkSession.createDataFrame([(k, 1.0) for k in ones], "key string, value double")
+    return upsert(upsert(params, reference, ["key"]), scales, ["key"]).where(~F.col("key").isin(*stale))
+
+
+def assign_links(overrides: DataFrame, new: DataFrame, edges: DataFrame, counts: DataFrame, key: str = "session_id") -> DataFrame:
+    """``overrides`` with new ones (key, u, v) in their place. A session with a count along a direction needs an edge that way:
+    ``counts`` has (key, with_count, against_count); reading an override that breaks this raises an error."""
+    e = edges.select("u", "v").distinct()
+    along = e.select(F.col("u").alias("_a"), F.col("v").alias("_b"), F.lit(True).alias("_with"))
+    back = e.select(F.col("v").alias("_c"), F.col("u").alias("_d"), F.lit(True).alias("_back"))
+    j = new.join(counts, key, "left").join(along, (F.col("u") == F.col("_a")) & (F.col("v") == F.col("_b")), "left").join(back, (F.col("u") == F.col("_c")) & (F.col("v") == F.col("_d")), "left")
+    bad = (F.col("with_count").isNotNull() & F.col("_with").isNull()) | (F.col("against_count").isNotNull() & F.col("_back").isNull()) | (F.col("_with").isNull() & F.col("_back").isNull())
+    checked = j.select(F.when(bad, F.raise_error(F.concat(F.lit("no such edge for "), F.col(key).cast("string")))).otherwise(F.col(key)).alias(key), "u", "v")
+    return upsert(overrides, checked, [key])

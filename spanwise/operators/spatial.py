@@ -187,6 +187,19 @@ def sample_in_rings(areas: DataFrame, key: str, n: int, seed: int = 0, ring: str
     return hit.select(key, F.posexplode("s").alias("i", "p")).select(key, F.col("i").alias("draw"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
 
 
+def road_points(areas: DataFrame, key: str, n: int, roads: DataFrame, road_key: str, tolerance: float, seed: int = 0, ring: str = "ring", tries: int = 12) -> DataFrame:
+    """(key, draw, x, y, off): ``n`` points in each ring, each the first of ``tries`` draws that lies within ``tolerance`` of a road
+    point (x, y), or else the draw nearest to one; a point without any road point within four times that has a null ``off``."""
+    drawn = sample_in_rings(areas, key, n * tries, seed, ring)
+    ids = drawn.select(F.xxhash64(F.col(key), F.col("draw")).alias("_id"), key, "draw", "x", "y")
+    off = nearest(ids, roads, "_id", road_key, 4 * tolerance).select(F.col("_id").alias("_i"), F.col("distance").alias("off"))
+    j = ids.join(off, F.col("_id") == F.col("_i"), "left").withColumn("_point", F.pmod("draw", F.lit(n)).cast("int"))
+    near = F.coalesce(F.col("off") < tolerance, F.lit(False))
+    rank = F.struct((~near).alias("far"), F.when(near, F.lit(0.0)).otherwise(F.coalesce("off", F.lit(float("inf")))).alias("off"), F.col("draw").alias("draw"))
+    best = j.groupBy(key, "_point").agg(F.min_by(F.struct("x", "y", "off"), rank).alias("p"))
+    return best.select(key, F.col("_point").alias("draw"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("p.off").alias("off"))
+
+
 def repaired_place(x: Column, y: Column, box: tuple[float, float, float, float] = (-11.0, 51.0, -5.0, 56.0)) -> Column:
     """(lon, lat) of a pair of columns that may hold degrees, degrees in the wrong order, or grid metres; null if none fits."""
     west, south, east, north = box

@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import apportion, calibrate, codes, graph, matching, observe, relational, sampling, spatial, weighted
+from .. import explore
+from ..operators import apportion, calibrate, codes, graph, matching, observe, relational, sampling, spatial, tuning, weighted
 from ..sources import sinks, tables
 from ..sources.tables import table
 from ..streaming import events as streaming
@@ -293,3 +294,90 @@ def upserted_stream(spark, d):
     q = streaming.upsert_sink(stream.select("user_id", "event_id"), path, ["user_id", "event_id"], "version", sinks.shared_folder(spark, "progress"), 8)
     q.awaitTermination()
     return streaming.read_upserted(spark, path).groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+
+
+# --- fits, parameters and the explorer -----------------------------------------------------
+
+
+@query("SELECT 'primary|untagged' AS bucket, 2e0 AS factor UNION ALL SELECT 'residential|untagged', 0.5e0")
+def bucket_factors(spark, d):
+    """Factors of road buckets fitted to times that were made with known ones: a round trip."""
+    p = F.col("p_size").cast("double") * 100
+    lengths = F.create_map(F.lit("primary|untagged"), p, F.lit("residential|untagged"), F.col("p_retailprice"), F.lit("service|other"), d_(0))
+    t = p * 3.6 / 65 * 2 + F.col("p_retailprice") * 3.6 / 25 * 0.5 + 7
+    rows = table(spark, d, "part").select(lengths.alias("b"), t.alias("t"))
+    got, _ = tuning.fit_bucket_factors(rows, "b", d_(7), F.col("t"), F.lit(1.0), 10.0, ridge=0.0)
+    return spark.createDataFrame([(k, round(v, 4)) for k, v in got.items()], "bucket string, factor double")
+
+
+@query("SELECT count(*) AS pairs, CAST(0 AS BIGINT) AS violations FROM part")
+def preference_fit(spark, d):
+    """Preferences under which every chosen route costs less than the faster one."""
+    s = F.col("p_size").cast("double")
+    rows = table(spark, d, "part").select(F.create_map(F.lit("motorway"), s + 10, F.lit("service"), d_(1)).alias("a"), F.create_map(F.lit("motorway"), d_(1), F.lit("service"), s + 8).alias("b"))
+    f, _ = tuning.fit_preferences(rows, "a", "b", ["motorway", "service"], 0.05, ridge=1e-4)
+    cost = lambda c: F.col(c)["motorway"] * f["motorway"] + F.col(c)["service"] * f["service"]
+    return rows.agg(F.count("*").alias("pairs"), F.count_if(cost("a") >= cost("b")).alias("violations"))
+
+
+@query("SELECT 0.6e0 AS plateau, 2e0 AS scale, 1.5e0 AS shape")
+def share_curve(spark, d):
+    """A drive-share curve fitted to shares that were made with known parameters: a round trip."""
+    x = spark.range(1, 1001).select((F.col("id") / d_(100)).alias("d"))
+    share = d_(0.6) * (d_(1) - F.exp(-F.pow(F.col("d") / 2, d_(1.5))))
+    rows = x.select("d", F.lit(1.0).alias("y"), share.alias("w")).unionByName(x.select("d", F.lit(0.0).alias("y"), (d_(1) - share).alias("w")))
+    return spark.createDataFrame([tuple(round(v, 2) for v in tuning.fit_share_curve(rows, "d", "y", "w", 10.0))], "plateau double, scale double, shape double")
+
+
+@query("SELECT c_custkey, CAST(CASE WHEN k <= 6 THEN k ELSE (k - 1) // CAST(ceil(k / 5e0) AS INT) + 1 + CASE WHEN (k - 1) % CAST(ceil(k / 5e0) AS INT) = 0 THEN 0 ELSE 1 END END AS INT) AS kept FROM (SELECT c_custkey, CAST(c_custkey % 20 + 2 AS INT) AS k FROM customer)")
+def capped_tracks(spark, d):
+    """Tracks thinned to a step, or evenly where that leaves too many points."""
+    n = (F.col("c_custkey") % 20 + 2).cast("int")
+    line = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.cast("double").alias("x"), d_(0).alias("y")))
+    return table(spark, d, "customer").select("c_custkey", F.size(relational.thin_capped(line, 1.0, 6)).alias("kept"))
+
+
+@query("SELECT c_mktsegment AS key, CASE WHEN c_mktsegment = 'BUILDING' THEN 1e0 WHEN c_mktsegment = 'FURNITURE' THEN 7e0 ELSE round(sum(c_acctbal), 2) END AS value FROM customer WHERE c_mktsegment <> 'MACHINERY' GROUP BY c_mktsegment")
+def reset_parameters(spark, d):
+    """Parameters with those of a reference, scales at 1 and stale ones left out."""
+    p = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("key")).agg(r(F.sum("c_acctbal"), 2).alias("value"))
+    return relational.reset_parameters(p, spark.createDataFrame([("FURNITURE", 7.0)], "key string, value double"), ["BUILDING"], ["MACHINERY"])
+
+
+@query("SELECT c_custkey AS session_id, CAST(CASE WHEN c_custkey % 4 = 0 THEN c_nationkey ELSE -1 END AS BIGINT) AS u, CAST(CASE WHEN c_custkey % 4 = 0 THEN (c_nationkey + 1) % 25 ELSE -1 END AS BIGINT) AS v FROM customer")
+def assigned_links(spark, d):
+    """Sessions given to links by hand, where the network has them."""
+    k = F.col("n_nationkey").cast("long")
+    edges = table(spark, d, "nation").select(k.alias("u"), ((k + 1) % 25).alias("v"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("session_id"), F.col("c_nationkey").cast("long").alias("n"))
+    old = c.select("session_id", F.lit(-1).cast("long").alias("u"), F.lit(-1).cast("long").alias("v"))
+    new = c.where("session_id % 4 = 0").select("session_id", F.col("n").alias("u"), ((F.col("n") + 1) % 25).alias("v"))
+    counts = c.select("session_id", F.lit(3).alias("with_count"), F.lit(None).cast("int").alias("against_count"))
+    return relational.assign_links(old, new, edges, counts).select("session_id", "u", "v")
+
+
+@query("SELECT n_name AS component, round((n_nationkey + 1) * 1.5e0, 6) AS rate FROM nation")
+def island_rates(spark, d):
+    """Generation rates at the island's level, from two JSON files."""
+    n = table(spark, d, "nation").agg(F.map_from_entries(F.collect_list(F.struct("n_name", (F.col("n_nationkey") + 1).cast("double").alias("v")))).alias("rates"))
+    one = _text_file(n.select(F.to_json(F.struct("rates")).alias("line")).coalesce(1), "line", "rates")
+    two = _text_file(spark.range(1).select(F.lit('{"m_island": 1.5}').alias("line")).coalesce(1), "line", "level")
+    return rounded(tables.generation_rates(spark, one, two), rate=6)
+
+
+@query("SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS weighted FROM customer WHERE c_nationkey IN (3, 4) GROUP BY ALL")
+def explored_counts(spark, d):
+    """The explorer's weighted counts."""
+    got = explore.answer(spark, [d, "--table", "custom", "--counts", "--by", "c_mktsegment", "--weight", "c_acctbal", "--years", "3", "4", "--year-column", "c_nationkey"])
+    return rounded(got.select("c_mktsegment", "n", "weighted"), weighted=2)
+
+
+@query("SELECT CAST(c_nationkey AS BIGINT) AS area, CAST(4 AS BIGINT) AS n, CAST(4 AS BIGINT) AS near FROM (SELECT DISTINCT c_nationkey FROM customer)")
+def road_points(spark, d):
+    """Points drawn in areas until they lie near a road."""
+    k = F.col("c_nationkey").cast("double")
+    ring = F.array(*(F.struct((k * 10 + x).alias("x"), d_(y).alias("y")) for x, y in ((0.0, 0), (8.0, 0), (8.0, 6), (0.0, 6))))
+    areas = table(spark, d, "customer").select("c_nationkey").distinct().select(F.col("c_nationkey").cast("long").alias("area"), ring.alias("ring"))
+    roads = spark.range(0, 8 * 250).select(F.col("id").alias("road"), (F.floor(F.col("id") / 8) * d_(1)).alias("x"), (F.col("id") % 8).cast("double").alias("y"))
+    got = spatial.road_points(areas, "area", 4, roads, "road", 0.5, seed=3)
+    return got.groupBy("area").agg(F.count("*").alias("n"), F.count_if(F.col("off") < 0.5).alias("near"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -178,3 +179,36 @@ def repeats_signature(df: DataFrame, *columns: str) -> str:
     h = F.xxhash64(*(F.col(c) for c in (columns or df.columns))).cast("decimal(38,0)")
     n, s = df.agg(F.count("*"), F.sum(h)).first()
     return f"{n}:{s}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever store the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def optional_json(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """A JSON file's rows, or None with a warning if it is absent."""
+    if not exists(spark, path):
+        warnings.warn(f"{path} is absent", stacklevel=2)
+        return None
+    return spark.read.option("multiLine", "true").schema(schema).json(path)
+
+
+def generation_rates(spark: SparkSession, path: str, level_path: str) -> DataFrame | None:
+    """(component, rate): trips a head a day, times the island's level; None without rates, a level of 1 without a level file."""
+    rates = optional_json(spark, path, "rates map<string,double>")
+    if rates is None:
+        return None
+    level = optional_json(spark, level_path, "m_island double")
+    one = spark.range(1).select(F.lit(1.0).alias("m"))
+    m = one if level is None else level.select(F.coalesce("m_island", F.lit(1.0)).alias("m"))
+    return rates.select(F.explode("rates").alias("component", "rate")).crossJoin(F.broadcast(m)).select("component", (F.col("rate") * F.col("m")).alias("rate"))
+
+
+def base_speeds(spark: SparkSession, path: str) -> DataFrame:
+    """(bucket, kmh) that were measured; no rows, with a warning, if the file is absent, so that base speeds by class are used."""
+    held = optional_json(spark, path, "speeds map<string,struct<harmonic_kmh:double>>")
+    if held is None:
+        return spark.createDataFrame([], "bucket string, kmh double")
+    return held.select(F.explode("speeds").alias("bucket", "s")).select("bucket", F.col("s.harmonic_kmh").alias("kmh")).where("kmh > 0")

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanwise.functions import domain
-from spanwise.operators import graph, montecarlo, population, routes, sampling
+from spanwise import explore
+from spanwise.operators import graph, montecarlo, population, relational, routes, sampling, tuning
 from spanwise.sources import sheets, sinks, tables
 
 
@@ -189,3 +190,57 @@ def test_graph_files_and_history(spark, tmp_path):
     assert tables.history_entry(h, "aa1").first()["previous"] is None
     with pytest.raises(Exception, match="no entry"):
         tables.history_entry(h, "zz").collect()
+
+
+def test_factor_fits(spark):
+    rows = spark.createDataFrame([({"primary|untagged": 100.0 * i, "road|30": 50.0 + i}, 3.0) for i in range(1, 60)], "b map<string,double>, other double")
+    t = routes.edge_seconds(F.col("b"), F.create_map(F.lit("primary|untagged"), F.lit(1.7))) + F.col("other")
+    got, loss = tuning.fit_bucket_factors(rows, "b", F.col("other"), t, F.lit(2.0), 10.0, ridge=0.0)
+    assert got == {"primary|untagged": pytest.approx(1.7, abs=1e-3)} and loss < 1e-8  # the other bucket is too short to tell
+    assert tuning.fit_bucket_factors(rows, "b", F.col("other"), t, F.lit(2.0), 10.0, ridge=10.0)[0]["primary|untagged"] == pytest.approx(1, abs=0.1)
+    tied = spark.createDataFrame([({"a": 10.0}, {"b": 9.0})] * 5, "x map<string,double>, y map<string,double>")
+    f, loss = tuning.fit_preferences(tied, "x", "y", ["a", "b"], 0.0, ridge=1e-6)
+    assert f["a"] * 10 <= f["b"] * 9 * 1.001 and 0.33 <= f["a"] <= 1 <= f["b"] <= 3
+    o = spark.createDataFrame([(10.5, 2.0), (20.5, 4.0)], "n double, base double")
+    best = tuning.search(o, {"k": (0.0, 50.0)}, F.col("k") * F.col("base"), F.col("n"), {"k": (math.log(5.0), 100.0, True)}, rounds=10)
+    assert best["k"] == pytest.approx(5, abs=0.01)
+    assert tuning.sweep(lambda p: p["a"] + p["b"], {"a": 1.0, "b": 2.0}, {"a": [5.0]}) == [("a", 5.0, 7.0)]
+    with pytest.raises(ValueError):
+        tuning.parameter_grid(spark, {"a": list(range(200)), "b": list(range(200))})
+
+
+def test_assignments_and_absent_files(spark, tmp_path):
+    edges = spark.createDataFrame([(1, 2)], "u long, v long")
+    none = spark.createDataFrame([], "session_id string, u long, v long")
+    new = spark.createDataFrame([("s", 2, 1)], "session_id string, u long, v long")
+    ok = spark.createDataFrame([("s", None, 4)], "session_id string, with_count int, against_count int")
+    assert [tuple(r) for r in relational.assign_links(none, new, edges, ok).collect()] == [("s", 2, 1)]
+    with pytest.raises(Exception, match="no such edge"):
+        relational.assign_links(none, new, edges, spark.createDataFrame([("s", 3, None)], ok.schema)).collect()
+    with pytest.raises(Exception, match="no such edge"):
+        relational.assign_links(none, spark.createDataFrame([("t", 7, 8)], none.schema), edges, ok).collect()
+    with pytest.warns(UserWarning, match="absent"):
+        assert tables.generation_rates(spark, f"{tmp_path}/no.json", f"{tmp_path}/no.json") is None
+    (tmp_path / "r.json").write_text('{"rates": {"a": 2.0}}')
+    with pytest.warns(UserWarning, match="absent"):
+        assert tuple(tables.generation_rates(spark, f"{tmp_path}/r.json", f"{tmp_path}/no.json").first()) == ("a", 2.0)
+    with pytest.warns(UserWarning, match="absent"):
+        assert tables.base_speeds(spark, f"{tmp_path}/no.json").count() == 0
+    (tmp_path / "b.json").write_text('{"speeds": {"road|30": {"harmonic_kmh": 22.5}, "x|20": {"harmonic_kmh": 0}}}')
+    assert [tuple(r) for r in tables.base_speeds(spark, f"{tmp_path}/b.json").collect()] == [("road|30", 22.5)]
+
+
+def test_explorer(spark, tmp_path):
+    spark.range(5).selectExpr("id", "id % 2 as kind", "2000 + id as SurveyYear").write.parquet(f"{tmp_path}/people.parquet")
+    spark.range(1).coalesce(1).write.parquet(f"{tmp_path}/x")
+    go = lambda *a: explore.answer(spark, [str(tmp_path / "flat"), *a]).collect()
+    os.makedirs(tmp_path / "flat")
+    part = next(f for f in os.listdir(f"{tmp_path}/people.parquet") if f.endswith(".parquet"))
+    os.rename(f"{tmp_path}/people.parquet/{part}", f"{tmp_path}/flat/people.parquet")
+    assert [r["name"] for r in go("--tables")] == ["people"] and {r["variable"] for r in go("--table", "peo", "--vars")} == {"id", "kind", "SurveyYear"}
+    rows = go("--table", "people", "--levels", "kind")
+    assert [r["kind"] for r in rows] == sorted(r["kind"] for r in rows) and len(go("--table", "people", "--head", "1")) == 1
+    with pytest.raises(ValueError):
+        go("--table", "people")
+    with pytest.raises(ValueError):
+        go("--table", "nobody", "--vars")
