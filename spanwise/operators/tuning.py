@@ -59,9 +59,9 @@ def search(observations: DataFrame, axes: Mapping[str, tuple[float, float]], pre
     best: dict[str, float] = {}
     for _ in range(rounds):
         grid = parameter_grid(spark, {k: np.linspace(low[k], high[k], points).tolist() for k in axes})
-        top = objective(observations, grid, predicted, n_effective, priors, weight).orderBy("objective", *axes).limit(1).first()
+        top = objective(observations, grid, predicted, n_effective, priors, weight).where("objective is not null and not isnan(objective)").orderBy("objective", *axes).limit(1).first()
         if top is None:
-            raise ValueError("no observations")
+            raise ValueError("no observations, or no parameter set with an objective")
         best = {k: top[k] for k in axes}
         for k, (a, b) in bounds.items():
             step = (high[k] - low[k]) / (points - 1)
