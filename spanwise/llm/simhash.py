@@ -189,7 +189,8 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     smallest key reachable over links of ``radius`` or fewer differing bits, a row's own included.
 
     One result row for each input row. Null, empty and wordless texts have fingerprint 0 and
-    link like any other; null keys stay and never name a component unless all are null;
+    link like any other; very long ones are read whole, their shingles summed some at a time;
+    repeated rows have equal fingerprints; other columns do not matter; null keys stay and never name a component unless all are null;
     an empty table gives an empty result. ``key`` must be of an integer type.
     """
     fps = materialise(fingerprints(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), "text", "fp", shingle), "fingerprints")

@@ -115,6 +115,17 @@ def test_columns_named_like_helpers_stay(spark):
         assert out.columns == docs.columns and {(r["lid_pred"], r["lid_score"], r["key"]) for r in out.collect()} == {("p", 0.5, True)}
 
 
+def test_the_sessions_batch_size_is_put_back(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7777")
+    try:
+        stages.without_near_copies(spark, spark.createDataFrame([(1, "a b c", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long"), ROOT).collect()
+        assert spark.conf.get(key) == "7777"
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_the_rest_works_without_this(monkeypatch):
     for name in [m for m in sys.modules if m.startswith("spanwise.llm") or m in ("corpus_pipeline", "__spark_entry__")]:
         monkeypatch.delitem(sys.modules, name)
