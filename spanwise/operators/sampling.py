@@ -13,12 +13,33 @@ from ..functions.scalar import slot_hash
 QUARTILE_SHARES = (0.15, 0.20, 0.30, 0.35)
 
 
+def ranks(df: DataFrame, by: Sequence[str], order: Sequence[Column], out: str = "rank", size: str = "size") -> DataFrame:
+    """``df`` with each row's place from 0 in its group and the group's size.
+
+    A group is cut into ranges at approximate quantiles of the first order column, a number; rows
+    are ranked within ranges, and the counts of the ranges before are added, so no task holds a group.
+    """
+    from .weighted import _with_group
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    value = order[0].cast("double")
+    keys = [F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]
+    at = F.array(*(F.lit(i / n) for i in range(1, n))) if n > 1 else F.array(F.lit(1.0))
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, at, F.lit(1000)).alias("_cuts"))
+    ranged = _with_group(df, cuts, by).withColumn("_p", F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c < value))).drop("_cuts")
+    counts = ranged.groupBy(*by, "_p").agg(F.count("*").alias("_c"))
+    before = counts.groupBy(*keys).agg(F.collect_list(F.struct("_p", "_c")).alias("_all"))  # one number for each range
+    own = ranged.withColumn("_i", F.row_number().over(Window.partitionBy(*by, "_p").orderBy(*order)) - 1)
+    add = lambda which: F.aggregate("_all", F.lit(0).cast("long"), lambda acc, x: acc + F.when(which(x["_p"]), x["_c"]).otherwise(F.lit(0)))
+    placed = _with_group(own, before, by)
+    return placed.withColumn(out, F.col("_i") + add(lambda p: p < F.col("_p"))).withColumn(size, add(lambda p: F.lit(True))).drop("_p", "_i", "_all")
+
+
 def quartile_band(df: DataFrame, by: Sequence[str], order: Sequence[Column], out: str = "band") -> DataFrame:
     """Quartile by rank, cut at ``n // 4``, ``n // 2`` and ``3 * n // 4``."""
-    w = Window.partitionBy(*by)
-    r, n = F.row_number().over(w.orderBy(*order)) - 1, F.count("*").over(w)
-    cut = lambda k: F.floor(n * k / 4)
-    return df.withColumn("_r", r).withColumn(out, F.when(F.col("_r") < cut(1), 0).when(F.col("_r") < cut(2), 1).when(F.col("_r") < cut(3), 2).otherwise(3)).drop("_r")
+    cut = lambda k: F.floor(F.col("_size") * k / 4)
+    ranked = ranks(df, by, order, "_r", "_size")
+    return ranked.withColumn(out, F.when(F.col("_r") < cut(1), 0).when(F.col("_r") < cut(2), 1).when(F.col("_r") < cut(3), 2).otherwise(3)).drop("_r", "_size")
 
 
 def carried_quotas(sizes: Column, quota: int, shares: Sequence[float] = QUARTILE_SHARES) -> Column:
@@ -39,7 +60,8 @@ def quota_sample(df: DataFrame, by: Sequence[str], key: str, length: str, quota:
     banded = quartile_band(df, by, [F.col(length), F.col(key)]).withColumn("_h", slot_hash(F.col(key), seed=seed))
     sizes = banded.groupBy(*by).agg(*(F.count_if(F.col("band") == i).cast("int").alias(f"s{i}") for i in range(4)))
     got = sizes.select(*by, carried_quotas(F.array("s0", "s1", "s2", "s3"), quota, shares).alias("_q"))
-    ranked = banded.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "band").orderBy("_h", key))).join(got, list(by))
+    # A row behind ``quota`` others of its band is behind them in the whole stratum too, so tasks pass no more on.
+    ranked = banded.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "band").orderBy("_h", key))).where(F.col("_n") <= quota).join(got, list(by))
     picked = ranked.withColumn("_extra", (F.col("_n") > F.element_at("_q", (F.col("band") + 1).cast("int"))).cast("int"))
     final = picked.withColumn("_m", F.row_number().over(Window.partitionBy(*by).orderBy("_extra", "_h", key)))
     return final.where(F.col("_m") <= quota).select(*df.columns, "band")

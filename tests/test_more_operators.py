@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanwise.functions import scalar
-from spanwise.operators import flows, graph, observe, spatial, weighted
+from spanwise.operators import flows, graph, observe, sampling, spatial, weighted
 from spanwise.sources import sinks
 
 
@@ -106,3 +106,13 @@ def test_ring_masses_in_blocks(spark):
     d = F.abs(F.col("x") - F.col("y"))
     a, b = (sorted(map(tuple, flows.ring_masses(o, p, d, "m", [2.0, 9.0], most=n).collect())) for n in (100, 4))
     assert a == b and len(a) == 18
+
+
+def test_ranks_by_group(spark):
+    rows = [(g, float((i * 37) % 11), i) for g in ("a", None, "b") for i in range(300 if g == "a" else 5)] + [("c", None, 1), ("c", 2.0, 2)]
+    got = sampling.ranks(spark.createDataFrame(rows, "g string, x double, i int"), ["g"], [F.col("x"), F.col("i")]).collect()
+    for g in ("a", None, "b"):
+        own = sorted((x, i) for k, x, i in rows if k == g)
+        assert [(r["x"], r["i"]) for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["rank"])] == own
+        assert {r["size"] for r in got if r["g"] == g} == {len(own)}
+    assert sorted(r["rank"] for r in got if r["g"] == "c") == [0, 1]
