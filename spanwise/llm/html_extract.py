@@ -341,7 +341,6 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     goes; text without any tag is main text. Repeated rows vote and are returned each; an
     empty table gives an empty result.
     """
-    spark = pages.sparkSession
     winners = materialise(vote(pages, url, html), "paths")
     right = winners.withColumnRenamed("host", "w_host")
     if winners.limit(broadcast_paths + 1).count() <= broadcast_paths:

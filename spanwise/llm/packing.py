@@ -154,7 +154,6 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, key: str = "
     packed each; null keys stay; an empty table gives an empty result; other columns do not
     matter, whatever their names. ``tokenizer`` and ``ranks`` are paths of vocabulary files on every machine.
     """
-    spark = docs.sparkSession
     src = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     cut = pa.schema([("key", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
     end = np.array([SEPARATOR], "<u4").tobytes()

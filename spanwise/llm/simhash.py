@@ -128,7 +128,6 @@ def _forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[tuple[
 
 def near_links(distinct: DataFrame, fp: str = "fingerprint", radius: int = RADIUS, tile: int = TILE, segments: int | None = None) -> DataFrame:
     """Links (a, b) among distinct fingerprints whose components are those of all links within ``radius`` bits."""
-    spark = distinct.sparkSession
     n = distinct.count() if segments is None else 0
     s = segments or choose_segments(n)
     width = 64 // s

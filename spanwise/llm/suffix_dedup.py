@@ -505,7 +505,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             for b in batches:
                 gone = b.column(2)
                 for k, body, own in zip(b.column(0).to_pylist(), b.column(1), gone):
-                    body, n, spans = body.as_py(), 0, []
+                    body, spans = body.as_py(), []
                     if own.is_valid:
                         x = own.values.flatten()
                         at, low, high = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in x)
