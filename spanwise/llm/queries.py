@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, decontam, html_extract, language_id, line_dedup, packing, sharding, simhash, substring_dedup, suffix_dedup, whitening
+from . import ann, byte_bpe, decontam, divergence, html_extract, language_id, line_dedup, packing, sharding, simhash, substring_dedup, suffix_dedup, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -80,5 +84,5 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_simhash, op4_substring, op5_ann, op6_packing, op7_suffix, op8_html, op9_decontamination, op10_sharding, op12_byte_bpe, op13_whitening)}
-ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op4_substring": substring_dedup.ORACLE, "op10_sharding": sharding.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_simhash, op4_substring, op5_ann, op6_packing, op7_suffix, op8_html, op9_decontamination, op10_sharding, op11_divergence, op12_byte_bpe, op13_whitening)}
+ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op4_substring": substring_dedup.ORACLE, "op10_sharding": sharding.ORACLE, "op11_divergence": divergence.ORACLE}
