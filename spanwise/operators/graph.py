@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import cut_lineage, discard
+
 #: Edges of a graph that is sent to every worker for path searches.
 MAX_EDGES = 5_000_000
 #: Gates that regions are looked for behind, one plan for each.
@@ -31,11 +33,11 @@ def degrees(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50, cut=None) -> DataFrame:
     """(node, root) by least labels with pointer jumping; ``cut`` (such as ``DataFrame.checkpoint``) ends the lineage of each round.
 
-    Without ``cut`` a written table is needed for long chains; raises RuntimeError if it has not settled.
+    Without ``cut`` each round is a table in the shared folder, deleted after the next; raises RuntimeError if it has not settled.
     """
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x != y")
     both = both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
-    cut = cut or (lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache())
+    cut = cut or cut_lineage
     both = cut(both)
     label = cut(both.groupBy(F.col("x").alias("node")).agg(F.least(F.col("node"), F.min("y")).alias("root")))
     for _ in range(rounds):
@@ -43,7 +45,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         low = label.join(reached, "node").select("node", F.least("root", "r").alias("root"))
         jump = low.select(F.col("node").alias("root"), F.col("root").alias("up"))
         new = cut(low.join(jump, "root", "left").select("node", F.least("root", F.coalesce("up", "root")).alias("root")))
-        if new.join(label.withColumnRenamed("root", "old"), "node").where("root != old").isEmpty():
+        settled = new.join(label.withColumnRenamed("root", "old"), "node").where("root != old").isEmpty()
+        discard(label)
+        if settled:
+            discard(both)
             return new
         label = new
     raise RuntimeError("components did not settle")
@@ -311,7 +316,7 @@ def contract_chains(edges: DataFrame, keep: DataFrame, cut=None, u: str = "u", v
     """(u, v, length): chains of pass-through nodes (one way in, one out, not kept) as single edges."""
     d = degrees(edges, u, v)
     through = d.where((F.col("out") == 1) & (F.col("in") == 1)).join(keep.select("node"), "node", "left_anti").select("node")
-    cut = cut or (lambda df: df.cache())
+    cut = cut or cut_lineage
     cur, left = cut(edges.select(F.col(u).alias("u"), F.col(v).alias("v"), F.col(length).cast("double").alias("length"))), cut(through)
     for _ in range(64):
         # Every other pass-through node goes in a round: those whose hash is lower than their neighbours'.

@@ -87,8 +87,20 @@ def read_cache(spark: SparkSession, path: str, inputs: DataFrame) -> DataFrame:
 _folders: dict[str, str] = {}
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it is; a session that is gone already leaves it."""
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the gateway may have closed
+        pass
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; in local mode below a temporary folder where that is unset."""
+    """A new path below this application's folder in ``spark.checkpoint.dir``, which goes when the driver ends.
+
+    In local mode it lies below a temporary folder where that is unset.
+    """
     import atexit
     import shutil
     import tempfile
@@ -102,7 +114,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             base = tempfile.mkdtemp(prefix="spanwise-")
             atexit.register(shutil.rmtree, base, True)
-        _folders[app] = base.rstrip("/")
+        _folders[app] = f"{base.rstrip('/')}/spanwise-{uuid.uuid4().hex[:12]}"
+        atexit.register(_remove, spark, _folders[app])
     return f"{_folders[app]}/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -110,4 +123,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: the ``cut`` of iterative operators."""
     path = shared_folder(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that no later plan reads. Only what ``cut_lineage`` itself returned is deleted; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_written_at", None)
+        if path:
+            _remove(df.sparkSession, path)
