@@ -18,6 +18,7 @@ Arrow batch, whose bytes Spark bounds; only a single text is held whole.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .runtime import utf8
+from .packing import OTHER_CHARACTERS, PLAIN_PIECES
 
-#: Pre-tokens that a worker remembers between batches before it forgets all, and the longest of them in characters.
+#: Pre-tokens that a worker remembers before it forgets all, and the longest of them in characters.
 REMEMBERED = 400_000
 LONGEST_REMEMBERED = 64
+#: Characters that are split at a time.
+CHUNK_CHARS = 2_000_000
 
 # Field numbers and enumerations of SentencePiece's model format.
 _PIECES, _TRAINER, _NORMALISER = 1, 2, 3
@@ -94,8 +97,12 @@ def serialised(tokens: list[bytes]) -> bytes:
     return b"".join(pieces) + _bytes(_TRAINER, trainer) + _bytes(_NORMALISER, normaliser)
 
 
+# Fixed value: the pattern that ``packing`` has in a faster form for texts of plain characters.
+_COMMON = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class Codec:
-    """Encoder and decoder of one vocabulary."""
+    """Encoder of one vocabulary, with the ids (as bytes) of the pre-tokens it remembers."""
 
     def __init__(self, tokens: list[bytes], pattern: str):
         import regex
@@ -103,35 +110,46 @@ class Codec:
 
         if len({t for t in tokens if len(t) == 1}) < 256:
             raise ValueError("every byte must be a token")
-        self.tokens = tokens
-        self.split = regex.compile(pattern).findall
+        self.any_text = regex.compile(pattern).findall
+        self.plain = pattern == _COMMON
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialised(tokens))
-        led = self._merge([mapped(t) for t in tokens])
+        led = self.model.encode([mapped(t) for t in tokens], num_threads=1)
+        self.known: dict[str, bytes] = {}
         #: Tokens that merges do not lead to, by their mapped strings.
         self.whole = {mapped(t): [i] for i, (t, ids) in enumerate(zip(tokens, led)) if ids != [i]}
-        self.known: dict[str, bytes] = {}
 
-    def _merge(self, pieces: list[str]) -> list[list[int]]:
-        return self.model.encode(pieces, num_threads=1)
+    def split(self, text: str) -> list[str]:
+        """The pre-tokens of a text."""
+        return PLAIN_PIECES(text) if self.plain and not OTHER_CHARACTERS(text) else self.any_text(text)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in order, number of ids of each); null as empty."""
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of whole texts as 32-bit numbers; null as empty. What is not remembered is encoded in one call, as calls are dear."""
         parts = [self.split(t) if t else [] for t in texts]
-        known = self.known
-        new = list(set().union(*parts).difference(known))
+        known, new = self.known, set()
+        for words in parts:
+            new |= set(words).difference(known)
         strings = [mapped(w.encode()) for w in new]
-        for w, s, ids in zip(new, strings, self._merge(strings) if new else ()):
-            known[w] = np.array(self.whole.get(s) or ids, "<i4").tobytes()
-        rows = [b"".join(map(known.__getitem__, words)) for words in parts]
+        for w, s, ids in zip(new, strings, self.model.encode(strings, num_threads=1) if new else ()):
+            known[w] = array("i", self.whole.get(s) or ids).tobytes()
+        out = [b"".join(map(known.__getitem__, words)) for words in parts]
         for w in new:
             if len(w) > LONGEST_REMEMBERED:
                 del known[w]
         if len(known) > REMEMBERED:
             known.clear()
-        return np.frombuffer(b"".join(rows), "<i4"), np.array([len(r) // 4 for r in rows], np.int64)
+        return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+
+def _chunks(column: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of a column, some CHUNK_CHARS at a time, a longer one by itself."""
+    held, size = [], 0
+    for x in column:
+        held.append(x.as_py())
+        size += len(held[-1] or "")
+        if size >= CHUNK_CHARS:
+            yield held
+            held, size = [], 0
+    yield held
 
 
 @lru_cache(maxsize=4)
@@ -140,8 +158,10 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
-#: Texts that are split at a time, so that the pre-tokens of few are held at once.
-_AT_ONCE = 64
+@lru_cache(maxsize=4)
+def vocabulary(path: str) -> np.ndarray:
+    """The bytes of each id."""
+    return np.array(read_ranks(path), object)
 
 
 def encode(text: str, ranks: str, pattern: str) -> Column:
@@ -156,30 +176,27 @@ def encode(text: str, ranks: str, pattern: str) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(ranks, pattern)
         for b in batches:
-            done = []
-            for at in range(0, len(b), _AT_ONCE):
-                done.append(own.encode([None if x is None else x.decode() for x in b.slice(at, _AT_ONCE).to_pylist()]))
-            counts = np.concatenate([c for _, c in done]) if done else np.empty(0, np.int64)
-            ids = np.concatenate([i for i, _ in done]) if done else np.empty(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(ids))
+            rows = [ids for texts in _chunks(b) for ids in own.encode(texts)]
+            ends = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 
-    # As UTF-8 bytes, so that no text is turned from one kind of string into another on the way; not repeated by the optimiser.
-    return run.asNondeterministic()(utf8(text))
+    # Not deterministic in name only: the optimiser must not run it once for each use.
+    return run.asNondeterministic()(F.col(text).cast("string"))
 
 
-def decode(ids: str, ranks: str, pattern: str) -> Column:
+def decode(ids: str, ranks: str) -> Column:
     """The bytes that the ids in column ``ids`` stand for; null as empty. An id outside the vocabulary is an error."""
 
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = codec(ranks, pattern)
+        known = vocabulary(ranks)
         for b in batches:
             out = []
             for row in b:
-                row = row.values.to_pylist() if row.is_valid else []
-                if row and not 0 <= min(row) <= max(row) < len(own.tokens):
+                at = row.values.to_numpy(zero_copy_only=False) if row.is_valid else np.empty(0, np.int32)
+                if len(at) and not 0 <= at.min() <= at.max() < len(known):
                     raise ValueError("an id outside the vocabulary")
-                out.append(own.decode(row))
+                out.append(b"".join(known[at].tolist()))
             yield pa.array(out, pa.binary())
 
     return run.asNondeterministic()(F.col(ids))

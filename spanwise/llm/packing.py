@@ -45,8 +45,8 @@ CHUNK = 16384
 CACHED_WORDS = 400_000
 
 #: Characters that both regular expression libraries put in the same classes.
-_OTHER = re.compile("[^\t\n\x0b\x0c\r -~À-ÖØ-öø-ſ–—‘’“”…]")
-_PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+OTHER_CHARACTERS = re.compile("[^\t\n\x0b\x0c\r -~À-ÖØ-öø-ſ–—‘’“”…]").search
+PLAIN_PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+").findall
 
 
 @lru_cache(maxsize=4)
@@ -86,9 +86,9 @@ def encoder(path: str, ranks: str | None = None) -> Callable[[str], bytes]:
     known = Words()
 
     def fast(text: str) -> bytes:
-        if _OTHER.search(text) or added.search(text):
+        if OTHER_CHARACTERS(text) or added.search(text):
             return slow(text)
-        return b"".join(map(known.__getitem__, _PIECES.findall(text)))
+        return b"".join(map(known.__getitem__, PLAIN_PIECES(text)))
 
     return fast
 

@@ -75,7 +75,7 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     coded = _table(spark, sf_dir, "documents").select("doc_id", byte_bpe.encode("text", ranks, pattern).alias("ids"))
-    both = coded.select("doc_id", "ids", byte_bpe.decode("ids", ranks, pattern).alias("decoded"))
+    both = coded.select("doc_id", "ids", byte_bpe.decode("ids", ranks).alias("decoded"))
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
