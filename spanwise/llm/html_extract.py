@@ -42,12 +42,14 @@ RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "nofr
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements whose text is never part of an article.
 JUNK_TAGS = frozenset("aside button canvas datalist dialog footer form head header iframe input label map math menu nav noscript object option script search select style svg template textarea title".split())
-#: Words of class, id and role that mark the same.
+#: Words of class, id and role that mark the same, where a name consists of them and of neutral words alone.
 JUNK_WORDS = frozenset(
     "ad ads adbox adsense adslot adunit advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment commentary commentlist comments consent contentinfo cookie cookies copyright discussion disqus dropdown footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup promo promoted promotion recommended register related replies reply respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar topbar tracking widget widgets".split()
 )
-#: Words before a junk word that make it a statement about the layout.
-LAYOUT_WORDS = frozenset(("category", "free", "has", "long", "no", "tag", "with", "without"))
+#: Words that say where or what kind of box something is, not what it is about.
+NEUTRAL_WORDS = frozenset(
+    "area bar block body bottom box btn close col cols column columns container content end entry fixed float grid group holder icon inner item items js left link links list main mobile module outer page panel post primary right row secondary section site slot small start sticky strip sub text the top unit wrap wrapper zone article story".split()
+)
 #: Of the junk words, those of a heading area, whose headings belong to an article that it lies in.
 HEADER_WORDS = frozenset(("header", "masthead"))
 MAIN_WORDS = frozenset("article articlebody body content entry main post story text".split())
@@ -55,8 +57,8 @@ MAIN_WORDS = frozenset("article articlebody body content entry main post story t
 COMMENT_WORDS = frozenset("comment commentary commentlist comments discussion disqus replies reply respond".split())
 #: Inline elements that hold whatever stands in them, blocks too, even within a paragraph.
 HOLDERS = frozenset("button canvas map math noscript object select svg template".split())
-#: A form that holds this share of a page's text is the page, and not a form in it.
-PAGE_FORM = 0.5
+#: A form, or an element of a junk word, that holds this share of a page's text is the page, and not a part of it.
+WHOLE_PAGE = 0.5
 
 _TOKEN = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*(?:\"|$)|'[^']*(?:'|$))[^>\"']*)*)(?:>|$))", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
@@ -75,13 +77,17 @@ def _is_junk(tag: str, attrs: dict[str, str]) -> int:
         return _HEADER if tag == "header" else _SOFT if tag == "form" else _JUNK
     if not attrs or tag in ("html", "body", "main", "article"):
         return _NONE
-    found = set()
+    found: set[str] = set()
     for name in ("class", "id", "role"):
         for value in attrs.get(name, "").split():
-            words = [w.lower() for w in _WORD.findall(value)]
-            found.update(w for i, w in enumerate(words) if w in JUNK_WORDS and not (i and words[i - 1] in LAYOUT_WORDS))
             if value.lower() in JUNK_WORDS:
                 found.add(value.lower())
+                continue
+            words = {w.lower() for w in _WORD.findall(value)}
+            junk = words & JUNK_WORDS
+            # One word of another kind, as in "search-engine-guide", and the name is about something.
+            if junk and words - junk <= NEUTRAL_WORDS:
+                found |= junk
     return _NONE if not found else _HEADER if found <= HEADER_WORDS else _COMMENTS if found & COMMENT_WORDS else _SOFT
 
 
@@ -138,7 +144,7 @@ class Page:
         held = [e for e in range(len(hard)) if not hard[e] and 4 * left[0] < whole[e]]  # far more than all that is no junk
         inner = [e for e in held if self.tag[e] in ("article", "main")]
         goals = [max(inner, key=lambda e: (whole[e], -e))] if inner else []
-        goals += [e for e in held if self.tag[e] == "form" and whole[e] >= PAGE_FORM * whole[0]]
+        goals += [e for e in soft if not hard[e] and whole[e] > 0 and whole[e] >= WHOLE_PAGE * whole[0]]
         out = set()
         for e in goals:
             while e > 0:
@@ -158,8 +164,7 @@ class Page:
         def flush():
             nonlocal held, linked
             if held:
-                text = "".join(held)
-                text = " ".join((_html.unescape(text) if "&" in text else text).split())
+                text = " ".join("".join(held).split())
                 if text:
                     self.blocks.append((stack[-1], text, linked))
                 held, linked = [], 0
@@ -167,6 +172,7 @@ class Page:
         def text(x: str):
             nonlocal linked
             if x and not sub:
+                x = _html.unescape(x) if "&" in x else x  # here, as a reference does not go across tags
                 held.append(x)
                 if in_link:
                     linked += len(x)
@@ -338,8 +344,9 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     Null or empty html, and pages without main text, give the empty text and 0. Pages with
     a null url, or one without a host, vote together. Malformed markup is read as far as it
-    goes; text without any tag is main text. Repeated rows vote and are returned each; an
-    empty table gives an empty result.
+    goes; text without any tag is main text. A very long page is parsed whole, one page at a time
+    in a task. Repeated rows vote and are returned each; an empty table gives an empty
+    result. Other columns do not matter, whatever their names.
     """
     winners = materialise(vote(pages, url, html), "paths")
     right = winners.withColumnRenamed("host", "w_host")

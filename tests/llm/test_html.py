@@ -59,6 +59,45 @@ def test_forms_and_class_words_do_not_empty_a_page(page):
     assert text_of(f"<body><nav>menu</nav>{page}</body>") == "Main text."
 
 
+@pytest.mark.parametrize("name", ["search-engine-guide", "social-history", "banner-year", "copyright-law", "notice-board-story", "banner-image-note", "footerology", "notice"])
+def test_a_class_word_does_not_delete_an_article(spark, name):
+    rows = [(i, f"http://h.example/{i}", f"<nav>menu</nav><div class='{name}'><p>{'word ' * 40}one</p><p>{'text ' * 30}two</p></div><div class='foot'>Short {i}.</div>") for i in range(20)]
+    got = {r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {"word " * 40 + "one\n" + "text " * 30 + "two"}
+
+
+@pytest.mark.parametrize("attr", ["class=social-history", "class=banner-year", "class=banner-image-note", "id=replies-of-kings", "class='cookie-recipe first'"])
+def test_a_class_word_does_not_delete_a_paragraph(attr):
+    assert text_of(f"<article><p>Start.</p><p {attr}>Middle.</p><div {attr}><p>More.</p></div></article>") == "Start.\nMiddle.\nMore."
+
+
+@pytest.mark.parametrize("name", ["cookie-notice", "ad-slot-3", "site-footer", "post-comments", "related-posts-ads", "sidebarWidget", "social-share-bar", "comments", "adBox", "top-banner"])
+def test_names_of_junk_words_alone_are_junk(name):
+    gone = f"<article><p>Main text.</p><div class='{name}'><p>Junk.</p></div><p>End.</p></article>"
+    assert text_of(gone) == ("Main text.\nJunk.\nEnd." if name == "related-posts-ads" else "Main text.\nEnd.")
+
+
+def test_references_do_not_go_across_tags():
+    assert text_of("<p>x &<b>lt;</b> y &amp<i>lt;</i> &lt;b&gt; &am<i>p;</i></p>") == "x &lt; y &lt; <b> &amp;"
+
+
+def test_generated_pages_without_an_article(spark):
+    """Menus, adverts, comments and footers around a container whose name says nothing, or says something of a junk word."""
+    rng = random.Random(8)
+    say = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "&eacute;t&eacute;"]) for _ in range(n))
+    rows, expected = [], {}
+    for i in range(150):
+        name = ["c-wrap", "search-engine-guide", "history", "node", "x9"][i % 5]
+        blocks = [say(rng.randint(15, 40)) for _ in range(rng.randint(3, 6))]
+        junk = ["<div class='ad-slot'><p>Buy</p></div>", "<form><p>Name</p></form>", "<aside>By the way</aside>", "<script>x()</script>", "<div class='share-bar'><a href='#'>Share</a></div>"]
+        inner = "".join(f"<{t}>{b}</{t}>{rng.choice(junk)}" for b in blocks for t in [rng.choice(["p", "h2", "blockquote", "li"])])
+        page = f"<body><header><h1>Site</h1></header><ul class='nav-menu'><li><a href='/'>Home</a><li><a href='/b'>B</a></ul><div class='{name}'>{inner}</div><div class='comments'><p>{say(30)}</p></div><footer>{say(8)}</footer></body>"
+        rows.append((i, f"https://h{i % 5}.example/{i}", page))
+        expected[i] = html.unescape("\n".join(blocks))
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == expected
+
+
 def test_junk_that_never_ends_is_closed_by_its_container():
     assert text_of("<article><div><p>a</p><span class=ad><p>J</div><p>b</p></article>") == "a\nb"
     assert text_of("<article><p>a <span class=ad>J<p>b</article>") == "a\nb"
