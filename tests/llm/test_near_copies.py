@@ -92,6 +92,61 @@ def test_a_large_group_gives_few_links(spark):
     assert links.count() < 6 * 300 and components(links).count() == 300
 
 
+def variants(rng, n):
+    """Pairs of texts of every similarity around the bound, and what their index is."""
+    rows = []
+    for g in range(n):
+        w = [f"w{rng.randrange(30_000)}" for _ in range(rng.randrange(40, 200))]
+        u = list(w)
+        for _ in range(rng.randrange(1, max(2, len(w) // 30))):
+            u[rng.randrange(len(u))] = f"o{rng.randrange(30_000)}"
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(u))]
+    return rows
+
+
+def test_links_are_those_of_the_exact_index(spark):
+    rng = random.Random(12)
+    rows = variants(rng, 400)
+    shingles = [set(near_copies.shingle_hashes(t.encode()).tolist()) for _, t in rows]
+    close = {2 * g: len(shingles[2 * g] & shingles[2 * g + 1]) / len(shingles[2 * g] | shingles[2 * g + 1]) for g in range(400)}
+    assert sum(0.75 <= x < 0.8 for x in close.values()) > 10 < sum(0.8 <= x < 0.85 for x in close.values())
+    got = {r["key"]: r["component"] for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    merged = {k for k in close if got[k + 1] == k}
+    assert not {k for k in merged if close[k] < 0.8}
+    above = {k for k, x in close.items() if x >= 0.8}
+    assert len(merged) >= 0.98 * len(above)
+
+
+def test_texts_of_one_template(spark):
+    """All share most words and no pair is similar enough; small tiles, so that the rest is compared too."""
+    rng = random.Random(5)
+    base = [f"t{i}" for i in range(120)]
+    rows = []
+    for i in range(250):
+        w = list(base)
+        for j in rng.sample(range(120), 5):
+            w[j] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 250, 10)]
+    shingles = {k: set(near_copies.shingle_hashes(t.encode()).tolist()) for k, t in rows}
+    pairs = [(a, b) for a in shingles for b in shingles if a < b and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
+    label = {k: k for k in shingles}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in pairs:
+        label[max(find(a), find(b))] = min(find(a), find(b))
+    exp = {k: find(k) for k in shingles}
+    assert len(set(exp.values())) > 100
+    for tile in (near_copies.TILE, 40):
+        got = {r["key"]: r["component"] for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), tile=tile).collect()}
+        wrong = {k for k in got if got[k] != exp[k]}
+        assert not {k for k in got if k >= 1000 and got[k] != got[k - 1000]} and len(wrong) <= 0.02 * len(exp)
+
+
 def test_edges(spark):
     long = "the quick brown fox jumps over a lazy dog and then some more words follow it here " * 8
     rows = [(5, None), (3, ""), (4, " "), (9, "One two"), (8, "one  TWO"), (7, "one three"), (11, long), (10, long + "end"), (12, long), (12, long), (None, long), (None, "alone in the world with no key"), (20, "word " * 200_000), (21, "word " * 190_000)]
