@@ -37,9 +37,13 @@ MIN_DOCUMENTS = 3
 UNIT = 1_000_000_000
 TOP = 200
 #: Characters of text that DuckDB counts at a time, different counts that a task holds before it passes them on, and counts of one shard.
-BLOCK_CHARS = 8_000_000
-HELD = 400_000
-SHARD = 500_000
+BLOCK_CHARS = 16_000_000
+HELD = 1_000_000
+SHARD = 250_000
+#: Partial counts that a shard reads.
+READ = 20_000_000
+#: One slice of so many is counted to size the shards; results do not depend on it.
+SLICES = 64
 
 
 def _duckdb():
@@ -57,19 +61,16 @@ def _do(con, sql: str, *values) -> list[tuple]:
     return con.execute(sql, values).fetchall()
 
 
-_COUNTS = "CREATE TABLE c (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, docs BIGINT)"
-_FOLD = "CREATE OR REPLACE TABLE c AS SELECT lang, source, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM c GROUP BY ALL"
-_SPLIT = f"""INSERT INTO c SELECT lang, source, term, count(*), count(DISTINCT doc) FROM (
-SELECT lang, source, doc, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM block) GROUP BY ALL"""
+#: Groups go by numbers in a task, as numbers are counted faster than names.
+_COUNTS = "CREATE TABLE g (lang VARCHAR, source VARCHAR, g INTEGER); CREATE TABLE c (g INTEGER, term VARCHAR, n BIGINT, docs BIGINT)"
+_ENROL = """INSERT INTO g SELECT lang, source, (SELECT count(*) FROM g) + row_number() OVER () FROM (SELECT lang, source FROM block EXCEPT SELECT lang, source FROM g)"""
+_FOLD = "CREATE OR REPLACE TABLE c AS SELECT g, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM c GROUP BY ALL"
+_SPLIT = f"""INSERT INTO c SELECT g, term, sum(n), count(*) FROM (SELECT g, term, doc, count(*) AS n FROM (
+SELECT g, doc, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM block JOIN g USING (lang, source)) GROUP BY ALL) GROUP BY ALL"""
+_NAMED = "SELECT lang, source, term, n, docs FROM c JOIN g USING (g)"
 _DDL = "lang string, source string, term string, n long, docs long"
 
 
-def _insert(con, into: str, batch: pa.RecordBatch) -> None:
-    con.register("block", pa.Table.from_batches([batch]))
-    _do(con, f"INSERT INTO {into} SELECT * FROM block")
-    con.unregister("block")
-
-
 def _held(con) -> int:
     return _do(con, "SELECT count(*) FROM c")[0][0]
 
@@ -95,13 +96,13 @@ def _count(block_chars: int, most: int):
                     _do(con, _FOLD)
                     folded = _held(con)
                 if folded > most:
-                    yield from con.sql("SELECT * FROM c").to_arrow_reader(65536)
+                    yield from con.sql(_NAMED).to_arrow_reader(65536)
                     _do(con, "DELETE FROM c")
                     folded = 0
             held.append(b.slice(at))
         _split(con, held)
         _do(con, _FOLD)
-        yield from con.sql("SELECT * FROM c").to_arrow_reader(65536)
+        yield from con.sql(_NAMED).to_arrow_reader(65536)
         con.close()
 
     return run
@@ -112,26 +113,53 @@ def _split(con, held: list[pa.RecordBatch]) -> None:
     if held:
         block = pa.Table.from_batches(held)
         con.register("block", block.append_column("doc", pa.array(range(len(block)), pa.int64())))
+        _do(con, _ENROL)
         _do(con, _SPLIT)
         con.unregister("block")
         held.clear()
 
 
+#: Rows that a shard takes in at a time.
+TAKEN = 250_000
+
+
+def _taken(con, batches: Iterator[pa.RecordBatch]) -> Iterator[None]:
+    """Batches as the view ``block`` of some TAKEN rows at a time."""
+    held, n = [], 0
+
+    def show():
+        con.register("block", pa.Table.from_batches(held))
+        yield
+        con.unregister("block")
+
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= TAKEN:
+            yield from show()
+            held, n = [], 0
+    if held:
+        yield from show()
+
+
 def _keep(least: int):
     """Partial counts of whole shards to the counts of kept terms; a null source stands for the language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = _duckdb()
-        _do(con, _COUNTS)
+        _do(con, "CREATE TABLE c (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, docs BIGINT)")
         folded = 0
-        for b in batches:
-            _insert(con, "c", b)
+        for _ in _taken(con, batches):
+            _do(con, "INSERT INTO c SELECT * FROM block")
             if _held(con) > 2 * folded + HELD:
-                _do(con, _FOLD)
+                _do(con, "CREATE OR REPLACE TABLE c AS SELECT lang, source, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM c GROUP BY ALL")
                 folded = _held(con)
-        _do(con, _FOLD)
-        _do(con, "CREATE TABLE k AS SELECT lang, term, sum(n)::BIGINT AS n FROM c GROUP BY ALL HAVING sum(docs) >= ?", least)
-        yield from con.sql("SELECT lang, source, term, c.n FROM c JOIN k USING (lang, term) UNION ALL SELECT lang, NULL, term, n FROM k").to_arrow_reader(65536)
+        _do(con, "CREATE TABLE g AS SELECT lang, source, row_number() OVER () AS g, dense_rank() OVER (ORDER BY lang) AS l FROM (SELECT DISTINCT lang, source FROM c)")
+        _do(con, "CREATE TABLE f AS SELECT l, g, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM c JOIN g USING (lang, source) GROUP BY ALL")
+        _do(con, "CREATE TABLE k AS SELECT l, term, sum(n)::BIGINT AS n FROM f GROUP BY ALL HAVING sum(docs) >= ?", least)
+        own = "SELECT lang, source, term, f.n FROM f SEMI JOIN k USING (l, term) JOIN g USING (g)"
+        whole = "SELECT lang, NULL, term, n FROM k JOIN (SELECT DISTINCT lang, l FROM g) USING (l)"
+        yield from con.sql(f"{own} UNION ALL {whole}").to_arrow_reader(65536)
         con.close()
 
     return run
@@ -155,8 +183,8 @@ def _shards(top: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = _duckdb()
         _do(con, "CREATE TABLE t (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, total DECIMAL(38,0), terms BIGINT)")
-        for b in batches:
-            _insert(con, "t", b)
+        for _ in _taken(con, batches):
+            _do(con, "INSERT INTO t SELECT * FROM block")
         _do(con, f"CREATE TABLE l AS SELECT lang, term, {_P.format(n='n')} AS p FROM t WHERE source IS NULL")
         _do(con, f"CREATE TABLE s AS SELECT lang, source, term, {_P.format(n='n')} AS p, {_P.format(n='0')} AS p0 FROM t WHERE source IS NOT NULL")
         for part, sql in (("pair", _PAIRS), ("term", _TERMS.format(top=top)), ("share", _SHARES)):
@@ -181,7 +209,9 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))]
     src = docs.select(*named)
     counts = materialise(src.mapInArrow(_count(BLOCK_CHARS, HELD), _DDL), "counts")
-    shards = max(1, math.ceil(counts.count() / SHARD))
+    # A shard folds what comes in, so its size is that of its different counts; a slice by hash tells their number.
+    slice_of = counts.where(F.pmod(F.xxhash64("lang", "source", "term"), F.lit(SLICES)) == 0).select("lang", "source", "term").distinct().count()
+    shards = max(1, math.ceil(slice_of * SLICES / SHARD), math.ceil(counts.count() / READ))
     kept = materialise(counts.repartition(shards, "lang", "term").mapInArrow(_keep(least), "lang string, source string, term string, n long"), "kept")
     discard(counts)
     # A row for each language, and for each group; null is the language itself.
