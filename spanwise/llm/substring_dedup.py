@@ -178,7 +178,7 @@ def shared_hashes(words: list[bytes], hashes: np.ndarray, window: int) -> np.nda
 
 def _deal(df: DataFrame, buckets: int) -> DataFrame:
     """Rows of _PAYLOAD in their buckets; they come by groups of buckets, which beyond FAN buckets are dealt out in a second hop."""
-    ways = min(buckets, FAN)
+    ways = min(buckets, max(FAN, math.isqrt(buckets)))
 
     def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -213,7 +213,7 @@ def _deal(df: DataFrame, buckets: int) -> DataFrame:
 def _candidates(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     """(bucket, data): resolved windows by bucket of their document."""
     src = docs.where("key is not null").select("key", "body")
-    ways = min(buckets, FAN)
+    ways = min(buckets, max(FAN, math.isqrt(buckets)))
 
     def hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():

@@ -50,6 +50,8 @@ GRAM = 32
 SHALLOW = 48
 CHUNK = 4096
 FLUSH = 500_000
+#: Parts that anchors are dealt out to directly.
+FAN = 1024
 #: Contexts from which a worker sorts what it holds.
 HELD = 30_000
 #: Anchors in a bucket that a task settles; an even bucket has about a million.
@@ -265,8 +267,34 @@ _MARKS_DDL = "rid long, at long, state byte, gram long, chunk int, chunks int"
 _ALL, _OPEN, _SHOW = 1, 2, 3
 
 
+def _blobs(rid: np.ndarray, at: np.ndarray, gram: np.ndarray, ctx: np.ndarray, many: np.ndarray, to: np.ndarray) -> Iterator[tuple[int, bytes, int]]:
+    """(place, packed anchors, their number) for each place in ``to``."""
+    order = np.lexsort((at, rid, ctx, gram, to))
+    cuts = np.flatnonzero(np.diff(to[order])) + 1
+    for own in np.split(order, cuts):
+        ids, i = _pack_ids(rid[own])
+        steps = np.diff(gram[own].astype(np.int64), prepend=np.int64(0))
+        yield int(to[own[0]]), _join(_squeeze(ids), _squeeze(steps, ctx[own].astype(np.int64), i, at[own], many[own].astype(np.int64))), len(own)
+
+
+def _unblob(data: bytes) -> tuple[np.ndarray, ...]:
+    """(gram, ctx, rid, at, many) of packed anchors."""
+    ids, body = _split(data)
+    steps, ctx, i, at, many = _unsqueeze(body, 5)
+    return np.cumsum(steps), ctx, np.cumsum(_unsqueeze(ids, 1)[0])[i], at, many
+
+
+def ways_of(buckets: int) -> int:
+    """Parts that a task's anchors go to at first: all buckets, or the root of very many, which a second hop deals out.
+
+    So a task's flush makes that many blobs at most, and blobs grow with the power 1.5 of the input, not with its square.
+    """
+    return min(buckets, max(FAN, math.isqrt(buckets)))
+
+
 def _marks(src: DataFrame, length: int, buckets: int) -> DataFrame:
     """A row for each anchor that loses its strings or whose context is to be compared."""
+    ways = ways_of(buckets)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -285,13 +313,8 @@ def _marks(src: DataFrame, length: int, buckets: int) -> DataFrame:
                 yield 0, True, _join(_squeeze(ids), _squeeze(i, at[many & ~first])), 0
             rid, at, gram, ctx, many = rid[first], at[first], gram[first], ctx[first], many[first]
             to = (gram % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                own = order[cuts[b] : cuts[b + 1]]
-                if len(own):
-                    ids, i = _pack_ids(rid[own])
-                    yield b, False, _join(_squeeze(ids), _squeeze(np.diff(gram[own].astype(np.int64), prepend=np.int64(0)), ctx[own].astype(np.int64), i, at[own], many[own].astype(np.int64))), len(own)
+            for b, blob, size in _blobs(rid, at, gram, ctx, many, to % ways):
+                yield b, False, blob, size
 
         def rows():
             nonlocal held, n
@@ -345,22 +368,48 @@ def _marks(src: DataFrame, length: int, buckets: int) -> DataFrame:
         now, parts = None, []
         for b in batches:
             for bucket, done, data in zip(*(b.column(i).to_pylist() for i in range(3))):
-                ids, body = _split(data)
-                names = np.cumsum(_unsqueeze(ids, 1)[0])
                 if done:
+                    ids, body = _split(data)
                     i, at = _unsqueeze(body, 2)
-                    yield batch(names[i], at, _ALL)
+                    yield batch(np.cumsum(_unsqueeze(ids, 1)[0])[i], at, _ALL)
                     continue
                 if bucket != now:
                     if parts:
                         yield from resolve(parts)
                     now, parts = bucket, []
-                steps, ctx, i, at, many = _unsqueeze(body, 5)
-                parts.append((np.cumsum(steps), ctx, names[i], at, many))
+                parts.append(_unblob(data))
         if parts:
             yield from resolve(parts)
 
-    dealt = src.mapInArrow(sample, "bucket int, done boolean, data binary, n long").withColumn("bucket", F.when(F.col("done"), F.pmod(F.xxhash64("data"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket")))
+    def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            held, n = [], 0
+
+            def flush():
+                gram, ctx, rid, at, many = (np.concatenate(x) for x in zip(*held))
+                for b, blob, size in _blobs(rid, at, gram, ctx, many, gram % buckets):
+                    yield b, False, blob, size
+
+            for batch in batches:
+                for bucket, done, data, size in zip(*(c.to_pylist() for c in batch.columns)):
+                    if done:
+                        yield bucket, done, data, size
+                        continue
+                    held.append(_unblob(data))
+                    n += size
+                    if n >= FLUSH:
+                        yield from flush()
+                        held, n = [], 0
+            if held:
+                yield from flush()
+
+        return as_batches(_DEALT, rows(), 16)
+
+    ddl = "bucket int, done boolean, data binary, n long"
+    dealt = src.mapInArrow(sample, ddl)
+    if ways < buckets:
+        dealt = dealt.where("not done").repartition(ways, "bucket").mapInArrow(regroup, ddl).unionByName(dealt.where("done"))
+    dealt = dealt.withColumn("bucket", F.when(F.col("done"), F.pmod(F.xxhash64("data"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket")))
     dealt = materialise(dealt, "dealt")
     # One row for each crowded bucket: fewer than anchors / CROWD.
     crowded = F.broadcast(dealt.where("n > 0").groupBy(F.col("bucket").alias("full")).agg(F.sum("n").alias("anchors")).where(F.col("anchors") > CROWD).select("full"))
@@ -378,9 +427,7 @@ def _settle_crowds(blobs: DataFrame) -> DataFrame:
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column(0):
-                ids, body = _split(data.as_py())
-                steps, ctx, i, at, many = _unsqueeze(body, 5)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.cumsum(steps), ctx, np.cumsum(_unsqueeze(ids, 1)[0])[i], at, many)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _unblob(data.as_py())], schema=schema)
 
     anchors_ = blobs.mapInArrow(unpack, "gram long, ctx long, rid long, at long, many long")
     contexts = materialise(anchors_.groupBy("gram", "ctx").agg(((F.count("*") > 1) | (F.max("many") > 0)).alias("several"), F.min(F.struct("rid", "at")).alias("first")), "contexts")

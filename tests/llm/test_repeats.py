@@ -136,6 +136,17 @@ def test_bytes_against_brute_force(spark, monkeypatch, seed, length, chunk, flus
     assert sorted((str(r["key"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == slow_bytes(rows, length)
 
 
+@pytest.mark.parametrize(("seed", "crowd"), [(5, 10**9), (6, 10)])
+def test_bytes_in_two_hops(spark, monkeypatch, seed, crowd):
+    """More buckets than a task deals out to at once."""
+    for name, value in (("FAN", 2), ("FLUSH", 30), ("CROWD", crowd)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rows = byte_docs(seed, 64)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), length=64, bucket_bytes=400).collect()
+    assert sorted((str(r["key"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == slow_bytes(rows, 64)
+    assert suffix_dedup.ways_of(2) == 2 and suffix_dedup.ways_of(1 << 20) == 1024
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_bytes_in_chunks_of_their_own(spark, monkeypatch, seed):
     """A gram with more contexts than are sorted at once: their offsets are halved."""
