@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,22 +146,11 @@ def weighted_quantile(df: DataFrame, x: str, w: str, p: float = 0.5, by: Sequenc
     return run.where(F.col("cum") >= F.lit(float(p)) * F.col("total")).groupBy(*by).agg(F.min(x).alias("quantile"))
 
 
-def nearest_rank(x: Column, p: float) -> Column:
-    """Aggregate: the value at place ``int(p * n)`` of the sorted ones, counted from 0."""
-    s = F.array_sort(F.collect_list(x))
-    return F.element_at(s, (F.least(F.floor(F.lit(float(p)) * F.size(s)), F.size(s) - 1) + 1).cast("int"))
-
-
 def median(x: Column) -> Column:
     """Aggregate: the mean of the middle two."""
     return F.percentile(x, F.lit(0.5))
 
 
-def upper_median(x: Column) -> Column:
-    """Aggregate: the value at place ``n // 2``."""
-    return nearest_rank(x, 0.5)
-
-
 def medians(df: DataFrame, x: str, by: Sequence[str], out: str = "median") -> DataFrame:
     """(by, median): the mean of the middle two of each group, without gathering it."""
     n = F.col("n")
@@ -168,6 +158,50 @@ def medians(df: DataFrame, x: str, by: Sequence[str], out: str = "median") -> Da
     return two.select(*by, ((F.col("_a") + F.col("_b")) / 2).alias(out))
 
 
+#: Ranges of values that medians of several levels are looked for in.
+RANGES = 64
+
+
+def _range_of(x: Column, cuts: list[float]) -> Column:
+    """How many of the rising cuts lie below ``x``, by halving."""
+    if not cuts:
+        return F.lit(0)
+    mid = len(cuts) // 2
+    return F.when(x <= F.lit(cuts[mid]), _range_of(x, cuts[:mid])).otherwise(F.lit(mid + 1) + _range_of(x, cuts[mid + 1 :]))
+
+
+def level_medians(df: DataFrame, x: str, levels: Sequence[Sequence[str]], out: str = "median") -> DataFrame:
+    """(columns of all levels, level, median): the mean of the middle two by each level's columns, others null; ``level`` is its place.
+
+    One pass counts rows by group and range of values, cut at approximate quantiles of all rows; coarser
+    levels add up these counts. Only the ranges that hold a middle are looked at again, so a group
+    passes on some two parts in RANGES of its rows, counted by value. Nulls are left out.
+    """
+    keys = list(dict.fromkeys(c for level in levels for c in level))
+    src = df.select(*keys, F.col(x).cast("double").alias("_x")).where("_x is not null")
+    found = src.agg(F.percentile_approx("_x", [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] or []
+    ranged = src.withColumn("_p", _range_of(F.col("_x"), sorted(set(found))))
+    counts = ranged.groupBy(*keys, "_p").agg(F.count("*").alias("_c"))
+    parts = []
+    for i, level in enumerate(levels):
+        own = counts.groupBy(*level, "_p").agg(F.sum("_c").alias("_c"))
+        w = Window.partitionBy(*level)  # RANGES rows of a group at most
+        placed = own.withColumn("_n", F.sum("_c").over(w)).withColumn("_end", F.sum("_c").over(w.orderBy("_p"))).withColumn("_low", F.floor((F.col("_n") - 1) / 2)).withColumn("_high", F.floor(F.col("_n") / 2))
+        start = F.col("_end") - F.col("_c")
+        held = placed.where(((F.col("_low") >= start) & (F.col("_low") < F.col("_end"))) | ((F.col("_high") >= start) & (F.col("_high") < F.col("_end"))))
+        names = {c: f"_k{j}" for j, c in enumerate(level)}
+        need = held.select(*(F.col(c).alias(k) for c, k in names.items()), F.col("_p").alias("_q"), start.alias("_before"), "_low", "_high")
+        on = F.col("_p") == F.col("_q")
+        for c, k in names.items():
+            on = on & F.col(c).eqNullSafe(F.col(k))
+        rows = ranged.join(need, on).groupBy(*level, "_p", "_before", "_low", "_high", "_x").agg(F.count("*").alias("_c"))
+        run = rows.withColumn("_end", F.col("_before") + F.sum("_c").over(Window.partitionBy(*level, "_p").orderBy("_x")))
+        at = lambda k: F.min(F.when((F.col(k) < F.col("_end")) & (F.col(k) >= F.col("_end") - F.col("_c")), F.col("_x")))
+        two = run.groupBy(*level).agg(at("_low").alias("_a"), at("_high").alias("_b"))
+        parts.append(two.select(*(F.col(c) if c in level else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in keys), F.lit(i).alias("level"), ((F.col("_a") + F.col("_b")) / 2).alias(out)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def mad_sigma(df: DataFrame, x: str, by: Sequence[str]) -> DataFrame:
     """1.4826 times the median absolute deviation from each group's median."""
     off = df.join(medians(df, x, by, "_m"), list(by)).withColumn("_off", F.abs(F.col(x) - F.col("_m")))

@@ -286,14 +286,42 @@ def thinned_stream(spark, d):
     return got.select("user_id", F.col("event_id").alias("first"), F.date_format(slot, "yyyy-MM-dd HH:mm").alias("slot"))
 
 
-@query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
+def _in_parts(df, order: str, parts: int, name: str, at=None) -> str:
+    """A folder to which ``df`` was added in so many writes, in the order of a column: a stream reads them one by one."""
+    spark, path = df.sparkSession, sinks.shared_folder(df.sparkSession, name)
+    value = F.col(order).cast("double")
+    inner = at or df.select(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10000)).first()[0] or []
+    cuts = [float("-inf"), *inner, float("inf")]
+    for low, high in zip(cuts, cuts[1:]):
+        df.where((value > low) & (value <= high)).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, ts, min(event_id) AS event_id FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL GROUP BY ALL),
+k AS (SELECT user_id, min(ts) AS ts FROM e GROUP BY user_id UNION ALL SELECT k.user_id, (SELECT min(e.ts) FROM e WHERE e.user_id = k.user_id AND e.ts >= k.ts + INTERVAL 6 HOUR) AS t FROM k WHERE t IS NOT NULL)
+SELECT user_id, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM k JOIN e USING (user_id, ts)""")
+def kept_fixes(spark, d):
+    """Each user's events of which no two are under six hours apart, from a stream in several batches."""
+    e = table(spark, d, "events").select("user_id", ts("ts").alias("ts"), "event_id")
+    stream = streaming.read_events(spark, _in_parts(e, "ts", 4, "fixes"), e.schema, maxFilesPerTrigger=1)
+    got = streaming.run_to_path(streaming.thin_exact(stream, "ts", ["user_id"], ["event_id"], 6 * 3600.0), sinks.shared_folder(spark, "kept"), sinks.shared_folder(spark, "progress"), "append")
+    return got.select("user_id", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("""SELECT user_id, event_type, arg_max(event_id, event_id) AS event_id, round(arg_max(value, event_id), 6) AS value, CAST(count(DISTINCT part) AS BIGINT) AS parts
+FROM (SELECT *, CASE WHEN event_id <= (SELECT quantile_disc(event_id, 0.25) FROM events) THEN 0 ELSE 1 END AS part FROM events WHERE event_id IS NOT NULL) GROUP BY ALL""")
 def upserted_stream(spark, d):
-    """A keyed table kept by a stream, written by buckets of keys."""
+    """A keyed table kept by a stream of several batches: each key has its last batch's row."""
+    e = table(spark, d, "events").select("user_id", "event_type", "event_id", "value").where("event_id is not null")
     path = sinks.shared_folder(spark, "upserts")
-    stream = streaming.read_events(spark, f"{d}/events.parquet*", table(spark, d, "events").schema)
-    q = streaming.upsert_sink(stream.select("user_id", "event_id"), path, ["user_id", "event_id"], "version", sinks.shared_folder(spark, "progress"), 8)
-    q.awaitTermination()
-    return streaming.read_upserted(spark, path).groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+    # A row for each key and batch: its last event.
+    first = e.agg(F.expr("percentile_disc(0.25) within group (order by event_id)")).first()[0]
+    last = e.withColumn("part", (F.col("event_id") > first).cast("int")).groupBy("user_id", "event_type", "part").agg(F.max_by(F.struct("event_id", "value"), "event_id").alias("e"))
+    last = last.select("user_id", "event_type", "part", "e.event_id", "e.value")
+    stream = streaming.read_events(spark, _in_parts(last, "part", 2, "changes", [0.5]), last.schema, maxFilesPerTrigger=1)
+    streaming.upsert_sink(stream, path, ["user_id", "event_type"], "version", sinks.shared_folder(spark, "progress"), 8).awaitTermination()
+    seen = last.groupBy("user_id", "event_type").agg(F.count("*").alias("parts"))
+    return streaming.read_upserted(spark, path).drop("part").join(seen, ["user_id", "event_type"]).select("user_id", "event_type", "event_id", r("value").alias("value"), "parts")
 
 
 # --- fits, parameters and the explorer -----------------------------------------------------

@@ -50,13 +50,17 @@ def recent_fix(events: DataFrame, fixes: DataFrame, key: str, ts: str, fix_ts: s
     """Each event with the latest fix of its key within the time before it, null if there is none.
 
     On streams a join with bounded state, then the latest of each event's fixes, in append mode: an
-    event comes out when the watermark has passed it. Equal event rows count as one.
+    event comes out when the watermark has passed it. Equal event rows come out as often as they came in.
     """
     f = fixes.select(F.col(key).alias("_fix_key"), F.col(fix_ts).alias("_fix_ts"), F.struct(*fixes.columns).alias("_fix"))
     if events.isStreaming:
         events, f = events.withWatermark(ts, delay), f.withWatermark("_fix_ts", delay)
+    f = f.dropDuplicates(["_fix_key", "_fix_ts", "_fix"])
     joined = events.join(f, F.expr(f"`{key}` = _fix_key and _fix_ts <= `{ts}` and _fix_ts >= `{ts}` - interval {within}"), "leftOuter")
-    return joined.groupBy(*events.columns).agg(F.max_by("_fix", F.struct("_fix_ts", F.to_json("_fix"))).alias("fix"))
+    # With each fix once, an event that came n times has n rows for each of its fixes.
+    times = F.count("*") / F.greatest(F.size(F.collect_set(F.struct("_fix_ts", "_fix"))), F.lit(1))
+    each = joined.groupBy(*events.columns).agg(F.max_by("_fix", F.struct("_fix_ts", F.to_json("_fix"))).alias("fix"), F.max(F.when(F.col("_fix").isNull(), 1)).alias("_none"), times.cast("int").alias("_times"), F.count("*").cast("int").alias("_rows"))
+    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(F.col("_none") == 1, F.col("_rows")).otherwise(F.col("_times"))))).drop("_copy", "_none", "_times", "_rows")
 
 
 def run_to_path(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
@@ -76,38 +80,149 @@ def run_to_path(stream: DataFrame, path: str, checkpoint: str, mode: str = "comp
     return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
 
 
-#: Buckets that a keyed table is cut into; a batch writes those that it touches.
-BUCKETS = 64
+#: Fixed value: seconds between two kept fixes at least.
+GAP_S = 20
 
 
-def upsert_sink(stream: DataFrame, path: str, keys: Sequence[str], version: str, checkpoint: str, buckets: int = BUCKETS):
+def thin_exact(stream: DataFrame, ts: str, by: Sequence[str], order: Sequence[str] = (), gap_s: float = GAP_S, delay: str = "10 minutes") -> DataFrame:
+    """Rows of a stream of which no two of one key are less than ``gap_s`` apart, over batches too.
+
+    A row is kept if it is that long after the last kept row of its key; rows of a batch come in the
+    order of ``ts`` and ``order``, batches in the order of their arrival, so what comes late, before the last kept
+    row, goes. Null times and keys go. A key's state is one time; a timer clears it when the watermark, ``delay``
+    behind the latest time seen, has passed it by the gap, as any row that may still come is then kept anyway. A task
+    holds one key's rows of one batch. The state is kept by RocksDB, which this sets for the stream to come.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    gap, columns, sort = int(gap_s * 1_000_000), stream.columns, [ts, *order]
+
+    class Thinner(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.last = handle.getValueState("last", "at long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            frame = pd.concat(list(rows)).sort_values(sort, kind="stable")
+            times = frame[ts].to_numpy("datetime64[us]").astype("int64")
+            last = self.last.get()[0] if self.last.exists() else None
+            keep = []
+            for i, t in enumerate(times.tolist()):
+                if last is None or t >= last + gap:
+                    keep.append(i)
+                    last = t
+            if keep:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer((last + gap) // 1000 + 1)
+                self.last.update((last,))
+                yield frame.iloc[keep][columns]
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.last.clear()
+            yield pd.DataFrame(columns=columns)
+
+        def close(self) -> None:
+            pass
+
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    present = stream.dropna(subset=[ts, *by]).withWatermark(ts, delay)
+    return present.groupBy(*by).transformWithStateInPandas(Thinner(), stream.schema, "Append", "EventTime").select(*columns)
+
+
+#: Buckets that a keyed table is cut into; a batch writes those that it touches. Versions of the table that stay readable.
+BUCKETS, KEPT_VERSIONS = 64, 2
+
+
+def upsert_sink(stream: DataFrame, path: str, keys: Sequence[str], version: str, checkpoint: str, buckets: int = BUCKETS, kept: int = KEPT_VERSIONS):
     """Write each batch into a keyed table: new rows win, others stay. A repeated batch gives the same table.
 
-    The table is cut into buckets by the keys' hash. A batch writes a new version of the buckets
-    that it touches, and of no others; ``read_upserted`` takes the last version of each.
+    The table is cut into buckets by the keys' hash. A batch writes anew the buckets that it touches, one
+    file each, and then a manifest of which version of each bucket is current. The manifest appears by a
+    rename, so readers see a batch whole or not at all, and a batch that failed before it is done
+    again over the same version. Only the last ``kept`` manifests and what they name stay, so files are bounded by
+    buckets and not by batches.
     """
-    from ..operators.relational import upsert
 
     def one(batch: DataFrame, n: int) -> None:
-        new = batch.withColumn(version, F.lit(n)).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        if n:
-            touched = new.select(F.col("_bucket").alias("_b")).distinct()
-            old = _last_versions(batch.sparkSession, path, n).join(F.broadcast(touched), F.col("_bucket") == F.col("_b"), "left_semi").drop("_version")
-            new = upsert(old, new, keys)
-        new.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/_version={n}")
+        _upsert(batch, n, path, keys, version, buckets, kept)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _last_versions(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    rows = spark.read.option("basePath", path).parquet(f"{path}/_version=*")
-    if before is not None:
-        rows = rows.where(F.col("_version") < before)
-    # Folder names alone: a row for each bucket.
-    last = rows.groupBy(F.col("_bucket").alias("_lb")).agg(F.max("_version").alias("_lv"))
-    return rows.join(F.broadcast(last), (F.col("_bucket") == F.col("_lb")) & (F.col("_version") == F.col("_lv")), "left_semi")
+def _upsert(batch: DataFrame, n: int, path: str, keys: Sequence[str], version: str, buckets: int, kept: int) -> None:
+    from ..operators.relational import upsert
+
+    spark = batch.sparkSession
+    done = _manifests(spark, path)
+    before = {k: v for k, v in done.items() if k < n}
+    if n in done:
+        return
+    current = _read_manifest(spark, path, max(before)) if before else {}
+    new = batch.withColumn(version, F.lit(n)).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    touched = sorted(r["_bucket"] for r in new.select("_bucket").distinct().collect())  # numbers of buckets
+    old = [(b, current[b]) for b in touched if b in current]
+    if old:
+        new = upsert(_read_buckets(spark, path, old).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), new, keys)
+    new.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/data/version={n}")
+    _write_manifest(spark, path, n, current | dict.fromkeys(touched, n))
+    _expire(spark, path, kept)
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    fs, at = _files(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def _manifests(spark: SparkSession, path: str) -> dict[int, str]:
+    """Batch numbers with a manifest."""
+    return {int(f): f for f in _listed(spark, f"{path}/manifest") if f.isdigit()}
+
+
+def _read_manifest(spark: SparkSession, path: str, n: int) -> dict[int, int]:
+    """The current version of each bucket as of batch ``n``."""
+    return {r["bucket"]: r["version"] for r in spark.read.schema("bucket int, version int").json(f"{path}/manifest/{n:020d}").collect()}
+
+
+def _write_manifest(spark: SparkSession, path: str, n: int, current: dict[int, int]) -> None:
+    made = f"{path}/making/{n:020d}"
+    spark.createDataFrame(sorted(current.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").json(made)
+    fs, at = _files(spark, made)
+    fs.mkdirs(_files(spark, f"{path}/manifest")[1])
+    if not fs.rename(at, _files(spark, f"{path}/manifest/{n:020d}")[1]):
+        raise RuntimeError(f"manifest {n} could not be put in place")
+
+
+def _expire(spark: SparkSession, path: str, kept: int) -> None:
+    """Delete manifests but the last ``kept``, and buckets' versions that none of these names."""
+    every = sorted(_manifests(spark, path))
+    for n in every[:-kept]:
+        fs, at = _files(spark, f"{path}/manifest/{n:020d}")
+        fs.delete(at, True)
+    named = {(b, v) for n in every[-kept:] for b, v in _read_manifest(spark, path, n).items()}
+    for folder in _listed(spark, f"{path}/data"):
+        v = int(folder.split("=")[1])
+        own = [int(x.split("=")[1]) for x in _listed(spark, f"{path}/data/{folder}") if x.startswith("_bucket=")]
+        gone = [b for b in own if (b, v) not in named]
+        for at in [f"{path}/data/{folder}"] if len(gone) == len(own) else [f"{path}/data/{folder}/_bucket={b}" for b in gone]:
+            fs, where = _files(spark, at)
+            fs.delete(where, True)
+
+
+def _read_buckets(spark: SparkSession, path: str, held: Sequence[tuple[int, int]]) -> DataFrame:
+    return spark.read.parquet(*(f"{path}/data/version={v}/_bucket={b}" for b, v in held))
 
 
 def read_upserted(spark: SparkSession, path: str) -> DataFrame:
-    """The table that ``upsert_sink`` keeps at ``path``."""
-    return _last_versions(spark, path).drop("_version", "_bucket")
+    """The table that ``upsert_sink`` keeps at ``path``, as of its last whole batch; ValueError if there is none."""
+    done = _manifests(spark, path)
+    current = _read_manifest(spark, path, max(done)) if done else {}
+    if not current:
+        raise ValueError(f"{path}: no batch with rows is there yet")
+    return _read_buckets(spark, path, sorted(current.items()))

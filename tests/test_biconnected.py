@@ -46,11 +46,11 @@ def check(spark, edges, protected=(), gates=None):
     assert {k: sorted(x) for k, x in nodes.items()} == {k: sorted(p) for k, p in exp.items()}
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_random_graphs(spark, seed):
     rng = random.Random(seed)
     n = 60
-    edges = [(rng.randrange(n), rng.randrange(n)) for _ in range([40, 58, 70, 120][seed])]
+    edges = [(rng.randrange(n), rng.randrange(n)) for _ in range([58, 110][seed])]
     edges += [(100 + i, 100 + rng.randrange(i)) for i in range(1, 25)] + [(200, 201), (201, 202), (202, 200), (202, 203)]
     check(spark, edges, rng.sample(range(n), 3) + [105])
 
@@ -73,7 +73,7 @@ def test_empty(spark):
 
 
 def test_rounds_grow_with_the_logarithm_of_a_chain(spark):
-    n, calls = 2000, []
+    n, calls = 700, []
 
     def cut(df):
         from spanwise.sources.sinks import cut_lineage
@@ -85,7 +85,7 @@ def test_rounds_grow_with_the_logarithm_of_a_chain(spark):
     found = biconnected.blocks(chain, spark.createDataFrame([], "node long"), cut=cut)
     parts = biconnected.regions(found)
     assert parts.count() == 2 * (n - 1) and parts.agg({"n": "sum"}).first()[0] == (n - 1) * n
-    assert len(calls) < 140
+    assert len(calls) < 120
 
 
 def F_hash(column, add=0):

@@ -365,4 +365,32 @@ def test_upserts_write_touched_buckets_only(spark, tmp_path):
         events.upsert_sink(stream, path, ["k"], "version", f"{tmp_path}/cp").awaitTermination()
     got = {r["k"]: (r["v"], r["version"]) for r in events.read_upserted(spark, path).collect()}
     assert len(got) == 201 and got[5] == got[900] == ("new", 1) and got[6] == ("old", 0)
-    assert len(os.listdir(f"{path}/_version=1")) <= 2 * 2 + 2  # two buckets, and marker files
+    assert len(os.listdir(f"{path}/data/version=1")) <= 2 * 2 + 2  # two buckets, and marker files
+
+
+def test_upserts_keep_files_bounded(spark, tmp_path):
+    """Ten batches, one repeated: each key has its last row, and files do not grow with batches."""
+    path, schema = f"{tmp_path}/up", T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.LongType())])
+    last = {}
+    for n in range(10):
+        own = {k: n for k in range(n, 40 + 3 * n, 1 + n % 3)}
+        last |= own
+        batch = spark.createDataFrame(list(own.items()), schema)
+        for _ in range(2 if n == 6 else 1):
+            events._upsert(batch, n, path, ["k"], "version", 4, 2)
+    got = {r["k"]: (r["v"], r["version"]) for r in events.read_upserted(spark, path).collect()}
+    assert got == {k: (v, v) for k, v in last.items()}
+    files = [f for _, _, fs in os.walk(f"{path}/data") for f in fs if f.endswith(".parquet")]
+    assert len(files) <= 2 * 4 and len(os.listdir(f"{path}/manifest")) == 2
+    with pytest.raises(ValueError):
+        events.read_upserted(spark, f"{tmp_path}/none")
+
+
+def test_no_two_kept_fixes_are_close(spark, tmp_path):
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("v", T.LongType())])
+    batches = [[("a", 0, 1), ("a", 5, 2), ("a", 20, 3), ("b", 3, 4), (None, 4, 5)], [("a", 39, 6), ("a", 40, 7), ("a", 41, 8), ("b", 22, 9), ("b", 23, 10)], [("a", 30, 11), ("a", 700, 12), ("b", 2000, 13)], [("a", 2100, 14), ("b", 2019, 15)]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, "k string, t int, v long").select("k", F.timestamp_seconds("t").alias("ts"), "v").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = events.read_events(spark, f"{tmp_path}/in/*", schema, maxFilesPerTrigger=1)
+    got = events.run_to_path(events.thin_exact(stream, "ts", ["k"], ["v"]), f"{tmp_path}/out", f"{tmp_path}/cp", "append")
+    assert sorted((r["k"], r["v"]) for r in got.collect()) == [("a", 1), ("a", 3), ("a", 7), ("a", 12), ("a", 14), ("b", 4), ("b", 10), ("b", 13)]
