@@ -141,7 +141,7 @@ def area_overlaps(spark, d):
 
 # Zones are nations and market segments on one side and suppliers on the other; times follow from their numbers.
 _ZONES = """o AS (SELECT CAST(c_nationkey * 100 + len(c_mktsegment) AS BIGINT) AS src, CAST(count(*) AS DOUBLE) AS O FROM customer GROUP BY 1),
-c AS (SELECT src, s_suppkey AS dst, O, 1e0 + s_suppkey % 5 AS D, 60e0 + (src * 131 + s_suppkey * 57) % 2400 AS t, 0.6e0 * exp(-t / 400e0) + 0.4e0 * exp(-t / 2000e0) AS f FROM o, supplier)"""
+c AS (SELECT src, s_suppkey AS dst, O, 1e0 + s_suppkey % 5 AS D, 60e0 + (src * 131 + s_suppkey * 57 + src * s_suppkey * 7) % 2400 AS t, 0.6e0 * exp(-t / 400e0) + 0.4e0 * exp(-t / 2000e0) AS f FROM o, supplier)"""
 _SWEEP = """a{i} AS (SELECT src, 1 / sum(b * f) AS a FROM c JOIN b{j} USING (dst) GROUP BY src), g{i} AS (SELECT src, a / avg(a) OVER () AS a FROM a{i}),
 b{i} AS (SELECT dst, any_value(D) / sum(a * O * f) AS b FROM c JOIN g{i} USING (src) GROUP BY dst)"""
 
@@ -150,7 +150,7 @@ def zones(spark, d):
     """(pairs, origins, destinations): as many pairs as there are zones of both kinds, the model's own size."""
     o = table(spark, d, "customer").groupBy((F.col("c_nationkey") * 100 + F.length("c_mktsegment")).cast("long").alias("src")).agg(F.count("*").cast("double").alias("O"))
     p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("dst"), (F.lit(1.0) + F.col("s_suppkey") % 5).alias("D"))
-    pairs = o.select("src").crossJoin(p.select("dst")).withColumn("t", (F.lit(60) + (F.col("src") * 131 + F.col("dst") * 57) % 2400).cast("double"))
+    pairs = o.select("src").crossJoin(p.select("dst")).withColumn("t", (F.lit(60) + (F.col("src") * 131 + F.col("dst") * 57 + F.col("src") * F.col("dst") * 7) % 2400).cast("double"))
     return pairs, o, p
 
 
@@ -185,9 +185,9 @@ def kernel_iterated(spark, d):
     """The kernel under which balanced flows have the trips by time of flows that were made with another than the first guess."""
     pairs, o, p = (sinks.cut_lineage(x) for x in zones(spark, d))
     true = pairs.withColumn("f", kernel_iteration.kernel(F.col("t"), 0.7, 300.0, 1500.0))
-    a, b = kernel_iteration.balancing_factors(true, o, p, 4)
+    a, b = kernel_iteration.balancing_factors(true, o, p, 3)
     trips = sinks.cut_lineage(true.join(o, "src").join(a, "src").join(b, "dst").groupBy(F.floor(F.col("t") / 60).cast("long").alias("bin")).agg(F.sum(F.col("O") * F.col("a") * F.col("b") * F.col("f")).alias("trips")))
-    got = kernel_iteration.iterate(pairs, o, p, trips, 60.0, {"w": 0.5, "tau_s": 200.0, "tau_l": 2500.0}, sweeps=2, damping=0.8, tolerance=0.02, rounds=12)
+    got = kernel_iteration.iterate(pairs, o, p, trips, 60.0, {"w": 0.5, "tau_s": 200.0, "tau_l": 2500.0}, sweeps=3, damping=0.8, tolerance=0.02, rounds=12)
     return spark.createDataFrame([(x["round"], round(x["w"], 3), round(x["tau_s"], 1), round(x["tau_l"], 1)) for x in got.trace], "round int, w double, tau_s double, tau_l double")
 
 

@@ -390,7 +390,7 @@ def test_no_two_kept_fixes_are_close(spark, tmp_path):
     schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("v", T.LongType())])
     batches = [[("a", 0, 1), ("a", 5, 2), ("a", 20, 3), ("b", 3, 4), (None, 4, 5)], [("a", 39, 6), ("a", 40, 7), ("a", 41, 8), ("b", 22, 9), ("b", 23, 10)], [("a", 30, 11), ("a", 700, 12), ("b", 2000, 13)], [("a", 2100, 14), ("b", 2019, 15)]]
     for n, rows in enumerate(batches):
-        spark.createDataFrame(rows, "k string, t int, v long").select("k", F.timestamp_seconds("t").alias("ts"), "v").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        spark.createDataFrame(rows, "k string, t int, v long").select("k", F.timestamp_seconds(F.col("t") + 100_000).alias("ts"), "v").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
     stream = events.read_events(spark, f"{tmp_path}/in/*", schema, maxFilesPerTrigger=1)
     got = events.run_to_path(events.thin_exact(stream, "ts", ["k"], ["v"]), f"{tmp_path}/out", f"{tmp_path}/cp", "append")
     assert sorted((r["k"], r["v"]) for r in got.collect()) == [("a", 1), ("a", 3), ("a", 7), ("a", 12), ("a", 14), ("b", 4), ("b", 10), ("b", 13)]
