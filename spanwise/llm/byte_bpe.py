@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from .packing import OTHER_CHARACTERS, PLAIN_PIECES
 
 #: Pre-tokens that a worker remembers before it forgets all, and the longest of them in characters.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 LONGEST_REMEMBERED = 64
 #: Characters that are split at a time.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 
 # Field numbers and enumerations of SentencePiece's model format.
 _PIECES, _TRAINER, _NORMALISER = 1, 2, 3
