@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, decontam, divergence, html_extract, language_id, line_dedup, packing, sharding, simhash, substring_dedup, suffix_dedup, whitening
+from . import ann, byte_bpe, decontam, divergence, html_extract, language_id, line_dedup, packing, runtime, sharding, simhash, substring_dedup, suffix_dedup, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,7 +77,8 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = _table(spark, sf_dir, "documents").select("doc_id", byte_bpe.encode("text", ranks, pattern).alias("ids"))
     both = coded.select("doc_id", "ids", byte_bpe.decode("ids", ranks).alias("decoded"))
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    # Written, as small Arrow batches are in force while it is: a batch holds texts, ids and decoded texts at once.
+    return runtime.materialise(both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")), "tokens")
 
 
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
