@@ -131,6 +131,11 @@ def _rings(xs: np.ndarray, ys: np.ndarray, sizes: np.ndarray) -> Rings:
     return [np.column_stack(r) for r in zip(np.split(xs, cuts), np.split(ys, cuts)) if len(r[0]) > 2]
 
 
+def _parts(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
 def gridded(polygons: DataFrame, key: str, cell: float, rings: str = "rings") -> DataFrame:
     """(key, own, cx, cy, xs, ys, sizes, x0, y0, x1, y1): each polygon's part in each grid cell, with its area ``own`` there.
 
@@ -141,6 +146,7 @@ def gridded(polygons: DataFrame, key: str, cell: float, rings: str = "rings") ->
     real = F.filter(F.coalesce(rings, F.array().cast(polygons.schema[rings].dataType)), lambda r: r.isNotNull() & (F.size(r) > 2) & F.forall(r, lambda p: ok(p["x"].cast("double")) & ok(p["y"].cast("double"))))
     flat = lambda axis: F.flatten(F.transform(real, lambda r: F.transform(r, lambda p: p[axis].cast("double"))))
     src = polygons.select(key, flat("x").alias("xs"), flat("y").alias("ys"), F.transform(real, F.size).alias("sizes")).where(F.size("sizes") > 0)
+    src = src.repartition(_parts(polygons), key)  # small in bytes, so that adaptive execution would leave it to one task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,15 +169,25 @@ def gridded(polygons: DataFrame, key: str, cell: float, rings: str = "rings") ->
     return src.mapInArrow(run, f"`{key}` {polygons.schema[key].dataType.simpleString()}, own double, {_PIECE}")
 
 
+def same_shapes(polygons: DataFrame, key: str, name: str, rings: str = "rings") -> DataFrame:
+    """(<name>key, <name>of): each key with the least key of equal rings, its own if no other has them."""
+    each = polygons.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"{name}key")).agg(F.array_sort(F.collect_list(rings)).alias("_shape"))
+    least = each.groupBy("_shape").agg(F.min(f"{name}key").alias(f"{name}of"))
+    return each.join(least, "_shape").select(f"{name}key", f"{name}of")
+
+
 def overlay(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cell: float, least_area: float = 0.0, least_share: float = 0.0, rings: str = "rings", parts: bool = False) -> DataFrame:
     """(left_key, right_key, area, left_share, right_share) of the pairs whose interiors overlap; with ``parts`` also where.
 
     Overlaps of no more than ``least_area``, or of less than ``least_share`` of both polygons' areas, are slivers and
     are left out. ``parts`` is an array of trapezoids between two x (x0, x1, low0, low1, high0, high1), each
     within a grid cell of size ``cell``. Polygons that only touch do not overlap; repeated rows of one key
-    count as one polygon each time they appear, so keys should be unique.
+    count as one polygon each time they appear, so keys should be unique. Keys of equal shapes are compared
+    once, and the result is dealt out to all of them.
     """
-    a, b = gridded(left, left_key, cell, rings), gridded(right, right_key, cell, rings)
+    kinds_l, kinds_r = same_shapes(left, left_key, "_l", rings), same_shapes(right, right_key, "_r", rings)
+    own = lambda df, key, kinds, k: df.join(kinds.where(F.col(f"{k}key") == F.col(f"{k}of")).select(F.col(f"{k}of").alias(key)), key, "left_semi")
+    a, b = gridded(own(left, left_key, kinds_l, "_l"), left_key, cell, rings), gridded(own(right, right_key, kinds_r, "_r"), right_key, cell, rings)
     total = lambda g, k, name: g.groupBy(k).agg(F.sum("own").alias(name))
     side = lambda g, k, s: g.select(F.col(k).alias(f"{s}key"), "cx", "cy", *(F.col(c).alias(f"{s}{c}") for c in ("xs", "ys", "sizes", "x0", "y0", "x1", "y1")))
     met = side(a, left_key, "l").join(side(b, right_key, "r"), ["cx", "cy"]).where("lx0 < rx1 and rx0 < lx1 and ly0 < ry1 and ry0 < ly1")
@@ -187,8 +203,11 @@ def overlay(left: DataFrame, right: DataFrame, left_key: str, right_key: str, ce
             yield pa.RecordBatch.from_arrays([rows.column("lkey"), rows.column("rkey"), pa.array(areas, pa.float64()), pa.array(where, shape)], names=["lkey", "rkey", "area", "parts"])
 
     kind = lambda df, k: df.schema[k].dataType.simpleString()
+    met = met.repartition(_parts(left), "lkey", "rkey", "cx", "cy")  # a full cell's pairs are dealt out
     here = met.mapInArrow(run, f"lkey {kind(left, left_key)}, rkey {kind(right, right_key)}, area double, parts array<struct<x0:double,x1:double,low0:double,low1:double,high0:double,high1:double>>")
     pairs = here.where("area > 0").groupBy(F.col("lkey").alias(left_key), F.col("rkey").alias(right_key)).agg(F.sum("area").alias("area"), *([F.flatten(F.collect_list("parts")).alias("parts")] if parts else []))
     shared = pairs.where(F.col("area") > least_area).join(total(a, left_key, "_la"), left_key).join(total(b, right_key, "_ra"), right_key)
     out = shared.select(left_key, right_key, "area", (F.col("area") / F.col("_la")).alias("left_share"), (F.col("area") / F.col("_ra")).alias("right_share"), *(["parts"] if parts else []))
-    return out.where((F.col("left_share") >= least_share) | (F.col("right_share") >= least_share))
+    kept = out.where((F.col("left_share") >= least_share) | (F.col("right_share") >= least_share))
+    each = kept.join(kinds_l, F.col(left_key) == F.col("_lof")).join(kinds_r, F.col(right_key) == F.col("_rof"))
+    return each.select(F.col("_lkey").alias(left_key), F.col("_rkey").alias(right_key), *(c for c in out.columns if c not in (left_key, right_key)))

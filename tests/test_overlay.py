@@ -78,3 +78,11 @@ def test_touching_equal_slivers_and_odd_rows(spark):
     assert run() == {(1, 1): 4.0, (1, 2): 0.002, (2, 2): 4.0, (7, 1): 4.0, (7, 2): 0.002}
     assert run(least_area=0.01) == run(least_share=0.01) == {(1, 1): 4.0, (2, 2): 4.0, (7, 1): 4.0}
     assert overlay.overlay(layer(spark, left).limit(0), layer(spark, right).withColumnRenamed("key", "r"), "key", "r", 1.0).count() == 0
+
+
+def test_keys_of_equal_shapes_are_compared_once(spark):
+    left, right = {k: [box(0, 0, 2, 1)] for k in range(40)}, {k: [box(1, 0, 3, 1)] for k in range(30)} | {30: [box(0, 0, 1, 1)]}
+    kinds = overlay.same_shapes(layer(spark, right).withColumnRenamed("key", "r"), "r", "_r")
+    assert {r["_rkey"]: r["_rof"] for r in kinds.collect()} == dict.fromkeys(range(30), 0) | {30: 30}
+    found = overlay.overlay(layer(spark, left).withColumnRenamed("key", "l"), layer(spark, right).withColumnRenamed("key", "r"), "l", "r", 4.0)
+    assert sorted((r["l"], r["r"], r["area"], r["left_share"]) for r in found.collect()) == [(i, j, 1.0, 0.5) for i in range(40) for j in range(31)]
