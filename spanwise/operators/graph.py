@@ -14,6 +14,8 @@ from ..sources.sinks import cut_lineage, discard
 
 #: Edges of a graph that is sent to every worker for path searches.
 MAX_EDGES = 5_000_000
+#: Edges of components that one task settles.
+SMALL = 200_000
 #: Gates that regions are looked for behind, one plan for each.
 MAX_GATES = 10_000
 
@@ -30,28 +32,86 @@ def degrees(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     return o.unionByName(i).groupBy("node").agg(F.sum("o").alias("out"), F.sum("i").alias("in"))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50, cut=None) -> DataFrame:
-    """(node, root) by least labels with pointer jumping; ``cut`` (such as ``DataFrame.checkpoint``) ends the lineage of each round.
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64, cut=None, small: int = SMALL) -> DataFrame:
+    """(node, root): each node that has an edge to another, with the least node of its component.
 
-    Without ``cut`` each round is a table in the shared folder, deleted after the next; raises RuntimeError if it has not settled.
+    In each round every node points at the neighbour of the least hash, so that pointers end in pairs; what a pair draws in
+    becomes one node, and edges between such nodes are kept once. Nodes at least halve, so rounds grow with
+    the logarithm of the nodes, whatever the length of paths. At most ``small`` edges that are left are settled in one task.
+    ``cut`` (such as ``DataFrame.checkpoint``) ends the lineage of each round; without it each round is a table in the
+    shared folder, deleted when it has been used. Raises RuntimeError if it has not settled.
     """
-    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x != y")
-    both = both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
     cut = cut or cut_lineage
-    both = cut(both)
-    label = cut(both.groupBy(F.col("x").alias("node")).agg(F.least(F.col("node"), F.min("y")).alias("root")))
+    x, y = F.col(a), F.col(b)
+    cur = cut(edges.where(x != y).select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).distinct())
+    maps = []
     for _ in range(rounds):
-        reached = both.join(label.select(F.col("node").alias("y"), F.col("root").alias("r")), "y").groupBy(F.col("x").alias("node")).agg(F.min("r").alias("r"))
-        low = label.join(reached, "node").select("node", F.least("root", "r").alias("root"))
-        jump = low.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        new = cut(low.join(jump, "root", "left").select("node", F.least("root", F.coalesce("up", "root")).alias("root")))
-        settled = new.join(label.withColumnRenamed("root", "old"), "node").where("root != old").isEmpty()
-        discard(label)
-        if settled:
-            discard(both)
-            return new
+        if cur.limit(small + 1).count() <= small:
+            last = cut(_joined(cur))
+            break
+        both = cur.unionByName(cur.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
+        up = cut(both.groupBy(F.col("x").alias("node")).agg(F.min(order("y"))["n"].alias("root")))
+        # Of two that point at each other one stays.
+        back = up.select(F.col("node").alias("root"), F.col("root").alias("_b"))
+        first = cut(up.join(back, "root").select("node", F.when((F.col("_b") == F.col("node")) & (F.col("node") < F.col("root")), F.col("node")).otherwise(F.col("root")).alias("root")))
+        discard(up)
+        top = _to_ends(first, cut)
+        name = lambda c: top.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
+        joined = cur.join(name("x"), "x").join(name("y"), "y").where("_x != _y")
+        new = cut(joined.select(F.least("_x", "_y").alias("x"), F.greatest("_x", "_y").alias("y")).distinct())
+        discard(cur)
+        cur = new
+        maps.append(top)
+    else:
+        raise RuntimeError("components did not settle")
+    label = last
+    for top in reversed(maps):
+        # What is a node of a later round's table is renamed by it, all others keep the end of their pointers.
+        later = label.select(F.col("node").alias("root"), F.col("root").alias("_later"))
+        new = cut(top.join(later, "root", "left").select("node", F.coalesce("_later", "root").alias("root")))
+        discard(label, top)
         label = new
-    raise RuntimeError("components did not settle")
+    least = label.groupBy("root").agg(F.min("node").alias("_least"))
+    out = cut(label.join(least, "root").select("node", F.col("_least").alias("root")))
+    discard(cur, label)
+    return out
+
+
+def _to_ends(up: DataFrame, cut) -> DataFrame:
+    """Pointers (node, root) followed to their ends, which point at themselves."""
+    for _ in range(64):
+        nxt = up.select(F.col("node").alias("root"), F.col("root").alias("_up"))
+        new = cut(up.select("node", "root").join(nxt, "root").select("node", F.col("_up").alias("root"), (F.col("_up") != F.col("root")).alias("_moved")))
+        discard(up)
+        up = new
+        if up.where("_moved").isEmpty():
+            return up
+    raise RuntimeError("pointers did not settle")
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """(node, root) of few edges (x, y), in one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = list(batches)
+        if not frames:
+            return
+        nodes, at = np.unique(np.concatenate([f[["x", "y"]].to_numpy() for f in frames]), return_inverse=True)
+        top = list(range(len(nodes)))
+        for i, j in at.reshape(-1, 2).tolist():
+            while top[i] != i:
+                top[i] = i = top[top[i]]
+            while top[j] != j:
+                top[j] = j = top[top[j]]
+            if i != j:
+                top[max(i, j)] = min(i, j)
+        for i in range(len(top)):  # a node points at none above it
+            top[i] = top[top[i]]
+        yield pd.DataFrame({"node": nodes, "root": nodes[np.array(top, np.int64)]})
+
+    kind = edges.schema["x"].dataType.simpleString()
+    return edges.coalesce(1).mapInPandas(run, f"node {kind}, root {kind}")
 
 
 def hops_within(edges: DataFrame, sources: DataFrame, bound: int, u: str = "u", v: str = "v", cost: str = "cost") -> DataFrame:

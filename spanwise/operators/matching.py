@@ -103,14 +103,23 @@ def _pairs_by_word(left: DataFrame, right: DataFrame, block: str, name: str, lea
 def clusters(points: DataFrame, key: str, radius: float, x: str = "x", y: str = "y", cut=None) -> DataFrame:
     """(key, cluster): connected groups of points within ``radius``; the cluster is its smallest key.
 
-    Points meet in grid cells of that size and their neighbours only.
+    All points of a grid cell lie within the radius of each other, so a cell is one node, named by its least key. Points
+    of neighbouring cells are compared, and one link is kept for each pair of cells, however full they are.
     """
     from .graph import connected_components
-    from .spatial import pairs_within
 
-    links = pairs_within(points, key, radius, x, y).select(F.col("a"), F.col("b"))
-    comp = connected_components(links, cut=cut)
-    return points.select(key).join(comp.withColumnRenamed("node", key), key, "left").select(key, F.coalesce("root", key).alias("cluster"))
+    side = radius / 1.5  # the diagonal stays below the radius; a link reaches two cells far
+    at = lambda c: F.floor(F.col(c) / F.lit(side)).cast("long")
+    real = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < float("inf"))
+    p = points.where(real(x) & real(y)).select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y")).withColumn("cx", at("x")).withColumn("cy", at("y"))
+    half = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)))
+    q = p.select(F.col("x").alias("bx"), F.col("y").alias("by"), F.col("cx").alias("qx"), F.col("cy").alias("qy"), F.explode(half).alias("s")).withColumn("cx", F.col("qx") - F.col("s.i")).withColumn("cy", F.col("qy") - F.col("s.j"))
+    near = p.join(q, ["cx", "cy"]).where(F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by")) <= radius).select("cx", "cy", "qx", "qy").distinct()
+    cells = p.groupBy("cx", "cy").agg(F.min("k").alias("cell"))
+    links = near.join(cells, ["cx", "cy"]).join(cells.select(F.col("cx").alias("qx"), F.col("cy").alias("qy"), F.col("cell").alias("other")), ["qx", "qy"])
+    comp = connected_components(links, "cell", "other", cut=cut)
+    named = p.join(cells, ["cx", "cy"]).join(comp.withColumnRenamed("node", "cell"), "cell", "left").select(F.col("k").alias(key), F.coalesce("root", "cell").alias("cluster")).distinct()
+    return points.select(key).join(named, key, "left").select(key, F.coalesce("cluster", key).alias("cluster"))
 
 
 def one_of_each_name(df: DataFrame, cluster: str, name: str, order: str) -> DataFrame:

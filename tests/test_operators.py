@@ -394,3 +394,20 @@ def test_no_two_kept_fixes_are_close(spark, tmp_path):
     stream = events.read_events(spark, f"{tmp_path}/in/*", schema, maxFilesPerTrigger=1)
     got = events.run_to_path(events.thin_exact(stream, "ts", ["k"], ["v"]), f"{tmp_path}/out", f"{tmp_path}/cp", "append")
     assert sorted((r["k"], r["v"]) for r in got.collect()) == [("a", 1), ("a", 3), ("a", 7), ("a", 12), ("a", 14), ("b", 4), ("b", 10), ("b", 13)]
+
+
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_components_of_a_long_winding_path_settle(spark, small):
+    from spanwise.operators import graph
+
+    order = list(range(1500))
+    random.Random(3).shuffle(order)
+    edges = spark.createDataFrame([*zip(order, order[1:]), (7000, 7001), (7001, 7001)], "a long, b long")
+    got = {r["node"]: r["root"] for r in graph.connected_components(edges, small=small).collect()}
+    assert got == dict.fromkeys(range(1500), 0) | {7000: 7000, 7001: 7000}
+
+
+def test_clusters_along_a_line_and_of_odd_points(spark):
+    rows = [(k, 0.0009 * k, 0.0) for k in range(300)] + [(900, 5.0, 5.0), (901, 5.0, 5.0011), (902, 5.00069, 5.0), (903, None, 0.0), (904, float("nan"), 0.0), (905, float("nan"), 0.0)]
+    got = {r["id"]: r["cluster"] for r in matching.clusters(spark.createDataFrame(rows, "id long, x double, y double"), "id", 0.001).collect()}
+    assert got == dict.fromkeys(range(300), 0) | {900: 900, 901: 901, 902: 900, 903: 903, 904: 904, 905: 905}
