@@ -14,6 +14,9 @@ are found without a depth-first search, after Tarjan and Vishkin:
    over dyadic blocks of places: a range is cut into few blocks, each of which is known.
 4. Edges that must share a block are linked, and the components of those links are the blocks.
 
+Components of few edges, most in a network that is not one whole, are searched each by itself in one
+task instead; the rounds are for the others.
+
 Every step is a join or an aggregate on a node, an arc or a block of places; rounds grow with
 the logarithm of the longest tour, not with the number of cut nodes, and each round's table
 is written, so that a lost executor costs a re-read.
@@ -25,9 +28,10 @@ are still wanted after their sizes and sums are known.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +41,8 @@ from .graph import connected_components
 Cut = Callable[[DataFrame], DataFrame]
 #: Rounds of any one loop; 2^64 nodes need 64.
 ROUNDS = 64
+#: Edges of a component that is searched in one task.
+SMALL = 100_000
 
 
 def simple_edges(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -182,11 +188,117 @@ class Blocks:
     nodes: DataFrame
 
 
-def blocks(edges: DataFrame, protected: DataFrame, layers: DataFrame | None = None, sums: Sequence[str] = (), u: str = "u", v: str = "v", cut: Cut = cut_lineage) -> Blocks:
-    """Biconnected blocks of an undirected graph, and for each node the sums of ``sums`` (columns of ``layers``) and of protected nodes over its subtree."""
-    e = cut(simple_edges(edges, u, v))
-    forest, label = spanning_forest(e, cut)
+def _measures(label: DataFrame, held: DataFrame, layers: DataFrame | None, sums: Sequence[str]) -> DataFrame:
+    """(root, node, protected, sums): what each node has of its own."""
+    own = label.join(held.withColumn("protected", F.lit(1).cast("long")), "node", "left")
+    if layers is not None:
+        own = own.join(layers.groupBy(F.col("node").cast("long").alias("node")).agg(*(F.sum(c).alias(c) for c in sums)), "node", "left")
+    return own.select("root", "node", F.coalesce("protected", F.lit(0)).cast("long").alias("protected"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in sums))
+
+
+def _in_tasks(edge: DataFrame, own: DataFrame, sums: Sequence[str]) -> DataFrame:
+    """The nodes of ``Blocks`` of edges (root, a, b) and nodes (root, node, protected, sums), by a depth-first search of each component."""
+    measures = ["protected", *sums]
+    rows = own.select("root", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), *measures)
+    rows = rows.unionByName(edge.select("root", "a", "b", *(F.lit(None).cast(own.schema[c].dataType).alias(c) for c in measures)))
+    spark = edge.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    dealt = rows.repartition(parts, "root").sortWithinPartitions("root", F.col("b").isNotNull())
+    whole = ["root", "node", "parent", "first", "last", "low", "high", "block"]
+    names = [*whole, "own_protected", *(f"own_{c}" for c in sums), *measures]
+    kinds = [pa.int64()] * 9 + [pa.float64()] * len(sums) + [pa.int64()] + [pa.float64()] * len(sums)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, adj, has, found = None, {}, {}, []
+
+        def out():
+            columns = zip(*found) if found else [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+        for batch in batches:
+            for root, a, b, *values in zip(*(c.to_pylist() for c in batch.columns)):
+                if root != now:
+                    found += _searched(now, adj, has)
+                    now, adj, has = root, {}, {}
+                    if len(found) >= 8192:
+                        yield out()
+                        found.clear()
+                if b is None:
+                    has[a] = values
+                else:
+                    adj.setdefault(a, []).append(b)
+                    adj.setdefault(b, []).append(a)
+        found += _searched(now, adj, has)
+        yield out()
+
+    schema = ", ".join(f"{n} {'long' if k == pa.int64() else 'double'}" for n, k in zip(names, kinds))
+    order = ["root", "node", "parent", "first", "last", "own_protected", *(f"own_{c}" for c in sums), "low", "high", *measures, "block"]
+    return dealt.mapInArrow(run, schema).select(*order)
+
+
+def _searched(root: int, adj: dict[int, list[int]], has: dict[int, list]) -> list[tuple]:
+    """A row for each node of one component, rooted at its least protected node, or else its least one."""
+    if not has:
+        return []
+    start = min((n for n, v in has.items() if v[0]), default=min(has))
+    first, parent, order, last = {start: 0}, {start: None}, [start], {}
+    low, high, place = {start: 0}, {start: 0}, 0
+    stack = [(start, iter(adj[start]))]
+    while stack:
+        n, around = stack[-1]
+        for m in around:
+            if m not in first:
+                place += 1
+                first[m] = low[m] = high[m] = place
+                parent[m] = n
+                order.append(m)
+                stack.append((m, iter(adj[m])))
+                break
+            if m != parent[n]:
+                low[n], high[n] = min(low[n], first[m]), max(high[n], first[m])
+        else:
+            stack.pop()
+            last[n] = place
+            place += 1
+            if stack:
+                p = stack[-1][0]
+                low[p], high[p] = min(low[p], low[n]), max(high[p], high[n])
+    block: dict[int, int | None] = {start: None}
+    for n in order[1:]:
+        p = parent[n]
+        block[n] = n if p == start or low[n] >= first[p] else block[p]
+    total = {n: list(has[n]) for n in order}
+    for n in reversed(order[1:]):
+        up = total[parent[n]]
+        for i, x in enumerate(total[n]):
+            up[i] += x
+    return [(root, n, parent[n], first[n], last[n], low[n], high[n], block[n], *has[n], *total[n]) for n in order]
+
+
+def blocks(edges: DataFrame, protected: DataFrame, layers: DataFrame | None = None, sums: Sequence[str] = (), u: str = "u", v: str = "v", cut: Cut = cut_lineage, small: int = SMALL) -> Blocks:
+    """Biconnected blocks of an undirected graph, and for each node the sums of ``sums`` (columns of ``layers``) and of protected nodes over its subtree.
+
+    Components of at most ``small`` edges are searched each in one task, larger ones by the rounds above.
+    """
+    every = cut(simple_edges(edges, u, v))
     held = protected.select(F.col("node").cast("long").alias("node")).distinct()
+    if small > 0:
+        label = connected_components(every, cut=cut)
+        edge = cut(every.join(label.select(F.col("node").alias("a"), "root"), "a").select("root", "a", "b"))
+        large = cut(edge.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > small).select("root"))
+        if large.isEmpty():
+            own = _measures(label, held, layers, sums)
+            nodes = cut(_in_tasks(edge, own, sums))
+            discard(label, edge, large)
+            return Blocks(every, nodes)
+        own = _measures(label.join(large, "root", "left_anti"), held, layers, sums)
+        few = cut(_in_tasks(edge.join(large, "root", "left_anti"), own, sums))
+        rest = cut(edge.join(large, "root", "left_semi").select("a", "b"))
+        discard(label, edge, large)
+        nodes = blocks(rest, held, layers, sums, cut=cut, small=0).nodes
+        return Blocks(every, few.unionByName(nodes.select(*few.columns)))
+    e = every
+    forest, label = spanning_forest(e, cut)
     tour = tours(forest, label, held, cut)
     at = lambda c: tour.select(F.col("node").alias(c), F.col("first").alias(f"f{c}"), F.col("last").alias(f"l{c}"), F.col("parent").alias(f"p{c}"))
     placed = cut(e.join(at("a"), "a").join(at("b"), "b").withColumn("tree", F.expr("coalesce(pa = b, false) or coalesce(pb = a, false)")))

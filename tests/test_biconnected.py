@@ -93,3 +93,18 @@ def F_hash(column, add=0):
     from pyspark.sql import functions as F
 
     return ((F.col(column) + add) * 7919) % 1_000_003
+
+
+def test_small_components_are_searched_in_tasks(spark):
+    from spanwise.sources.sinks import cut_lineage
+
+    rng, calls = random.Random(5), []
+    edges = [(100 * c + rng.randrange(9), 100 * c + rng.randrange(9)) for c in range(30) for _ in range(10)] + [(9000 + i, 9001 + i) for i in range(40)]
+    df, held = spark.createDataFrame(edges, "u long, v long"), spark.createDataFrame([(3,), (9020,)], "node long")
+    layers = df.selectExpr("u as node", "v * 0.5d as w")
+    parts = []
+    for small in (100_000, 15):  # with 15 the chain goes by rounds
+        found = biconnected.blocks(df, held, layers, ["w"], cut=lambda x: calls.append(1) or cut_lineage(x), small=small)
+        assert small == 15 or len(calls) < 10
+        parts.append(sorted((r["gate"], r["entry"], r["n"], r["protected"], round(r["w"], 6)) for r in biconnected.regions(found, sums=["w"]).collect()))
+    assert parts[0] == parts[1] and {p[:2] for p in parts[0]} == set(brute(edges))
