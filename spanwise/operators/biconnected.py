@@ -293,7 +293,7 @@ def blocks(edges: DataFrame, protected: DataFrame, layers: DataFrame | None = No
             return Blocks(every, nodes)
         own = _measures(label.join(large, "root", "left_anti"), held, layers, sums)
         few = cut(_in_tasks(edge.join(large, "root", "left_anti"), own, sums))
-        rest = cut(edge.join(large, "root", "left_semi").select("a", "b"))
+        rest = cut(edge.join(large, "root", "left_semi").select(F.col("a").alias("u"), F.col("b").alias("v")))
         discard(label, edge, large)
         nodes = blocks(rest, held, layers, sums, cut=cut, small=0).nodes
         return Blocks(every, few.unionByName(nodes.select(*few.columns)))
