@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels import probit_gain
 from ..functions.scalar import slot_hash
 from ..sources.sinks import cut_lineage, discard
+from .graph import connected_components
 
 Cut = Callable[[DataFrame], DataFrame]
 #: Rounds of relaxation at most, and doublings of the steps that a walk goes back at a time.
@@ -39,6 +40,19 @@ def clean_edges(edges: DataFrame, by: Sequence[str] = (), u: str = "u", v: str =
     return e
 
 
+def within_reach(edges: DataFrame, starts: DataFrame, u: str = "u", v: str = "v", cut: Cut = cut_lineage) -> DataFrame:
+    """The edges of those components, taken without direction, that hold a start (src): no path from a start leaves them.
+
+    Rounds read all edges that they are given, so those that no start can reach are best left out first.
+    """
+    label = connected_components(edges, u, v, cut=cut)
+    held = label.join(starts.select(F.col("src").cast("long").alias("node")).distinct(), "node", "left_semi").select("root").distinct()
+    kept = label.join(held, "root", "left_semi").select(F.col("node").alias(u))
+    out = cut(edges.join(kept, u, "left_semi"))
+    discard(label)
+    return out
+
+
 def distances(edges: DataFrame, starts: DataFrame, by: Sequence[str] = (), cut: Cut = cut_lineage) -> DataFrame:
     """(by, src, node, dist) of every node that a start (by, src) reaches over edges (by, u, v, cost), itself included."""
     best = cut(starts.select(*by, F.col("src").cast("long").alias("src")).distinct().select(*by, "src", F.col("src").alias("node"), F.lit(0.0).alias("dist"), F.lit(True).alias("open")))

@@ -85,7 +85,8 @@ way AS (SELECT src, src AS node, '' AS links FROM depot UNION ALL SELECT t.src,
 SELECT tree.src, tree.node AS dst, dist, links FROM tree JOIN way USING (src, node)""")
 def stop_paths(spark, d):
     """Distances and links of the shortest paths from each supplier's first stop to every stop that it reaches."""
-    e, starts = sinks.cut_lineage(roads(spark, d)), depots(spark, d)
+    starts = sinks.cut_lineage(depots(spark, d))
+    e = routing.within_reach(sinks.cut_lineage(roads(spark, d)), starts)
     found = routing.distances(routing.clean_edges(e), starts)
     p = routing.paths(e, found.where("src != node").select("src", F.col("node").alias("dst")))
     return p.select("src", "dst", "dist", F.array_join(F.col("links").cast("array<string>"), ",").alias("links"))
@@ -105,7 +106,8 @@ hits AS (SELECT src, dst, link, count(*) AS n FROM walk WHERE link >= 0 GROUP BY
 SELECT src, dst, round(sum(n * c) OVER (PARTITION BY src, dst) / {_PASSES}, 6) AS dist, link, n / {_PASSES}e0 AS weight FROM hits JOIN e USING (link)""")
 def stop_incidence(spark, d):
     """Over noisy passes, the mean cost of each depot's paths and the share of passes that take each link."""
-    e, starts = sinks.cut_lineage(roads(spark, d)), depots(spark, d)
+    starts = sinks.cut_lineage(depots(spark, d))
+    e = routing.within_reach(sinks.cut_lineage(roads(spark, d)), starts)
     reached = routing.distances(routing.clean_edges(e), starts).where("src != node").select("src", F.col("node").alias("dst"))
     return rounded(routing.probit_incidence(e, reached, passes=_PASSES, most=1000), dist=6).withColumn("weight", r("weight", 9))
 

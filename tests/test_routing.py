@@ -82,3 +82,12 @@ def test_passes(spark, variation, most):
     df = spark.createDataFrame(e, "u long, v long, cost double, link_id long")
     got = routing.probit_incidence(df, spark.createDataFrame(pairs, "src long, dst long"), 3, variation, 4.0, most)
     assert {(r["src"], r["dst"], r["link"]): (r["weight"], r["dist"]) for r in got.collect()} == incidence(e, pairs, 3, variation, 4.0, most)
+
+
+def test_edges_out_of_reach_are_left_out(spark):
+    edges = spark.createDataFrame([(1, 2, 1.0, 0), (3, 2, 1.0, 1), (3, 4, 2.0, 2), (8, 9, 1.0, 3), (9, 10, 1.0, 4)], "u long, v long, cost double, link_id long")
+    starts = spark.createDataFrame([(2,), (3,), (50,)], "src long")
+    kept = routing.within_reach(edges, starts)
+    assert sorted(r["link_id"] for r in kept.collect()) == [0, 1, 2]
+    found = lambda e: sorted(map(tuple, routing.distances(routing.clean_edges(e), starts).collect()))
+    assert found(kept) == found(edges) == [(2, 2, 0.0), (3, 2, 1.0), (3, 3, 0.0), (3, 4, 2.0), (50, 50, 0.0)]
