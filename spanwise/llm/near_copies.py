@@ -12,7 +12,13 @@ Within a near radius (the index is hardly below 0.8) a spanning forest is propos
 a far radius (the index is hardly above it) each text's ``NEAREST`` nearest texts of other trees; and
 each text's nearest one of all. Every proposed pair is then decided by the exact index of its
 sets of shingles, by joins, for the texts that have a pair at all. So nothing below the bound
-is merged, and a link is missed only where neither itself nor others in its place were proposed.
+is merged.
+
+What the proposals leave out is found exactly (``rest_of_links``). In one order of all shingles, two sets of that
+index share one of their first ones, as many as either may lack and one more. So sets of different groups
+that share such a shingle are paired, those go of which sizes or parities show that more shingles differ than may, and
+the exact index decides again. The order puts shingles that are frequent in a sample of the texts last; it settles how many pairs
+are looked at, and not which are found. Groups of one shingle's sets cost no pairs.
 
 Texts of equal sets are folded first. A cell of more than ``TILE`` fingerprints is cut into
 tiles that all hold some ``SHARED`` fingerprints of the cell in common, through which the
@@ -30,11 +36,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import as_batches, materialise, utf8
+from .runtime import as_batches, discard, materialise, utf8
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -46,6 +52,8 @@ SHARED = 256
 #: How far below and above the wanted index an estimate may lie, and nearest texts of other trees that are proposed.
 MARGIN = 0.06
 NEAREST = 3
+#: Texts whose shingles are counted for the order, in how many of them a shingle is frequent, and so many at most.
+ORDER_TEXTS, FREQUENT, MOST_FREQUENT = 8192, 4, 200_000
 SEED = 42
 
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BITS // 64, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,7 +80,11 @@ def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
 
 def sketch(text: bytes, shingle: int = SHINGLE) -> tuple[bytes, list[int]]:
     """(fingerprint, bands). A wordless text has the fingerprint zero and bands of its own kind."""
-    hashes = shingle_hashes(text, shingle)
+    return sketch_of(shingle_hashes(text, shingle))
+
+
+def sketch_of(hashes: np.ndarray) -> tuple[bytes, list[int]]:
+    """``sketch`` of a text's hashes."""
     if not len(hashes):
         return bytes(BITS // 8), list(range(BANDS))
     total = np.zeros(BITS, np.int64)
@@ -97,6 +109,21 @@ def digest(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
     return own, xxhash.xxh3_128_digest(own.tobytes(), SEED)
 
 
+def first_shingles(own: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of a set its rarest shingles by (hashes, counts), so many that each set of that index with it shares one of them."""
+    hashes, counts = frequent
+    seen = np.zeros(len(own), np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+        seen = np.where(hashes[at] == own, counts[at], 0)
+    return own[np.lexsort((own, seen))][: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]
+
+
+def parities(own: np.ndarray) -> np.ndarray:
+    """Of ``BITS`` parts of all hashes, whether a set has an odd number in each: two sets differ by as many hashes at least as parts."""
+    return np.packbits(np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) % 2 == 1, bitorder="little").view(np.int64)
+
+
 def _distances(fps: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps ^ x).sum(axis=1, dtype=np.int64)
 
@@ -265,20 +292,23 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     table gives an empty result; other columns do not matter. ``key`` must be an integer.
     """
     src = docs.select(F.col(key).cast("long").alias("key"), utf8(text).alias("body"))
-    schema = pa.schema([("key", pa.int64()), ("fp", pa.binary()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("key", pa.int64()), ("fp", pa.binary()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("size", pa.int64()), ("odd", pa.list_(pa.int64())), ("first", pa.list_(pa.int64()))])
+    frequent = src.sparkSession.sparkContext.broadcast(frequent_shingles(src, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
                 for k, t in zip(b.column(0).to_pylist(), b.column(1)):
-                    fp, bands = sketch(t.as_py(), shingle)
-                    yield k, fp, digest(shingle_hashes(t.as_py(), shingle))[1], bands
+                    hashes = shingle_hashes(t.as_py(), shingle)
+                    fp, bands = sketch_of(hashes)
+                    own, name = digest(hashes)
+                    yield k, fp, name, bands, len(own), parities(own), first_shingles(own, similarity, frequent.value).view(np.int64)
 
-        return as_batches(schema, rows())
+        return as_batches(schema, rows(), 1024)
 
-    sketches = materialise(src.mapInArrow(run, "key long, fp binary, digest binary, bands array<long>"), "sketches")
-    folded = sketches.groupBy("digest").agg(F.min("key").alias("low"), F.min("bands").alias("bands"), F.min("fp").alias("fp"))
-    nodes = materialise(folded.select(F.monotonically_increasing_id().alias("id"), "digest", "fp", "low", "bands"), "nodes")
+    sketches = materialise(src.mapInArrow(run, "key long, fp binary, digest binary, bands array<long>, size long, odd array<long>, first array<long>"), "sketches")
+    folded = sketches.groupBy("digest").agg(F.min("key").alias("low"), F.min("bands").alias("bands"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("odd").alias("odd"))
+    nodes = materialise(folded.select(F.monotonically_increasing_id().alias("id"), "digest", "fp", "low", "bands", "size", "odd"), "nodes")
     # Cells of one member have no links; fingerprints go to the others only.
     places = nodes.select("id", F.explode("bands").alias("cell"))
     several = places.groupBy(F.col("cell").alias("of")).agg(F.count("*").alias("n")).where("n > 1").select("of")
@@ -286,13 +316,49 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     members = materialise(kept.join(nodes.select(F.col("id").alias("i"), "fp"), F.col("id") == F.col("i")).select("cell", "id", "fp"), "members")
     near, far = radius_of(min(1.0, similarity + MARGIN)), radius_of(max(0.0, similarity - MARGIN))
     proposed = cell_links(members, near, tile, far=far).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    groups = components(decided(src, nodes, materialise(proposed, "proposed"), similarity, shingle))
+    links = materialise(decided(src, nodes, materialise(proposed, "proposed"), similarity, shingle), "decided")
+    discard(members)
+    more = materialise(rest_of_links(sketches, nodes, components(links), similarity), "more")
+    groups = components(links.unionByName(decided(src, nodes, more, similarity, shingle)))
     roots = nodes.join(groups, F.col("id") == F.col("node"), "left").select("digest", "low", F.coalesce("root", "id").alias("root"))
     lows = roots.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("component"))
     labels = roots.join(lows, F.col("root") == F.col("r")).select("digest", "component")
     return sketches.join(labels, "digest").select("key", "component")
 
 
+def frequent_shingles(src: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts), sorted, of shingles that are frequent in some ORDER_TEXTS of the texts (key, body)."""
+    share = ORDER_TEXTS / max(src.count(), ORDER_TEXTS)
+    some = src.where(F.pmod(F.xxhash64("body"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).select("body")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((digest(shingle_hashes(t.as_py(), shingle))[0].view(np.int64),) for b in batches for t in b.column(0))
+        return as_batches(pa.schema([("set", pa.list_(pa.int64()))]), rows, 256)
+
+    counts = some.distinct().mapInArrow(run, "set array<long>").select(F.explode("set").alias("h")).groupBy("h").count().where(F.col("count") >= FREQUENT)
+    rows = counts.orderBy(F.desc("count"), "h").limit(MOST_FREQUENT).toPandas()
+    hashes = rows["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], rows["count"].to_numpy(np.int64)[order]
+
+
+def rest_of_links(sketches: DataFrame, nodes: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different groups (node, root), among them all of that index."""
+    placed = nodes.join(groups, F.col("id") == F.col("node"), "left").select(F.col("digest").alias("d"), "low", "id", F.coalesce("root", "id").alias("root"), "size")
+    # Any row of a node has its shingles; rows of one key and text are few.
+    one_each = sketches.select("key", "digest", "first").join(placed, (F.col("digest") == F.col("d")) & F.col("key").eqNullSafe(F.col("low")))
+    own = one_each.select("id", "root", "size", F.explode("first").alias("h"))
+    same = Window.partitionBy("h")
+    met = materialise(own.withColumn("_low", F.min("root").over(same)).withColumn("_high", F.max("root").over(same)).where("_low < _high").drop("_low", "_high"), "met")
+    one, other = (met.select("h", *(F.col(k).alias(f"{k}_{c}") for k in ("id", "root", "size"))) for c in "ab")
+    like = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b") - F.lit(1e-9)
+    pairs = one.join(other, "h").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & like).select("id_a", "id_b").distinct()
+    a, b = (nodes.select(F.col("id").alias(f"id_{c}"), F.col("size").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")) for c in "ab")
+    differ = sum((F.bit_count(F.get("odd_a", F.lit(i)).bitwiseXOR(F.get("odd_b", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    may = differ <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + F.lit(1e-6)
+    return pairs.join(a, "id_a").join(b, "id_b").where(may).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
 def decided(src: DataFrame, nodes: DataFrame, proposed: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Of the proposed links (a, b) between nodes (id, digest, low) those whose sets of shingles are that similar.
 

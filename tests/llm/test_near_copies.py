@@ -147,6 +147,34 @@ def test_texts_of_one_template(spark):
         assert not {k for k in got if k >= 1000 and got[k] != got[k - 1000]} and len(wrong) <= 0.02 * len(exp)
 
 
+def test_no_link_is_left_out(spark):
+    """Repeats move a fingerprint and not a set, so no tile proposes these pairs; nor all those of one template."""
+    rng = random.Random(3)
+    rows = []
+    for g in range(30):
+        w = [f"w{rng.randrange(30_000)}" for _ in range(100)]
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(w) + f" r{g}" * 900)]
+    base = [f"t{i}" for i in range(120)]
+    for i in range(120):
+        w = list(base)
+        for j in rng.sample(range(120), 3):
+            w[j] = f"x{rng.randrange(3)}"
+        rows.append((1000 + i, " ".join(w)))
+    shingles = {k: set(near_copies.shingle_hashes(t.encode()).tolist()) for k, t in rows}
+    label = {k: k for k in shingles}
+    for _ in label:
+        before = dict(label)
+        for a in shingles:
+            for b in shingles:
+                if a < b and label[a] != label[b] and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    assert all(label[2 * g + 1] == 2 * g for g in range(30)) and len({x for x in label.values() if x >= 1000}) > 1
+    got = {r["key"]: r["component"] for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), tile=40).collect()}
+    assert got == label
+
+
 def test_edges(spark):
     long = "the quick brown fox jumps over a lazy dog and then some more words follow it here " * 8
     rows = [(5, None), (3, ""), (4, " "), (9, "One two"), (8, "one  TWO"), (7, "one three"), (11, long), (10, long + "end"), (12, long), (12, long), (None, long), (None, "alone in the world with no key"), (20, "word " * 200_000), (21, "word " * 190_000)]
