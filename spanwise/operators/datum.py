@@ -138,13 +138,47 @@ def bisect(f: Callable[[Column], Column], low: float, high: float, steps: int =
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), ends(F.lit(float(low)), F.lit(float(high))), halve, lambda acc: (acc["a"] + acc["b"]) / 2)
 
 
+def root_between(f: Callable[[Column], Column], low: float, high: float, tolerance: float = 1e-12, steps: int = 60) -> Column:
+    """Where a rising function passes from below 0, as ``bisect``; an end if it does not. A smooth function takes some ten values.
+
+    A step tries where the chord through both ends passes; an end that stays twice counts half, and from the
+    tenth step on the middle is tried instead. No value is computed once the ends are within ``tolerance`` or a value is 0.
+    """
+    ends = lambda a, fa, b, fb, side: F.struct(a.alias("a"), fa.alias("fa"), b.alias("b"), fb.alias("fb"), side.alias("side"))
+    zero = F.lit(0.0)
+
+    def step(p: Column) -> Column:
+        a, fa, b, fb, m, fm, side = (p[k] for k in ("a", "fa", "b", "fb", "m", "fm", "side"))
+        below = ends(m, fm, b, F.when(side == 1, fb / 2).otherwise(fb), F.lit(1))
+        above = ends(a, F.when(side == -1, fa / 2).otherwise(fa), m, fm, F.lit(-1))
+        return F.when(fm == 0, ends(m, zero, m, zero, F.lit(0))).when(fm < 0, below).otherwise(above)
+
+    def narrow(acc: Column, k: Column) -> Column:
+        a, fa, b, fb = acc["a"], acc["fa"], acc["b"], acc["fb"]
+        chord = F.greatest(a, F.least(b, a - fa * (b - a) / (fb - fa)))
+        m = F.when((k > 10) | (fb - fa <= 0), (a + b) / 2).otherwise(chord)
+        known = lambda q: F.struct(*(q[c].alias(c) for c in ("a", "fa", "b", "fb", "side", "m")), f(q["m"]).alias("fm"))
+        tried = F.struct(a.alias("a"), fa.alias("fa"), b.alias("b"), fb.alias("fb"), acc["side"].alias("side"), m.alias("m"))
+        return F.when(b - a <= F.lit(tolerance), acc).otherwise(_let(_let(tried, known), step))
+
+    lo, hi = F.lit(float(low)), F.lit(float(high))
+
+    def inside(p: Column) -> Column:
+        start = ends(lo, p["fa"], hi, p["fb"], F.lit(0))
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, narrow, lambda acc: (acc["a"] + acc["b"]) / 2)
+        return F.when(p["fa"] >= 0, lo).when(p["fb"] < 0, hi).when(p["fa"].isNotNull() & p["fb"].isNotNull(), found)
+
+    return _let(F.struct(f(lo).alias("fa"), f(hi).alias("fb")), inside)
+
+
 def resolved_place(a: Column, b: Column) -> Column:
     """(lon, lat) of a pair of columns that should hold latitude and longitude, but may hold a grid easting and a latitude, or
     a grid northing and easting; null where none of these gives a place on the island."""
     a, b = a.cast("double"), b.cast("double")
-    island = lambda p: F.when((p["lon"] > -11) & (p["lon"] < -5.3) & (p["lat"] > 51.2) & (p["lat"] < 55.5), p)
+    # A place is computed once and then tested.
+    island = lambda place: _let(place, lambda p: F.when((p["lon"] > -11) & (p["lon"] < -5.3) & (p["lat"] > 51.2) & (p["lat"] < 55.5), p))
     place = lambda lon, lat: F.struct(lon.alias("lon"), lat.alias("lat"))
-    found = bisect(lambda lon: to_itm(b, lon)["x"] - a, -11.0, -5.0)
+    found = root_between(lambda lon: to_itm(b, lon)["x"] - a, -11.0, -5.0)
     back = from_itm(b, a)
     plain = (a > 51) & (a < 56) & (b > -11) & (b < -5)
-    return F.when(plain, place(b, a)).when((a > 400_000) & (b > 51) & (b < 56), island(place(found, b))).when((a > 400_000) & (b > 400_000), island(place(back["lon"], back["lat"])))
+    return F.when(plain, place(b, a)).when((a > 400_000) & (b > 51) & (b < 56), island(place(found, b))).when((a > 400_000) & (b > 400_000), island(_let(back, lambda p: place(p["lon"], p["lat"]))))

@@ -41,15 +41,26 @@ def to_itm(lat: Column, lon: Column) -> Column:
             out = out + F.lit(a) * F.cos(F.lit(2.0 * j) * xi) * F.sinh(F.lit(2.0 * j) * eta)
         return out
 
-    t, d = conformal(F.radians(lat)), F.radians(lon - F.lit(ITM["lon0"]))
-    xi, eta = F.atan2(t, F.cos(d)), F.asinh(F.sin(d) / F.sqrt(t * t + F.cos(d) * F.cos(d)))
+    # Each of these is used several times and computed once.
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+
+    def angles(p):
+        t, d = p["t"], p["d"]
+        return F.struct(F.atan2(t, F.cos(d)).alias("xi"), F.asinh(F.sin(d) / F.sqrt(t * t + F.cos(d) * F.cos(d))).alias("eta"))
+
     phi0 = math.radians(ITM["lat0"])
     s0 = math.sin(phi0)
     t0 = math.sinh(math.atanh(s0) - k * math.atanh(k * s0))
     xi0 = math.atan(t0)
     m0 = xi0 + sum(a * math.sin(2 * j * xi0) for j, a in enumerate(alpha, 1))
     scale = ITM["scale"] * radius
-    return F.struct((F.lit(ITM["east0"]) + F.lit(scale) * easting(xi, eta)).alias("x"), (F.lit(ITM["north0"]) + F.lit(scale) * (northing(xi, eta) - F.lit(m0))).alias("y"))
+
+    def metres(p):
+        xi, eta = p["xi"], p["eta"]
+        return F.struct((F.lit(ITM["east0"]) + F.lit(scale) * easting(xi, eta)).alias("x"), (F.lit(ITM["north0"]) + F.lit(scale) * (northing(xi, eta) - F.lit(m0))).alias("y"))
+
+    start = F.struct(conformal(F.radians(lat)).alias("t"), F.radians(lon - F.lit(ITM["lon0"])).alias("d"))
+    return once(once(start, angles), metres)
 
 
 def shoelace_area(ring: Column) -> Column:

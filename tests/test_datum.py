@@ -41,3 +41,19 @@ def test_resolved_places(spark):
     for p in got[:3]:
         assert (p["lon"], p["lat"]) == pytest.approx((-7.1, 53.2), abs=1e-6)
     assert got[3] is got[4] is None and got[5] is None
+
+
+def test_root_between_takes_few_values(spark):
+    """A root within the tolerance; the ends as with bisect; null stays null."""
+    assert one(spark, datum.root_between(lambda x: x * x * x - 2, 0, 3)) == pytest.approx(2 ** (1 / 3), abs=1e-11)
+    assert one(spark, datum.root_between(lambda x: x + 10, 0, 3)) == 0 and one(spark, datum.root_between(lambda x: x - 10, 0, 3)) == 3
+    assert one(spark, datum.root_between(lambda x: x - 1, 0, 3)) == 1 and one(spark, datum.root_between(lambda x: F.exp(x * 40) - 5, 0, 3)) == pytest.approx(0.0402359478, abs=1e-9)
+    assert one(spark, datum.root_between(lambda x: x - F.lit(None).cast("double"), 0, 3)) is None
+
+
+def test_a_place_is_searched_for_once(spark):
+    """The formula names its search once, however often its place is tested and read."""
+    p = datum.resolved_place(F.col("a"), F.col("b"))
+    plan = spark.createDataFrame([(600_000.0, 53.5)], "a double, b double").select(p.alias("p")).select("p.lon", "p.lat")
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("sequence(1, 60") <= 1
+    assert [round(x, 6) for x in plan.first()] == [-8.0, 53.5]
