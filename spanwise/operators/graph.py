@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -320,6 +321,56 @@ def touched(links: DataFrame, gone: DataFrame, u: str = "u", v: str = "v") -> Da
     return j.select(*links.columns, *(F.coalesce(f, F.lit(False)).alias(f) for f in ("u_gone", "v_gone"))).where("u_gone or v_gone")
 
 
+_TRIPS = pa.schema([("gate", pa.int64()), ("root", pa.int64()), ("node", pa.int64()), ("to", pa.float64()), ("back", pa.float64())])
+
+
+def _distances_from(source: int, edges: dict[int, list[tuple[int, float]]]) -> dict[int, float]:
+    dist, heap, done = {source: 0.0}, [(0.0, source)], set()
+    while heap:
+        d, n = heapq.heappop(heap)
+        if n in done:
+            continue
+        done.add(n)
+        for m, c in edges.get(n, ()):
+            if d + c < dist.get(m, np.inf):
+                dist[m] = d + c
+                heapq.heappush(heap, (d + c, m))
+    return dist
+
+
+def _round_trips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (gate, root, u, v, cost), sorted, to the distances of each region's nodes from its gate and back; null if there is none.
+
+    A batch holds many small regions; a region's edges are held until its last.
+    """
+    now, held = None, []
+
+    def trips():
+        on, back = {}, {}
+        for u, v, c in held:
+            on.setdefault(u, []).append((v, c))
+            back.setdefault(v, []).append((u, c))
+        there, home = _distances_from(now[0], on), _distances_from(now[0], back)
+        for n in there.keys() | home.keys():
+            yield (*now, n, there.get(n), home.get(n))
+
+    out = []
+    for b in batches:
+        for gate, root, *edge in zip(*(b.column(k).to_pylist() for k in range(4)), b.column(4).to_numpy(zero_copy_only=False).tolist()):
+            if (gate, root) != now:
+                if held:
+                    out += trips()
+                now, held = (gate, root), []
+                if len(out) >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _TRIPS)], schema=_TRIPS)
+                    out = []
+            held.append(edge)
+    if held:
+        out += trips()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _TRIPS)], schema=_TRIPS)
+
+
 #: Nodes of a region at least, and its demand and seconds below which it may be merged into its entrance.
 LEAST_REGION, MOST_DEMAND, MOST_SECONDS = 2, 100.0, 60.0
 
@@ -330,7 +381,7 @@ def feasible_regions(regions: DataFrame, edges: DataFrame, nodes: DataFrame, dem
     A region needs ``least`` nodes, less demand than ``most_demand``, a way from the gate to every
     node and back within it, and no node ``most_s`` or farther from the gate. The times are means
     over its people, or over its nodes where nobody lives. Sizes and sums are tested before a
-    region's edges are gathered, one region to a group; its distances are searched there.
+    region's edges are gathered; a task searches the regions dealt to it one after another, many of them in a batch.
     """
     layers = nodes.select("node", F.col(demand).alias("_d"), F.col(people).alias("_p"))
     sized = regions.join(layers, "node", "left").groupBy("gate", "root").agg(F.count("*").alias("n"), F.sum(F.coalesce("_p", F.lit(0.0))).alias("people"), F.sum(F.coalesce("_d", F.lit(0.0))).alias("demand"))
@@ -340,19 +391,9 @@ def feasible_regions(regions: DataFrame, edges: DataFrame, nodes: DataFrame, dem
     e = cheapest_edges(edges, u, v, cost).select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v"), F.col(cost).cast("double").alias("cost"))
     own = e.join(inside.select("gate", "root", F.col("node").alias("u")), "u").join(inside.select("gate", "root", F.col("node").alias("v")), ["gate", "root", "v"])
 
-    def distances(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        gate, root = key
-        out = []
-        for back in (False, True):
-            a, b = (rows["v"], rows["u"]) if back else (rows["u"], rows["v"])
-            g = _Graph(a.to_numpy(np.int64), b.to_numpy(np.int64), rows["cost"].to_numpy(float), np.zeros(len(rows), np.int64))
-            i = g.index(gate)
-            dist = {} if i is None else g.search(i, g.cost)[0]
-            out += [(gate, root, int(g.nodes[n]), back, d) for n, d in dist.items()]
-        return pd.DataFrame(out, columns=["gate", "root", "node", "back", "dist"])
-
-    found = own.groupBy("gate", "root").applyInPandas(distances, "gate long, root long, node long, back boolean, dist double")
-    both = held.join(found, ["gate", "root", "node"]).groupBy("gate", "root", "node").agg(F.min(F.when(~F.col("back"), F.col("dist"))).alias("to"), F.min(F.when(F.col("back"), F.col("dist"))).alias("back"))
+    dealt = own.select("gate", "root", "u", "v", "cost").repartition("gate", "root").sortWithinPartitions("gate", "root")
+    found = dealt.mapInArrow(_round_trips, "gate long, root long, node long, to double, back double")
+    both = found.join(held, ["gate", "root", "node"], "left_semi")
     w = F.coalesce("_p", F.lit(0.0))
     t = both.where("to is not null and back is not null").join(layers, "node", "left").groupBy("gate", "root").agg(
         F.count("*").alias("_k"), F.max("to").alias("most_s"), F.sum(w).alias("_w"), F.sum(w * F.col("to")).alias("_wt"), F.sum(w * F.col("back")).alias("_wb"), F.avg("to").alias("_t"), F.avg("back").alias("_b"))
