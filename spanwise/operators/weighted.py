@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import bin_left_closed, safe_ratio
+from ..sources.sinks import cut_lineage
 
 
 def effective_weight(df: DataFrame, weight: str | None = None, multiplier: str | Column | float | None = None) -> Column:
@@ -110,13 +111,28 @@ def running_weight(df: DataFrame, x: str, w: str, by: Sequence[str] = ()) -> Dat
     # A fixed number of cuts for each group, whatever the input.
     cuts = folded.groupBy(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(by))).agg(F.percentile_approx(value, F.array(*(F.lit(i / n) for i in range(1, n))) if n > 1 else F.array(F.lit(1.0)), F.lit(1000)).alias("cuts"))
 
-    ranged = _with_group(folded, cuts, by).withColumn("_p", F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: c < value))).drop("cuts")
+    ranged = _ranged(folded, cut_lineage(cuts), value, by)
     sums = ranged.groupBy(*by, "_p").agg(F.sum("w").alias("_s"))
-    before = sums.groupBy(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(by))).agg(F.collect_list(F.struct("_p", "_s")).alias("_all"))  # one number for each range
     own = ranged.withColumn("cum", F.sum("w").over(Window.partitionBy(*by, "_p").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)))
-    add = lambda which: F.aggregate("_all", F.lit(0.0), lambda acc, r: acc + F.when(which(r["_p"]), r["_s"]).otherwise(0.0))
-    out = _with_group(own, before, by)
-    return out.withColumn("cum", F.col("cum") + add(lambda p: p < F.col("_p"))).withColumn("total", add(lambda p: F.lit(True))).drop("_p", "_all")
+    before = _sums_before(sums, by).select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate([*by, "_p"])), "_before", "_total")
+    out = _with_group(own, cut_lineage(before), [*by, "_p"])
+    return out.withColumn("cum", F.col("cum") + F.col("_before")).withColumn("total", F.col("_total")).drop("_p", "_before", "_total")
+
+
+def _ranged(df: DataFrame, cuts: DataFrame, value: Column, by: Sequence[str]) -> DataFrame:
+    """``df`` with ``_p``, how many of its group's cuts lie below the value. A row looks at a few of them, by halving."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = _with_group(df, cuts, by).withColumn("_p", F.lit(0))
+    for step in (1 << i for i in range(n.bit_length(), -1, -1)):
+        out = out.withColumn("_p", F.when(F.get("cuts", F.col("_p") + (step - 1)) < value, F.col("_p") + step).otherwise(F.col("_p")))
+    return out.drop("cuts")
+
+
+def _sums_before(sums: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Sums of ranges (by, _p, _s) with ``_before``, the sum of the group's lower ranges, and ``_total``; a row for each range."""
+    w = Window.partitionBy(*by)
+    lower = F.sum("_s").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    return sums.withColumn("_before", F.coalesce(lower, F.lit(0.0))).withColumn("_total", F.coalesce(F.sum("_s").over(w), F.lit(0.0)))
 
 
 def _with_group(df: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -141,9 +157,27 @@ def ranked_values(df: DataFrame, x: str, by: Sequence[str], places: dict[str, Co
 
 
 def weighted_quantile(df: DataFrame, x: str, w: str, p: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
-    """The first value at which the running weight reaches ``p`` of the whole."""
-    run = running_weight(df, x, w, by)
-    return run.where(F.col("cum") >= F.lit(float(p)) * F.col("total")).groupBy(*by).agg(F.min(x).alias("quantile"))
+    """The first value at which the running weight reaches ``p`` of the whole; rows without a value come last.
+
+    Weights are summed by range of values first, where the rows lie. Only the ranges in which the running weight may
+    first reach ``p`` are looked at again, most often one, so no group is sorted and few rows are moved.
+    """
+    by, n = list(by), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    src, value = df.select(*by, F.col(x).alias("_x"), F.col(w).cast("double").alias("_w")), F.col("_x").cast("double")
+    names = [F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]
+    cuts = src.groupBy(*names).agg(F.percentile_approx(value, F.array(*(F.lit(i / n) for i in range(1, n))) if n > 1 else F.array(F.lit(1.0)), F.lit(1000)).alias("cuts"))
+    ranged = _ranged(src, cut_lineage(cuts), value, by).withColumn("_p", F.when(F.col("_x").isNull(), n).otherwise(F.col("_p")))
+    sums = ranged.groupBy(*by, "_p").agg(F.sum("_w").alias("_s"), F.sum(F.greatest("_w", F.lit(0.0))).alias("_up"), F.sum(F.abs("_w")).alias("_abs"))
+    placed = _sums_before(sums.withColumn("_s", F.coalesce("_s", F.lit(0.0))), by)
+    group, target = Window.partitionBy(*by), F.lit(float(p)) * F.col("_total")
+    slack = F.lit(1e-9) * F.sum("_abs").over(group)  # sums in another order may differ so much
+    sure = F.min(F.when(F.col("_before") + F.col("_s") >= target + slack, F.col("_p"))).over(group)
+    may = placed.withColumn("_sure", sure).withColumn("_may", (F.col("_before") + F.col("_up") >= target - slack) & (F.col("_p") <= F.coalesce("_sure", F.lit(n))))
+    held = may.where("_may").select(*names, F.col("_p").alias(f"_g{len(by)}"), "_before", target.alias("_target"))
+    rows = _with_group(ranged, cut_lineage(held), [*by, "_p"]).groupBy(*by, "_p", "_before", "_target", "_x").agg(F.sum("_w").alias("_w"))
+    order = Window.partitionBy(*by, "_p").orderBy(F.asc_nulls_last("_x")).rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.withColumn("_cum", F.col("_before") + F.coalesce(F.sum("_w").over(order), F.lit(0.0)))
+    return run.where(F.col("_cum") >= F.col("_target")).groupBy(*by).agg(F.min("_x").alias("quantile"))
 
 
 def median(x: Column) -> Column:

@@ -127,3 +127,35 @@ def test_pairs_of_a_kind_are_one_row_with_all_their_mass(spark):
     pairs = table(spark, d, "customer").join(table(spark, d, "supplier"), F.expr("s_suppkey % 10 = c_custkey % 10")).selectExpr("count(*)", "sum((c_custkey % 5) * (s_suppkey % 3))").first()
     assert got[0] < pairs[0] and got[1] == pairs[1]
     assert more._timed(spark, d).groupBy("o", "g").count().where("count > 1").isEmpty()
+
+
+def test_weighted_quantile_of_odd_weights(spark):
+    """Values without a number come last, weights may be null or below 0, and a group without a weight has no row."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), float(rng.randrange(60)) if rng.random() < 0.9 else None, rng.choice([1.0, 2.0, 5.0, -1.0, None])) for _ in range(600)]
+    rows += [("n", None, 3.0), ("n", 2.0, 1.0), ("z", 1.0, None), (None, 4.0, 1.0)]
+    for p in (0.0, 0.3, 0.5, 1.0):
+        exp = {}
+        for g in {r[0] for r in rows}:
+            own, run = [r for r in rows if r[0] == g], 0.0
+            total, hits = sum(r[2] or 0.0 for r in own), []
+            for x in sorted({r[1] for r in own}, key=lambda v: (v is None, v)):
+                run += sum(r[2] or 0.0 for r in own if r[1] == x)
+                hits += [x] if run >= p * total else []
+            if g != "z":
+                exp[g] = min((h for h in hits if h is not None), default=None)
+        got = weighted.weighted_quantile(spark.createDataFrame(rows, "g string, x double, w double"), "x", "w", p, ["g"]).collect()
+        assert {r["g"]: r["quantile"] for r in got if r["g"] != "z"} == exp
+
+
+def test_small_regions_share_a_batch(spark):
+    """Round trips of many regions, one without a way back, by no group of their own."""
+    e = [(1, 10, 2.0), (10, 1, 1.0), (10, 11, 3.0), (11, 10, 4.0), (2, 20, 1.0), (20, 21, 1.0), (21, 20, 1.0)]
+    edges = spark.createDataFrame(e, "u long, v long, cost double")
+    regions = spark.createDataFrame([(1, 10, 10), (1, 10, 11), (2, 20, 20), (2, 20, 21)], "gate long, root long, node long")
+    nodes = spark.createDataFrame([(10, 1.0, 1.0), (11, 1.0, 3.0)], "node long, jobs double, people double")
+    got = graph.feasible_regions(regions, edges, nodes, "jobs", "people")
+    assert "InPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in got.collect()] == [(1, 10, 2, 4.0, 2.0, (2 + 15) / 4, (1 + 15) / 4, 5.0)]
