@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import cut_lineage
+
 #: Parameter sets of a job, and numbers that it may return to the driver.
 MAX_SETS, MAX_NUMBERS = 10_000, 5_000_000
 #: Standard deviations of the logs of a kernel's short time, of that of its long time, and of the logit of its mix.
@@ -52,11 +54,23 @@ def predictions(pairs: DataFrame, incidence: DataFrame, sets: DataFrame, factor:
     """
     if sets.select("set").distinct().limit(MAX_SETS + 1).count() > MAX_SETS:
         raise ValueError(f"a job takes {MAX_SETS} parameter sets")
-    f = mixed_exponential(F.col("t")) if factor is None else mixed_exponential(F.col("t")) * factor
-    pull = F.col("attracted") * f
-    den = pairs.join(F.broadcast(sets), "component").groupBy("set", "component", "src").agg(F.sum(pull).alias("_den"))
-    seen = pairs.join(incidence, "pair").join(F.broadcast(sets), "component").groupBy("set", "component", "src", "obs").agg(F.sum(F.col("produced") * pull * F.col("share")).alias("_num"))
-    flow = seen.join(den, ["set", "component", "src"]).withColumn("_f", F.when(F.col("_den") > 0, F.col("_num") / F.col("_den")).otherwise(F.lit(0.0)))
+    return _flows(*folded(pairs, incidence, factor), sets)
+
+
+def folded(pairs: DataFrame, incidence: DataFrame, factor: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """What kernels need to know: (component, src, t, attracted) and (component, src, t, obs, seen), sums over pairs of equal time."""
+    pull = F.col("attracted") if factor is None else F.col("attracted") * factor
+    reach = pairs.groupBy("component", "src", "t").agg(F.sum(pull).alias("attracted"))
+    seen = pairs.withColumn("_pull", F.col("produced") * pull).join(incidence, "pair").groupBy("component", "src", "t", "obs").agg(F.sum(F.col("_pull") * F.col("share")).alias("seen"))
+    return reach, seen
+
+
+def _flows(reach: DataFrame, seen: DataFrame, sets: DataFrame) -> DataFrame:
+    """``predictions`` of folded tables."""
+    f, sets = mixed_exponential(F.col("t")), F.broadcast(sets)
+    den = reach.join(sets, "component").groupBy("set", "component", "src").agg(F.sum(F.col("attracted") * f).alias("_den"))
+    num = seen.join(sets, "component").groupBy("set", "component", "src", "obs").agg(F.sum(F.col("seen") * f).alias("_num"))
+    flow = num.join(den, ["set", "component", "src"]).withColumn("_f", F.when(F.col("_den") > 0, F.col("_num") / F.col("_den")).otherwise(F.lit(0.0)))
     return flow.groupBy("set", "obs", "component").agg(F.sum("_f").alias("flow"))
 
 
@@ -181,8 +195,8 @@ class Fit:
 def calibrate(pairs: DataFrame, incidence: DataFrame, observed: DataFrame, start: Mapping[str, Kernel], kernel_prior: np.ndarray, scale_prior: np.ndarray, anchor: Mapping[str, Kernel] | None = None, factor: Column | None = None, **search) -> Fit:
     """Kernels of the least misfit plus their prior about ``anchor`` (by default ``start``), each with its own best scales.
 
-    ``observed`` is (obs, value, weight, counted): a value with a Gaussian weight, or a count. Tables are read anew in each
-    job, so pass written tables. ValueError if an observation has no value, or if a job would return more than
+    ``observed`` is (obs, value, weight, counted): a value with a Gaussian weight, or a count. Tables are folded to sums by
+    origin and time once, and jobs read these. ValueError if an observation has no value, or if a job would return more than
     MAX_NUMBERS numbers.
     """
     names = list(start)
@@ -193,17 +207,21 @@ def calibrate(pairs: DataFrame, incidence: DataFrame, observed: DataFrame, start
     place, column = {r["obs"]: i for i, r in enumerate(rows)}, {c: i for i, c in enumerate(names)}
     x0 = np.concatenate([to_internal(start[c]) for c in names])
     centre = np.concatenate([to_internal((anchor or start)[c]) for c in names])
+    # Jobs read sums by origin and time, written once, in which nothing of single pairs is left.
+    reach, past = (cut_lineage(x) for x in folded(pairs, incidence, factor))
     out = Fit({}, {}, np.inf, 0, 0)
     warm: list[np.ndarray | None] = [None]
 
     def score(x: np.ndarray) -> np.ndarray:
+        if len(x) > MAX_SETS:
+            raise ValueError(f"a job takes {MAX_SETS} parameter sets")
         if len(x) * len(rows) * len(names) > MAX_NUMBERS:
             raise ValueError(f"more than {MAX_NUMBERS} numbers in a job")
         out.jobs, out.sets = out.jobs + 1, out.sets + len(x)
         table = [(i, c, *from_internal(p[3 * j : 3 * j + 3])) for i, p in enumerate(x) for j, c in enumerate(names)]
         sets = pairs.sparkSession.createDataFrame(table, "set int, component string, short double, long double, mix double")
         flow = np.zeros((len(x), len(rows), len(names)))
-        for r in predictions(pairs, incidence, sets, factor).collect():
+        for r in _flows(reach, past, sets).collect():
             if r["obs"] in place:
                 flow[r["set"], place[r["obs"]], column[r["component"]]] = r["flow"]
         values = np.empty(len(x))

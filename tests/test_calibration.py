@@ -94,3 +94,16 @@ def test_single_exponential_and_singly_constrained(spark):
     assert got.kernel["tau_s"] == pytest.approx(500, rel=0.05)
     with pytest.raises(ValueError):
         kernel_iteration.iterate(pairs, o, p, trips.limit(0), 60.0, {"w": 1.0, "tau_s": 800.0, "tau_l": 1e9})
+
+
+def test_jobs_read_sums_and_not_pairs(spark):
+    """Pairs of one origin and time are one row, whatever their number."""
+    pairs = spark.range(1000).selectExpr("'c' AS component", "id AS pair", "id % 2 AS src", "CAST(id % 5 AS DOUBLE) AS t", "3.0D AS produced", "1.0D + id % 3 AS attracted")
+    incidence = spark.range(1000).selectExpr("id AS pair", "id % 3 AS obs", "0.5D AS share")
+    reach, seen = calibration.folded(pairs, incidence)
+    assert reach.count() == 10 and seen.count() == 30
+    sets = spark.createDataFrame([(0, "c", 1.0, 4.0, 0.5)], "set int, component string, short double, long double, mix double")
+    got = {r["obs"]: r["flow"] for r in calibration.predictions(pairs, incidence, sets).collect()}
+    f = [0.5 * np.exp(-t) + 0.5 * np.exp(-t / 4) for t in range(5)]
+    den = [sum((1 + i % 3) * f[i % 5] for i in range(1000) if i % 2 == s) for s in (0, 1)]
+    assert got == pytest.approx({o: sum(3 * (1 + i % 3) * f[i % 5] * 0.5 / den[i % 2] for i in range(1000) if i % 3 == o) for o in range(3)})
