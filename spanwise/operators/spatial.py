@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import cut_lineage
+
 #: GRS80 ellipsoid, and the transverse Mercator parameters of EPSG:2157.
 SEMI_MAJOR, FLATTENING = 6378137.0, 1 / 298.257222101
 ITM = {"lat0": 53.5, "lon0": -8.0, "scale": 0.99982, "east0": 600000.0, "north0": 750000.0}
@@ -113,20 +116,45 @@ def pairs_within(points: DataFrame, key: str, radius: float, x: str = "x", y: st
     return p.join(q, ["cx", "cy"]).where(F.col("a") < F.col("b")).withColumn("distance", d).where(F.col("distance") <= radius).select("a", "b", "distance")
 
 
+#: Halvings of a radius at most, and pairs of a cell's points that a point may cost on average.
+MAX_HALVINGS, CELL_PAIRS = 24, 8
+
+
 def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, radius: float, x: str = "x", y: str = "y", others: bool = False) -> DataFrame:
     """(left_key, right_key, distance): nearest right point within ``radius``, ties to the smaller key; null if none.
 
-    With ``others`` a point is not near to that of its own key.
+    With ``others`` a point is not near to that of its own key. Right points of one place are one, with its two smallest keys.
+    The search begins with cells so small that few points share one, and those that found nothing within a cell's
+    size go on to cells of twice the size, up to the radius. Who goes on has no other point near, so among the points
+    of one table each meets a bounded number in a round, however dense they are.
     """
-    l = left.select(F.col(left_key), F.col(x).alias("lx"), F.col(y).alias("ly"), _cell(F.col(x), radius).alias("cx"), _cell(F.col(y), radius).alias("cy"))
+    l = left.select(F.col(left_key).alias("_l"), F.col(x).alias("lx"), F.col(y).alias("ly"))
+    places = cut_lineage(right.groupBy(F.col(x).alias("rx"), F.col(y).alias("ry")).agg(F.min(right_key).alias("_k1"), F.max(right_key).alias("_k9")))
+    second = right.select(F.col(right_key).alias("_k"), F.col(x).alias("rx"), F.col(y).alias("ry")).join(places.where("_k1 < _k9"), ["rx", "ry"]).where(F.col("_k") > F.col("_k1")).groupBy("rx", "ry").agg(F.min("_k").alias("_k2"))
+    places = cut_lineage(places.drop("_k9").join(second, ["rx", "ry"], "left"))
+    n, k = places.count(), 0
+    while k < MAX_HALVINGS:
+        size = radius / 2.0**k
+        held = places.groupBy(_cell(F.col("rx"), size), _cell(F.col("ry"), size)).count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0
+        if held <= CELL_PAIRS * n:
+            break
+        k += 1
     steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    r = right.select(F.col(right_key), F.col(x).alias("rx"), F.col(y).alias("ry"), F.explode(steps).alias("s")).withColumn("cx", _cell(F.col("rx"), radius) + F.col("s.i")).withColumn("cy", _cell(F.col("ry"), radius) + F.col("s.j"))
-    d = F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry"))
-    met = l.join(r, ["cx", "cy"])
-    if others:
-        met = met.where(F.col(left_key) != F.col(right_key))
-    best = met.withColumn("d", d).where(F.col("d") <= radius).groupBy(left_key).agg(F.min(F.struct("d", right_key)).alias("b"))
-    return left.select(left_key).join(best, left_key, "left").select(left_key, F.col(f"b.{right_key}").alias(right_key), F.col("b.d").alias("distance"))
+    rest, parts = l, []
+    for size in (radius / 2.0**i for i in range(k, -1, -1)):
+        q = rest.withColumn("cx", _cell(F.col("lx"), size)).withColumn("cy", _cell(F.col("ly"), size))
+        r = places.withColumn("s", F.explode(steps)).withColumn("cx", _cell(F.col("rx"), size) + F.col("s.i")).withColumn("cy", _cell(F.col("ry"), size) + F.col("s.j")).drop("s")
+        # Of a place with the point's own key, the other one.
+        who = F.when(F.col("_k1") == F.col("_l"), F.col("_k2")).otherwise(F.col("_k1")) if others else F.col("_k1")
+        met = q.join(r, ["cx", "cy"]).withColumn("_r", who).withColumn("d", F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry"))).where(F.col("_r").isNotNull() & (F.col("d") <= radius))
+        found = met.groupBy("_l", "lx", "ly").agg(F.min(F.struct("d", "_r")).alias("b"))
+        # Just below the size, so that rounding leaves none out; at the radius itself as asked for.
+        done = cut_lineage(found.where(F.col("b.d") <= (radius if size == radius else size * (1 - 1e-9))))
+        parts.append(done)
+        if size != radius:
+            rest = cut_lineage(rest.join(done.select("_l", "lx", "ly"), ["_l", "lx", "ly"], "left_anti"))
+    best = reduce(DataFrame.unionByName, parts).groupBy("_l").agg(F.min("b").alias("b"))
+    return left.select(left_key).join(best, F.col(left_key) == F.col("_l"), "left").select(left_key, F.col("b._r").alias(right_key), F.col("b.d").alias("distance"))
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, polygon: str, cell: float, how: str = "inner", x: str = "x", y: str = "y", ring: str = "ring") -> DataFrame:

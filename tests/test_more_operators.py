@@ -159,3 +159,19 @@ def test_small_regions_share_a_batch(spark):
     got = graph.feasible_regions(regions, edges, nodes, "jobs", "people")
     assert "InPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert [tuple(r) for r in got.collect()] == [(1, 10, 2, 4.0, 2.0, (2 + 15) / 4, (1 + 15) / 4, 5.0)]
+
+
+def test_nearest_of_dense_points(spark):
+    """Dense points, copies of one place and lone ones, by comparing all; points of dense cells meet few others."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(i, rng.gauss(0, 0.01), rng.gauss(0, 0.01)) for i in range(400)] + [(400 + i, 0.5, 0.5) for i in range(20)] + [(500 + i, rng.random() * 9, rng.random() * 9) for i in range(60)]
+    df = spark.createDataFrame(rows, "a long, x double, y double")
+    for others in (True, False):
+        exp = {}
+        for i, x, y in rows:
+            near = min((math.hypot(x - u, y - v), j) for j, u, v in rows if not (others and i == j))
+            exp[i] = (near[1], near[0]) if near[0] <= 1 else (None, None)
+        got = spatial.nearest(df, df.withColumnRenamed("a", "b"), "a", "b", 1.0, others=others).collect()
+        assert {r["a"]: (r["b"], r["distance"] if r["distance"] is None else pytest.approx(r["distance"], abs=1e-12)) for r in got} == exp
