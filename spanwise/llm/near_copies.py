@@ -16,8 +16,8 @@ is merged.
 
 What the proposals leave out is found exactly (``rest_of_links``). In one order of all shingles, two sets of that
 index share one of their first ones, as many as either may lack and one more. So sets of different groups
-that share such a shingle are paired, those go of which sizes or parities show that more shingles differ than may, and
-the exact index decides again. The order puts shingles that are frequent in a sample of the texts last; it settles how many pairs
+that share such a shingle are paired, those go that share too few of them for that index (``least_met``) or of which sizes or
+parities show that more shingles differ than may, and the exact index decides again. The order puts shingles that are frequent in a sample of the texts last; it settles how many pairs
 are looked at, and not which are found. Groups of one shingle's sets cost no pairs.
 
 Texts of equal sets are folded first. A cell of more than ``TILE`` fingerprints is cut into
@@ -36,11 +36,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import as_batches, discard, materialise, utf8
+from .runtime import as_batches, discard, fresh, materialise, utf8
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -52,8 +52,11 @@ SHARED = 256
 #: How far below and above the wanted index an estimate may lie, and nearest texts of other trees that are proposed.
 MARGIN = 0.06
 NEAREST = 3
-#: Texts whose shingles are counted for the order, in how many of them a shingle is frequent, and so many at most.
-ORDER_TEXTS, FREQUENT, MOST_FREQUENT = 8192, 4, 200_000
+#: Texts whose shingles are counted for the order, or that share of all if these are more, so that what is not frequent is in a bounded
+#: number of texts; in how many of them a shingle is frequent, and so many at most.
+ORDER_TEXTS, ORDER_SHARE, FREQUENT, MOST_FREQUENT = 8192, 1 / 32, 4, 200_000
+#: Bits that tell which texts may be wanted again.
+FILTER_BITS = 1 << 24
 SEED = 42
 
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BITS // 64, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -119,9 +122,40 @@ def first_shingles(own: np.ndarray, similarity: float, frequent: tuple[np.ndarra
     return own[np.lexsort((own, seen))][: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]
 
 
-def parities(own: np.ndarray) -> np.ndarray:
-    """Of ``BITS`` parts of all hashes, whether a set has an odd number in each: two sets differ by as many hashes at least as parts."""
-    return np.packbits(np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) % 2 == 1, bitorder="little").view(np.int64)
+def least_met(size_a: Column, size_b: Column, similarity: float) -> Column:
+    """How many first shingles two sets of these sizes and that index share at least.
+
+    They share ``both`` shingles or more. The k-th of these in the order has all later ones behind it in either set, so it
+    stands at ``size - both + k`` at the latest, which is among the first ones up to this k.
+    """
+    both = F.ceil(F.lit(similarity / (1 + similarity)) * (size_a + size_b) - F.lit(1e-6))
+    return both - F.ceil(F.lit(similarity) * F.greatest(size_a, size_b) - F.lit(1e-9)) + 1
+
+
+def parities(own: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Of ``bits`` parts of all hashes, whether a set has an odd number in each: two sets differ by as many hashes at least as parts."""
+    return np.packbits(np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits) % 2 == 1, bitorder="little").view(np.int64)
+
+
+def fine_parities(own: np.ndarray) -> np.ndarray:
+    """``parities`` in twice as many parts as the set has hashes, or more: large sets that are not alike differ in those too."""
+    return parities(own, 1 << max(BITS - 1, 2 * len(own) - 1).bit_length())
+
+
+def fine_difference(a: Column, b: Column) -> Column:
+    """In how many parts two ``fine_parities`` differ; the longer one is folded, as its parts are parts of the shorter one's."""
+    words = F.least(F.size(a), F.size(b))
+
+    def folded(x: Column, i: Column) -> Column:
+        return F.aggregate(F.sequence(i, F.size(x) - 1, words), F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.get(x, k)))
+
+    return F.aggregate(F.sequence(F.lit(0), words - 1), F.lit(0), lambda acc, i: acc + F.bit_count(folded(a, i).bitwiseXOR(folded(b, i))))
+
+
+def may_be_alike(differ: Column, size_a: Column, size_b: Column, similarity: float) -> Column:
+    """Whether sets of these sizes that differ by so many hashes at least may have that index."""
+    like = F.least(size_a, size_b) >= F.lit(similarity) * F.greatest(size_a, size_b) - F.lit(1e-9)
+    return like & (differ <= F.lit((1 - similarity) / (1 + similarity)) * (size_a + size_b) + F.lit(1e-6))
 
 
 def _distances(fps: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -316,9 +350,9 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     members = materialise(kept.join(nodes.select(F.col("id").alias("i"), "fp"), F.col("id") == F.col("i")).select("cell", "id", "fp"), "members")
     near, far = radius_of(min(1.0, similarity + MARGIN)), radius_of(max(0.0, similarity - MARGIN))
     proposed = cell_links(members, near, tile, far=far).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = materialise(decided(src, nodes, materialise(proposed, "proposed"), similarity, shingle), "decided")
+    links = decided(src, nodes, materialise(proposed, "proposed"), similarity, shingle)
     discard(members)
-    more = materialise(rest_of_links(sketches, nodes, components(links), similarity), "more")
+    more = rest_of_links(sketches, nodes, components(links), similarity)
     groups = components(links.unionByName(decided(src, nodes, more, similarity, shingle)))
     roots = nodes.join(groups, F.col("id") == F.col("node"), "left").select("digest", "low", F.coalesce("root", "id").alias("root"))
     lows = roots.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("component"))
@@ -327,8 +361,8 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
 
 
 def frequent_shingles(src: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts), sorted, of shingles that are frequent in some ORDER_TEXTS of the texts (key, body)."""
-    share = ORDER_TEXTS / max(src.count(), ORDER_TEXTS)
+    """(hashes, counts), sorted, of shingles that are frequent in some of the texts (key, body)."""
+    share = max(ORDER_TEXTS / max(src.count(), ORDER_TEXTS), ORDER_SHARE)
     some = src.where(F.pmod(F.xxhash64("body"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).select("body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,22 +386,27 @@ def rest_of_links(sketches: DataFrame, nodes: DataFrame, groups: DataFrame, simi
     met = materialise(own.withColumn("_low", F.min("root").over(same)).withColumn("_high", F.max("root").over(same)).where("_low < _high").drop("_low", "_high"), "met")
     one, other = (met.select("h", *(F.col(k).alias(f"{k}_{c}") for k in ("id", "root", "size"))) for c in "ab")
     like = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b") - F.lit(1e-9)
-    pairs = one.join(other, "h").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & like).select("id_a", "id_b").distinct()
+    met_by = one.join(other, "h").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & like).groupBy("id_a", "id_b", "size_a", "size_b").agg(F.count("*").alias("met"))
+    pairs = met_by.where(F.col("met") >= least_met(F.col("size_a"), F.col("size_b"), similarity)).select("id_a", "id_b")
     a, b = (nodes.select(F.col("id").alias(f"id_{c}"), F.col("size").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")) for c in "ab")
     differ = sum((F.bit_count(F.get("odd_a", F.lit(i)).bitwiseXOR(F.get("odd_b", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
-    may = differ <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + F.lit(1e-6)
-    return pairs.join(a, "id_a").join(b, "id_b").where(may).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    may = may_be_alike(differ, F.col("n_a"), F.col("n_b"), similarity)
+    more = materialise(pairs.join(a, "id_a").join(b, "id_b").where(may).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), "more")
+    discard(met)
+    return more
 
 
 def decided(src: DataFrame, nodes: DataFrame, proposed: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Of the proposed links (a, b) between nodes (id, digest, low) those whose sets of shingles are that similar.
 
-    Sets are made again from the texts (key, body) of the nodes that have a link, one text for each.
+    Sets are made again from the texts (key, body) of the nodes that have a link, one text for each; the other texts
+    are not shuffled.
     """
     linked = proposed.select(F.col("a").alias("n")).unionByName(proposed.select(F.col("b").alias("n"))).distinct()
     wanted = nodes.join(linked, F.col("id") == F.col("n"), "left_semi").select("id", F.col("digest").alias("own"), "low")
-    texts = src.join(wanted, F.col("key").eqNullSafe(F.col("low"))).select("id", "own", "body")
-    schema = pa.schema([("id", pa.int64()), ("set", pa.list_(pa.int64()))])
+    wanted = materialise(wanted, "wanted")
+    texts = likely(src, "key", wanted, "low").join(wanted, F.col("key").eqNullSafe(F.col("low"))).select("id", "own", "body")
+    schema = pa.schema([("id", pa.int64()), ("set", pa.list_(pa.int64())), ("fine", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -375,12 +414,31 @@ def decided(src: DataFrame, nodes: DataFrame, proposed: DataFrame, similarity: f
                 for i, own, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                     found, name = digest(shingle_hashes(t.as_py(), shingle))
                     if name == own:  # another text of the same key otherwise
-                        yield i, found.view(np.int64)
+                        yield i, found.view(np.int64), fine_parities(found)
 
         return as_batches(schema, rows(), 256)
 
-    sets = materialise(texts.mapInArrow(run, "id long, set array<long>").dropDuplicates(["id"]), "sets")
+    sets = materialise(texts.mapInArrow(run, "id long, set array<long>, fine array<long>").dropDuplicates(["id"]), "sets")
+    # Whole sets go only to the pairs whose parities allow for the index.
+    one, other = (sets.select(F.col("id").alias(f"i{c}"), F.col("fine").alias(f"f{c}"), F.size("set").alias(f"n{c}")) for c in "ab")
+    close = proposed.join(one, F.col("a") == F.col("ia")).join(other, F.col("b") == F.col("ib"))
+    close = materialise(close.where(may_be_alike(fine_difference(F.col("fa"), F.col("fb")), F.col("na"), F.col("nb"), similarity)).select("a", "b"), "close")
     one, other = (sets.select(F.col("id").alias(f"i{c}"), F.col("set").alias(f"s{c}")) for c in "ab")
-    both = proposed.join(one, F.col("a") == F.col("ia")).join(other, F.col("b") == F.col("ib"))
+    both = close.join(one, F.col("a") == F.col("ia")).join(other, F.col("b") == F.col("ib"))
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    links = materialise(both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "decided")
+    discard(sets)
+    discard(wanted)
+    return links
+
+
+def likely(rows: DataFrame, key: str, wanted: DataFrame, low: str, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows whose key may be one of ``low``: all that are, and few others, so that a join after it moves few texts.
+
+    A broadcast of ``bits`` bits, in words of 64, holds one bit for each hash that occurs; nulls count as a value.
+    """
+    word, bit = fresh(rows, "_word", "_bits")
+    slot = {k: F.pmod(F.xxhash64(k), F.lit(bits)) for k in (key, low)}
+    one = {k: F.call_function("shiftleft", F.lit(1).cast("long"), (slot[k] % 64).cast("int")) for k in slot}
+    held = wanted.groupBy(F.floor(slot[low] / 64).alias(word)).agg(F.bit_or(one[low]).alias(bit))
+    return rows.join(F.broadcast(held), F.floor(slot[key] / 64) == F.col(word)).where(F.col(bit).bitwiseAND(one[key]) != 0).select(*rows.columns)

@@ -182,3 +182,48 @@ def test_edges(spark):
     got = sorted(((r["key"], r["component"]) for r in near_copies.near_copies(df).collect()), key=str)
     assert got == sorted([(5, 3), (3, 3), (4, 3), (9, 8), (8, 8), (7, 7), (11, 10), (10, 10), (12, 10), (12, 10), (None, 10), (None, None), (20, 20), (21, 20)], key=str)
     assert near_copies.near_copies(df.limit(0)).count() == 0
+
+
+def test_texts_that_share_a_passage_only_are_not_compared(spark, monkeypatch):
+    """Long texts of which three hold one passage: it is rare and so among the first shingles, yet no set of two goes to a join."""
+    rng = random.Random(8)
+    passages = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(40)) for _ in range(8)]
+    rows = [(3 * g + k, " ".join([*(f"w{rng.randrange(10**7)}" for _ in range(3000)), passages[g]])) for g in range(8) for k in range(3)]
+    rows.append((100, rows[0][1] + " one more"))
+    seen, real = [], near_copies.rest_of_links
+    monkeypatch.setattr(near_copies, "rest_of_links", lambda *a: seen.append(out := real(*a)) or out)
+    got = {r["key"]: r["component"] for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: 0 if k == 100 else k for k, _ in rows}
+    assert [x.count() for x in seen] == [0]
+
+
+def test_bounds_lose_no_pair(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    rows, none = [], (np.empty(0, np.uint64), np.empty(0, np.int64))
+    for n in [*range(1, 40), *rng.integers(40, 9000, 60).tolist()]:
+        a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        for lost, more in [(0, n // 4), (n // 5, 0), (n // 9, n // 9), (n // 3, n // 3)]:
+            b = np.unique(np.concatenate((a[rng.permutation(len(a))[lost:]], rng.integers(0, 1 << 63, more, np.uint64))))
+            both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+            met = len(np.intersect1d(near_copies.first_shingles(a, 0.8, none), near_copies.first_shingles(b, 0.8, none)))
+            fine = [near_copies.fine_parities(x).tolist() for x in (a, b)]
+            rows.append((len(a), len(b), both, either, met, *fine))
+    df = spark.createDataFrame(rows, "a long, b long, both long, either long, met long, fa array<long>, fb array<long>")
+    differ = near_copies.fine_difference(F.col("fa"), F.col("fb"))
+    least, may = near_copies.least_met(F.col("a"), F.col("b"), 0.8), near_copies.may_be_alike(differ, F.col("a"), F.col("b"), 0.8)
+    out = df.select("a", "both", "either", "met", least.alias("least"), differ.alias("differ"), may.alias("may")).collect()
+    alike = [r for r in out if 5 * r["both"] >= 4 * r["either"]]
+    assert len(alike) > 200 and all(r["met"] >= r["least"] >= 1 and r["may"] for r in alike)
+    assert all(r["differ"] <= r["either"] - r["both"] for r in out)
+    assert not any(r["may"] for r in out if 2 * r["both"] < 1.1 * r["either"] and r["a"] > 400)
+
+
+def test_texts_that_are_not_wanted_are_not_shuffled(spark):
+    rows = spark.createDataFrame([(k, b"x") for k in [*range(2000), None]], "key long, body binary")
+    wanted = spark.createDataFrame([(5,), (1999,), (5,), (None,), (7777,)], "low long")
+    got = [r["key"] for r in near_copies.likely(rows, "key", wanted, "low").collect()]
+    assert {5, 1999, None} <= set(got) and len(got) < 6
+    assert len(near_copies.likely(rows, "key", wanted, "low", 64).collect()) < 300
+    assert near_copies.likely(rows, "key", wanted.limit(0), "low").count() == 0
