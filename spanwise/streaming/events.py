@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import day_type
 
@@ -90,45 +91,58 @@ def thin_exact(stream: DataFrame, ts: str, by: Sequence[str], order: Sequence[st
     A row is kept if it is that long after the last kept row of its key; rows of a batch come in the
     order of ``ts`` and ``order``, batches in the order of their arrival, so what comes late, before the last kept
     row, goes. Null times and keys go. A key's state is one time; a timer clears it when the watermark, ``delay``
-    behind the latest time seen, has passed it by the gap, as any row that may still come is then kept anyway. A task
-    holds one key's rows of one batch. The state is kept by RocksDB, which this sets for the stream to come.
+    behind the latest time seen, has passed it by the gap, as any row that may still come is then kept anyway. A key has one
+    timer at a time, which is set on when it expires before that. A task holds one key's rows of one batch, as rows, since keys
+    of a batch have few. The state is kept by RocksDB, which this sets for the stream to come.
     """
-    import pandas as pd
+    from pyspark.sql import Row
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-    gap, columns, sort = int(gap_s * 1_000_000), stream.columns, [ts, *order]
+    gap, columns = int(gap_s * 1_000_000), stream.columns
+    micros = "_micros"
+    while micros in columns:
+        micros = f"_{micros}"
+    kept = [micros if c == ts else c for c in columns]
+
+    def place(row) -> tuple:
+        """Where a row comes in its batch; nulls and NaN last."""
+        return row[micros], *((True, 0) if row[c] is None or row[c] != row[c] else (False, row[c]) for c in order)
 
     class Thinner(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.last = handle.getValueState("last", "at long")
+            self.last = handle.getValueState("last", "at long, timed boolean")
 
         def handleInputRows(self, key, rows, timerValues):
-            frame = pd.concat(list(rows)).sort_values(sort, kind="stable")
-            times = frame[ts].to_numpy("datetime64[us]").astype("int64")
-            last = self.last.get()[0] if self.last.exists() else None
-            keep = []
-            for i, t in enumerate(times.tolist()):
-                if last is None or t >= last + gap:
-                    keep.append(i)
-                    last = t
-            if keep:
-                for timer in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(timer)
-                self.handle.registerTimer((last + gap) // 1000 + 1)
-                self.last.update((last,))
-                yield frame.iloc[keep][columns]
+            before, timed = self.last.get() or (None, False)
+            last, out = before, []
+            for row in sorted(rows, key=place):
+                if last is None or row[micros] >= last + gap:
+                    out.append(Row(**{c: row[c] for c in kept}))
+                    last = row[micros]
+            if out:
+                if not timed:
+                    self.handle.registerTimer((last + gap) // 1000 + 1)
+                self.last.update((last, True))
+            return iter(out)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            self.last.clear()
-            yield pd.DataFrame(columns=columns)
+            due = (self.last.get()[0] + gap) // 1000 + 1
+            if due > timerValues.getCurrentWatermarkInMs():
+                self.handle.registerTimer(due)
+            else:
+                self.last.clear()
+            return iter(())
 
         def close(self) -> None:
             pass
 
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    present = stream.dropna(subset=[ts, *by]).withWatermark(ts, delay)
-    return present.groupBy(*by).transformWithStateInPandas(Thinner(), stream.schema, "Append", "EventTime").select(*columns)
+    # Times go through Python as microseconds, so that no zone's clock changes matter.
+    present = stream.dropna(subset=[ts, *by]).withWatermark(ts, delay).withColumn(micros, F.unix_micros(F.col(ts).cast("timestamp")))
+    schema = T.StructType([T.StructField(micros, T.LongType()) if f.name == ts else f for f in stream.schema])
+    thinned = present.groupBy(*by).transformWithState(Thinner(), schema, "Append", "EventTime")
+    return thinned.select(*(F.timestamp_micros(micros).cast(stream.schema[ts].dataType).alias(ts) if c == ts else F.col(c) for c in columns))
 
 
 #: Buckets that a keyed table is cut into; a batch writes those that it touches. Versions of the table that stay readable.

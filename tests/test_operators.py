@@ -411,3 +411,20 @@ def test_clusters_along_a_line_and_of_odd_points(spark):
     rows = [(k, 0.0009 * k, 0.0) for k in range(300)] + [(900, 5.0, 5.0), (901, 5.0, 5.0011), (902, 5.00069, 5.0), (903, None, 0.0), (904, float("nan"), 0.0), (905, float("nan"), 0.0)]
     got = {r["id"]: r["cluster"] for r in matching.clusters(spark.createDataFrame(rows, "id long, x double, y double"), "id", 0.001).collect()}
     assert got == dict.fromkeys(range(300), 0) | {900: 900, 901: 901, 902: 900, 903: 903, 904: 904, 905: 905}
+
+
+def test_kept_fixes_go_by_rows_and_one_timer(spark, tmp_path):
+    """A timer that expires before its key is done is set on; nulls of other columns come last and stay."""
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("v", T.DoubleType())])
+    batches = [[(1, 0, None), (1, 0, 2.0), (2, 0, None)], [(1, 25, 3.0), (3, 900, None)], [(1, 44, 4.0), (1, 45, None), (2, 19, 5.0), (3, 2000, 6.0)], [(1, 1999, 7.0), (1, 2010, 8.0), (1, 2019, 9.0)]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, "k long, t int, v double").select("k", F.timestamp_seconds(F.col("t") + 100_000).alias("ts"), "v").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = events.read_events(spark, f"{tmp_path}/in/*", schema, maxFilesPerTrigger=1)
+    thinned = events.thin_exact(stream, "ts", ["k"], ["v"])
+    plan = thinned._jdf.queryExecution().logical().toString()
+    assert "TransformWithStateInPySpark" in plan and "_micros" in plan
+    got = events.run_to_path(thinned, f"{tmp_path}/out", f"{tmp_path}/cp", "append")
+    assert got.schema["ts"].dataType == T.TimestampType()
+    rows = sorted((r["k"], int(r["t"]) - 100_000, r["v"]) for r in got.select("k", F.unix_seconds("ts").alias("t"), "v").collect())
+    assert [(k, t) for k, t, _ in rows] == [(1, 0), (1, 25), (1, 45), (1, 1999), (1, 2019), (2, 0), (3, 900), (3, 2000)]
+    assert (1, 0, 2.0) in rows and (2, 0, None) in rows and (1, 45, None) in rows
