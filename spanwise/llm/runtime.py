@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text in one Arrow batch; keeps a Python worker's memory bounded.
+#: Rows of text in one Arrow batch, and its bytes unless one row alone has more; keeps the memory of executors and Python workers bounded.
 TEXT_BATCH_ROWS = 1024
+TEXT_BATCH_BYTES = 8 << 20
+_ROWS_KEY, _BYTES_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _roots: dict[str, str] = {}
 
@@ -46,24 +48,34 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def bound_batches(spark: SparkSession) -> dict[str, str]:
+    """From now on the session's Arrow batches hold ``TEXT_BATCH_ROWS`` rows and ``TEXT_BATCH_BYTES`` bytes at most; its settings before.
+
+    Spark reads these settings when a plan runs, not when it is made, so a stage that returns
+    a table for its caller to run leaves them set. Smaller settings of the session stay.
+    """
+    own = {key: spark.conf.get(key) for key in (_ROWS_KEY, _BYTES_KEY)}
+    if not 0 < int(own[_ROWS_KEY]) <= TEXT_BATCH_ROWS:
+        spark.conf.set(_ROWS_KEY, str(TEXT_BATCH_ROWS))
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(own[_BYTES_KEY]) > TEXT_BATCH_BYTES:
+        spark.conf.set(_BYTES_KEY, str(TEXT_BATCH_BYTES))
+    return own
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, not a re-computation. While it
-    is written, Arrow batches hold ``TEXT_BATCH_ROWS`` rows at most; Spark bounds their bytes
-    in any case (64 MB unless set otherwise). The session's own setting is put back.
+    is written, Arrow batches are bounded (``bound_batches``). The session's own settings are put back.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:8]}"
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    own = spark.conf.get(key)
-    rows = int(own)
+    own = bound_batches(spark)
     try:
-        if not 0 < rows <= TEXT_BATCH_ROWS:
-            spark.conf.set(key, str(TEXT_BATCH_ROWS))
         df.write.parquet(path)
     finally:
-        spark.conf.set(key, own)
+        for key, value in own.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

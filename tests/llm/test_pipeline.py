@@ -3,10 +3,11 @@
 import sys
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from spanwise.llm import decontam, line_dedup, packing, queries, stages
+from spanwise.llm import decontam, line_dedup, packing, queries, runtime, stages
 
 ROOT = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -126,6 +127,31 @@ def test_the_sessions_batch_size_is_put_back(spark):
         spark.conf.set(key, before)
 
 
+def test_batches_of_stages_that_the_caller_runs_are_bounded(spark):
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = {k: spark.conf.get(k) for k in keys}
+    short, long_ = (spark.range(0, n, 1, 1).selectExpr("id as doc_id", f"repeat('the house and the garden of the town ', {times}) as text", "'en' as lang", "'s' as source", "5L as n_chars") for n, times in ((3000, 1), (48, 25_000)))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    try:
+        for f in (stages.by_language, stages.without_benchmark):
+            for docs in (short, long_):
+                for k, v in zip(keys, ("10000", "64m")):
+                    spark.conf.set(k, v)
+                got = f(spark, docs, ROOT).mapInArrow(sizes, "n long, size long").collect()
+                assert sum(r["n"] for r in got) == docs.count()
+                assert all(r["n"] <= runtime.TEXT_BATCH_ROWS and r["size"] <= 2 * runtime.TEXT_BATCH_BYTES for r in got)
+        for k, v in zip(keys, ("100", "1m")):
+            spark.conf.set(k, v)
+        assert stages.without_benchmark(spark, short, ROOT).columns == COLUMNS and tuple(map(spark.conf.get, keys)) == ("100", "1m")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_the_rest_works_without_this(monkeypatch):
     for name in [m for m in sys.modules if m.startswith("spanwise.llm") or m in ("corpus_pipeline", "__spark_entry__")]:
         monkeypatch.delitem(sys.modules, name)
