@@ -32,6 +32,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,8 @@ NEAREST = 3
 #: Texts whose shingles are counted for the order, or that share of all if these are more, so that what is not frequent is in a bounded
 #: number of texts; in how many of them a shingle is frequent, and so many at most.
 ORDER_TEXTS, ORDER_SHARE, FREQUENT, MOST_FREQUENT = 8192, 1 / 32, 4, 200_000
+#: Words of parities that go with each first shingle, folded: sets of up to some thousand hashes that are not alike differ in enough of them.
+MEETING_WORDS = 8
 #: Bits that tell which texts may be wanted again.
 FILTER_BITS = 1 << 24
 SEED = 42
@@ -384,9 +387,7 @@ def rest_of_links(sketches: DataFrame, nodes: DataFrame, groups: DataFrame, simi
     own = one_each.select("id", "root", "size", F.explode("first").alias("h"))
     same = Window.partitionBy("h")
     met = materialise(own.withColumn("_low", F.min("root").over(same)).withColumn("_high", F.max("root").over(same)).where("_low < _high").drop("_low", "_high"), "met")
-    one, other = (met.select("h", *(F.col(k).alias(f"{k}_{c}") for k in ("id", "root", "size"))) for c in "ab")
-    like = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b") - F.lit(1e-9)
-    met_by = one.join(other, "h").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & like).groupBy("id_a", "id_b", "size_a", "size_b").agg(F.count("*").alias("met"))
+    met_by = meetings(met, nodes, similarity).groupBy("id_a", "id_b", "size_a", "size_b").agg(F.count("*").alias("met"))
     pairs = met_by.where(F.col("met") >= least_met(F.col("size_a"), F.col("size_b"), similarity)).select("id_a", "id_b")
     a, b = (nodes.select(F.col("id").alias(f"id_{c}"), F.col("size").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")) for c in "ab")
     differ = sum((F.bit_count(F.get("odd_a", F.lit(i)).bitwiseXOR(F.get("odd_b", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
@@ -396,6 +397,20 @@ def rest_of_links(sketches: DataFrame, nodes: DataFrame, groups: DataFrame, simi
     return more
 
 
+def meetings(met: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Of (id, root, size, h) rows the pairs (id_a, id_b, size_a, size_b) of different roots, a row for each h that both have.
+
+    Pairs that sizes or ``MEETING_WORDS`` words of parities show to be below that index are left out as they meet.
+    """
+    words = BITS // 64
+    folds = [reduce(Column.bitwiseXOR, (F.get("odd", F.lit(i)) for i in range(w, words, MEETING_WORDS))).alias(f"odd{w}") for w in range(MEETING_WORDS)]
+    seen = met.join(nodes.select(F.col("id").alias("n"), *folds), F.col("id") == F.col("n")).drop("n")
+    one, other = (seen.select("h", *(F.col(k).alias(f"{k}_{c}") for k in seen.columns if k != "h")) for c in "ab")
+    differ = sum((F.bit_count(F.col(f"odd{w}_a").bitwiseXOR(F.col(f"odd{w}_b"))) for w in range(MEETING_WORDS)), F.lit(0))
+    may = may_be_alike(differ, F.col("size_a"), F.col("size_b"), similarity)
+    return one.join(other, "h").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & may).select("id_a", "id_b", "size_a", "size_b")
+
+
 def decided(src: DataFrame, nodes: DataFrame, proposed: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Of the proposed links (a, b) between nodes (id, digest, low) those whose sets of shingles are that similar.
 

@@ -227,3 +227,13 @@ def test_texts_that_are_not_wanted_are_not_shuffled(spark):
     assert {5, 1999, None} <= set(got) and len(got) < 6
     assert len(near_copies.likely(rows, "key", wanted, "low", 64).collect()) < 300
     assert near_copies.likely(rows, "key", wanted.limit(0), "low").count() == 0
+
+
+def test_sets_that_share_a_shingle_but_are_not_alike_do_not_pair(spark):
+    """300 sets of 100 hashes share one; two of them share 95. Only these pair, once for each shared first shingle."""
+    rng = np.random.default_rng(3)
+    sets = [np.append(rng.integers(1, 1 << 62, 99, np.uint64), np.uint64(7)) for _ in range(300)]
+    sets[1] = np.concatenate((sets[0][5:], rng.integers(1, 1 << 62, 5, np.uint64)))
+    nodes = spark.createDataFrame([(i, near_copies.parities(s).tolist()) for i, s in enumerate(sets)], "id long, odd array<long>")
+    met = spark.createDataFrame([(i, i, len(s), 7) for i, s in enumerate(sets)] + [(i, i, 100, 8) for i in (0, 1)], "id long, root long, size long, h long")
+    assert list(map(tuple, near_copies.meetings(met, nodes, 0.8).collect())) == [(0, 1, 100, 100)] * 2
