@@ -23,19 +23,22 @@ is written, so that a lost executor costs a re-read.
 
 A region is described by ranges of places, never by a list of its nodes: on a chain these lists
 would grow with the square of its length. ``region_nodes`` lists the nodes of the regions that
-are still wanted after their sizes and sums are known.
+are still wanted after their sizes and sums are known. Where only the nodes of regions without a protected
+node are wanted, ``unprotected_nodes`` lists them in the task that searches their component.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.sinks import cut_lineage, discard
+from ..sources.sinks import cut_lineage, discard, drop_shuffles
 from .graph import connected_components
 
 Cut = Callable[[DataFrame], DataFrame]
@@ -43,6 +46,10 @@ Cut = Callable[[DataFrame], DataFrame]
 ROUNDS = 64
 #: Edges of a component that is searched in one task.
 SMALL = 100_000
+#: Parts of all nodes that ``unprotected_nodes`` searches for shared ones, one after the other, so that only one's rows are shuffled at once.
+SLICES = 2
+#: Rows of regions that such a task holds before it hands them on, or one region's.
+LISTED = 1 << 16
 
 
 def simple_edges(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -360,3 +367,133 @@ def region_nodes(found: Blocks, wanted: DataFrame) -> DataFrame:
     tree = up.join(nodes.select("root", "node", "first"), "root").where("node != gate").select("gate", "entry", "node", "root", "first")
     hanging = up.select("gate", F.col("block").alias("_up")).join(kids, "gate").where("block != _up").select("root", "gate", F.explode(F.sequence("_f", "_l")).alias("first"))
     return below.unionByName(tree.join(hanging, ["root", "gate", "first"], "left_anti").select("gate", "entry", "node"))
+
+
+def unprotected_nodes(edges: DataFrame, members: DataFrame, cut: Cut = cut_lineage, small: int = SMALL) -> DataFrame:
+    """(gate, entry, node) of the parts without a protected node that cut nodes cut off: ``region_nodes`` of those ``regions``.
+
+    Edges (way, u, v) belong to ways, which have numbers; members (way, node, protected) name all nodes of each way, which
+    its edges connect, and are as many as there are or more. A node is protected if any of its rows is.
+
+    Components are those of ways that share a node, so what is labelled are the ways and not the nodes. Each edge
+    is dealt out by its way's label and written once; the task that gets a component lists the regions itself, so
+    neither they nor their nodes are shuffled. Components of more than ``small`` edges go by ``blocks``.
+    """
+    members = members.where("node is not null")
+    links = []
+    for k in range(SLICES):
+        some = members.where(F.pmod(F.xxhash64("node"), F.lit(SLICES)) == k).select("node", "way")
+        shared = some.groupBy("node").agg(F.min("way").alias("_first"), F.max("way").alias("_last")).where("_first < _last").select("node", "_first")
+        links.append(cut(some.join(shared, "node").where("way != _first").select("way", "_first")))
+        drop_shuffles(edges.sparkSession)
+    label = connected_components(reduce(DataFrame.unionByName, links), "way", "_first", cut=cut)
+    discard(*links)
+    drop_shuffles(edges.sparkSession)
+    named = label.select(F.col("node").alias("way"), "root")
+    rooted = lambda df: df.join(named, "way", "left").select(F.coalesce("root", "way").alias("root"), "a", "b")
+    held = members.where("protected").select("way", F.col("node").cast("long").alias("a"), F.lit(None).cast("long").alias("b")).distinct()
+    ends = edges.where("u != v").select("way", F.col("u").cast("long").alias("a"), F.col("v").cast("long").alias("b"))
+    dealt = cut(rooted(ends).unionByName(rooted(held)))
+    discard(label)
+    drop_shuffles(edges.sparkSession)
+    large = cut(dealt.where("b is not null").groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > small).select("root"))
+    if large.isEmpty():
+        discard(large)
+        return _listed(dealt)
+    rest = dealt.join(large, "root", "left_semi")
+    found = blocks(rest.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")), rest.where("b is null").select(F.col("a").alias("node")), cut=cut, small=0)
+    return _listed(dealt.join(large, "root", "left_anti")).unionByName(region_nodes(found, regions(found).where("protected = 0")))
+
+
+def _listed(dealt: DataFrame) -> DataFrame:
+    """(gate, entry, node) of ``unprotected_nodes`` from edges (root, a, b) and protected nodes (root, a, null), by a search of each component."""
+    spark = dealt.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, adj, held = None, {}, set()
+        gates, entries, nodes = [], [], []
+
+        def out():
+            full = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (gates, entries, nodes)], names=["gate", "entry", "node"])
+            for c in (gates, entries, nodes):
+                c.clear()
+            return full
+
+        def searched():
+            for gate, entry, part in _cut_off(adj, held):
+                gates.extend([gate] * len(part))
+                entries.extend([entry] * len(part))
+                nodes.extend(part)
+                if len(nodes) >= LISTED:
+                    yield out()
+
+        for batch in batches:
+            for root, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                if root != now:
+                    yield from searched()
+                    now, adj, held = root, {}, set()
+                if b is None:
+                    held.add(a)
+                else:
+                    adj.setdefault(a, set()).add(b)
+                    adj.setdefault(b, set()).add(a)
+        yield from searched()
+        yield out()
+
+    return dealt.repartition(parts, "root").sortWithinPartitions("root").mapInArrow(run, "gate long, entry long, node long")
+
+
+def _cut_off(adj: dict[int, set[int]], held: set[int]) -> Iterator[tuple[int, int, list[int]]]:
+    """(gate, entry, nodes) of each part without a held node that a cut node cuts off.
+
+    A search starts at a held node where its component has one, so the part towards the start is wanted only where none is held.
+    """
+    first, last, low, parent, order, before = {}, {}, {}, {}, [], [0]
+
+    def reach(n, by):
+        first[n] = low[n] = len(order)
+        parent[n] = by
+        order.append(n)
+        before.append(before[-1] + (n in held))
+        return n, iter(adj[n])
+
+    for start in (*(n for n in held if n in adj), *adj):
+        if start in first:
+            continue
+        base, stack, kids = len(order), [reach(start, None)], {}
+        while stack:
+            n, around = stack[-1]
+            for m in around:
+                if m not in first:
+                    stack.append(reach(m, n))
+                    break
+                if m != parent[n] and first[m] < low[n]:
+                    low[n] = first[m]
+            else:
+                stack.pop()
+                last[n] = len(order)
+                if stack:
+                    p = stack[-1][0]
+                    low[p] = min(low[p], low[n])
+                    if low[n] >= first[p]:
+                        kids.setdefault(p, []).append(n)
+        for gate, below in kids.items():
+            if gate == start and len(below) == 1:
+                continue
+            froms, least, up = [first[c] for c in below], [None] * len(below), None
+            for m in adj[gate]:
+                i = bisect_right(froms, first[m]) - 1
+                if i >= 0 and first[m] < last[below[i]]:
+                    least[i] = m if least[i] is None else min(least[i], m)
+                else:
+                    up = m if up is None else min(up, m)
+            for c, entry in zip(below, least):
+                if before[last[c]] == before[first[c]]:
+                    yield gate, entry, order[first[c] : last[c]]
+            if gate != start and before[-1] == before[base]:
+                part, at = order[base : first[gate]], first[gate] + 1
+                for c in below:
+                    part += order[at : first[c]]
+                    at = last[c]
+                yield gate, up, part + order[at:]

@@ -21,14 +21,24 @@ def _stop():
     return (F.col("l_suppkey") * 10000 + F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))) * 2 + (F.col("l_linestatus") == "F").cast("int")
 
 
-def legs(spark, d):
-    """(u, v): a row for each leg of each order's tour. An order has a handful of stops."""
-    stops = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(_stop())).alias("s"))
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").alias("back"))
+def _way():
+    """An order's number; lines without an order are one tour, as in SQL."""
+    return F.coalesce("l_orderkey", F.lit(-(1 << 63)))
+
+
+def tours(spark, d):
+    """(way, u, v): a row for each leg of each order's tour. An order has a handful of stops, so its lines are dealt out as they are."""
+    stops = table(spark, d, "lineitem").select(_way().alias("way"), _stop().alias("s")).repartition("way").groupBy("way").agg(F.array_sort(F.collect_set("s")).alias("s"))
+    o = table(spark, d, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select(F.col("o_orderkey").alias("way"), F.lit(True).alias("back"))
     k = F.size("s")
     on = F.zip_with(F.slice("s", 1, F.greatest(k - 1, F.lit(0))), F.slice("s", 2, F.greatest(k - 1, F.lit(0))), lambda a, b: F.struct(a.alias("u"), b.alias("v")))
     home = F.when((k > 2) & F.coalesce("back", F.lit(False)), F.array(F.struct(F.element_at("s", -1).alias("u"), F.element_at("s", 1).alias("v")))).otherwise(F.array().cast("array<struct<u:bigint,v:bigint>>"))
-    return stops.join(o, "l_orderkey", "left").select(F.explode(F.concat(on, home)).alias("e")).select("e.u", "e.v")
+    return stops.join(o, "way", "left").select("way", F.explode(F.concat(on, home)).alias("e")).select("way", "e.u", "e.v")
+
+
+def legs(spark, d):
+    """(u, v): a row for each leg of each order's tour."""
+    return tours(spark, d).select("u", "v")
 
 
 @query(f"""WITH RECURSIVE {_STOPS},
@@ -57,9 +67,8 @@ cuts AS (SELECT gate FROM part GROUP BY gate HAVING count(DISTINCT entry) > 1)
 SELECT DISTINCT gate, entry, node FROM part SEMI JOIN cuts USING (gate) WHERE protected = 0""")
 def cut_region_nodes(spark, d):
     """The stops of those parts."""
-    held = table(spark, d, "lineitem").where("l_quantity = 50").select(_stop().alias("node"))
-    found = biconnected.blocks(legs(spark, d), held)
-    return biconnected.region_nodes(found, biconnected.regions(found).where("protected = 0"))
+    members = table(spark, d, "lineitem").select(_way().alias("way"), _stop().alias("node"), (F.col("l_quantity") == 50).alias("protected"))
+    return biconnected.unprotected_nodes(tours(spark, d), members)
 
 
 # Both ways along each leg, at a cost and under a link number that follow from its ends.

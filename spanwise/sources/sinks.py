@@ -134,3 +134,11 @@ def discard(*tables: DataFrame) -> None:
         path = getattr(df, "_written_at", None)
         if path:
             _remove(df.sparkSession, path)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of plans that are done.
+
+    It does so when the driver's JVM collects them, which a large heap puts off for long; this asks for it.
+    """
+    spark._jvm.System.gc()

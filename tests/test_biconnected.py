@@ -108,3 +108,48 @@ def test_small_components_are_searched_in_tasks(spark):
         assert small == 15 or len(calls) < 10
         parts.append(sorted((r["gate"], r["entry"], r["n"], r["protected"], round(r["w"], 6)) for r in biconnected.regions(found, sums=["w"]).collect()))
     assert parts[0] == parts[1] and {p[:2] for p in parts[0]} == set(brute(edges))
+
+
+def members_of(ways, protected):
+    """(edges, members) of ways, lists of nodes that are paths, or cycles if they end where they began."""
+    edges = [(w, a, b) for w, way in enumerate(ways) for a, b in zip(way, way[1:])]
+    return edges, [(w, n, n in protected and w % 2 == 0) for w, way in enumerate(ways) for n in way]
+
+
+def wanted(edges, held):
+    return {k: p for k, p in brute([e[1:] for e in edges]).items() if not p & held}
+
+
+@pytest.mark.parametrize("small", [100_000, 12, 0])
+def test_unprotected_nodes_of_ways(spark, small):
+    rng = random.Random(11)
+    ways = [[60 * c + rng.randrange(45) for _ in range(rng.randrange(1, 5))] for c in range(8) for _ in range(14)]
+    ways += [[1000 + i for i in range(9)], [1003, 1003], [1008, 1000], [1008, 1020, 1021], [2000, *range(2001, 2030)]]
+    ways += [[3000, 3000 + i] for i in range(1, 20)] + [[4000, 4001, 4002, 4000], [4002, 4003], [4003, 4004, 4005, 4003], [5000]]
+    edges, members = members_of(ways, {5, 17, 61, 130, 200, 310, 311, 1004, 3000, 5000, 4004})
+    held = {n for _, n, p in members if p}
+    found = biconnected.unprotected_nodes(spark.createDataFrame(edges, "way long, u long, v long"), spark.createDataFrame([*members, (3, None, True)], "way long, node long, protected boolean"), small=small)
+    got = {}
+    for r in found.collect():
+        got.setdefault((r["gate"], r["entry"]), []).append(r["node"])
+    assert {k: sorted(p) for k, p in got.items()} == {k: sorted(p) for k, p in wanted(edges, held).items()}
+
+
+def test_unprotected_nodes_of_nothing(spark):
+    none = spark.createDataFrame([], "way long, u long, v long"), spark.createDataFrame([], "way long, node long, protected boolean")
+    assert biconnected.unprotected_nodes(*none).count() == 0
+
+
+def test_a_long_chain_and_a_hub_in_one_task():
+    chain = {i: {i - 1, i + 1} - {-1, 400} for i in range(400)}
+    assert sum(len(p) for _, _, p in biconnected._cut_off(chain, set())) == 398 * 399
+    assert [(g, e) for g, e, _ in biconnected._cut_off(chain, {200})] and sum(len(p) for *_, p in biconnected._cut_off(chain, {200})) == sum(range(1, 200)) + sum(range(1, 199)) + 399
+    star = {0: set(range(1, 20_001))} | {i: {0} for i in range(1, 20_001)}
+    assert len(list(biconnected._cut_off(star, {7}))) == 19_999
+
+
+def test_nodes_of_regions_are_not_shuffled(spark):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["cut_region_nodes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
